@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import html_extract
+from sparkloom.llm import html_extract, packing, repair_codec
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1,
+        "op4_token_ids": repair_codec.op4,
+        "op6_packing": packing.op6,
     }
 
 
