@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import html_extract, packing, repair_codec
+from sparkloom.llm import html_extract, packing, quality_classifier, quality_rules, repair_codec
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1,
+        "op2_quality_rules": quality_rules.op2,
         "op4_token_ids": repair_codec.op4,
+        "op5_quality_classifier": quality_classifier.op5,
         "op6_packing": packing.op6,
     }
 
