@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import html_extract, packing, quality_classifier, quality_rules, repair_codec
+from sparkloom.llm import embed_dedup, html_extract, ngram_join, packing, quality_classifier, quality_rules, repair_codec
 
 
 def queries() -> dict:
@@ -12,8 +12,13 @@ def queries() -> dict:
         "op4_token_ids": repair_codec.op4,
         "op5_quality_classifier": quality_classifier.op5,
         "op6_packing": packing.op6,
+        "op8_ngram_jaccard_join": ngram_join.op8,
+        "op10_embedding_near_dedup": embed_dedup.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op8_ngram_jaccard_join": ngram_join.ORACLE,
+        "op10_embedding_near_dedup": embed_dedup.ORACLE,
+    }
