@@ -169,7 +169,7 @@ def candidate_edges(indexed: DataFrame, bits: int, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last group may go on in the next batch
         for batch in batches:
-            held.append(batch)
+            held.append(pa.RecordBatch.from_arrays(batch.columns, batch.schema.names))  # alike in what may be null
             table = pa.Table.from_batches(held).combine_chunks()
             starts = _starts(table, keys)
             cut = int(starts[-2]) if len(starts) > 1 else 0
