@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import embed_dedup, html_extract, ngram_join, packing, quality_classifier, quality_rules, repair_codec
+from sparkloom.llm import (
+    embed_dedup,
+    html_extract,
+    license_scan,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    repair_codec,
+    url_filter,
+)
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1,
         "op2_quality_rules": quality_rules.op2,
+        "op3_license_scan": license_scan.op3,
         "op4_token_ids": repair_codec.op4,
         "op5_quality_classifier": quality_classifier.op5,
         "op6_packing": packing.op6,
+        "op7_url_filter": url_filter.op7,
         "op8_ngram_jaccard_join": ngram_join.op8,
         "op10_embedding_near_dedup": embed_dedup.op10,
     }
@@ -19,6 +31,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_license_scan": license_scan.ORACLE,
+        "op7_url_filter": url_filter.ORACLE,
         "op8_ngram_jaccard_join": ngram_join.ORACLE,
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
     }
