@@ -11,6 +11,7 @@ from sparkloom.llm import (
     quality_classifier,
     quality_rules,
     repair_codec,
+    sp_codec,
     url_filter,
 )
 
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op6_packing": packing.op6,
         "op7_url_filter": url_filter.op7,
         "op8_ngram_jaccard_join": ngram_join.op8,
+        "op9_sentencepiece": sp_codec.op9,
         "op10_embedding_near_dedup": embed_dedup.op10,
     }
 
@@ -34,5 +36,6 @@ def oracle_sql() -> dict:
         "op3_license_scan": license_scan.ORACLE,
         "op7_url_filter": url_filter.ORACLE,
         "op8_ngram_jaccard_join": ngram_join.ORACLE,
+        "op9_sentencepiece": sp_codec.op9,
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
     }
