@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from sparkloom.plans import corpus, relational
+
 
 def queries() -> dict:
-    return {}
+    return {**corpus.QUERIES, **relational.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**corpus.SQL, **relational.SQL}
