@@ -4,11 +4,14 @@ A text is cut only where both tokenizers cut it anyway: before a single space or
 between two characters that aren't white space. What stands between two cuts is encoded by the library and
 remembered; a text's ids are the ids of its parts in order. A text where a space or line break stands beside other
 white space, or at an end, is encoded by the library as one string instead, so every id is the library's own.
+A tokenizer that lowers case and drops white space cuts at any white space, and between a letter and punctuation;
+there the words are remembered in lower case, and texts with combining marks are encoded as one string.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 
@@ -35,6 +38,10 @@ def default_path(name: str) -> str:
 _FIRST = "\r"
 
 
+#: Letters that a tokenizer which drops white space ends before ASCII punctuation, and that punctuation, but for the apostrophe.
+_BEFORE_POINTS = "([a-zà-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
+
+
 class WordEncoder:
     """encode(texts) -> (ids of all texts joined, number of ids of each). A null text has none."""
 
@@ -45,6 +52,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache_words = cache_words
+        parts = json.loads(self.tokenizer.to_str())
+        steps = (parts.get("normalizer") or {}).get("normalizers") or [parts.get("normalizer") or {}]
+        split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        # It lowers case and keeps only letter runs, digits and runs of other signs: white space and case don't matter.
+        self.folds = any(x.get("type") == "Lowercase" for x in steps) and split.get("behavior") == "Removed" and split.get("invert") is True and "[^\\s\\p{L}\\p{N}]+" in (split.get("pattern") or {}).get("Regex", "")
         self.reset()
 
     def reset(self) -> None:
@@ -65,7 +77,7 @@ class WordEncoder:
             size += len(word)
             if size >= CALL_CHARS or i + 1 == len(words):
                 self.chars += size
-                written = [w[1:] if w[:1] == _FIRST else w if w[:1] == "\n" else " " + w for w in batch]
+                written = batch if self.folds else [w[1:] if w[:1] == _FIRST else w if w[:1] == "\n" else " " + w for w in batch]
                 for w, e in zip(batch, self.tokenizer.encode_batch_fast(written, add_special_tokens=False)):
                     ids = e.ids
                     end = self.used + len(ids)
@@ -82,10 +94,16 @@ class WordEncoder:
         if len(self.numbers) > self.cache_words or self.chars > CACHE_CHARS:
             self.reset()
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        # Lowering A-Z early is safe where no mark follows a letter that it could be composed with.
+        odd = pc.match_substring_regex(texts, "\\p{M}" if self.folds else _ODD).to_numpy(zero_copy_only=False)
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(~odd & ~empty)
-        words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_FIRST), texts.take(pa.array(plain)), ""), "\n", " \n"), " ")
+        chosen = texts.take(pa.array(plain))
+        if self.folds:
+            chosen = pc.replace_substring(pc.ascii_lower(chosen), "\n", " ")
+            words = pc.split_pattern(pc.replace_substring_regex(chosen, _BEFORE_POINTS, "\\1 \\2"), " ")
+        else:
+            words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_FIRST), chosen, ""), "\n", " \n"), " ")
         counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
