@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
@@ -38,6 +39,7 @@ def top_k(queries: DataFrame, collection: DataFrame, k: int = 5, query_id: str =
     asked = [(r[0], r[1]) for r in queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()]
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *collection.schema]}
     schema = f"query_id {kinds[query_id]}, item_id {kinds[item_id]}, distance double"
+    types = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(collection.schema[item_id].dataType), pa.float64()]
     rows = collection.select(F.col(item_id).alias("item_id"), F.col(vector).alias("vector"))
 
     def nearest(names: list, q: np.ndarray):
@@ -63,7 +65,7 @@ def top_k(queries: DataFrame, collection: DataFrame, k: int = 5, query_id: str =
                     best[row] = sorted(best[row] + own)[:k]
             out = [(name, i, d) for name, own in zip(names, best) for d, i in own]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out]) for c in range(3)], ["query_id", "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], types[c]) for c in range(3)], ["query_id", "item_id", "distance"])
 
         return run
 
