@@ -1,8 +1,9 @@
 """Embedding near-duplicates by iterative quantisation (ITQ).
 
-Learning: on a bounded sample the vectors are centred, and for each of several random starts a rotation is learned
-that balances the bits: signs and rotation are fitted to each other in turn (an orthogonal Procrustes problem). Each
-rotation gives a code of as many bits as the vectors have dimensions.
+Learning: on a bounded sample, for each of several random starts a rotation of the principal axes is learned that
+balances the bits: signs and rotation are fitted to each other in turn (an orthogonal Procrustes problem). Each
+rotation gives a code of as many bits as the vectors have dimensions. Bits are taken about the origin, as cosines
+are, so the chance that a pair's bits differ hangs on its angle alone, however the vectors lie.
 Retrieval: the codes are cut into substrings, each a hash table. Vectors that share a substring are held against
 each other by the Hamming distance of their whole codes, inside the bucket; a bucket gives each vector one edge
 into its local group, not its pairs. Connected components over these edges are the candidate groups.
@@ -44,14 +45,11 @@ BLOCK = 1024
 FEW = 16
 
 
-def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, one matrix of all rotations side by side)."""
+def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """One matrix of all rotations side by side."""
     d = sample.shape[1]
-    mean = sample.mean(0)
-    x = sample - mean
-    # Principal axes first, so that the first start isn't worse than the later ones.
-    axes = np.linalg.svd(x.T @ x + 1e-9 * np.eye(d))[0]
-    v = x @ axes
+    axes = np.linalg.svd(sample.T @ sample + 1e-9 * np.eye(d))[0]
+    v = sample @ axes
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(rotations):
@@ -61,12 +59,12 @@ def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int =
             u, _, t = np.linalg.svd(b.T @ v)
             r = (u @ t).T
         out.append(axes @ r)
-    return mean, np.concatenate(out, 1)
+    return np.concatenate(out, 1)
 
 
-def codes(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+def codes(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     """Codes as rows of bytes."""
-    return np.packbits((x - mean) @ rotation >= 0, axis=1)
+    return np.packbits(x @ rotation >= 0, axis=1)
 
 
 def usable(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +238,7 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, recall: float
     chance = math.acos(least) / math.pi
     width = max(8, min(48, math.ceil(math.log2(max(2, classes.count()))) + SPARE_BITS))
     slots = math.ceil(math.log(1 - recall) / math.log(1 - (1 - chance) ** width))
-    mean, rotation = learn(known, math.ceil(slots * width / dim))
+    rotation = learn(known, math.ceil(slots * width / dim))
     pad = -rotation.shape[1] % 64
     rotation = np.concatenate([rotation, rotation[:, :1].repeat(pad, 1)], 1) if pad else rotation  # whole 64-bit words
     bits = rotation.shape[1]
@@ -250,7 +248,7 @@ def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, recall: float
         for batch in batches:
             keep, x = usable(batch.column("vector"), dim)
             names = np.asarray(batch.column("class"))[keep]
-            code = codes(x, mean, rotation)
+            code = codes(x, rotation)
             bit = np.unpackbits(code, axis=1)
             weight = 1 << np.arange(width, dtype=np.int64)
             sub = np.stack([bit[:, k * width : (k + 1) * width].astype(np.int64) @ weight for k in range(slots)], 1) if len(x) else np.zeros((0, slots), np.int64)
