@@ -214,6 +214,7 @@ BETWEEN = (
     # short blocks of a page without a marked article: kept beside running text
     (4, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 25, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
     (7, 0.0, 3, 1.0, 55, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 5, 0.0, 40, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1, 1),
+    (3, 0.0, 2, 1.0, 14, 0.0, 0, 0, 0, 1, 1), (2, 0.0, 0, 0.0, 12, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 20, 0.0, 11, 0.0, 0, 0, 0, 1, 1), (9, 0.0, 12, 0.0, 18, 0.0, 0, 0, 0, 0, 1),
     (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 1.0, 3, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 2, 1.0, 6, 0.8, 0, 0, 0, 0, 0),
     (5, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (6, 0.3, 4, 0.5, 0, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0, 0),
 )
