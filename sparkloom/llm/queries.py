@@ -36,6 +36,5 @@ def oracle_sql() -> dict:
         "op3_license_scan": license_scan.ORACLE,
         "op7_url_filter": url_filter.ORACLE,
         "op8_ngram_jaccard_join": ngram_join.ORACLE,
-        "op9_sentencepiece": sp_codec.op9,
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
     }
