@@ -15,7 +15,8 @@ results. Equal sets share one node from the start.
 Candidates: in each group of nodes with one fingerprint, every node is held against the group's least node; what
 links is merged into components. Then groups that still span several components are joined with themselves across
 components. Both times a folded 1024-bit sketch rejects pairs by its Hamming distance, which is a lower bound, inside
-the join. What is left is verified on the shingle sets. So no group is expanded into all its pairs, and no link
+the join; pairs of large sets are then held against each other by sketches that grow with the sets. What is left is
+verified on the shingle sets. So no group is expanded into all its pairs, and no link
 between different sets is lost: a pair that isn't compared lies in one component already.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing. With fewer words than a
@@ -96,6 +97,25 @@ def folded(own: np.ndarray) -> np.ndarray:
     return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide(own: np.ndarray) -> bytes | None:
+    """A sketch of twice as many bits as the set has shingles, or more; none where the folded one has as many."""
+    bits = 1 << (2 * len(own) - 1).bit_length()
+    if bits <= 64 * WORDS64:
+        return None
+    at = (textmodel.mix(own + _C) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two wide sketches, the longer one folded to the shorter one's length."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def part_keys(own: np.ndarray, percent: int = PERCENT, common_keys: np.ndarray | None = None) -> np.ndarray:
     """Fingerprints (as int64) that a set joins by: for its band, and for the band below if a set there could link."""
     s = len(own)
@@ -107,7 +127,7 @@ def part_keys(own: np.ndarray, percent: int = PERCENT, common_keys: np.ndarray |
         parts = FINE_PARTS if slot < FINE_BAND else (1 << slot) * 4 // 3
         part = (own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascending, as the set is
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        keys = textmodel.mix(np.bitwise_xor.reduceat(x, first) + part[first] * _A + np.uint64(slot) * _C)
+        keys = textmodel.mix(np.bitwise_xor.reduceat(x, first) + part[first] * _A + np.uint64(slot * int(_C) % (1 << 64)))
         if common_keys is not None and len(common_keys):
             at = np.minimum(np.searchsorted(common_keys, keys), len(common_keys) - 1)
             often = common_keys[at] == keys
@@ -116,7 +136,7 @@ def part_keys(own: np.ndarray, percent: int = PERCENT, common_keys: np.ndarray |
     return np.concatenate(out).view(np.int64)
 
 
-SKETCHED = "doc_id long, text_hash long, n long, node long, sketch array<long>, keys array<long>"
+SKETCHED = "doc_id long, text_hash long, n long, node long, sketch array<long>, wide binary, keys array<long>"
 
 
 def sketched(docs: DataFrame, percent: int, common_keys: np.ndarray | None, keys_only: bool = False) -> DataFrame:
@@ -124,17 +144,18 @@ def sketched(docs: DataFrame, percent: int, common_keys: np.ndarray | None, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, sketch, keys = [], [], [], []
+            n, node, sketch, broad, keys = [], [], [], [], []
             for own in shingle_sets(batch.column("text")):
                 n.append(len(own))
                 node.append(node_of(own) if len(own) else None)
                 sketch.append(folded(own) if len(own) and not keys_only else None)
+                broad.append(wide(own) if len(own) and not keys_only else None)
                 keys.append(part_keys(own, percent, common_keys) if len(own) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *keys])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "text_hash", "n", "node", "sketch", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["doc_id", "text_hash", "n", "node", "sketch", "wide", "keys"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
@@ -177,56 +198,75 @@ def intersection_udf():
     return shared
 
 
-def _semi(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """rows whose `on` is among the ids: sent to every task while they are few, else shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+def hamming_udf():
+    @F.arrow_udf("bigint")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([hamming(a, b) if a and b else 0 for a, b in zip(x.to_pylist(), y.to_pylist())], pa.int64())
+
+    return distance
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents with n and node, components of the linked nodes as (node, component))."""
     spark = docs.sparkSession
-    known = common.materialize(sketched(docs, percent, common_fingerprints(docs, percent)), "sketches")
-    keys = known.where("node is not null").select("node", F.explode("keys").alias("key")).repartition("key")
+    keyed = common.materialize(sketched(docs, percent, common_fingerprints(docs, percent)), "fingerprints")
+    known = common.materialize(keyed.drop("keys"), "sketches")
+    keys = keyed.where("node is not null").select("node", F.explode("keys").alias("key")).repartition("key")
     several = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
     members = common.materialize(keys.join(several.hint("shuffle_hash"), "key").distinct(), "members")
-    wanted = members.select("node").distinct()
-    # One document stands for each node that has candidates; its set is worked out from its text once more.
-    nodes = _semi(known.where("node is not null").select("node", "n", "sketch", "text_hash"), common.materialize(wanted, "nodes-wanted"), "node")
-    nodes = common.materialize(nodes.groupBy("node").agg(F.min_by(F.struct("n", "sketch", "text_hash"), "text_hash").alias("x")).select("node", "x.*"), "nodes")
+    common.release(keyed)
+    del keyed, keys, several
+    common.free_shuffles(spark)
+    # One document stands for each node.
+    nodes = known.where("node is not null").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "n", "sketch", "wide")).alias("x")).select("node", "x.*")
+    nodes = common.materialize(nodes, "nodes")
+    one = nodes.select("node", "n", "sketch")
+    close = _close(percent)
+    shared, far = intersection_udf(), hamming_udf()
+    broad = nodes.where("wide is not null").select("node", "wide")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(node_of(own), own.astype("<u8").tobytes()) for own in shingle_sets(batch.column("text")) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
 
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    texts = _semi(texts, nodes.select("text_hash").distinct(), "text_hash").select("text")
-    shingles = common.materialize(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
-    one = nodes.select("node", "n", "sketch")
-    close = _close(percent)
-    shared = intersection_udf()
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y) with sizes, those whose sets are similar enough."""
+        """Of pairs (x, y) with sizes, those whose sets are similar enough; the sets are worked out from the texts."""
+        apart = pairs.join(broad.select(F.col("node").alias("x"), F.col("wide").alias("xw")), "x", "left").join(broad.select(F.col("node").alias("y"), F.col("wide").alias("yw")), "y", "left")
+        apart = apart.select("x", "y", "xn", "yn", far("xw", "yw").alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+        pairs = common.materialize(apart.drop("far"), "close-pairs")
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        wanted = common.materialize(nodes.join(wanted, "node", "left_semi").select("doc_id", "text_hash"), "sets-wanted")
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+        texts = texts.alias("t").join(few.alias("w"), (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
+        shingles = common.materialize(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
         both = pairs.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x").join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
         counted = both.select("x", "y", (F.col("xn") + F.col("yn")).alias("sum"), shared("xs", "ys").alias("shared"))
-        return counted.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("x", "y")
+        found = common.materialize(counted.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("x", "y").distinct(), "links")
+        common.release(shingles)
+        del shingles, both, counted, texts
+        common.free_shuffles(spark)
+        return found
 
     star = members.where("node != leader").select("leader", "node").distinct()
     star = star.alias("s").join(one.alias("a"), F.col("s.leader") == F.col("a.node")).join(one.alias("b"), F.col("s.node") == F.col("b.node")).where(close)
     star = common.materialize(star.select(F.col("s.leader").alias("x"), F.col("s.node").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")), "star-pairs")
-    found = common.materialize(verified(star), "star-links")
-    merged = common.materialize(common.connected_components(found, "x", "y"), "star-components")
-    # Groups that still span components are joined with themselves across them.
-    labelled = members.join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    merged = common.materialize(common.connected_components(verified(star), "x", "y"), "star-components")
+    # All pairs with a group's leader are settled. Groups whose other nodes still span components are joined with themselves.
+    labelled = members.where("node != leader").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = common.materialize(labelled.join(open_keys, "key", "left_semi").join(one, "node"), "open-groups")
+    rest = labelled.join(open_keys, "key", "left_semi").join(one, "node")
+    rest = common.materialize(rest, "open-groups")
     across = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & close)
     across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")).distinct().join(star.select("x", "y"), ["x", "y"], "left_anti")
-    more = common.materialize(verified(common.materialize(across, "cross-pairs")), "cross-links")
+    across = common.materialize(across, "cross-pairs")
+    common.release(rest)
+    if across.isEmpty():
+        return known, merged
     # The components so far are edges to their least nodes; the new links may join them.
-    edges = merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more)
-    return known, (common.connected_components(edges, "x", "y") if not more.isEmpty() else merged)
+    edges = merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(verified(across))
+    return known, common.connected_components(edges, "x", "y")
 
 
 def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
