@@ -6,10 +6,14 @@ Every setting that an ablation switches is a keyword argument; the present time
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import vectors as V
 
@@ -72,11 +76,32 @@ def decayed(nodes: DataFrame, clusters: DataFrame, now: Column, scale: float = S
 
 
 def similar_pairs(nodes: DataFrame, above: float = MERGE_ABOVE, most: int = MERGE_MOST) -> DataFrame:
-    """(a, b, similarity) with a < b among the `most` most accessed nodes (node_id, vector, access_count, in_hierarchy)."""
-    free = nodes.where(~F.coalesce("in_hierarchy", F.lit(False))).orderBy(F.desc("access_count"), "node_id").limit(most)
-    x, y = free.select(F.col("node_id").alias("a"), F.col("vector").alias("v")), free.select(F.col("node_id").alias("b"), F.col("vector").alias("w"))
-    pairs = x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", V.cosine(F.col("v"), F.col("w")).alias("similarity"))
-    return pairs.where(F.col("similarity") > above)
+    """(a, b, similarity) with a < b among the `most` most accessed nodes (node_id, vector, access_count, in_hierarchy).
+
+    The nodes compared are at most `most`, so their vectors go to every task, and a task compares its own in one
+    product. Zero vectors, and null ones, are similar to nothing.
+    """
+    free = nodes.where(~F.coalesce("in_hierarchy", F.lit(False)) & F.col("vector").isNotNull()).orderBy(F.desc("access_count"), "node_id").limit(most).select("node_id", "vector")
+    kind, name = to_arrow_type(nodes.schema["node_id"].dataType), dict(nodes.dtypes)["node_id"]
+    known = free.toArrow()
+    names, unit = known["node_id"].to_pylist(), _unit(known["vector"].to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("node_id").to_pylist()
+            near = _unit(batch.column("vector").to_pylist()) @ unit.T
+            found = [(own[i], names[j], float(near[i, j])) for i, j in zip(*np.nonzero(near > above)) if own[i] < names[j]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "similarity"])
+
+    if not names:
+        return nodes.sparkSession.createDataFrame([], f"a {name}, b {name}, similarity double")
+    return free.mapInArrow(run, f"a {name}, b {name}, similarity double")
+
+
+def _unit(vectors: list) -> np.ndarray:
+    v = np.array(vectors, np.float64)
+    norms = np.sqrt((v * v).sum(1, keepdims=True)) if len(v) else v
+    return v / np.where(norms > 0, norms, np.inf)
 
 
 def merge_plan(pairs: DataFrame) -> DataFrame:
