@@ -13,8 +13,8 @@ passage that many documents share brings no candidates unless documents consist
 results. Equal sets share one node from the start.
 
 Candidates: in each group of nodes with one fingerprint, every node is held against the group's least node; what
-links is merged into components. Then groups that still span several components are joined with themselves across
-components. Both times a folded 1024-bit sketch rejects pairs by its Hamming distance, which is a lower bound, inside
+links is merged into components. Groups that still span several components are held against further members of
+theirs, as long as that brings links, and what then is open is joined with itself across components. Each time a folded 1024-bit sketch rejects pairs by its Hamming distance, which is a lower bound, inside
 the join; pairs of large sets are then held against each other by sketches that grow with the sets. What is left is
 verified on the shingle sets. So no group is expanded into all its pairs, and no link
 between different sets is lost: a pair that isn't compared lies in one component already.
@@ -46,6 +46,8 @@ COMMON_KEPT = 100_000
 FINE_BAND = 8
 FINE_PARTS = 1 << 20
 WORDS64 = 16  # of the folded sketch
+#: Members of an open group that the others are held against in a round.
+HEADS = 4
 #: Ids sent to every task at most (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -253,18 +255,35 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     star = star.alias("s").join(one.alias("a"), F.col("s.leader") == F.col("a.node")).join(one.alias("b"), F.col("s.node") == F.col("b.node")).where(close)
     star = common.materialize(star.select(F.col("s.leader").alias("x"), F.col("s.node").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")), "star-pairs")
     merged = common.materialize(common.connected_components(verified(star), "x", "y"), "star-components")
-    # All pairs with a group's leader are settled. Groups whose other nodes still span components are joined with themselves.
-    labelled = members.where("node != leader").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(open_keys, "key", "left_semi").join(one, "node")
-    rest = common.materialize(rest, "open-groups")
-    across = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & close)
-    across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")).distinct().join(star.select("x", "y"), ["x", "y"], "left_anti")
-    across = common.materialize(across, "cross-pairs")
-    common.release(rest)
+    # All pairs with a group's leader are settled. Groups whose other nodes still span components are held against
+    # other members of theirs, until a round brings no link; then they are joined with themselves across components.
+    rest, turn = members.where("node != leader").select("key", "node"), 0
+    sizes = lambda pairs: pairs.join(one.select(F.col("node").alias("x"), F.col("n").alias("xn")), "x").join(one.select(F.col("node").alias("y"), F.col("n").alias("yn")), "y")
+    while True:
+        labelled = rest.select("key", "node").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        rest = common.materialize(labelled.join(open_keys, "key", "left_semi"), "open-groups")
+        if rest.isEmpty():
+            return known, merged
+        me = F.struct("node", "component")
+        heads = rest.groupBy("key").agg(F.array(*(F.min_by(me, F.xxhash64("node", F.lit(HEADS * turn + i))) for i in range(HEADS))).alias("heads"))
+        pairs = rest.join(heads, "key").select("node", "component", F.explode("heads").alias("h")).where("component != h.component")
+        pairs = pairs.select(F.least("node", "h.node").alias("x"), F.greatest("node", "h.node").alias("y")).distinct()
+        pairs = pairs.alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(close)
+        pairs = common.materialize(pairs.select("p.x", "p.y", F.col("a.n").alias("xn"), F.col("b.n").alias("yn")), "head-pairs")
+        found = None if pairs.isEmpty() else verified(pairs)
+        if found is None or found.isEmpty():
+            break
+        # The components so far are edges to their least nodes; the new links join them.
+        merged = common.materialize(common.connected_components(merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found), "x", "y"), "components")
+        turn += 1
+        common.free_shuffles(spark)
+    full = rest.join(one, "node")
+    across = full.alias("a").join(full.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & close)
+    across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    across = common.materialize(sizes(across.join(pairs.select("x", "y"), ["x", "y"], "left_anti")), "cross-pairs")
     if across.isEmpty():
         return known, merged
-    # The components so far are edges to their least nodes; the new links may join them.
     edges = merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(verified(across))
     return known, common.connected_components(edges, "x", "y")
 

@@ -82,7 +82,9 @@ def test_jaccard_join(spark, monkeypatch):
     assert J.joined(docs.limit(0)).count() == 0
 
 
-def test_jaccard_join_of_rows_without_ids(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_jaccard_join_of_rows_without_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(J, "BROADCAST_IDS", sent)
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (9, text + " x"), (None, None)], "doc_id long, text string")
     got = collections.Counter((r["doc_id"], r["component_id"]) for r in J.joined(docs).collect())

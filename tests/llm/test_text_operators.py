@@ -121,6 +121,14 @@ def test_classifier_on_held_out_rows(spark):
     assert QC.passing(docs, labels).columns == docs.columns
 
 
+def test_posteriors_joined_by_shuffle(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    key = lambda d: sorted((str(r["doc_id"]), str(r["text"]), round(r["p_good"], 9)) for r in d.collect())
+    expected = key(QC.classified(docs, labels))
+    monkeypatch.setattr(QC, "BROADCAST_PATHS", 0)
+    assert key(QC.classified(docs, labels)) == expected
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [("big", "a", 0.9)] * 200 + [("bad", "a", 0.1)] * 200 + [("small", "a", 0.05)]
     got = {r["host"]: r for r in QC.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
