@@ -7,7 +7,8 @@ its host, the more the fewer documents it has. A document's own probability is l
 final log odds are its evidence plus the path's log odds minus the global ones.
 
 Null hosts and paths count as a site without name. Null and empty texts have the evidence of a text without
-n-grams. Repeated rows count each time. Empty tables give empty results. Other columns are carried along.
+n-grams. Repeated rows count each time. Empty tables give empty results. Other columns are carried along, unless
+they are named as a new one is.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate))
     lift = _logit(rate) - _logit(F.col("__global_rate"))
     p = sigmoid(F.col("__evidence") + lift)
-    names = [c for c in docs.columns]
+    names = [c for c in docs.columns if c not in {prefix + x for x in ("evidence", "site", "p_good", "kept")}]
     return rows.select(*names, F.col("__evidence").alias(prefix + "evidence"), lift.alias(prefix + "site"), p.alias(prefix + "p_good"), (p >= MIN_PROBABILITY).alias(prefix + "kept"))
 
 

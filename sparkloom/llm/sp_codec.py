@@ -24,17 +24,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common, tokens
+from sparkloom.llm.textmodel import slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words and characters that a worker remembers; words that advance together, and the longest that do.
-CACHE_WORDS = 500_000
-CACHE_CHARS = 32_000_000
+CACHE_WORDS = 800_000
+CACHE_CHARS = 48_000_000
 TOGETHER = 20_000
+SLICE_BYTES = 12_000_000
+#: Spaces that normalising would squeeze, line breaks beside or before them, and marks in the text itself.
+ODD = "  |\\A[ \\n]| \\z| \\n|" + MARK
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,7 +118,9 @@ class Model:
         keys = np.array([self._hash(self.pieces[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        # Byte pieces below 128 are characters of their own.
+        self.shown = [chr(int(p[3:5], 16)) if k == 6 and int(p[3:5], 16) < 128 else p for p, k in zip(self.pieces, self.kinds)]
+        self.simple = np.array([k in (1, 4) or k == 6 and len(t) == 1 for k, t in zip(self.kinds, self.shown)])
         if not self.unigram:
             self._bpe(normal)
 
@@ -211,8 +218,8 @@ class Model:
             live, x, y, up_x, up_y = live[go], x[go], y[go], up_x[go], up_y[go]
         return out
 
-    def encode_equal(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Ids of words of one length, from their code points (a row each)."""
+    def encode_equal(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, from their code points (a row each), joined; and how many each has."""
         rows, size = codes.shape
         h = np.zeros((size + 1, rows), np.uint64)
         for i in range(size):
@@ -224,25 +231,29 @@ class Model:
         floor = self.scores.min() - 10
         for j in range(1, size + 1):
             top = np.full(rows, -np.inf)
-            for l in range(min(j, self.longest), 0, -1):
+            open_rows = np.arange(rows)
+            for l in range(1, min(j, self.longest) + 1):
                 i = j - l
-                piece = self.lookup(h[j] - h[i] * self.powers[l])
-                hit = np.flatnonzero((piece >= 0) & (best[i] > -np.inf))
+                piece = self.lookup(h[j, open_rows] - h[i, open_rows] * self.powers[l])
+                found = (piece >= 0) & (best[i, open_rows] > -np.inf)
+                at, piece = open_rows[found], piece[found]
                 if self.unigram:
-                    value = best[i, hit] + self.scores[piece[hit]]
+                    value = best[i, at] + self.scores[piece]
+                    better = value >= top[at]  # of equal sums the longer piece
+                    at, piece, value = at[better], piece[better], value[better]
                 else:
-                    hit = hit[top[hit] == -np.inf]
-                    before = last[i, hit]
-                    inner = before >= 0
-                    good = np.ones(len(hit), bool)
-                    good[inner] = self.stable(before[inner], piece[hit[inner]])
-                    hit = hit[good]
-                    value = np.zeros(len(hit))
-                better = value > top[hit]
-                at = hit[better]
-                top[at] = value[better]
+                    before = last[i, at]
+                    inner = np.flatnonzero(before >= 0)
+                    good = np.ones(len(at), bool)
+                    good[inner] = self.stable(before[inner], piece[inner])
+                    at, piece, value = at[good], piece[good], 0.0
+                top[at] = value
                 back[j, at] = l
-                last[j, at] = piece[at]
+                last[j, at] = piece
+                if not self.unigram and len(at):  # the one stable candidate is found
+                    open_rows = open_rows[top[open_rows] == -np.inf]
+                    if not len(open_rows):
+                        break
             # A character that is no piece stands alone.
             alone = np.flatnonzero((self.lookup(h[j] - h[j - 1] * self.powers[1]) < 0) & (best[j - 1] > -np.inf))
             value = best[j - 1, alone] + floor if self.unigram else np.zeros(len(alone))
@@ -261,23 +272,33 @@ class Model:
             steps.append(np.where(ids == -1, -3 - codes[row, np.maximum(place - 1, 0)].astype(np.int64), ids))
             place = np.where(place > 0, place - back[place, row], 0)
         flat = np.stack(steps[::-1], 1) if steps else np.zeros((rows, 0), np.int64)
-        strange = (flat <= -3).any(1)
-        out = []
-        for r in range(rows):
-            own = flat[r][flat[r] != -2]
-            out.append(self._fall_back(own) if strange[r] else own.astype(np.int32))
-        return out
-
-    def _fall_back(self, own: np.ndarray) -> np.ndarray:
-        ids: list[int] = []
-        for x in own.tolist():
-            if x >= 0:
-                ids.append(x)
-            elif self.byte_fallback:
-                ids += [self.bytes[b] for b in chr(-3 - x).encode()]
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
-        return np.array(ids, np.int32)
+        there = flat != -2
+        ids, lengths = flat[there], there.sum(1)
+        if (ids <= -3).any():
+            ids, lengths = self._fall_back(ids, np.repeat(np.arange(rows), lengths), rows)
+        return ids.astype(np.int32), lengths
+
+    def _fall_back(self, ids: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no pieces (-3 less their code point) as bytes, or as one unknown piece for a run of them."""
+        strange = ids <= -3
+        if not self.byte_fallback:
+            again = strange.copy()
+            again[1:] &= strange[:-1] & (row[1:] == row[:-1])
+            again[:1] = False
+            ids = np.where(strange, self.unknown, ids)[~again]
+            return ids, np.bincount(row[~again], minlength=rows)
+        size = np.ones(len(ids), np.int64)
+        known = {}
+        for x in np.unique(ids[strange]).tolist():
+            known[x] = [self.bytes[b] for b in chr(-3 - x).encode()]
+            size[ids == x] = len(known[x])
+        ends = np.cumsum(size)
+        out = np.repeat(ids, size)
+        for x, own in known.items():
+            at = np.flatnonzero(ids == x)
+            for k, piece in enumerate(own):
+                out[ends[at] - size[at] + k] = piece
+        return out, np.bincount(row, weights=size, minlength=rows).astype(np.int64)
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -287,9 +308,13 @@ class Model:
         return (MARK if self.add_prefix else "") + text.replace(" ", MARK)
 
     def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        if self.simple[ids].all():
+            text = "".join(map(self.shown.__getitem__, ids.tolist())).replace(MARK, " ")
+            return text[1:] if self.add_prefix and text[:1] == " " else text
         out: list[str] = []
         held = bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if self.kinds[i] == 6:
                 held.append(int(self.pieces[i][3:5], 16))
                 continue
@@ -311,45 +336,96 @@ class Encoder:
 
     def __init__(self, data: bytes):
         self.model = Model(data)
-        self.words: dict[str, np.ndarray] = {}
-        self.chars = 0
+        m = self.model
+        # No piece holds a line break here, so a word may be cut before one.
+        self.cuts_lines = not any("\n" in p for p, k in zip(m.pieces, m.kinds) if k in (1, 4)) and m.byte_fallback
+        self.reset()
+
+    def reset(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.first = np.zeros(1 << 16, np.int64)
+        self.pool = np.zeros(1 << 18, np.int32)
+        self.used = self.chars = 0
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Normalised words, those of one length at once: (their order, ids joined in it, ids of each)."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        ids, lengths, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while at < len(order):
+            n = int(size[order[at]])
+            stop = min(int(np.searchsorted(size[order], n, "right")), at + max(1, min(TOGETHER, 2_000_000 // max(n, 1))))
+            part = [words[i] for i in order[at:stop].tolist()]
+            codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+            got, many = self.model.encode_equal(codes)
+            ids.append(got)
+            lengths.append(many)
+            at = stop
+        return order, np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, words: list[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        for w in words:
-            by_size.setdefault(len(w), []).append(w)
-        for size, group in by_size.items():
-            together = max(1, min(TOGETHER, 2_000_000 // size))
-            for at in range(0, len(group), together):
-                part = group[at : at + together]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size)
-                self.words.update(zip(part, self.model.encode_equal(codes)))
-            self.chars += size * len(group)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.words.clear()
-            self.chars = 0
-        cut = []
-        for text in texts:
-            own = self.model.normalise(text or "")
-            # Words begin with their mark; pieces hold marks at their beginning only, or are runs of marks.
-            parts = own.split(MARK)
-            words = [parts[0]] if parts[0] else []
-            marks = ""
-            for p in parts[1:]:
-                marks += MARK
-                if p:
-                    words.append(marks + p)
-                    marks = ""
-            if marks:
-                words.append(marks)
-            cut.append(words)
-        new = list({w for words in cut for w in words}.difference(self.words))
+        mark = MARK
+        order, ids, lengths = self._encoded([w if w[:1] == "\n" and self.cuts_lines else mark + w for w in words])
+        k, n = len(self.numbers), len(words)
+        if k + n + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(k + n + 1, len(self.first)), np.int64)])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(self.used + len(ids), len(self.pool)), np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first[k : k + n + 1] = self.used + np.concatenate([[0], np.cumsum(lengths)])
+        self.numbers.update(zip(map(words.__getitem__, order.tolist()), range(k, k + n)))
+        self.used += len(ids)
+        self.chars += sum(map(len, words))
+
+    def _whole(self, text: str) -> np.ndarray:
+        """A text with marks of its own, or spaces in odd places: cut at the marks of its normal form."""
+        words: list[str] = []
+        marks = ""
+        head, *parts = self.model.normalise(text).split(MARK)
+        if head:
+            words.append(head)
+        for p in parts:
+            marks += MARK
+            if p:
+                words.append(marks + p)
+                marks = ""
+        if marks:
+            words.append(marks)
+        order, ids, lengths = self._encoded(words)
+        ends = np.cumsum(lengths)
+        place = np.argsort(order)
+        return np.concatenate([np.zeros(0, np.int32), *(ids[ends[i] - lengths[i] : ends[i]] for i in place.tolist())])
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if len(self.numbers) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.reset()
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) | (not self.model.add_prefix)
+        plain = np.flatnonzero(~odd & ~pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        chosen = texts.take(pa.array(plain))
+        words = pc.split_pattern(pc.replace_substring(chosen, "\n", " \n") if self.cuts_lines else chosen, " ")
+        counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.numbers]
         if new:
             self._learn(new)
-        get = self.words.__getitem__
-        return [np.concatenate([*map(get, words)]) if words else np.zeros(0, np.int32) for words in cut]
+        number = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        begin, long = self.first[number], (self.first[number + 1] - self.first[number]).astype(np.int32)
+        codes = coded.indices.to_numpy()
+        size = long[codes]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((begin[codes] - ends + size).astype(np.int32), size)
+        ids = self.pool[at]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = [np.zeros(0, np.int32)] * len(texts)
+        for i, lo, hi in zip(plain.tolist(), bounds[:-1], bounds[1:]):
+            out[i] = ids[lo:hi]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -358,21 +434,10 @@ def encoder(path: str) -> Encoder:
         return Encoder(f.read())
 
 
-def _pieces(texts: list[str | None], limit: int = 4_000_000):
-    at = 0
-    while at < len(texts):
-        size, stop = 0, at
-        while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= limit):
-            size += len(texts[stop] or "")
-            stop += 1
-        yield texts[at:stop]
-        at = stop
-
-
 def encode_udf(path: str):
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        ids = [x for part in _pieces(text.to_pylist()) for x in encoder(path).encode(part)]
+        ids = [x for part in slices(text, SLICE_BYTES) for x in encoder(path).encode(part)]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
@@ -404,10 +469,10 @@ def op9(spark, sf_dir, tokenizer_path: Callable[[str], str] = tokens.default_pat
     def digest(text: pa.Array) -> pa.Array:
         e = encoder(path)
         out = []
-        for part in _pieces(text.to_pylist()):
-            for t, ids in zip(part, e.encode(part)):
+        for part in slices(text, SLICE_BYTES):
+            for t, ids in zip(part.to_pylist(), e.encode(part)):
                 whole = e.model.normalise(t or "").replace(MARK, " ")
-                back = e.model.decode(ids.tolist())
+                back = e.model.decode(ids)
                 out.append({"n_tokens": len(ids), "ids_crc32": tokens.crc32(ids), "n_bytes": len((t or "").encode()), "round_trip": back == (whole[1:] if e.model.add_prefix else whole)})
         return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_bytes", pa.int64()), ("round_trip", pa.bool_())]))
 
