@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common, textmodel
+from sparkloom.llm import common, textmodel, workers
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -159,6 +159,7 @@ def sketched(docs: DataFrame, percent: int, common_keys: np.ndarray | None, keys
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 ["doc_id", "text_hash", "n", "node", "sketch", "wide", "keys"],
             )
+            workers.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SKETCHED)
@@ -231,6 +232,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         for batch in batches:
             found = [(node_of(own), own.astype("<u8").tobytes()) for own in shingle_sets(batch.column("text")) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
+            workers.trim()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (x, y) with sizes, those whose sets are similar enough; the sets are worked out from the texts."""

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common, textmodel
+from sparkloom.llm import common, textmodel, workers
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -85,6 +85,7 @@ def judge_udf(model: textmodel.TextModel):
             batch = textmodel.Batch(part)
             found = counts(part, batch)
             parts.append(pa.StructArray.from_arrays([*(pa.array(found[c], pa.int64()) for c in COUNTS), pa.array(m.log_odds(batch), pa.float64())], fields=list(kind)))
+        workers.trim()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return judge

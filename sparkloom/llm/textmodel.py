@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import workers
+
 #: log2 of the hashed features of each family.
 FAMILY_BITS = (12, 12, 12)
 #: Bytes of text that are hashed at once.
@@ -272,7 +274,9 @@ def log_odds_udf(model: TextModel):
     @F.arrow_udf("double")
     def log_odds(text: pa.Array) -> pa.Array:
         model = _thawed(frozen)
-        return pa.array(np.concatenate([np.zeros(0), *(model.log_odds(Batch(part)) for part in slices(text))]), pa.float64())
+        out = np.concatenate([np.zeros(0), *(model.log_odds(Batch(part)) for part in slices(text))])
+        workers.trim()
+        return pa.array(out, pa.float64())
 
     return log_odds
 

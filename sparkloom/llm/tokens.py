@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sparkloom.llm import workers
+
 #: Words and characters that a worker remembers at most; beyond that it starts anew, so its memory stays bounded.
-CACHE_WORDS = 800_000
-CACHE_CHARS = 48_000_000
+CACHE_WORDS = 500_000
+CACHE_CHARS = 32_000_000
 #: Characters of distinct words that are encoded in one call of the library.
 CALL_CHARS = 400_000
 #: White space beside a space or line break, either at an end, or any other white space.
@@ -138,7 +140,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 12_000_000):
+def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 6_000_000):
     """Yields each text's ids with the end id, as int32 arrays."""
     if not isinstance(texts, pa.Array):
         texts = pa.array(texts, pa.string())
@@ -156,6 +158,7 @@ def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int,
             begin += n
             yield out
         at, done = stop, int(sizes[stop - 1])
+    workers.trim()
 
 
 def crc32(ids: np.ndarray) -> int:
