@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import workers
+from sparkloom.llm import common, workers
 
 #: log2 of the hashed features of each family.
 FAMILY_BITS = (12, 12, 12)
@@ -220,10 +220,13 @@ def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> tuple[list, dict[int, int]]:
     """(rows of (doc_id, class, indices, shares), labelled rows of each class).
 
-    Of each class the `per_class` documents whose ids hash lowest; rows with a null id or label don't count. Class
-    sizes cover all labelled documents. Of rows with one doc_id the least text counts.
+    Only labels of the given documents count. Of each class the `per_class` documents whose ids hash lowest are taken;
+    rows with a null id or label don't count. Class sizes cover all labelled ones of the given documents. Of rows with
+    one doc_id the least text counts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
+    at_hand = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    known = common.materialize(known.join(at_hand, "doc_id", "left_semi"), "labels-at-hand")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
@@ -245,10 +248,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, scale: float = 30.0, penalty: float = 1e-3) -> TextModel:
-    """Train on most of the sample; calibrate on the rest, weighted to the classes' sizes among all labelled rows.
+    """Train on most of the sample; calibrate on the rest, weighted to the classes' sizes among all labelled ones of `docs`.
 
-    Without labelled documents of both classes the model knows nothing: every text gets the classes' log odds
-    (of one labelled class, or none, an even chance leaning to that class).
+    Without labelled documents of both classes among `docs` the model knows nothing: every text gets the classes' log
+    odds. If only good ones are labelled, or none, all texts are held good; if only bad ones, all are held bad.
     """
     rows, sizes = labelled_sample(docs, labels, label, per_class)
     prior = float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))

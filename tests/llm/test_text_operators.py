@@ -129,6 +129,18 @@ def test_posteriors_joined_by_shuffle(spark, monkeypatch):
     assert key(QC.classified(docs, labels)) == expected
 
 
+def test_labels_of_the_documents_at_hand(spark):
+    docs, labels = labelled(spark)
+    elsewhere = spark.range(10_000, 14_000).selectExpr("id as doc_id", "int(id % 8 = 0) as quality")
+    rows, sizes = M.labelled_sample(docs, labels.unionByName(elsewhere), per_class=25)
+    assert sizes == {0: 60, 1: 60} and [r[1] for r in rows].count(0) == [r[1] for r in rows].count(1) == 25
+    got, expected = M.train(docs, labels.unionByName(elsewhere)), M.train(docs, labels)
+    assert (got.weights == expected.weights).all() and (got.slope, got.offset) == (expected.slope, expected.offset)
+    for some, odds in (("doc_id % 4 != 0", np.log(61)), ("doc_id % 4 = 0", -np.log(61)), ("doc_id >= 1000", 0.0)):
+        model = M.train(docs.where(some), labels.unionByName(elsewhere))
+        assert not model.weights.any() and model.offset == pytest.approx(odds)
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [("big", "a", 0.9)] * 200 + [("bad", "a", 0.1)] * 200 + [("small", "a", 0.05)]
     got = {r["host"]: r for r in QC.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
