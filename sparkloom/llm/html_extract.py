@@ -27,7 +27,10 @@ _MARKUP = re.compile(
     |<[!?][^>]*+>""",
     re.S | re.I | re.X,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|itemprop|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute after the other, so that what stands within a value isn't taken for an attribute.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Attributes up to this length are remembered with their traits; longer ones are read anew, so the memory stays bounded.
+REMEMBERED_CHARS = 2000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input label picture source track".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,9 +62,12 @@ def _is_hint(value: str) -> bool:
     return False
 
 
-@functools.lru_cache(maxsize=4096)
 def _traits(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(stands for boilerplate, stands for the article) of an element."""
+    """(stands for boilerplate, stands for the article) of an element; its attributes are read whole."""
+    return (_remembered_traits if len(attrs) <= REMEMBERED_CHARS else _read_traits)(tag, attrs)
+
+
+def _read_traits(tag: str, attrs: str) -> tuple[bool, bool]:
     main = tag in ("article", "main")
     boiler = tag in DROPPED or tag == "header"
     if attrs:
@@ -76,6 +82,9 @@ def _traits(tag: str, attrs: str) -> tuple[bool, bool]:
     return boiler, main and not boiler
 
 
+_remembered_traits = functools.lru_cache(maxsize=4096)(_read_traits)
+
+
 class Block:
     __slots__ = ("text", "words", "links", "boiler", "main", "heading")
 
@@ -174,8 +183,8 @@ def blocks(page: str) -> list[Block]:
         attrs = (m[4] if m[3] else m[7]) or ""
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "object", "canvas", "math", "template"):
             continue
-        b, art = _traits(tag, attrs if len(attrs) < 2000 else attrs[:2000])
-        if tag == "header" and not _traits("div", attrs if len(attrs) < 2000 else attrs[:2000])[0]:
+        b, art = _traits(tag, attrs)
+        if tag == "header" and not _traits("div", attrs)[0]:
             stack.append((tag, False, art, True))
         else:
             stack.append((tag, b, art, False))

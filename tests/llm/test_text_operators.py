@@ -54,6 +54,17 @@ def test_very_long_page_and_broken_quotes():
     assert H.main_text('<article><p class="x>broken</p><p>kept</p></article>').endswith("kept")
 
 
+@pytest.mark.parametrize("long", ["data-props='" + '{"hidden": "no", "id": "sidebar"}' * 160 + "'", 'style="background:url(data:image/png;base64,' + "iVBORw0K" * 625 + ')"'])
+def test_marks_after_long_attributes(long):
+    assert len(long) > 5000
+    para = "many words of running text that say something of interest to a reader here " * 3
+    side = "other words of running text that stand beside what the page is about, and are long " * 3
+    for mark in ('class="sidebar"', "id=comments", "hidden"):
+        assert H.main_text(f"<body><div {long}><p>{para}</p></div><div {long} {mark}><p>{side}</p></div></body>") == para.strip()
+    for mark in ('role="main"', "itemprop='articleBody'"):
+        assert H.main_text(f"<body><div><p>{side}</p></div><div {long} {mark}><p>{para}</p></div></body>") == para.strip()
+
+
 def test_extraction_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "<article><p>hi</p></article>", "keep"), (1, None, "x"), (None, "<article><p>hi</p></article>", None)], "page_id long, html string, words string")
     got = H.extract_main_text(pages).collect()
