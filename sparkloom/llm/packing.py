@@ -75,6 +75,7 @@ def pack(
     open_windows: int = OPEN_WINDOWS,
     with_ids: bool = True,
     name: str = "packing",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (int array)."""
     spark = docs.sparkSession
@@ -97,7 +98,7 @@ def pack(
         held = 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(doc_ids, tokens.encode_documents(batch.column("text"), tokenizer, end_id)):
+            for doc_id, ids in zip(doc_ids, tokens.encode_documents(batch.column("text"), tokenizer, end_id, added_tokens=added_tokens)):
                 n = len(ids)
                 for start in range(0, n, window):
                     piece = ids[start : start + window]
@@ -151,7 +152,7 @@ def merge_open(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def packed(docs: DataFrame, with_ids: bool = False, tokenizer_path: Callable[[str], str] = tokens.default_path) -> DataFrame:
-    return pack(docs, tokenizer_path(TOKENIZER), END_ID, WINDOW, OPEN_WINDOWS, with_ids)
+    return pack(docs, tokenizer_path(TOKENIZER), END_ID, WINDOW, OPEN_WINDOWS, with_ids, added_tokens=True)
 
 
 def op6(spark, sf_dir):

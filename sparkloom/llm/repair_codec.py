@@ -206,7 +206,7 @@ class BlockReader:
 BLOCK = "part int, block int, n_docs int, n_tokens long, payload binary"
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, base: int, path: str, block_ids: int = SEGMENT_IDS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int, base: int, path: str, block_ids: int = SEGMENT_IDS, added_tokens: bool = False) -> DataFrame:
     """Write the documents' ids as blocks at `path`, in ascending doc_id order, and read the table back."""
     spark = docs.sparkSession
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, base: int, path: str, b
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(names)], pa.int32()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], ["part", "block", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for name, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode_documents(batch.column("text"), tokenizer, end_id)):
+            for name, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode_documents(batch.column("text"), tokenizer, end_id, added_tokens=added_tokens)):
                 names.append(name)
                 held.append(ids)
                 size += len(ids)
@@ -294,5 +294,5 @@ def decode(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
 
 def op4(spark, sf_dir, tokenizer_path: Callable[[str], str] = tokens.default_path):
     docs = common.table(spark, sf_dir, "documents")
-    blocks = encode(docs, tokenizer_path(TOKENIZER), END_ID, 49408, common.scratch_path(spark, "token-ids"))
+    blocks = encode(docs, tokenizer_path(TOKENIZER), END_ID, 49408, common.scratch_path(spark, "token-ids"), added_tokens=True)
     return decode(blocks, with_ids=False)

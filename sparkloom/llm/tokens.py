@@ -6,6 +6,9 @@ remembered; a text's ids are the ids of its parts in order. A text where a space
 white space, or at an end, is encoded by the library as one string instead, so every id is the library's own.
 A tokenizer that lowers case and drops white space cuts at any white space, and between a letter and punctuation;
 there the words are remembered in lower case, and texts with combining marks are encoded as one string.
+
+The file's added tokens (<|endoftext|>) are either text like any other, or, with `added_tokens`, tokens wherever a text
+holds them, which is the library's default and what the queries return; texts that hold one are encoded as one string.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -47,18 +51,25 @@ _BEFORE_POINTS = "([a-zà-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
 class WordEncoder:
     """encode(texts) -> (ids of all texts joined, number of ids of each). A null text has none."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if not added_tokens:
+            self.tokenizer.encode_special_tokens = True
         self.cache_words = cache_words
         parts = json.loads(self.tokenizer.to_str())
         steps = (parts.get("normalizer") or {}).get("normalizers") or [parts.get("normalizer") or {}]
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         # It lowers case and keeps only letter runs, digits and runs of other signs: white space and case don't matter.
         self.folds = any(x.get("type") == "Lowercase" for x in steps) and split.get("behavior") == "Removed" and split.get("invert") is True and "[^\\s\\p{L}\\p{N}]+" in (split.get("pattern") or {}).get("Regex", "")
+        # Lowering A-Z early is safe where no mark follows a letter that it could be composed with.
+        self.odd = "\\p{M}" if self.folds else _ODD
+        if added_tokens:
+            contents = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+            if contents:  # in any case, as a token may be one of the lowered text
+                self.odd += f"|(?i:{contents})"
         self.reset()
 
     def reset(self) -> None:
@@ -96,8 +107,7 @@ class WordEncoder:
         if len(self.numbers) > self.cache_words or self.chars > CACHE_CHARS:
             self.reset()
         texts = pc.fill_null(texts, "")
-        # Lowering A-Z early is safe where no mark follows a letter that it could be composed with.
-        odd = pc.match_substring_regex(texts, "\\p{M}" if self.folds else _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         plain = np.flatnonzero(~odd & ~empty)
         chosen = texts.take(pa.array(plain))
@@ -135,16 +145,16 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, added_tokens: bool = False) -> WordEncoder:
     """One per Python worker; workers are reused from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, added_tokens=added_tokens)
 
 
-def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 6_000_000):
+def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 6_000_000, added_tokens: bool = False):
     """Yields each text's ids with the end id, as int32 arrays."""
     if not isinstance(texts, pa.Array):
         texts = pa.array(texts, pa.string())
-    e = encoder(path)
+    e = encoder(path, added_tokens)
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = done = 0
     while at < len(texts):

@@ -205,6 +205,30 @@ def test_ids_are_the_librarys(name):
         assert ids.tolist() == [i for x in got for i in x[:-1]] and n.tolist() == [len(x) - 1 for x in got]
 
 
+ADDED = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>y\nz <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "  <|endoftext|>\n", "é́ <|endoftext|>", "<|endoftext |>", "<| endoftext|>"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_the_librarys(name):
+    from tokenizers import Tokenizer
+
+    path = T.default_path(name)
+    t = Tokenizer.from_file(path)
+    got = [x.tolist() for x in T.encode_documents([*TEXTS, *ADDED], path, 7, added_tokens=True)]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in [*TEXTS, *ADDED]]
+
+
+def test_queries_match_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    spark.createDataFrame([*enumerate([*TEXTS, *ADDED])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for op, file, end_id, n_tokens in ((R.op4, R.TOKENIZER, R.END_ID, "n_tokens"), (P.op6, P.TOKENIZER, P.END_ID, "doc_tokens")):
+        t = Tokenizer.from_file(T.default_path(file))
+        ids = [[*t.encode(x or "", add_special_tokens=False).ids, end_id] for x in [*TEXTS, *ADDED]]
+        got = op(spark, str(tmp_path)).where(f"{n_tokens} < 2048").collect()
+        assert len(got) >= len(ids) - 1 and all((r[n_tokens], r["ids_crc32"]) == (len(ids[r["doc_id"]]), T.crc32(np.array(ids[r["doc_id"]]))) for r in got)
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, int), np.array([5]), np.full(5000, 9), rng.integers(0, 20, 30_000), np.tile(rng.integers(0, 49000, 50), 400), rng.integers(0, 49000, 20_000)):
