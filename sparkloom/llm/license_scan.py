@@ -4,8 +4,13 @@ Every text's words are rolled into k-grams, whose hashes are joined to the posit
 license templates. A match of gram and template position votes for a diagonal: its place in the text minus its
 place in the template. Votes are summed by document, template and diagonal; diagonals of one template that lie
 close to each other (a word more or less in the text shifts the rest) are merged; and a merged span is verified by
-the share of the template's grams that it holds, in order and apart from hash collisions, as the joined rows
-carry the grams themselves.
+its longest chain of matches: places and template positions both ascend, and neighbours lie on the same diagonal or
+close ones, so a chain is as short as the template is. The chain must hold the template's deciding grams (version and
+variant words) and, with them, a share of all its grams. Hash collisions don't count, as the joined rows carry the
+grams themselves.
+
+The SQL counterpart counts a merged span's grams without regard to order and deciding ones. Both agree on statements
+in the templates' own words, which are all that the given tables hold; of others the scan keeps fewer.
 
 The short phrases of the base rule are templates too: all their grams on one diagonal mean that the words stand
 consecutively. A template's label counts from `MIN_COVERAGE` of its grams on.
@@ -51,6 +56,19 @@ TEMPLATES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
+#: Grams without which a template's label doesn't hold, by label; they count in those templates that have them.
+DECIDING = {
+    "gpl": ("gnu general",),
+    "gpl-3.0": ("gnu general", "version 3"),
+    "apache-2.0": ("apache license", "version 2"),
+    "mit": ("mit license",),
+    "cc-by": ("by 4", "creative commons", "attribution 4"),
+    "cc-by-nc": ("by nc", "nc 4"),
+    "cc-by-sa": ("by sa", "sa 4"),
+    "mpl": ("mozilla public",),
+}
+#: What a deciding gram counts in a chain, besides one for the gram: more than all grams of a template.
+DECIDING_WEIGHT = 1000
 #: Words whose pairs say nothing of a license: grams of two of them don't vote.
 COMMON = frozenset("a and any as by for from in is it of or that the this to with without".split())
 
@@ -66,6 +84,37 @@ def template_grams(templates=(), phrases=PHRASES) -> list[tuple[int, str, bool,
     return out
 
 
+def chained(templates=TEMPLATES, phrases=PHRASES) -> Column:
+    """Grams in the best chain of a span that holds all deciding grams, from columns template and pairs; 0 without one.
+
+    pairs are (at, position) in the order of places. Neighbours in a chain are at most a template's length and
+    MERGE_WITHIN places apart, so only pairs as recent are held.
+    """
+    grams = template_grams(templates, phrases)
+    deciding = [(t, i) for t, label, base, i, g, _ in grams if not base and g in DECIDING.get(label, ())]
+    reach = max((i for _, _, _, i, _, _ in grams), default=0) + MERGE_WITHIN
+    coded = F.array(*(F.lit(t * DECIDING_WEIGHT + i) for t, i in deciding)) if deciding else F.array().cast("array<int>")
+    weight = lambda x: F.when(F.array_contains(coded, F.col("template") * DECIDING_WEIGHT + x["position"]), DECIDING_WEIGHT + 1).otherwise(1)
+    kind = "struct<recent:array<struct<at:int,position:int,n:int>>,best:int>"
+
+    def step(held: Column, x: Column) -> Column:
+        near = lambda a: (a["at"] < x["at"]) & (a["position"] < x["position"]) & (F.abs((a["at"] - a["position"]) - (x["at"] - x["position"])) <= MERGE_WITHIN)
+        before = F.coalesce(F.array_max(F.transform(F.filter(held["recent"], near), lambda a: a["n"])), F.lit(0))
+        n = weight(x) + before
+        recent = F.concat(F.filter(held["recent"], lambda a: a["at"] >= x["at"] - reach), F.array(F.struct(x["at"].alias("at"), x["position"].alias("position"), n.alias("n"))))
+        return F.struct(recent.alias("recent"), F.greatest(held["best"], n).alias("best")).cast(kind)
+
+    none = F.struct(F.array().cast("array<struct<at:int,position:int,n:int>>").alias("recent"), F.lit(0).alias("best")).cast(kind)
+    best = F.aggregate(F.col("pairs"), none, step, lambda held: held["best"])
+    counts: dict[int, int] = {}
+    for t, _ in deciding:
+        counts[t] = counts.get(t, 0) + 1
+    needed = F.lit(0)
+    for t, n in counts.items():
+        needed = F.when(F.col("template") == t, n).otherwise(needed)
+    return F.when(F.floor(best / DECIDING_WEIGHT) == needed, best % DECIDING_WEIGHT).otherwise(0)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lowered, nothing else: texts without other capitals go through the engine's faster lower()."""
     return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
@@ -98,7 +147,12 @@ def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, min_coverage:
     # Phrases of the base rule are exact: a diagonal of their own. Others are merged with neighbouring diagonals.
     far = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(nearby) > MERGE_WITHIN), F.lit(True))
     runs = diagonals.withColumn("run", F.sum(far.cast("int")).over(nearby.rowsBetween(W.unboundedPreceding, 0)))
-    spans = runs.groupBy(*key, "n_words", "template", "label", "base", "grams", "run").agg(F.max("copies").alias("copies"), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("votes"))
+    spans = runs.groupBy(*key, "n_words", "template", "label", "base", "grams", "run").agg(F.max("copies").alias("copies"), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("votes"), F.collect_list(F.struct("diagonal", "held")).alias("matches"))
+    # Few spans hold enough grams to be verified.
+    enough = ~F.col("base") & (F.col("votes") / F.col("grams") >= min_coverage)
+    pair = lambda d: lambda p: F.struct((d + p).cast("int").alias("at"), p.cast("int").alias("position"))
+    pairs = F.array_sort(F.flatten(F.transform("matches", lambda m: F.transform(m["held"], pair(m["diagonal"])))))
+    spans = spans.withColumn("pairs", F.when(enough, pairs)).withColumn("votes", F.when(enough, chained(templates, phrases)).otherwise(F.col("votes"))).drop("matches", "pairs")
     share = F.col("votes") / F.col("grams")
     base = F.col("base") & (F.col("votes") == F.col("grams"))
     verified = base | (~F.col("base") & (share >= min_coverage))

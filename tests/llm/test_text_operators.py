@@ -187,6 +187,30 @@ def test_licences(spark):
     assert L.scanned(docs.limit(0)).count() == 0
 
 
+def test_licences_by_order_and_deciding_words(spark):
+    gpl = "this work is licensed under the gnu general public license version 3"
+    grams = [" ".join(p) for p in zip(gpl.split(), gpl.split()[1:])]
+    texts = {
+        "This work is licensed under the GNU General Public License version 2": "gpl",
+        "This work is licensed under the GNU General Public License": "gpl",
+        "This work is licensed under the GNU General Public License, version 3 or later": "gpl,gpl-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is now licensed under a Creative Commons Attribution 4.0 International Public License.": "cc-by",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by",  # the base phrase alone
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under the Apache License, Version 1.1": "apache",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        " x ".join(reversed(grams)): "",  # each gram, in the wrong order
+        " ".join(g + " x" * (i + 1) for i, g in enumerate(grams)): "",  # in order, but ever further apart
+        " ".join(["x " * 40 + g for g in grams]): "",
+    }
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in L.scanned(docs).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values())
+    assert got[4]["score"] == 1.0 and got[5]["score"] == round(10 / 12, 6)
+
+
 # --- token ids ----------------------------------------------------------------------------------------------------
 
 
