@@ -135,10 +135,14 @@ def average_linkage(vectors: np.ndarray, within: float) -> np.ndarray:
     unit = vectors / np.where(norms > 0, norms, 1.0)
     far = 1 - unit @ unit.T
     np.fill_diagonal(far, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > 1:
-        i, j = np.unravel_index(far.argmin(), far.shape)
-        if far[i, j] > within:
+    size, label = np.ones(n), np.arange(n)
+    # Each row's least distance and where it stands first, so that a merge looks again only at rows that it touches.
+    nearest = far.argmin(1) if n else np.zeros(0, int)
+    least = far[np.arange(n), nearest]
+    for _ in range(n - 1):
+        i = int(least.argmin())
+        j = int(nearest[i])
+        if least[i] > within:
             break
         i, j = min(i, j), max(i, j)
         row = (far[i] * size[i] + far[j] * size[j]) / (size[i] + size[j])
@@ -146,7 +150,14 @@ def average_linkage(vectors: np.ndarray, within: float) -> np.ndarray:
         far[j], far[:, j], far[i, i] = np.inf, np.inf, np.inf
         size[i] += size[j]
         label[label == j] = i
-        alive -= 1
+        nearest[j], least[j] = -1, np.inf
+        again = (nearest == i) | (nearest == j)
+        again[i] = True
+        nearer = ~again & ((far[:, i] < least) | (far[:, i] == least) & (i < nearest))
+        nearest[nearer], least[nearer] = i, far[nearer, i]
+        again = np.flatnonzero(again)
+        nearest[again] = far[again].argmin(1)
+        least[again] = far[again, nearest[again]]
     return label
 
 

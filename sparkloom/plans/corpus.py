@@ -486,8 +486,8 @@ def text_scores(spark, sf_dir):
 
 @query()
 def semantic_dedup(spark, sf_dir):
-    # Jobs of bounded size, as clusters of chunks are.
-    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("job_id"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
+    # A job is a cluster of vectors that belong together, whatever their ids are.
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("job_id"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
     return EO.semantic_dedup(rows, 0.6)
 
 

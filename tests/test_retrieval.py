@@ -11,6 +11,7 @@ from sparkloom.operators import generate as G
 from sparkloom.operators import retrieve as RT
 from sparkloom.operators import stats as S
 from sparkloom.operators import upsert as U
+from sparkloom.plans import corpus
 
 
 def test_top_k_against_numpy(spark):
@@ -87,6 +88,31 @@ def test_semantic_dedup(spark):
     assert got.where("job_id = 1 and kept").count() == 1 and got.where("job_id = 2 and kept").count() == 4
 
 
+def test_average_linkage_equals_brute_force():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 7, 60):
+        v = rng.normal(size=(n, 3)) if n != 7 else np.ones((7, 3))
+        unit = v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+        far, groups = 1 - unit @ unit.T, [[i] for i in range(n)]
+        while len(groups) > 1:
+            d, x, y = min((round(float(far[np.ix_(a, b)].mean()), 9), a[0], b[0]) for k, a in enumerate(groups) for b in groups[k + 1 :])
+            if d > 0.6:
+                break
+            a, b = (next(g for g in groups if g[0] == z) for z in (x, y))
+            groups = sorted([*(g for g in groups if g not in (a, b)), sorted(a + b)])
+        got = EO.average_linkage(v, 0.6)
+        assert sorted([i for i in range(n) if got[i] == c] for c in set(got.tolist())) == groups
+
+
+def test_semantic_dedup_compares_vectors_with_distant_ids(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist(), 1) for i in range(0, 1000, 100)]
+    rows += [(i + 7050, v, 1) for i, v, _ in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = corpus.semantic_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == 20 and all(not r["kept"] for r in got if r["item_id"] >= 7050)
+
+
 def test_merge_plan_takes_each_node_once(spark):
     nodes = spark.createDataFrame([(1, [1.0, 0.0], 1, False), (2, [1.0, 0.01], 1, False), (3, [1.0, 0.02], 1, False), (4, [1.0, 0.0], 1, True)], "node_id int, vector array<double>, access_count int, in_hierarchy boolean")
     plan = EO.merge_plan(EO.similar_pairs(nodes)).collect()
