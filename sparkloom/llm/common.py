@@ -6,8 +6,11 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of the two word definitions, as Java and Python regular expressions both read them.
@@ -61,9 +64,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and that nothing will read again."""
-    release_scratch(df._scratch_path)
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing will read again."""
+    if tables:
+        release_scratch(*(t._scratch_path for t in tables))
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -72,30 +76,118 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges, for every node that has an edge.
+def unused(name: str, taken: set[str]) -> str:
+    """The name, or one made from it, that is not among the lower-case names taken; it is added to them."""
+    while name.lower() in taken:
+        name = "_" + name
+    taken.add(name.lower())
+    return name
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Cuts batches of rows sorted by some columns into the groups of equal values, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            key = tuple(c[lo].item() for c in columns)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            # alike in what may be null
+            held.append(pa.RecordBatch.from_arrays(batch.slice(lo, hi - lo).columns, batch.schema.names))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Edges that a task merges at once before they are shuffled.
+MERGED_AT_ONCE = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from nodes to the least nodes of their components, which together bind what the given edges bind."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[a], label[b]
+        if (p == q).all():
+            break
+        least = np.minimum(p, q)
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _merge_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        hi, lo = forest(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("hi", "lo")))
+        return pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= MERGED_AT_ONCE:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
+def _edge_table(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """(the edges as a table, their number and the sum of their hashes), in one job."""
+    seen = Observation()
+    written = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), name)
+    got = seen.get
+    return written, (got["n"], got["h"])
+
 
-    Alternates two distributed steps until nothing changes: each node's larger neighbours, then each node's
-    smaller ones, are re-attached to the smallest node seen. Labels travel by joins and map-side combined
-    minimums only, so a star of any width is summed before it is shuffled. Each round's edges are a table in
-    the shared folder. Loops and edges with a null end are ignored; an empty input gives an empty result.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component), a table: the smallest node reachable over undirected edges, for every node that has an edge.
+
+    Each task first merges what edges it has, a bounded number at a time, into edges to least nodes. Then two distributed
+    steps alternate until nothing changes: each node's larger neighbours, then each node's smaller ones, are re-attached
+    to the smallest node seen. Labels travel by joins and map-side combined minimums only, so a star of any width is
+    summed before it is shuffled; adaptive execution splits the join of a star's edges. Each round's edges are a table
+    in the shared folder, deleted after the next. Loops and edges with a null end are ignored; an empty input gives an
+    empty result. Nodes are integers.
     """
-    u, v = F.col(a), F.col(b)
-    edges = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).distinct()
-    edges = materialize(edges, "cc-edges")
-    while True:
+    u, v = F.col(a).cast("long"), F.col(b).cast("long")
+    edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo"))
+    edges, before = _edge_table(edges.mapInArrow(_merge_edges, "hi long, lo long").distinct(), "cc-edges")
+    while before[0]:
         # Large star: every neighbour above a node goes to the least of the node and its neighbours.
         both = edges.unionAll(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")
-        least = both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("least"))
+        least = both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("least", "node").alias("least"))
         large = both.where("near > node").join(least, "node").select(F.col("near").alias("hi"), F.col("least").alias("lo")).distinct()
         large = materialize(large, "cc-large")
         # Small star: a node's smaller neighbours, and the node, go to the least of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         joined = large.join(least, "hi")
         small = joined.select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi != lo").distinct()
-        small = materialize(small, "cc-small")
-        before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first() for x in (edges, small))
+        small, after = _edge_table(small, "cc-small")
+        release(edges, large)
         edges = small
         if before == after:
             break
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
+        before = after
+    out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    out = materialize(out, "components")
+    release(edges)
+    return out

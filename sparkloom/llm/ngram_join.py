@@ -1,61 +1,66 @@
 """Jaccard join of word-shingle sets by parity sketches.
 
-A document's set of shingle hashes is XOR-ed into a parity sketch: each shingle flips one bit of a wide bit space
-that is cut into parts. Two sets differ in at least as many shingles as their sketches differ in bits, so sets
-that are close enough agree on the whole of some part (pigeonhole). Sizes fall into bands by powers of two; sets
-of a band are cut into equally many parts, and a set just above a band's start is also cut as the band below
-cuts. A part is compared by its fingerprint, the XOR of its shingles' hashes.
-
-With a similarity of at least t, a set of s shingles can differ from another in d = s(1-t)/t shingles at most.
-Among its first d+1 parts that aren't empty, in any order that is the same for all sets, one must therefore agree.
-Only those are joined. The order puts fingerprints that a sample of the documents shows to be common last, so a
-passage that many documents share brings no candidates unless documents consist of it; the sample moves work, not
-results. Equal sets share one node from the start.
-
-Candidates: in each group of nodes with one fingerprint, every node is held against the group's least node; what
-links is merged into components. Groups that still span several components are held against further members of
-theirs, as long as that brings links, and what then is open is joined with itself across components. Each time a folded 1024-bit sketch rejects pairs by its Hamming distance, which is a lower bound, inside
-the join; pairs of large sets are then held against each other by sketches that grow with the sets. What is left is
-verified on the shingle sets. So no group is expanded into all its pairs, and no link
-between different sets is lost: a pair that isn't compared lies in one component already.
+A document's set of shingle hashes is XOR-ed into a parity sketch: each shingle flips one bit of a wide bit space.
+Two sets differ in at least as many shingles as their sketches differ in bits. Sizes fall into bands by powers of two;
+for each band the bit space is cut into equally many pieces (0.75 for each shingle of the band's least size), and a set
+just above a band's start is also cut as the band below cuts. A piece is named by the XOR of its shingles' hashes,
+which is a hash of the bits that are odd in it. Bands below 64 have a piece for every shingle.
+
+With a similarity of at least t, a set of s shingles differs from another in d = s(1-t)/t shingles at most, hence in d
+pieces. So among the first d+1+x of its pieces that aren't empty, in any order that is the same for all sets, at least
+1+x agree (pigeonhole). Only those are joined, by the hashes of pieces. Equal sets share one node from the start.
+
+Groups of nodes with one piece in common:
+* Light ones, of up to LIGHT nodes, give all their pairs.
+* Of the heavy ones a node leaves out its x heaviest (the order is the same for all): two nodes that share 1+x pieces
+  still meet in the lightest of them. So a passage that many documents share costs nothing more, unless documents
+  consist of such passages. What is left are clusters: each member is held against the most central one of the group,
+  then those in other components against all of the group, in blocks.
+
+Sketches folded to 1024 bits reject pairs by their Hamming distance, a lower bound; pairs of large sets are then held
+against each other by sketches that grow with the sets. What remains is verified on the shingle sets: first the closest
+pair of each node, then the pairs between different components. So no group is expanded into all its pairs, and no
+link between different sets is lost: a pair that isn't verified lies in one component already.
 
 Null and empty texts, or texts without words, have an empty set and link with nothing. With fewer words than a
-shingle has, the whole sequence is the one shingle. Rows with equal or null doc_id are documents of their own; a
-component's id is the least doc_id in it (null if it has none). Hashes have 64 bits.
+shingle has, the whole sequence is the one shingle. Texts of any length are read whole. Rows with equal or null doc_id
+are documents of their own; a component's id is the least doc_id in it (null if it has none). Empty tables give empty
+results. Columns other than doc_id and text don't matter, whatever their names. Hashes have 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common, textmodel, workers
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Documents whose fingerprints are counted to find common ones, occurrences that make one common, and their number at most.
-SAMPLE_DOCS = 20_000
-COMMON_FROM = 10
-COMMON_KEPT = 100_000
-#: Bands below this size have a part for (nearly) every shingle.
-FINE_BAND = 8
+#: Nodes of a group that gives all its pairs, at most.
+LIGHT = 32
+#: Bands below this one have a piece for (nearly) every shingle.
+FINE_BAND = 6
 FINE_PARTS = 1 << 20
+#: One more piece is joined for so many that must be, so that heavy groups can be left out.
+SPARE_ONE_IN = 8
 WORDS64 = 16  # of the folded sketch
-#: Members of an open group that the others are held against in a round.
-HEADS = 4
-#: Ids sent to every task at most (8 bytes each); beyond, they are joined by a shuffle.
+#: Members of a heavy group that are compared at once.
+BLOCK = 1024
+#: Ids sent to every task at most (8 or 16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes whose pieces a task remembers having given, so that copies don't give them again.
+REMEMBERED = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def lowered(texts: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
     return pc.ascii_lower(pc.fill_null(texts, ""))
 
 
@@ -118,72 +123,155 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def part_keys(own: np.ndarray, percent: int = PERCENT, common_keys: np.ndarray | None = None) -> np.ndarray:
-    """Fingerprints (as int64) that a set joins by: for its band, and for the band below if a set there could link."""
+def piece_keys(own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, int]]:
+    """(band, names of the pieces that a set joins by, how many of them are to spare): for its band, and for the band
+    below if a set there could link. A name's last bit is the band's, so it tells which of the two it is for."""
     s = len(own)
     band = s.bit_length() - 1
-    differ = s * (100 - percent) // percent
     out = []
     x = textmodel.mix(own ^ _B)
     for slot in (band, band - 1) if band and s * percent <= 100 * ((1 << band) - 1) else (band,):
-        parts = FINE_PARTS if slot < FINE_BAND else (1 << slot) * 4 // 3
+        differ = s * (100 - percent) // percent
+        if slot < band:  # the other set is smaller than this band's start
+            differ = min(differ, (s + (1 << band) - 1) * (100 - percent) // (100 + percent))
+        parts = FINE_PARTS if slot < FINE_BAND else -(-(3 << slot) * (100 - percent) // percent)
         part = (own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # ascending, as the set is
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        keys = textmodel.mix(np.bitwise_xor.reduceat(x, first) + part[first] * _A + np.uint64(slot * int(_C) % (1 << 64)))
-        if common_keys is not None and len(common_keys):
-            at = np.minimum(np.searchsorted(common_keys, keys), len(common_keys) - 1)
-            often = common_keys[at] == keys
-            keys = np.concatenate([keys[~often], keys[often]])
-        out.append(keys[: differ + 1])
-    return np.concatenate(out).view(np.int64)
+        joined_by = min(len(first), differ + 1 + differ // SPARE_ONE_IN + 2)
+        ends = np.append(first, s)[: joined_by + 1]
+        first = first[:joined_by]
+        names = textmodel.mix(np.bitwise_xor.reduceat(x[: ends[-1]], first) + part[first] * _A + np.uint64(slot * int(_C) % (1 << 64)))
+        out.append((slot, names & ~np.uint64(1) | np.uint64(slot & 1), max(0, joined_by - differ - 1)))
+    return out
+
 
+SKETCHED = "doc_id long, text_hash long, n long, node long, sketch array<long>, wide binary, spare0 int, spare1 int, keys array<long>, more array<long>"
 
-SKETCHED = "doc_id long, text_hash long, n long, node long, sketch array<long>, wide binary, keys array<long>"
 
+def sketched(docs: DataFrame, percent: int) -> DataFrame:
+    """One row for each document: size and name of its set, and, where the task meets the set first, the folded and the
+    wide sketch, the spare pieces of even and odd bands, and the names of the pieces it joins by.
 
-def sketched(docs: DataFrame, percent: int, common_keys: np.ndarray | None, keys_only: bool = False) -> DataFrame:
-    """One row for each document: size and name of its set, folded sketch, and the fingerprints it joins by."""
+    Names that more than LIGHT documents of a batch hold are heavy already: LIGHT + 1 of them stay in `keys` to tell
+    so, the others go to `more` and needn't meet them. So a group of any size is thinned out before it is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            n, node, sketch, broad, keys = [], [], [], [], []
+            n, node, sketch, broad, spare, keys = [], [], [], [], ([], []), []
             for own in shingle_sets(batch.column("text")):
                 n.append(len(own))
-                node.append(node_of(own) if len(own) else None)
-                sketch.append(folded(own) if len(own) and not keys_only else None)
-                broad.append(wide(own) if len(own) and not keys_only else None)
-                keys.append(part_keys(own, percent, common_keys) if len(own) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+                name = node_of(own) if len(own) else None
+                node.append(name)
+                new = name is not None and name not in seen
+                found = piece_keys(own, percent) if new else []
+                if new:
+                    seen.add(name)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                sketch.append(folded(own) if new else None)
+                broad.append(wide(own) if new else None)
+                spares = {slot & 1: x for slot, _, x in found}
+                for parity in (0, 1):
+                    spare[parity].append(spares.get(parity))
+                keys.append(np.concatenate([np.zeros(0, np.uint64), *(k for _, k, _ in found)]))
+            flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int64)
+            stays = _first_few(flat)
+            kept = np.concatenate([[0], np.cumsum(stays)])[bounds]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["doc_id", "text_hash", "n", "node", "sketch", "wide", "keys"],
-            )
+                [
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()),
+                    pa.array(spare[0], pa.int32()), pa.array(spare[1], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[stays].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array((bounds - kept).astype(np.int32)), pa.array(flat[~stays].view(np.int64))),
+                ],
+                [x.split()[0] for x in SKETCHED.split(", ")],
+            )
             workers.trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SKETCHED)
 
 
-def common_fingerprints(docs: DataFrame, percent: int) -> np.ndarray:
-    """Fingerprints that many documents of a bounded sample join by, ascending."""
-    n = docs.count()
-    if n > SAMPLE_DOCS:
-        docs = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE_DOCS / n))
-    keys = sketched(docs, percent, None, keys_only=True).select("node", F.explode("keys").alias("key"))
-    often = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_FROM).orderBy(F.desc("c"), "key").limit(COMMON_KEPT)
-    return np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(np.uint64))
+def _first_few(keys: np.ndarray) -> np.ndarray:
+    """Which keys are among the first LIGHT + 1 occurrences of their value."""
+    stays = np.ones(len(keys), bool)
+    bucket = (keys >> np.uint64(44)).astype(np.int64)
+    at = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) > LIGHT + 1)[bucket])
+    if len(at):
+        at = at[np.argsort(keys[at], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], keys[at][1:] != keys[at][:-1]]))
+        nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        stays[at[nth > LIGHT]] = False
+    return stays
+
+
+def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within groups of up to LIGHT nodes, each group's nodes ascending."""
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        members = node[starts[sizes == size][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        xs.append(members[:, i].ravel())
+        ys.append(members[:, j].ravel())
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new]
+
+
+def groups_of(keys: DataFrame) -> DataFrame:
+    """From rows (key, node), (key, x, y): pairs x < y of light groups, with a null key; and the nodes x of heavy ones, with a null y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last group, which may go on in the next batch
+        heavy_key = None
+
+        def out(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node = key[new], node[new]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(key)))
+            many = sizes > LIGHT
+            if heavy_key is not None and len(key) and key[0] == heavy_key:
+                many[0] = True
+            x, y = _pairs_of(node, starts[~many], sizes[~many])
+            rows = np.repeat(many, sizes)
+            key = pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(key[rows])])
+            return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([x, node[rows]])), pa.concat_arrays([pa.array(y), pa.nulls(int(rows.sum()), pa.int64())])], ["key", "x", "y"])
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "node")))
+            cut = int(np.searchsorted(key, key[-1]))
+            if len(key) - cut > LIGHT and len(np.unique(node[cut:])) > LIGHT or key[-1] == heavy_key:
+                yield out(key, node)
+                heavy_key, held = key[-1], (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            else:
+                if cut:
+                    yield out(key[:cut], node[:cut])
+                heavy_key, held = None, (key[cut:], node[cut:])
+        if len(held[0]):
+            yield out(*held)
 
-def _close(percent: int):
-    """Whether sets a and b can be similar enough, by their sizes and by the Hamming distance of their sketches."""
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, x long, y long")
+
+
+def _close(percent: int) -> tuple[Column, Column]:
+    """Whether sets a and b can be similar enough by their sizes and by the Hamming distance of their sketches, and the distance."""
     a, b = F.col("a.n"), F.col("b.n")
     far = None
     for i in range(WORDS64):
         x = F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i]))
         far = x if far is None else far + x
     # |A xor B| <= (|A| + |B|) (100 - p) / (100 + p)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (far * (100 + percent) <= (a + b) * (100 - percent))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (far * (100 + percent) <= (a + b) * (100 - percent)), far
 
 
 def intersection_udf():
@@ -209,109 +297,208 @@ def hamming_udf():
     return distance
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents with n and node, components of the linked nodes as (node, component))."""
+def _alike(rows: DataFrame) -> DataFrame:
+    """Rows sent to every task where they are few, else as they are, for a join by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def leftovers(heavy: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, size): rows of heavy groups without each node's spare ones, the heaviest first; size: of the rows left."""
+    sizes = common.materialize(heavy.groupBy("key").agg(F.count("*").alias("size")), "heavy-sizes")
+    rows = heavy.join(_alike(sizes), "key").join(nodes.select("node", "spare0", "spare1"), "node")
+    odd = F.col("key").bitwiseAND(F.lit(1)).cast("long")
+    nth = F.row_number().over(W.partitionBy("node", "odd").orderBy(F.desc("size"), "key"))
+    rows = rows.withColumn("odd", odd).withColumn("nth", nth).where(F.col("nth") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1")))
+    rows = common.materialize(rows.select("key", "node"), "heavy-rows")
+    left = common.materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "heavy-left")
+    out = common.materialize(rows.join(_alike(left), "key"), "heavy-groups")
+    common.release(sizes, rows, left)
+    return out
+
+
+def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """(x, y, far): pairs of a group's nodes in different components whose sketches let them link.
+
+    rows: (key, node, component, n, sketch). The commonest component of a group is its core; each node outside is held
+    against all nodes of the group, in blocks. Of each such node and another component, the closest pair of a block is
+    given, or all.
+    """
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("core"))
+    parts = common.materialize(parts.where("size > core.c").select("key", "size", (F.col("size") - F.col("core.c")).alias("outside"), F.col("core.component").alias("core")), "open-groups")
+    full = rows.join(_alike(parts), "key")
+    m, o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "outside"))
+    place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    own = ["key", "node", "component", "n", "sketch"]
+    inner = full.select(*own, F.lit(False).alias("out"), place(m).alias("i"), F.explode(F.sequence(F.lit(0), o - 1)).alias("j"))
+    outer = full.where("component != core").select(*own, F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), m - 1)).alias("i"), place(o).alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in common.sorted_groups(batches, ["key", "i", "j"]):
+            node, component, n = (group[c].to_numpy() for c in ("node", "component", "n"))
+            sketch = np.ascontiguousarray(group["sketch"].combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(len(node), -1)
+            out = group["out"].to_numpy()
+            p, q = np.flatnonzero(out), np.flatnonzero(~out)
+            far = np.zeros((len(p), len(q)), np.uint16)
+            for k in range(sketch.shape[1]):
+                far += np.bitwise_count(sketch[p, k][:, None] ^ sketch[q, k][None, :])
+            a, b = n[p][:, None], n[q][None, :]
+            ok = (far * np.int64(100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[p][:, None] != component[q][None, :])
+            i, j = np.nonzero(ok)
+            d = far[i, j].astype(np.int64)
+            if not all_pairs:
+                order = np.lexsort((d, component[q[j]], i))
+                i, j, d = i[order], j[order], d[order]
+                new = np.ones(len(i), bool)
+                new[1:] = (i[1:] != i[:-1]) | (component[q[j]][1:] != component[q[j]][:-1])
+                i, j, d = i[new], j[new], d[new]
+            x, y = node[p[i]], node[q[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d)], ["x", "y", "far"])
+
+    cells = inner.unionByName(outer).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.mapInArrow(run, "x long, y long, far long").distinct()
+
+
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
+    """(documents with n and node, components of the linked nodes as (node, component), or None without any)."""
     spark = docs.sparkSession
-    keyed = common.materialize(sketched(docs, percent, common_fingerprints(docs, percent)), "fingerprints")
-    known = common.materialize(keyed.drop("keys"), "sketches")
-    keys = keyed.where("node is not null").select("node", F.explode("keys").alias("key")).repartition("key")
-    several = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    members = common.materialize(keys.join(several.hint("shuffle_hash"), "key").distinct(), "members")
+    keyed = common.materialize(sketched(docs, percent), "sketches")
+    known = common.materialize(keyed.select("doc_id", "text_hash", "n", "node"), "documents")
+    groups = common.materialize(groups_of(keyed.where("node is not null").select(F.explode("keys").alias("key"), "node")), "groups")
+    # One document stands for each node.
+    some = F.min(F.struct("text_hash", "doc_id", "n", "sketch", "wide", "spare0", "spare1")).alias("s")
+    nodes = common.materialize(keyed.where("sketch is not null").groupBy("node").agg(some).select("node", "s.*"), "nodes")
+    heavy = groups.where("key is not null").select("key", F.col("x").alias("node")).unionByName(keyed.select(F.explode("more").alias("key"), "node"))
+    heavy = common.materialize(heavy.distinct(), "heavy")
     common.release(keyed)
-    del keyed, keys, several
     common.free_shuffles(spark)
-    # One document stands for each node.
-    nodes = known.where("node is not null").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id", "n", "sketch", "wide")).alias("x")).select("node", "x.*")
-    nodes = common.materialize(nodes, "nodes")
     one = nodes.select("node", "n", "sketch")
-    close = _close(percent)
-    shared, far = intersection_udf(), hamming_udf()
-    broad = nodes.where("wide is not null").select("node", "wide")
+    pairs = groups.where("key is null").select("x", "y")
+    left = None
+    if not heavy.isEmpty():
+        left = leftovers(heavy, nodes)
+        # A group's leader is the node with most in common with others, over all groups.
+        weight = left.groupBy("node").agg(F.sum("size").alias("weight"))
+        led = left.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m")).select("key", F.col("m.node").alias("leader"))
+        star = left.join(_alike(common.materialize(led, "leaders")), "key").where("node != leader")
+        pairs = pairs.unionByName(star.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")))
+    common.release(heavy)
+    near, distance = _close(percent)
+    pairs = pairs.distinct().alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(near)
+    pairs = common.materialize(pairs.select("p.x", "p.y", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs")
+    common.release(groups)
+    common.free_shuffles(spark)
+    pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node"))
+    if left is not None:
+        wanted = wanted.unionByName(left.select("node"))
+    sets = _sets(docs, nodes.join(wanted.distinct(), "node", "left_semi"))
+    # First the closest pair of each node.
+    apart = F.col("far") / (F.col("xn") + F.col("yn"))
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct(apart.alias("apart"), "x", "y", "xn", "yn").alias("p"))
+    first = common.materialize(ends.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y", "p.xn", "p.yn").distinct(), "closest-pairs")
+    merged = common.connected_components(_verified(first, sets, percent), "x", "y")
+    labelled = lambda rows, node, name: rows.join(merged.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    rest = labelled(labelled(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"), "x", "xc"), "y", "yc").where("xc != yc").select("x", "y", "xn", "yn")
+    inside = None
+    if left is not None:
+        tested = first.select("x", "y")
+        inside = lambda all_pairs: _sized(across(common.materialize(labelled(left.select("key", "node"), "node", "component").join(one, "node"), "group-rows"), percent, all_pairs).join(tested, ["x", "y"], "left_anti"), nodes, percent)
+        rest = rest.unionByName(inside(False)).distinct()
+    rest = common.materialize(rest, "pairs-across")
+    if not rest.isEmpty():
+        merged = _extended(merged, _verified(rest, sets, percent))
+    if left is not None:  # what then lies in different components, other than by the closest pairs
+        tested = first.select("x", "y").unionByName(rest.select("x", "y"))
+        last = common.materialize(inside(True), "last-pairs")
+        if not last.isEmpty():
+            merged = _extended(merged, _verified(last, sets, percent))
+    return known, merged
+
+
+def _extended(merged: DataFrame, found: DataFrame) -> DataFrame:
+    """Components so far, joined by the new links: a component is an edge from each node to its least one."""
+    return common.connected_components(merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found), "x", "y")
+
+
+def _not_far(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, y, xn, yn, far), those that the wide sketches let through as well."""
+    far, broad = hamming_udf(), nodes.where("wide is not null").select("node", "wide")
+    big = F.least("xn", "yn") > 32 * WORDS64  # both have a wide sketch
+    rows = pairs.where(big).join(broad.select(F.col("node").alias("x"), F.col("wide").alias("xw")), "x").join(broad.select(F.col("node").alias("y"), F.col("wide").alias("yw")), "y")
+    rows = rows.select("x", "y", "xn", "yn", far("xw", "yw").alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    return pairs.where(~big).unionByName(rows)
+
+
+def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y, far) with their sizes, without those that the wide sketches reject."""
+    n = nodes.select("node", "n")
+    pairs = pairs.join(n.select(F.col("node").alias("x"), F.col("n").alias("xn")), "x").join(n.select(F.col("node").alias("y"), F.col("n").alias("yn")), "y")
+    return _not_far(pairs.select("x", "y", "xn", "yn", "far"), nodes, percent).select("x", "y", "xn", "yn")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes, worked out anew from the texts that stand for them."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(node_of(own), own.astype("<u8").tobytes()) for own in shingle_sets(batch.column("text")) if len(own)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
+            found = {node_of(own): own.astype("<u8").tobytes() for own in shingle_sets(batch.column("text")) if len(own)}
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["node", "shingles"])
             workers.trim()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y) with sizes, those whose sets are similar enough; the sets are worked out from the texts."""
-        apart = pairs.join(broad.select(F.col("node").alias("x"), F.col("wide").alias("xw")), "x", "left").join(broad.select(F.col("node").alias("y"), F.col("wide").alias("yw")), "y", "left")
-        apart = apart.select("x", "y", "xn", "yn", far("xw", "yw").alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
-        pairs = common.materialize(apart.drop("far"), "close-pairs")
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        wanted = common.materialize(nodes.join(wanted, "node", "left_semi").select("doc_id", "text_hash"), "sets-wanted")
-        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-        texts = texts.alias("t").join(few.alias("w"), (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-        shingles = common.materialize(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
-        both = pairs.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x").join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
-        counted = both.select("x", "y", (F.col("xn") + F.col("yn")).alias("sum"), shared("xs", "ys").alias("shared"))
-        found = common.materialize(counted.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("x", "y").distinct(), "links")
-        common.release(shingles)
-        del shingles, both, counted, texts
-        common.free_shuffles(spark)
-        return found
-
-    star = members.where("node != leader").select("leader", "node").distinct()
-    star = star.alias("s").join(one.alias("a"), F.col("s.leader") == F.col("a.node")).join(one.alias("b"), F.col("s.node") == F.col("b.node")).where(close)
-    star = common.materialize(star.select(F.col("s.leader").alias("x"), F.col("s.node").alias("y"), F.col("a.n").alias("xn"), F.col("b.n").alias("yn")), "star-pairs")
-    merged = common.materialize(common.connected_components(verified(star), "x", "y"), "star-components")
-    # All pairs with a group's leader are settled. Groups whose other nodes still span components are held against
-    # other members of theirs, until a round brings no link; then they are joined with themselves across components.
-    rest, turn = members.where("node != leader").select("key", "node"), 0
-    sizes = lambda pairs: pairs.join(one.select(F.col("node").alias("x"), F.col("n").alias("xn")), "x").join(one.select(F.col("node").alias("y"), F.col("n").alias("yn")), "y")
-    while True:
-        labelled = rest.select("key", "node").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rest = common.materialize(labelled.join(open_keys, "key", "left_semi"), "open-groups")
-        if rest.isEmpty():
-            return known, merged
-        me = F.struct("node", "component")
-        heads = rest.groupBy("key").agg(F.array(*(F.min_by(me, F.xxhash64("node", F.lit(HEADS * turn + i))) for i in range(HEADS))).alias("heads"))
-        pairs = rest.join(heads, "key").select("node", "component", F.explode("heads").alias("h")).where("component != h.component")
-        pairs = pairs.select(F.least("node", "h.node").alias("x"), F.greatest("node", "h.node").alias("y")).distinct()
-        pairs = pairs.alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(close)
-        pairs = common.materialize(pairs.select("p.x", "p.y", F.col("a.n").alias("xn"), F.col("b.n").alias("yn")), "head-pairs")
-        found = None if pairs.isEmpty() else verified(pairs)
-        if found is None or found.isEmpty():
-            break
-        # The components so far are edges to their least nodes; the new links join them.
-        merged = common.materialize(common.connected_components(merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found), "x", "y"), "components")
-        turn += 1
-        common.free_shuffles(spark)
-    full = rest.join(one, "node")
-    across = full.alias("a").join(full.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & close)
-    across = across.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    across = common.materialize(sizes(across.join(pairs.select("x", "y"), ["x", "y"], "left_anti")), "cross-pairs")
-    if across.isEmpty():
-        return known, merged
-    edges = merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(verified(across))
-    return known, common.connected_components(edges, "x", "y")
+    wanted = common.materialize(nodes.select("doc_id", "text_hash"), "sets-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    texts = texts.alias("t").join(_alike(wanted).alias("w"), (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
+    return common.materialize(texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of pairs whose sets are similar enough."""
+    shared = intersection_udf()
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
+    counted = both.select("x", "y", (F.col("xn") + F.col("yn")).alias("sum"), shared("xs", "ys").alias("shared"))
+    return counted.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("x", "y")
 
 
 def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each document: doc_id, text_hash, n_shingles, component_id."""
-    known, components = links(docs, percent)
-    rows = known.select("doc_id", "text_hash", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = _with_components(docs, percent)
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "component", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_components(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, node, component) of each document; without shingles it has no component."""
+    known, components = links(docs, percent)
+    return known.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, but of each group of near duplicates only the one with the least doc_id. Rows without doc_id stay."""
-    out = common.materialize(joined(docs, percent).where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
-    gone = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, but of each group of near duplicates only one row: that with the least doc_id (null ids last), and
+    among those the least hash of the text. Of rows equal in doc_id and text one stays, whichever comes first. Documents
+    without shingles link with nothing, so they all stay.
+    """
+    rows = common.materialize(_with_components(docs, percent).where("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "near-duplicates")
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
+    first = rows.groupBy("component").agg(F.min(me).alias("first"))
+    marked = rows.join(first, "component").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"), "copies")
+    out = common.materialize(marked.where("not stays or copies > 1").select("doc_id", "text_hash", "stays"), "near-duplicates-out")
+    clash = {c.lower() for c in docs.columns}
+    names = [common.unused(x, clash) for x in ("dup_id", "dup_hash", "dup_stays", "text_hash")]
+    few = _alike(out).toDF(*names[:3])
+    same = F.col(names[3]).eqNullSafe(F.col(names[1])) & F.col("doc_id").cast("long").eqNullSafe(F.col(names[0]))
+    found = docs.withColumn(names[3], F.xxhash64(F.col("text").cast("string"))).join(few, same, "left")
+    kept = found.where(F.col(names[2]).isNull()).select(*docs.columns)
+    if out.where("stays").isEmpty():
+        return kept
+    return kept.unionByName(found.where(F.col(names[2])).dropDuplicates(["doc_id", names[3]]).select(*docs.columns))
 
 
 def op8(spark, sf_dir):
     return joined(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-assert Fraction(100 - PERCENT, PERCENT) <= Fraction(1, 4)
-
 ORACLE = """
 with recursive words as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda v: v <> '') as w

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,8 +74,9 @@ def test_jaccard_join(spark, monkeypatch):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     label = components(len(texts), pairs)
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(3)
-    for often in (2, 10):  # the order of parts moves work only
-        monkeypatch.setattr(J, "COMMON_FROM", often)
+    for light, block in ((32, 1024), (2, 4)):  # where a group is heavy, and how it is cut, moves work only
+        monkeypatch.setattr(J, "LIGHT", light)
+        monkeypatch.setattr(J, "BLOCK", block)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.joined(docs).collect()}
         assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
     kept = J.one_of_each(docs)
@@ -91,6 +93,57 @@ def test_jaccard_join_of_rows_without_ids(spark, monkeypatch, sent):
     assert got == {(5, 5): 2, (None, 5): 1, (9, 5): 1, (None, None): 1}
 
 
+def test_jaccard_join_of_a_large_cluster(spark, monkeypatch):
+    """Copies at all distances from one text, more than a light group holds, some of which link with nothing."""
+    monkeypatch.setattr(J, "BLOCK", 32)
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(140)], []
+    for k in range(150):
+        w = list(base)
+        for at in rng.integers(0, len(w), k // 20):
+            w[int(at)] = f"x{int(rng.integers(0, 10**6))}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    label = components(len(texts), pairs)
+    assert 40 < label.count(0) < 130
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in J.joined(docs).collect()} == dict(enumerate(label))
+
+
+def test_heavy_groups_across_batches():
+    keys = np.array([1] * 3 + [2] * 100 + [3] * 2 + [4] * 34 + [5] * 2 + [6] * 33)
+    nodes = np.concatenate([[7, 7, 8], np.arange(100), [5, 9], [*range(33), 32], [1, 2], np.arange(33) // 2])
+    frame = {}
+
+    class Rows:
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            frame["run"] = run
+
+    J.groups_of(Rows())
+    for size in (1, 2, 7, 40, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(nodes[i : i + size])], ["key", "node"]) for i in range(0, len(keys), size)]
+        out = pa.Table.from_batches(list(frame["run"](iter(batches)))).to_pylist()
+        assert {(r["x"], r["y"]) for r in out if r["key"] is None} == {(7, 8), (5, 9), (1, 2), *((i, j) for j in range(17) for i in range(j))}
+        assert {(r["key"], r["x"]) for r in out if r["key"] is not None} == {(k, i) for k, n in ((2, 100), (4, 33)) for i in range(n)}
+
+
+def test_one_of_each_keeps_one_row_of_a_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a, 0), (5, a, 0), (5, b, 0), (7, b + " y", 0), (8, None, 0), (8, "", 0), (2, "c c c", 1), (2, "c c c", 2), (None, "d d", 0), (None, "d d", 0), (None, "e e", 0), (1, "e E", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stays int").repartition(3)
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (5, b), (8, None), (8, ""), (2, "c c c"), (None, "d d"), (1, "e E")], key=str)
+    assert J.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(0)
     for n, m in ((40, 38), (900, 850), (3000, 5000), (1200, 2500)):
