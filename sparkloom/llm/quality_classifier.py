@@ -63,38 +63,52 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return joined.select("host", "path", "n", "total", "host_rate", F.lit(strength).alias("strength"), F.lit(mean).alias("global_rate"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", prefix: str = "") -> DataFrame:
-    """Add evidence (log odds of the text), site (log odds of the path against the global rate), p_good and kept."""
+def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", prefix: str = "", carry_text: bool = True) -> DataFrame:
+    """Add evidence (log odds of the text), site (log odds of the path against the global rate), p_good and kept.
+
+    Texts that are carried along are scored twice, where they lie, rather than shuffled or stored with their scores;
+    without them (carry_text=False) they are scored once, and the other columns are stored beside the scores.
+    """
     model = textmodel.train(docs, labels)
     odds = textmodel.log_odds_udf(model)
-    site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")]
+    new = [prefix + x for x in ("evidence", "site", "p_good", "kept")]
+    names = [c for c in docs.columns if c not in new and (carry_text or c != text)]
+    taken = {c.lower() for c in (*docs.columns, *new)}
+    mine = {x: common.unused(x, taken) for x in ("host", "path", "n", "total", "host_rate", "strength", "global_rate", "evidence_of", "salt")}
+    site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(mine[x]) for x, c in (("host", host), ("path", path))]
     sigmoid = lambda x: 1 / (1 + F.exp(-x))
-    first = docs.select(*site, odds(F.col(text).cast("string")).alias("e")).select("host", "path", sigmoid(F.col("e")).alias("p"))
-    posteriors = common.materialize(site_posteriors(first), "site-posteriors")
-    # Texts are scored a second time, where they lie, rather than shuffled or stored.
-    rows = docs.withColumns({"__host": site[0], "__path": site[1], "__evidence": odds(F.col(text).cast("string"))})
-    posteriors = posteriors.select(*(F.col(c).alias(f"__{c}") for c in posteriors.columns))
+    e = F.col(mine["evidence_of"])
+    rows = docs.select(*names, *site, odds(F.col(text).cast("string")).alias(mine["evidence_of"]))
+    if not carry_text:
+        rows = common.materialize(rows, "evidence")
+    posteriors = common.materialize(site_posteriors(rows.select(F.col(mine["host"]).alias("host"), F.col(mine["path"]).alias("path"), sigmoid(e).alias("p"))), "site-posteriors")
+    posteriors = posteriors.select(*(F.col(c).alias(mine[c]) for c in posteriors.columns))
+    by = [mine["host"], mine["path"]]
     if posteriors.count() <= BROADCAST_PATHS:
-        rows = rows.join(F.broadcast(posteriors), ["__host", "__path"], "left")
+        rows = rows.join(F.broadcast(posteriors), by, "left")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        rows = rows.join(posteriors.withColumn("__salt", salts), ["__host", "__path", "__salt"], "left").drop("__salt")
-    own = sigmoid(F.col("__evidence"))
-    rate = (F.greatest(F.col("__total") - own, F.lit(0.0)) + F.col("__strength") * F.col("__host_rate")) / (F.col("__n") - 1 + F.col("__strength"))
+        rows = rows.withColumn(mine["salt"], F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        rows = rows.join(posteriors.withColumn(mine["salt"], salts), [*by, mine["salt"]], "left")
+    own = sigmoid(e)
+    of = {k: F.col(v) for k, v in mine.items()}
+    rate = (F.greatest(of["total"] - own, F.lit(0.0)) + of["strength"] * of["host_rate"]) / (of["n"] - 1 + of["strength"])
     rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), rate))
-    lift = _logit(rate) - _logit(F.col("__global_rate"))
-    p = sigmoid(F.col("__evidence") + lift)
-    names = [c for c in docs.columns if c not in {prefix + x for x in ("evidence", "site", "p_good", "kept")}]
-    return rows.select(*names, F.col("__evidence").alias(prefix + "evidence"), lift.alias(prefix + "site"), p.alias(prefix + "p_good"), (p >= MIN_PROBABILITY).alias(prefix + "kept"))
+    lift = _logit(rate) - _logit(of["global_rate"])
+    p = sigmoid(e + lift)
+    return rows.select(*names, e.alias(new[0]), lift.alias(new[1]), p.alias(new[2]), (p >= MIN_PROBABILITY).alias(new[3]))
 
 
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    return classified(docs, labels, prefix="__").where("__kept").select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    prefix = "new_"
+    while any((prefix + c).lower() in taken for c in ("evidence", "site", "p_good", "kept")):
+        prefix = "_" + prefix
+    return classified(docs, labels, prefix=prefix).where(F.col(prefix + "kept")).select(*docs.columns)
 
 
 def op5(spark, sf_dir):
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
-    out = classified(docs.select("doc_id", "source", "lang", "text"), labels)
+    out = classified(docs.select("doc_id", "source", "lang", "text"), labels, carry_text=False)
     return out.select("doc_id", "source", "lang", F.round("evidence", 6).alias("evidence"), F.round("site", 6).alias("site_log_odds"), F.round("p_good", 6).alias("p_good"), "kept")

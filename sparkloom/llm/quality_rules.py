@@ -6,8 +6,9 @@ hashed word and character n-gram logistic regression (see textmodel), calibrated
 against a fixed threshold, in Arrow batches.
 
 Null and empty texts count as texts without words and fail the base rules. Repeated rows, ties and extra columns
-need no care: each row is judged on its own, and columns other than the text are carried along. Windows are
-compared by 64-bit hashes of their words, lines by their text.
+need no care: each row is judged on its own, and columns other than the text are carried along, but for those named as
+a new one is, which it replaces; passing() replaces none. Empty tables give empty results. Windows are compared by
+64-bit hashes of their words, lines by their text.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ def judge_udf(model: textmodel.TextModel):
 
     @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ",log_odds:double>")
     def judge(text: pa.Array) -> pa.Array:
+        workers.forget()
         m = textmodel._thawed(frozen)
         parts = []
         for part in textmodel.slices(text):
@@ -93,7 +95,7 @@ def judge_udf(model: textmodel.TextModel):
 
 def judged(docs: DataFrame, model: textmodel.TextModel, text: str = "text", min_probability: float = MIN_PROBABILITY, prefix: str = "") -> DataFrame:
     """Add the counts, base_failed, p_good and kept to every row, each name after `prefix`."""
-    held = "__judged"
+    held = common.unused("judged", {c.lower() for c in docs.columns})
     out = docs.withColumn(held, judge_udf(model)(F.col(text).cast("string")))
     f = F.col(held)
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
@@ -104,7 +106,11 @@ def judged(docs: DataFrame, model: textmodel.TextModel, text: str = "text", min_
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
     names = docs.columns
-    return judged(docs, textmodel.train(docs, labels), prefix="__").where("__kept").select(*names)
+    taken = {c.lower() for c in names}
+    prefix = "new_"
+    while any((prefix + c).lower() in taken for c in (*COUNTS, "base_failed", "p_good", "kept")):
+        prefix = "_" + prefix
+    return judged(docs, textmodel.train(docs, labels), prefix=prefix).where(F.col(prefix + "kept")).select(*names)
 
 
 def op2(spark, sf_dir):

@@ -1,11 +1,13 @@
 """Operators on single texts, against brute force."""
 
 import collections
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,10 +71,47 @@ def test_extraction_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "<article><p>hi</p></article>", "keep"), (1, None, "x"), (None, "<article><p>hi</p></article>", None)], "page_id long, html string, words string")
     got = H.extract_main_text(pages).collect()
     assert [r["text"] for r in got] == ["hi", "", "hi"] and got[0]["words"] == "keep"
+    again = H.extract_main_text(pages.withColumn("text", F.lit("old")))
+    assert again.columns.count("text") == 1 and {r["text"] for r in again.collect()} == {"hi", ""}
+    assert H.extract_main_text(pages.limit(0)).count() == 0
 
 
 def test_tree_learns_its_table():
-    assert all(H.classify(H.default_tree(), r[:-1]) == r[-1] for r in H.LABELLED)
+    rows = H.labelled_rows()
+    assert all(H.classify(H.default_tree(), r[:-1]) == r[-1] for r in rows) and 0 < sum(r[-1] for r in rows) < len(rows)
+
+
+def test_wrappers_with_boilerplate_words():
+    para = "many words of running text that say something of interest to a reader here " * 4
+    for mark in ("layout sidebar-right", "single comments-open", "legal-article", "site search-open"):
+        for inner in ("article", "div"):
+            page = f'<body><nav><a href=x>A</a></nav><div class="{mark}"><{inner}><h1>Head</h1><p>{para}</p><p>And <math><mi>x</mi></math> too.</p></{inner}></div><footer>Some firm</footer></body>'
+            assert H.main_text(page) == f"Head\n\n{para.strip()}\n\nAnd x too.", (mark, inner)
+    comments = "".join(f"<article><p>I liked it {i} times, thank you</p></article>" for i in range(9))
+    assert H.main_text(f"<main><article><h1>Head</h1><p>{para}</p></article><section id=comments>{comments}</section></main>") == f"Head\n\n{para.strip()}"
+
+
+def given_pages():
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    for page in pq.read_table(path)["html"].to_pylist():
+        yield page, [b.text for b in H.blocks(re.search(r"<article>(.*?)</article>", page, re.S)[1])]
+
+
+def test_marked_articles_of_the_given_pages():
+    assert all(H.main_text(page) == "\n\n".join(article) for page, article in given_pages())
+
+
+def test_given_pages_without_any_marks():
+    """Neither container tags nor classes: blocks are told apart by their words, links, kind and neighbours."""
+    right = wrong = 0
+    for page, article in given_pages():
+        plain = re.sub(r"<(/?)(nav|article|footer)\b[^>]*>", r"<\1div>", page).replace(' class="ad"', "")
+        got, expected = (collections.Counter(x) for x in (H.main_text(plain).split("\n\n"), article))
+        right += sum((got & expected).values())
+        wrong += sum((got - expected).values()) + sum((expected - got).values())
+    assert 2 * right / (2 * right + wrong) >= 0.97
 
 
 # --- quality rules ------------------------------------------------------------------------------------------------
@@ -116,6 +155,61 @@ def test_rules_on_held_out_rows(spark):
     assert all(r["base_failed"] and not r["kept"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_verdicts_against_sparse_vectors(spark):
+    """The rules' verdict and the classifier's evidence, by products of sparse vectors with the weights, text by text."""
+    docs, labels = labelled(spark)
+    model = M.train(docs, labels)
+    rows = docs.collect()
+    odds = {}
+    for r in rows:
+        (index, share), = M.vectors(pa.array([r["text"]], pa.string()))
+        odds[r["doc_id"], r["text"]] = model.slope * (float(model.weights[index].astype(float) @ share.astype(float)) + model.bias) + model.offset
+    for r in Q.judged(docs, model).collect():
+        n, _, _, _, repeated = brute(r["text"])
+        p = 1 / (1 + np.exp(-odds[r["doc_id"], r["text"]]))
+        failed = n < 50 or 100 * repeated > 50 * n
+        assert abs(r["p_good"] - p) < 1e-5 and r["base_failed"] == failed and (r["kept"] == (not failed and p >= 0.5) or abs(p - 0.5) < 1e-5)
+    # Host and path posteriors by plain sums.
+    p = {k: 1 / (1 + np.exp(-x)) for k, x in odds.items()}
+    sites = collections.defaultdict(list)
+    for r in rows:
+        sites[r["source"] or "", r["lang"] or ""].append(p[r["doc_id"], r["text"]])
+    hosts = collections.defaultdict(list)
+    for (h, _), x in sites.items():
+        hosts[h] += x
+    everything = [x for v in sites.values() for x in v]
+    n, mean = len(everything), sum(everything) / len(everything)
+    limit = lambda spread: min(max(mean * (1 - mean) / max(spread, 1e-12) - 1, 4.0), 1e6)
+    within = max(0.0, sum(x * x for x in everything) - n * mean * mean) / n
+    between = sum(sum(v) ** 2 / len(v) for v in hosts.values()) - n * mean * mean
+    strong = limit((between - (len(hosts) - 1) * within) / max(n - sum(len(v) ** 2 for v in hosts.values()) / n, 1e-9))
+    rates = {h: (sum(v) + strong * mean) / (len(v) + strong) for h, v in hosts.items()}
+    squares = sum(sum(v) ** 2 / len(v) for v in sites.values())
+    inner = max(0.0, sum(x * x for x in everything) - squares) / n
+    spread = (squares - sum(sum(v) * sum(hosts[h]) / len(hosts[h]) for (h, _), v in sites.items()) - (len(sites) - len(hosts)) * inner) / max(n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in sites.items()), 1e-9)
+    strength = limit(spread)
+    logit = lambda x: np.log(x / (1 - x))
+    for carry_text in (True, False):
+        for r in QC.classified(docs.withColumn("key", F.struct("doc_id", "text")), labels, carry_text=carry_text).collect():
+            own, key = p[tuple(r["key"])], (r["source"] or "", r["lang"] or "")
+            rate = (sum(sites[key]) - own + strength * rates[key[0]]) / (len(sites[key]) - 1 + strength)
+            good = 1 / (1 + np.exp(-(logit(own) + logit(rate) - logit(mean))))
+            assert abs(r["evidence"] - odds[tuple(r["key"])]) < 1e-4 and abs(r["p_good"] - good) < 1e-4 and ("text" in r.asDict()) == carry_text
+
+
+def test_columns_with_clashing_names(spark):
+    docs, labels = labelled(spark)
+    names = ["kept", "__kept", "new_kept", "judged", "__judged", "n_words", "host", "path", "n", "total", "__n", "__total", "evidence_of", "salt"]
+    wide = docs.withColumns({c: F.lit(c) for c in names})
+    for passing in (Q.passing, QC.passing):
+        got = passing(wide, labels)
+        assert got.columns == wide.columns
+        assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, passing(docs, labels).collect()))
+        assert all(r[c] == c for r in got.collect() for c in names)
+    new = Q.judged(wide, M.train(docs, labels)).collect()
+    assert all(isinstance(r["kept"], bool) and r["judged"] == "judged" for r in new)
+
+
 def test_rules_without_labels(spark):
     docs, labels = labelled(spark)
     assert Q.judged(docs, M.train(docs, labels.limit(0))).count() == 243
