@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 _made: dict[str, SparkSession] = {}
+_scopes = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +40,31 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
     if not _made:
-        atexit.register(release_scratch)
+        atexit.register(lambda: release_scratch(*_made))
     _made[path] = spark
+    if open_scopes := getattr(_scopes, "open", None):
+        open_scopes[-1].append(path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[Callable[..., None]]:
+    """Delete at the end the scratch tables made meanwhile in this thread, but for those handed to the function given."""
+    open_scopes = _scopes.open = getattr(_scopes, "open", [])
+    open_scopes.append([])
+    kept: set[str] = set()
+    try:
+        yield lambda *tables: kept.update(t._scratch_path for t in tables)
+    finally:
+        made = open_scopes.pop()
+        release_scratch(*(p for p in made if p not in kept and p in _made))
+        if open_scopes:
+            open_scopes[-1].extend(p for p in made if p in kept)
+
+
 def release_scratch(*paths: str) -> None:
-    """Delete scratch tables: those named, or all that this process has written."""
-    for path in paths or list(_made):
+    """Delete the scratch tables named."""
+    for path in paths:
         spark = _made.pop(path, None)
         try:
             jvm = spark.sparkContext._jvm

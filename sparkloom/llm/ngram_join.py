@@ -157,6 +157,7 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.forget()
         seen: set[int] = set()
         for batch in batches:
             n, node, sketch, broad, spare, keys = [], [], [], [], ([], []), []
@@ -274,21 +275,6 @@ def _close(percent: int) -> tuple[Column, Column]:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (far * (100 + percent) <= (a + b) * (100 - percent)), far
 
 
-def intersection_udf():
-    @F.arrow_udf("bigint")
-    def shared(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            out.append(int((q[at] == p).sum()))
-        return pa.array(out, pa.int64())
-
-    return shared
-
-
 def hamming_udf():
     @F.arrow_udf("bigint")
     def distance(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -359,8 +345,15 @@ def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     return cells.mapInArrow(run, "x long, y long, far long").distinct()
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
-    """(documents with n and node, components of the linked nodes as (node, component), or None without any)."""
+def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Tables: documents with n and node, and components of the linked nodes as (node, component)."""
+    with common.scope() as keep:
+        known, merged = _links(docs, percent)
+        keep(known, merged)
+    return known, merged
+
+
+def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     keyed = common.materialize(sketched(docs, percent), "sketches")
     known = common.materialize(keyed.select("doc_id", "text_hash", "n", "node"), "documents")
@@ -442,21 +435,21 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {node_of(own): own.astype("<u8").tobytes() for own in shingle_sets(batch.column("text")) if len(own)}
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["node", "shingles"])
+            for at in range(0, batch.num_rows, 1000):
+                found = {node_of(own): own.view(np.int64) for own in shingle_sets(batch.column("text").slice(at, 1000)) if len(own)}
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], ["node", "shingles"])
             workers.trim()
 
     wanted = common.materialize(nodes.select("doc_id", "text_hash"), "sets-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     texts = texts.alias("t").join(_alike(wanted).alias("w"), (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-    return common.materialize(texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    return common.materialize(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y) of pairs whose sets are similar enough."""
-    shared = intersection_udf()
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
-    counted = both.select("x", "y", (F.col("xn") + F.col("yn")).alias("sum"), shared("xs", "ys").alias("shared"))
+    counted = both.select("x", "y", (F.col("xn") + F.col("yn")).alias("sum"), F.size(F.array_intersect("xs", "ys")).alias("shared"))
     return counted.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("x", "y")
 
 

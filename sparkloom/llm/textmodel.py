@@ -21,7 +21,7 @@ from sparkloom.llm import common, workers
 #: log2 of the hashed features of each family.
 FAMILY_BITS = (12, 12, 12)
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 #: Labelled rows of each class that training uses at most, and the share of them held out for calibration.
 SAMPLE_PER_CLASS = 1500
 HELD_OUT = 4
@@ -183,11 +183,12 @@ def sigmoid(x):
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent; y is 0 or 1."""
     n, d = x.shape
+    norms = np.einsum("ij,ij->i", x, x)
     w, b = np.zeros(d, np.float32), 0.0
     v, c, t = w.copy(), b, 1.0
     weight = weight / weight.sum()
     # The curvature is at most a quarter of the largest weighted row norm, summed.
-    rate = 1.0 / (0.25 * float((weight * ((x * x).sum(1) + 1)).max() * n) + penalty)
+    rate = 1.0 / (0.25 * float((weight * (norms + 1)).max() * n) + penalty)
     for _ in range(steps):
         g = (weight * (sigmoid(x @ v + c) - y)).astype(np.float32)
         w2, b2 = v - rate * (x.T @ g + penalty * v), c - rate * float(g.sum())
@@ -258,15 +259,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     y = np.array([r[1] for r in rows], np.float64)
     if len(rows) < 2 * HELD_OUT or y.min() == y.max():
         return TextModel(np.zeros(DIMENSIONS, np.float32), 0.0, 1.0, prior)
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for k, (_, _, i, v) in enumerate(rows):
-        x[k, i] = v * scale
     held = np.array([k % HELD_OUT == 0 for k in range(len(rows))])
+    x = np.zeros((int((~held).sum()), DIMENSIONS), np.float32)  # only the rows to train on are made dense
+    for k, row in enumerate(np.flatnonzero(~held).tolist()):
+        x[k, rows[row][2]] = rows[row][3] * scale
     balance = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    w, b = fit_logistic(x[~held], y[~held], balance[~held], penalty)
+    w, b = fit_logistic(x, y[~held], balance[~held], penalty)
+    del x
+    scores = np.array([w[rows[k][2]] @ rows[k][3] * scale + b for k in np.flatnonzero(held).tolist()])
     share = np.where(y == 1, sizes.get(1, 0) / max((y == 1).sum(), 1), sizes.get(0, 0) / max((y == 0).sum(), 1))
     share = share * held.sum() / max(float(share[held].sum()), 1e-9)
-    slope, offset = calibrate(x[held] @ w + b, y[held], share[held])
+    slope, offset = calibrate(scores, y[held], share[held])
     return TextModel((w * scale).astype(np.float32), float(b), slope, offset)
 
 
@@ -276,6 +279,7 @@ def log_odds_udf(model: TextModel):
 
     @F.arrow_udf("double")
     def log_odds(text: pa.Array) -> pa.Array:
+        workers.forget()
         model = _thawed(frozen)
         out = np.concatenate([np.zeros(0), *(model.log_odds(Batch(part)) for part in slices(text))])
         workers.trim()

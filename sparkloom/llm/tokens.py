@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from sparkloom.llm import workers
 
 #: Words and characters that a worker remembers at most; beyond that it starts anew, so its memory stays bounded.
-CACHE_WORDS = 500_000
-CACHE_CHARS = 32_000_000
-#: Characters of distinct words that are encoded in one call of the library.
-CALL_CHARS = 400_000
+CACHE_WORDS = 250_000
+CACHE_CHARS = 8_000_000
+#: Characters of distinct words that are encoded in one call of the library; its results are some 100 bytes a character.
+CALL_CHARS = 100_000
 #: White space beside a space or line break, either at an end, or any other white space.
 _ODD = "[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -150,7 +150,10 @@ def encoder(path: str, added_tokens: bool = False) -> WordEncoder:
     return WordEncoder(path, added_tokens=added_tokens)
 
 
-def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 6_000_000, added_tokens: bool = False):
+workers.on_other_work(encoder.cache_clear)
+
+
+def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 3_000_000, added_tokens: bool = False):
     """Yields each text's ids with the end id, as int32 arrays."""
     if not isinstance(texts, pa.Array):
         texts = pa.array(texts, pa.string())
