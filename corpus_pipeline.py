@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with all their columns; the last one
 gives the pieces of the packed sequences. A stage's rows are written in the shared folder and read back as the next
-stage's documents.
+stage's documents, and deleted after the stage after it is written.
+
+Null and empty texts have no words, so the quality rules drop them; rows without doc_id and rows that share one are
+documents of their own, and of rows equal in id and text one stays. An empty table gives no pieces. Further columns
+are carried along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(*before)
+        before = [docs]
     return docs
