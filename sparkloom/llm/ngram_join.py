@@ -325,13 +325,18 @@ def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
             sketch = np.ascontiguousarray(group["sketch"].combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(len(node), -1)
             out = group["out"].to_numpy()
             p, q = np.flatnonzero(out), np.flatnonzero(~out)
-            far = np.zeros((len(p), len(q)), np.uint16)
-            for k in range(sketch.shape[1]):
-                far += np.bitwise_count(sketch[p, k][:, None] ^ sketch[q, k][None, :])
-            a, b = n[p][:, None], n[q][None, :]
-            ok = (far * np.int64(100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (component[p][:, None] != component[q][None, :])
-            i, j = np.nonzero(ok)
-            d = far[i, j].astype(np.int64)
+            found = []
+            for at in range(0, len(p), 128):
+                some = p[at : at + 128]
+                far = np.zeros((len(some), len(q)), np.uint16)
+                for k in range(sketch.shape[1]):
+                    far += np.bitwise_count(sketch[some, k][:, None] ^ sketch[q, k][None, :])
+                a, b = n[some][:, None], n[q][None, :]
+                ok = far <= (a + b) * (100 - percent) // (100 + percent)
+                ok &= (100 * a >= percent * b) & (100 * b >= percent * a) & (component[some][:, None] != component[q][None, :])
+                i, j = np.nonzero(ok)
+                found.append((i + at, j, far[i, j].astype(np.int64)))
+            i, j, d = (np.concatenate([x[c] for x in found]) if found else np.zeros(0, np.int64) for c in range(3))
             if not all_pairs:
                 order = np.lexsort((d, component[q[j]], i))
                 i, j, d = i[order], j[order], d[order]
