@@ -178,10 +178,11 @@ def _edge_table(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     return written, (got["n"], got["h"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", merge_first: bool = True) -> DataFrame:
     """(node, component), a table: the smallest node reachable over undirected edges, for every node that has an edge.
 
-    Each task first merges what edges it has, a bounded number at a time, into edges to least nodes. Then two distributed
+    Each task first merges what edges it has, a bounded number at a time, into edges to least nodes (merge_first=False:
+    not, so that the plan has DataFrame operations only). Then two distributed
     steps alternate until nothing changes: each node's larger neighbours, then each node's smaller ones, are re-attached
     to the smallest node seen. Labels travel by joins and map-side combined minimums only, so a star of any width is
     summed before it is shuffled; adaptive execution splits the join of a star's edges. Each round's edges are a table
@@ -190,7 +191,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo"))
-    edges, before = _edge_table(edges.mapInArrow(_merge_edges, "hi long, lo long").distinct(), "cc-edges")
+    edges = edges.mapInArrow(_merge_edges, "hi long, lo long") if merge_first else edges
+    edges, before = _edge_table(edges.distinct(), "cc-edges")
     while before[0]:
         # Large star: every neighbour above a node goes to the least of the node and its neighbours.
         both = edges.unionAll(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")

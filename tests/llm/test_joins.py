@@ -2,6 +2,7 @@
 
 import collections
 import re
+import urllib.parse
 
 import duckdb
 import numpy as np
@@ -162,15 +163,24 @@ def test_urls(spark):
         (7, "https://blog.net/alias", '<link rel="canonical" href="https://www.example.com/de/9">'), (8, "https://blog.net/alias/", None), (9, "http://notexample.org/es/", None), (10, "http://org?x", None),
         (11, "https://both.net/", '<link href="https://example.com/de/1" rel=canonical>'), (12, "https://both.net", '<link rel=canonical href="//example.com/fr/2">'), (13, "http://b.example.org/en/1x", None),
         (14, "http://z.net/r", "<link rel=canonical href='/q'>"), (14, "http://z.net/r", None), (None, "http://z.net/q", None),
+        # the query tells urls apart, but for utm_ parameters
+        (20, "http://a.net/view?id=1", "<link rel=canonical href='http://example.com/de/2'>"), (21, "http://a.net/view?id=2", None), (22, "https://www.a.net:443/view/?utm_a=1&id=1&utm_b=2#x", None), (23, "https://a.net:80/view?id=1", None),
+        # links in comments and scripts don't count; refreshes do; links are decoded and resolved
+        (24, "http://b.net/1", "<!-- <link rel=canonical href='http://example.com/de/3'> --><script>'<link rel=canonical href=http://example.com/de/3>'</script>"),
+        (25, "http://c.net/old/1", '<META content="0; URL=page?a=1&amp;b=2" http-equiv="refresh">'), (26, "http://c.net/old/page?a=1&b=2", "<link rel=canonical href='http://example.com/de/4'>"),
+        (27, "http://d.net/a?x", "<link rel=canonical href='?y'>"), (28, "http://d.net/a?y", "<link rel=canonical href=//w.example.com/de/>"), (29, "http://e.net/a", "<link rel=canonical href='mailto:x@example.com/de/'>"),
     ]
     rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("verdict", F.lit("clash"))
-    got = U.judged(rows).collect()
+    got = U.judged(rows, conventions=True).collect()
     assert len(got) == len(pages)
     by = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got}
     assert by[1] == ("a.example.org", "/es/1", "example.org/es/", "block") and by[9] == ("notexample.org", "/es/", "org/", "allow")
     assert by[2] == ("x.net", "/p.html", None, "allow") and by[3] == ("", "", None, "allow") == by[4]
     assert by[5] == ("m.example.com", "/de/7/", "com/de/", "block") and by[6][2:] == ("com/fr/", "allow") and by[10] == ("org", "", None, "allow")
     assert by[7][3] == by[8][3] == "block" and by[11][3] == by[12][3] == "allow" and by[13][2] == "example.org/en/1"
+    assert [by[k][3] for k in range(20, 30)] == ["block", "allow", "block", "allow", "allow", "block", "block", "block", "block", "allow"]
+    strict = {r["page_id"]: r["verdict"] for r in U.judged(rows).collect()}
+    assert strict[7] == "block" and strict[8] == "allow" and strict[11] == "block" and strict[22] == "allow"
     again = U.judged(rows, spark.createDataFrame([("http://z.net/q", "http://h.example.com/de/")], "from_url string, to_url string")).where("host = 'z.net'").collect()
     assert [r["verdict"] for r in again] == ["block"] * 3
     db = duckdb.connect()
@@ -178,7 +188,19 @@ def test_urls(spark):
     db.executemany("insert into pages values (?, ?, ?)", pages)
     expected = sorted(map(str, db.execute(U.ORACLE).fetchall()))
     assert sorted(str(tuple(r)[:5]) for r in got) == expected
-    assert U.judged(rows.limit(0)).count() == 0
+    assert U.judged(rows.limit(0), conventions=True).count() == 0
+
+
+def test_resolved_links(spark):
+    urls = ["http://h.net/p/q/r?x#y", "https://h.net", "http://h.net/"]
+    links = ["page.html", "../x", "../../../x", "./a/./b", "?id=1", "/a/../b", "//k.net/z", "ftp://k.net/z", "https://k.net/?a", "..", ".", "a/b/..", "/", "g?x=../y"]
+    rows = spark.createDataFrame([(u, x) for u in urls for x in links], "u string, x string")
+    for r in rows.select("u", "x", U.resolved(F.col("x"), F.col("u")).alias("got")).collect():
+        expected = urllib.parse.urljoin(r["u"], r["x"])
+        tail = urllib.parse.urlsplit(expected)
+        assert r["got"] == (expected if tail.path else expected.replace(tail.netloc, tail.netloc + "/", 1)) or r["got"] == expected, r
+    for raw, decoded in (("a&amp;b", "a&b"), ("&#47;x&#x2F;y&#x2f;", "/x/y/"), ("&amp;lt;", "&lt;"), ("plain", "plain"), ("&quot;&apos;", "\"'")):
+        assert spark.range(1).select(U.decoded(F.lit(raw)).alias("x")).first()["x"] == decoded
 
 
 def test_near_vectors(spark):
