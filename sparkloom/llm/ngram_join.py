@@ -51,8 +51,9 @@ FINE_PARTS = 1 << 20
 #: One more piece is joined for so many that must be, so that heavy groups can be left out.
 SPARE_ONE_IN = 8
 WORDS64 = 16  # of the folded sketch
-#: Members of a heavy group that are compared at once.
-BLOCK = 1024
+#: Members of a heavy group that a task compares with as many others, a strip of them at a time.
+BLOCK = 4096
+STRIP = 128
 #: Ids sent to every task at most (8 or 16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Nodes whose pieces a task remembers having given, so that copies don't give them again.
@@ -305,14 +306,15 @@ def leftovers(heavy: DataFrame, nodes: DataFrame) -> DataFrame:
 def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """(x, y, far): pairs of a group's nodes in different components whose sketches let them link.
 
-    rows: (key, node, component, n, sketch). The commonest component of a group is its core; each node outside is held
-    against all nodes of the group, in blocks. Of each such node and another component, the closest pair of a block is
-    given, or all.
+    rows: (key, node, component, open, n, sketch). The commonest component of a group is its core; each node outside,
+    if it is open, is held against the core and the other such nodes of the group, in blocks. Of each such node and
+    another component, the closest pair of a block is given, or all.
     """
-    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("core"))
-    parts = common.materialize(parts.where("size > core.c").select("key", "size", (F.col("size") - F.col("core.c")).alias("outside"), F.col("core.component").alias("core")), "open-groups")
-    full = rows.join(_alike(parts), "key")
+    parts = rows.groupBy("key", "component").agg(F.count_if("open").alias("o"), F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.sum("o").alias("open"), F.max(F.struct("c", "component", "o")).alias("core"))
+    outside = F.col("open") - F.col("core.o")
+    parts = common.materialize(parts.where(outside > 0).select("key", (outside + F.col("core.c")).alias("size"), outside.alias("outside"), F.col("core.component").alias("core")), "open-groups")
+    full = rows.join(_alike(parts), "key").where("open or component = core")
     m, o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "outside"))
     place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
     own = ["key", "node", "component", "n", "sketch"]
@@ -326,8 +328,8 @@ def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
             out = group["out"].to_numpy()
             p, q = np.flatnonzero(out), np.flatnonzero(~out)
             found = []
-            for at in range(0, len(p), 128):
-                some = p[at : at + 128]
+            for at in range(0, len(p), STRIP):
+                some = p[at : at + STRIP]
                 far = np.zeros((len(some), len(q)), np.uint16)
                 for k in range(sketch.shape[1]):
                     far += np.bitwise_count(sketch[some, k][:, None] ^ sketch[q, k][None, :])
@@ -371,7 +373,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     common.release(keyed)
     common.free_shuffles(spark)
     one = nodes.select("node", "n", "sketch")
-    pairs = groups.where("key is null").select("x", "y")
+    pairs = groups.where("key is null").select("x", "y", F.lit(False).alias("star"))
     left = None
     if not heavy.isEmpty():
         left = leftovers(heavy, nodes)
@@ -379,11 +381,12 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         weight = left.groupBy("node").agg(F.sum("size").alias("weight"))
         led = left.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m")).select("key", F.col("m.node").alias("leader"))
         star = left.join(_alike(common.materialize(led, "leaders")), "key").where("node != leader")
-        pairs = pairs.unionByName(star.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")))
+        pairs = pairs.unionByName(star.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"), F.lit(True).alias("star")))
     common.release(heavy)
     near, distance = _close(percent)
-    pairs = pairs.distinct().alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(near)
-    pairs = common.materialize(pairs.select("p.x", "p.y", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs")
+    pairs = pairs.groupBy("x", "y").agg(F.max("star").alias("star"))
+    pairs = pairs.alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(near)
+    pairs = common.materialize(pairs.select("p.x", "p.y", "p.star", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs")
     common.release(groups)
     common.free_shuffles(spark)
     pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates")
@@ -391,29 +394,41 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     if left is not None:
         wanted = wanted.unionByName(left.select("node"))
     sets = _sets(docs, nodes.join(wanted.distinct(), "node", "left_semi"))
-    # First the closest pair of each node.
+    # First the pairs with leaders, and the closest pair of each node.
     apart = F.col("far") / (F.col("xn") + F.col("yn"))
     ends = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct(apart.alias("apart"), "x", "y", "xn", "yn").alias("p"))
-    first = common.materialize(ends.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y", "p.xn", "p.yn").distinct(), "closest-pairs")
-    merged = common.connected_components(_verified(first, sets, percent), "x", "y")
-    labelled = lambda rows, node, name: rows.join(merged.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    rest = labelled(labelled(pairs.join(first.select("x", "y"), ["x", "y"], "left_anti"), "x", "xc"), "y", "yc").where("xc != yc").select("x", "y", "xn", "yn")
-    inside = None
-    if left is not None:
-        tested = first.select("x", "y")
-        inside = lambda all_pairs: _sized(across(common.materialize(labelled(left.select("key", "node"), "node", "component").join(one, "node"), "group-rows"), percent, all_pairs).join(tested, ["x", "y"], "left_anti"), nodes, percent)
-        rest = rest.unionByName(inside(False)).distinct()
+    first = ends.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y", "p.xn", "p.yn").unionByName(pairs.where("star").select("x", "y", "xn", "yn"))
+    tested = common.materialize(first.distinct(), "first-pairs")
+    merged = common.connected_components(_verified(tested, sets, percent), "x", "y")
+    # Then what still lies in different components.
+    rest = _labelled(_labelled(pairs.join(tested, ["x", "y"], "left_anti"), merged, "x", "xc"), merged, "y", "yc").where("xc != yc").select("x", "y", "xn", "yn")
     rest = common.materialize(rest, "pairs-across")
     if not rest.isEmpty():
-        merged = _extended(merged, _verified(rest, sets, percent))
-    if left is not None:  # what then lies in different components, other than by the closest pairs
-        tested = first.select("x", "y").unionByName(rest.select("x", "y"))
-        last = common.materialize(inside(True), "last-pairs")
-        if not last.isEmpty():
-            merged = _extended(merged, _verified(last, sets, percent))
+        merged, tested = _extended(merged, _verified(rest, sets, percent)), tested.unionByName(rest)
+    if left is None:
+        return known, merged
+    left = common.materialize(left.select("key", "node").join(one, "node"), "group-rows")
+    rows = _labelled(left, merged, "node", "component").withColumn("open", F.lit(True))
+    some = common.materialize(across(rows, percent, False), "closest-across")
+    if some.isEmpty():
+        return known, merged
+    rest = common.materialize(_sized(some.join(tested, ["x", "y"], "left_anti"), nodes, percent), "closest-untested")
+    if not rest.isEmpty():
+        merged, tested = _extended(merged, _verified(rest, sets, percent)), tested.unionByName(rest)
+    # A node without a close one in another component has none now either.
+    ends = common.materialize(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "open-nodes")
+    rows = _labelled(left.join(_alike(ends).withColumn("open", F.lit(True)), "node", "left"), merged, "node", "component").withColumn("open", F.coalesce("open", F.lit(False)))
+    last = common.materialize(_sized(across(rows, percent, True).join(tested, ["x", "y"], "left_anti"), nodes, percent), "last-pairs")
+    if not last.isEmpty():
+        merged = _extended(merged, _verified(last, sets, percent))
     return known, merged
 
 
+def _labelled(rows: DataFrame, merged: DataFrame, node: str, name: str) -> DataFrame:
+    """Rows with the component of a node; one without links is its own."""
+    return rows.join(merged.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def _extended(merged: DataFrame, found: DataFrame) -> DataFrame:
     """Components so far, joined by the new links: a component is an edge from each node to its least one."""
     return common.connected_components(merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found), "x", "y")
@@ -423,8 +438,9 @@ def _not_far(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y, xn, yn, far), those that the wide sketches let through as well."""
     far, broad = hamming_udf(), nodes.where("wide is not null").select("node", "wide")
     big = F.least("xn", "yn") > 32 * WORDS64  # both have a wide sketch
-    rows = pairs.where(big).join(broad.select(F.col("node").alias("x"), F.col("wide").alias("xw")), "x").join(broad.select(F.col("node").alias("y"), F.col("wide").alias("yw")), "y")
-    rows = rows.select("x", "y", "xn", "yn", far("xw", "yw").alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    names = [c for c in pairs.columns if c != "far"]
+    rows = pairs.where(big).drop("far").join(broad.select(F.col("node").alias("x"), F.col("wide").alias("xw")), "x").join(broad.select(F.col("node").alias("y"), F.col("wide").alias("yw")), "y")
+    rows = rows.select(*names, far("xw", "yw").alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
     return pairs.where(~big).unionByName(rows)
 
 
