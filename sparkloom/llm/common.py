@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Characters of the two word definitions, as Java and Python regular expressions both read them.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Documents that a worker gets at once where their texts are tokenized; some megabytes.
+DOCUMENTS_AT_ONCE = 1500
+
 _made: dict[str, SparkSession] = {}
 _scopes = threading.local()
 
@@ -84,6 +87,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Have Python workers get up to so many rows at once, in what is run meanwhile; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and that nothing will read again."""
     if tables:

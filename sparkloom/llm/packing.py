@@ -103,7 +103,7 @@ def pack(
                 for start in range(0, n, window):
                     piece = ids[start : start + window]
                     k, offset, out = w.place(len(piece))
-                    row = (doc_id, start, len(piece), tokens.crc32(piece), n, task | k, offset, piece)
+                    row = (doc_id, start, len(piece), tokens.crc32(piece), n, task | k, offset, piece if with_ids else None)
                     if out is not None:
                         ready += waiting.pop(out)
                     rows = waiting.setdefault(k, [])
@@ -122,7 +122,8 @@ def pack(
             yield flush(left, True)
 
     schema = PIECE + (", ids array<int>" if with_ids else "")
-    pieces = common.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), name)
+    with common.batches_of(spark, common.DOCUMENTS_AT_ONCE):
+        pieces = common.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), name)
     moved = merge_open(pieces, window)
     rest = ["ids"] if with_ids else []
     first = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

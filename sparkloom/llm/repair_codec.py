@@ -30,33 +30,30 @@ from sparkloom.llm import common, tokens
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SEGMENT_IDS = 1 << 19
-MAX_ROUNDS = 6
+#: Occurrences that a pair of symbols needs to become a rule.
 MIN_COUNT = 16
 _HASH_BITS = 20
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = MAX_ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as an n x 2 array, symbols). Symbol base + k stands for rule k."""
+def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(rules as an n x 2 array, symbols). Symbol base + k stands for rule k.
+
+    Goes on until no pair occurs min_count times or no symbol is left (of 16 bits, if the base leaves any). Each round
+    replaces all pairs that can be replaced at once and occur an eighth as often as the commonest, or min_count times.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
     room = (65536 if base < 65536 else 1 << 31) - base
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count or made >= room:
-            break
-        pairs = _frequent(seq, max(min_count, len(seq) >> 13))[: room - made]
+    while len(seq) > 1 and made < room:
+        pairs = _frequent(seq, min_count)[: room - made]
         if not len(pairs):
             break
         order = np.argsort(pairs)
-        named = np.empty(len(pairs), np.uint32)
-        named[order] = base + made + order.astype(np.uint32)
+        named = (base + made + order).astype(np.uint32)
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        shorter = _replace(seq, pairs[order], (base + made + order).astype(np.uint32))
+        seq = _replace(seq, pairs[order], named)
         made += len(pairs)
-        done = len(shorter) > 0.99 * len(seq)
-        seq = shorter
-        if done:
-            break
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
@@ -67,16 +64,23 @@ def _buckets(seq: np.ndarray) -> np.ndarray:
 def _frequent(seq: np.ndarray, least: int) -> np.ndarray:
     """Codes (left << 32 | right) of pairs found `least` times or more that can be replaced at once, most frequent first.
 
-    Pairs are counted in hashed buckets; only those of full buckets are counted exactly. A symbol ends up on the
-    left or on the right of the pairs of a round, so their occurrences don't overlap; or in a pair with itself.
+    Pairs are counted in hashed buckets; only those of full buckets are counted exactly. In a run of one symbol every
+    second place counts. A symbol ends up on the left or on the right of the pairs of a round, so their occurrences
+    don't overlap; or in a pair with itself. Of pairs that exclude each other the more frequent one is taken.
     """
     bucket = _buckets(seq)
     full = np.bincount(bucket, minlength=1 << _HASH_BITS) >= least
     at = np.flatnonzero(full[bucket])
     if not len(at):
         return np.zeros(0, np.uint64)
+    twins = np.flatnonzero(seq[at] == seq[at + 1])
+    if len(twins):  # the places of a run after the first, third, ... don't count
+        where = at[twins]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(where) != 1]))
+        nth = np.arange(len(where)) - np.repeat(first, np.diff(np.append(first, len(where))))
+        at = np.delete(at, twins[nth % 2 == 1])
     codes, counts = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
-    often = counts >= least
+    often = counts >= max(least, int(counts.max(initial=0)) // 8)
     codes, counts = codes[often], counts[often]
     codes = codes[np.argsort(-counts, kind="stable")]
     side: dict[int, int] = {}
@@ -233,7 +237,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, base: int, path: str, b
         if names:
             yield flush()
 
-    ordered.mapInArrow(run, BLOCK).write.parquet(path)
+    with common.batches_of(spark, common.DOCUMENTS_AT_ONCE):
+        ordered.mapInArrow(run, BLOCK).write.parquet(path)
     return spark.read.schema(BLOCK).parquet(path)
 
 
