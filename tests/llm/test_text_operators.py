@@ -305,9 +305,89 @@ def test_licences_by_order_and_deciding_words(spark):
     assert got[4]["score"] == 1.0 and got[5]["score"] == round(10 / 12, 6)
 
 
+def brute_labels(text):
+    """(labels, score) by comparing every chain of matches, from the definitions alone."""
+    text = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text)
+    labels, score = set(), 0.0
+    for phrase, label in L.PHRASES:
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for template, label in L.TEMPLATES:
+        t = template.split()
+        grams = [(i, (a, b)) for i, (a, b) in enumerate(zip(t, t[1:])) if not {a, b} <= L.COMMON]
+        deciding = {i for i, g in grams if " ".join(g) in L.DECIDING.get(label, ())}
+        matches = [(at, i) for at, g in enumerate(zip(w, w[1:])) for i, x in grams if g == x]
+        diagonals = sorted({at - i for at, i in matches})
+        runs = []
+        for d in diagonals:
+            if runs and d - runs[-1][-1] <= L.MERGE_WITHIN:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            own = sorted(m for m in matches if m[0] - m[1] in run)
+            if len({i for _, i in own}) / len(grams) < L.MIN_COVERAGE:
+                continue
+            best = {}
+            for at, i in own:  # (deciding grams, grams) of the best chain that ends here
+                before = [best[a, j] for a, j in best if a < at and j < i and abs((a - j) - (at - i)) <= L.MERGE_WITHIN]
+                d, n = max(before, default=(0, 0))
+                best[at, i] = (d + (i in deciding), n + 1)
+            d, n = max(best.values())
+            if d == len(deciding) and n / len(grams) >= L.MIN_COVERAGE:
+                labels.add(label)
+                score = max(score, min(1.0, round(n / len(grams), 6)))
+    return ",".join(sorted(labels)), score
+
+
+def test_licence_labels_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    texts = ["4 0 nc 4 by nc cc by under cc licensed under"]
+    for template, _ in L.TEMPLATES:
+        w = template.split()
+        for edits in range(8):
+            x = list(w)
+            for _ in range(edits):
+                at, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 4))
+                if kind == 0:
+                    x.insert(at, "very")
+                elif kind == 1 and len(x) > 2:
+                    del x[at]
+                elif kind == 2:
+                    x.insert(at, x[int(rng.integers(0, len(x)))])
+                else:
+                    at = min(at, len(x) - 2)
+                    x[at], x[at + 1] = x[at + 1], x[at]
+            texts.append(" ".join(rng.choice(["a", "of", "license", "the"], 5)) + " " + " ".join(x))
+        grams = list(zip(w, w[1:]))
+        rng.shuffle(grams)
+        texts.append(" ".join(" ".join(g) for g in grams))
+    texts.append(" ".join(texts))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scanned(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert got[0][0] == "cc-by" and sum("gpl-3.0" in x for x, _ in got.values()) > 3
+
+
 # --- token ids ----------------------------------------------------------------------------------------------------
 
 
+def test_grammars_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 49000, int(n)) for n in rng.integers(1, 9, 3000)]
+    ids = np.concatenate([words[i] for i in np.minimum(rng.zipf(1.3, 30_000), 3000) - 1] + [np.full(301, 7), rng.integers(0, 49000, 5000)]).astype(np.int32)
+    rules, symbols = R.compress(ids, 49408)
+    assert (R.expand(symbols, rules, 49408) == ids).all() and len(rules) > 500 and len(symbols) < len(ids) / 3
+    counts = collections.Counter()
+    last = None
+    for pair in zip(symbols.tolist(), symbols.tolist()[1:]):
+        last = None if pair == last and pair[0] == pair[1] else pair  # every second place of a run
+        counts[pair] += last is not None
+    assert max(counts.values()) < R.MIN_COUNT
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_the_librarys(name):
     from tokenizers import Tokenizer
