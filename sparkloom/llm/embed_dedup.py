@@ -4,16 +4,20 @@ Learning: on a bounded sample, for each of several random starts a rotation of t
 balances the bits: signs and rotation are fitted to each other in turn (an orthogonal Procrustes problem). Each
 rotation gives a code of as many bits as the vectors have dimensions. Bits are taken about the origin, as cosines
 are, so the chance that a pair's bits differ hangs on its angle alone, however the vectors lie.
-Retrieval: the codes are cut into substrings, each a hash table. Vectors that share a substring are held against
-each other by the Hamming distance of their whole codes, inside the bucket; a bucket gives each vector one edge
-into its local group, not its pairs. Connected components over these edges are the candidate groups.
+Retrieval: the codes are cut into substrings, each a hash table. A vector's row of a table holds its name and the first
+128 bits of its code; vectors that share a substring are held against each other by the Hamming distance of those bits,
+inside the bucket. A bucket gives each vector one edge into its local group, not its pairs. Buckets of up to BLOCK
+vectors are compared as they are read; larger ones in pairs of blocks. Connected components over these edges are the
+candidate groups. Substrings grow with the logarithm of the number of vectors, so that buckets keep their size, and the
+number of tables by the recall wanted for pairs right at the least cosine: 9 for 50,000 vectors, 14 for a million.
 Rerank: within a candidate group all original vectors are compared by cosine in double precision, in blocks, so a
 group of any size is spread over many tasks; a block gives counts and one edge for each vector.
 
 Equal vectors are one class from the start: each counts the others of its class and all members of linked classes.
-Null, empty, zero vectors, vectors of another length than most (the sample's commonest), and those with null or
-non-finite components link with nothing. Rows with null vec_id are vectors like others; a component's id is the
-least vec_id in it. The codes depend on the data through the sample alone; every vector is indexed.
+Null, empty, zero vectors and those with null or non-finite components link with nothing; vectors of different lengths
+don't link with each other, and each length has tables of its own. Rows with null vec_id are vectors like others; a
+component's id is the least vec_id in it. Empty tables give empty results. Columns other than vec_id and embedding don't
+matter, whatever their names. The codes depend on the data through the sample alone; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -23,26 +27,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
 MIN_COSINE = 0.95
-#: Vectors that the rotations are learned on, and rounds of fitting.
+#: Vectors of a length that the rotations are learned on, and rounds of fitting.
 SAMPLE = 10_000
 ROUNDS = 30
-#: Substrings are as many bits longer than the number of vectors, in bits, so that buckets stay short at any size;
-#: there are as many tables as the wanted recall takes for pairs right at the least cosine.
-SPARE_BITS = 2
+#: Vectors of a bucket, if they were spread evenly; recall wanted for pairs right at the least cosine.
+BUCKET = 64
 RECALL = 0.97
+#: Bits of a vector's row that are compared within a bucket.
+SKETCH_BITS = 128
 #: Standard deviations above the expected Hamming distance at the least cosine that a candidate may be off.
-SLACK = 5.0
+SLACK = 3.5
 #: Vectors of a block that are compared with each other at once.
 BLOCK = 1024
 #: In groups of up to so many vectors every close pair is an edge; larger ones give each vector one.
 FEW = 16
+#: Parts that the further rows of a bucket are spread over, where a task finds it larger than a block.
+SALTS = 64
+#: Buckets sent to every task at most, with their sizes; beyond, they are joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -62,22 +70,11 @@ def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int =
     return np.concatenate(out, 1)
 
 
-def codes(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Codes as rows of bytes."""
-    return np.packbits(x @ rotation >= 0, axis=1)
-
-
-def usable(rows: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that can link, their unit vectors in double precision)."""
-    keep, vectors = [], []
-    for i, row in enumerate(rows):
-        if row.is_valid and len(row.values) == dim and not row.values.null_count:
-            v = row.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if np.isfinite(v).all() and v.any():
-                keep.append(i)
-                v = v / np.abs(v).max()
-                vectors.append(v / math.sqrt(float(v @ v)))
-    return np.array(keep, np.int64), np.array(vectors).reshape(-1, dim)
+def unit_rows(rows: pa.Array, dim: int) -> np.ndarray:
+    """Usable vectors of one length as unit vectors in double precision."""
+    x = np.asarray(rows.flatten(), np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def local_groups(linked: np.ndarray) -> np.ndarray:
@@ -93,35 +90,6 @@ def local_groups(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-class _Groups:
-    """Cuts batches of rows sorted by a key into the key's groups, across batches."""
-
-    def __init__(self, batches: Iterator[pa.RecordBatch], keys: list[str]):
-        self.batches, self.keys = batches, keys
-
-    def __iter__(self) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in self.batches:
-            if not batch.num_rows:
-                continue
-            columns = [np.asarray(batch.column(k)) for k in self.keys]
-            change = np.zeros(batch.num_rows, bool)
-            change[0] = True
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                key = tuple(c[lo].item() for c in columns)
-                if key != last and held:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                last = key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield pa.Table.from_batches(held)
-
-
 def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     """Where the groups of equal keys begin, and the end."""
     n = len(table)
@@ -133,59 +101,137 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), n)
 
 
-def candidate_edges(indexed: DataFrame, bits: int, limit: int) -> DataFrame:
-    """(a, b): edges inside buckets, from rows (slot, sub, class, code). Each vector of a bucket has one at most in a block pair."""
-    many = indexed.groupBy("slot", "sub").agg(F.count("*").alias("size")).where("size > 1")
-    rows = indexed.join(many, ["slot", "sub"])
+def tables_for(n: int, least: float, recall: float) -> tuple[int, int]:
+    """(bits of a substring, number of tables) for n vectors."""
+    # The chance that a bit differs is the angle's share of half a turn, for codes through the origin.
+    chance = math.acos(least) / math.pi
+    width = max(8, min(32, math.ceil(math.log2(max(2.0, n / BUCKET)))))
+    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - chance) ** width)))
+
+
+INDEXED = "bucket long, salt int, class long, low long, high long"
+
+
+def indexed(classes: DataFrame, rotation: np.ndarray, dim: int, width: int, tables: int) -> DataFrame:
+    """For each vector and table a row: bucket (table and substring), salt, class, and the sketch as two numbers.
+
+    Rows of a bucket that a batch holds more than a block of are salted, but for a block and one more, which show that
+    the bucket is large: so no bucket's rows all go to one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(width, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                bit = unit_rows(batch.column("vector"), dim) @ rotation >= 0
+                names = batch.column("class").to_numpy()
+                sketch = np.packbits(bit[:, :SKETCH_BITS], axis=1).view(np.int64)
+                bucket = np.stack([bit[:, k * width : (k + 1) * width] @ weight + (k << 40) for k in range(tables)], 1).reshape(-1)
+                owner = np.repeat(np.arange(len(names)), tables)
+                order = np.argsort(bucket, kind="stable")
+                bucket, owner = bucket[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+                nth = np.arange(len(bucket)) - np.repeat(first, np.diff(np.append(first, len(bucket))))
+                salt = np.where(nth > BLOCK, 1 + nth % SALTS, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(names[owner]), pa.array(sketch[owner, 0]), pa.array(sketch[owner, 1])], ["bucket", "salt", "class", "low", "high"])
+
+    return classes.select("class", "vector").mapInArrow(run, INDEXED)
+
+
+def near_edges(names: np.ndarray, code: np.ndarray, starts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within groups of rows; starts: of each group, and the end."""
+    size = np.diff(starts)
+    group = np.repeat(np.arange(len(size)), size)
+    small = np.repeat(size <= FEW, size)
+    found = [np.zeros((2, 0), np.int64)]
+    for lag in range(1, min(FEW, int(size.max(initial=0)))):
+        at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
+        near = at[np.bitwise_count(code[at] ^ code[at + lag]).sum(1) <= limit]
+        found.append(np.stack([names[near], names[near + lag]]))
+    for g in np.flatnonzero(size > FEW).tolist():
+        own, c = names[starts[g] : starts[g + 1]], code[starts[g] : starts[g + 1]]
+        far = np.zeros((len(own), len(own)), np.uint16)
+        for k in range(c.shape[1]):
+            far += np.bitwise_count(c[:, None, k] ^ c[None, :, k])
+        label = local_groups(far <= limit)
+        moved = label != np.arange(len(own))
+        found.append(np.stack([own[moved], own[label[moved]]]))
+    both = np.concatenate(found, 1)
+    return both[0], both[1]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and where these begin, from rows sorted by the keys; a group that has grown beyond `most`
+    rows is given in parts, each of more than `most` rows but the last."""
+    held: list[pa.RecordBatch] = []  # the last group may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.RecordBatch.from_arrays(batch.columns, batch.schema.names))  # alike in what may be null
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = _starts(table, keys)
+        cut = int(starts[-2])
+        if cut:
+            yield table.slice(0, cut), starts[:-1]
+        table = table.slice(cut)
+        if most is not None and len(table) > most:
+            yield table, np.array([0, len(table)])
+            table = table.slice(0, 0)
+        held = [pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], table.column_names)] if len(table) else []
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _starts(table, keys)
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.stack([table["low"].to_numpy(), table["high"].to_numpy()], 1).view(np.uint64)
+
+
+def candidate_edges(rows: DataFrame, limit: int) -> DataFrame:
+    """(a, b): edges inside buckets, from rows as indexed() gives them. Each vector of a bucket has one at most in a block or pair of blocks."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large: tuple | None = None  # the bucket whose rows have begun to be given as those of a large one
+        for table, starts in _whole_groups(batches, ["bucket", "salt"], BLOCK):
+            size = np.diff(starts)
+            bucket, salt = table["bucket"].to_numpy()[starts[:-1]], table["salt"].to_numpy()[starts[:-1]]
+            many = (size > BLOCK) | (salt > 0)
+            if large is not None and (bucket[0], salt[0]) == large:
+                many[0] = True
+            large = (bucket[-1], salt[-1]) if many[-1] else None
+            names, code = table["class"].to_numpy(), _sketches(table)
+            rest = np.repeat(many, size)
+            a, b = near_edges(names[~rest], code[~rest], np.concatenate([[0], np.cumsum(size[~many])]), limit)
+            n, m = len(a), int(rest.sum())
+            null = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([null(n), pa.array(table["bucket"].to_numpy()[rest])]), pa.concat_arrays([pa.array(a), pa.array(names[rest])]), pa.concat_arrays([pa.array(b), null(m)])]
+                + [pa.concat_arrays([null(n), pa.array(code.view(np.int64)[rest, k])]) for k in range(2)],
+                ["bucket", "a", "b", "low", "high"],
+            )
+
+    found = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "class").mapInArrow(small, "bucket long, a long, b long, low long, high long")
+    found = common.materialize(found, "buckets")
+    edges = found.where("bucket is null").select("a", "b")
+    large = found.where("bucket is not null").select("bucket", F.col("a").alias("class"), "low", "high")
+    if large.isEmpty():
+        return edges.distinct()
     # A bucket above a block's size is cut into blocks by a hash, and each pair of blocks is compared.
+    sizes = common.materialize(large.groupBy("bucket").agg(F.count("*").alias("size")), "bucket-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
-    rows = rows.select("slot", "sub", "class", "code", mine.alias("mine"), F.explode(pairs).alias("p")).select("slot", "sub", "class", "code", "mine", "p.i", "p.j")
-    keys = ["slot", "sub", "i", "j"]
-
-    def near_pairs(names: np.ndarray, code: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """Edges of whole groups of rows; starts: of each group, and the end."""
-        size = np.diff(starts)
-        group = np.repeat(np.arange(len(size)), size)
-        small = np.repeat(size <= FEW, size)
-        found = []
-        for lag in range(1, min(FEW, int(size.max(initial=0)))):
-            at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
-            near = at[np.bitwise_count(code[at] ^ code[at + lag]).sum(1) <= limit]
-            found.append(np.stack([names[near], names[near + lag]]))
-        for g in np.flatnonzero(size > FEW).tolist():
-            own, c = names[starts[g] : starts[g + 1]], code[starts[g] : starts[g + 1]]
-            far = np.zeros((len(own), len(own)), np.uint16)
-            for k in range(c.shape[1]):
-                far += np.bitwise_count(c[:, None, k] ^ c[None, :, k])
-            label = local_groups(far <= limit)
-            moved = label != np.arange(len(own))
-            found.append(np.stack([own[moved], own[label[moved]]]))
-        return found
+    cells = large.join(sizes, "bucket").select("bucket", "class", "low", "high", F.explode(pairs).alias("p")).select("bucket", "class", "low", "high", "p.i", "p.j")
+    keys = ["bucket", "i", "j"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the last group may go on in the next batch
-        for batch in batches:
-            held.append(pa.RecordBatch.from_arrays(batch.columns, batch.schema.names))  # alike in what may be null
-            table = pa.Table.from_batches(held).combine_chunks()
-            starts = _starts(table, keys)
-            cut = int(starts[-2]) if len(starts) > 1 else 0
-            if cut:
-                yield _edges(table.slice(0, cut), starts[:-1])
-                held = [pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.slice(cut).columns], table.column_names)]
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield _edges(table, _starts(table, keys))
-
-    def _edges(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        names = table["class"].to_numpy()
-        code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint64).reshape(len(names), -1) if len(names) else np.zeros((0, 1), np.uint64)
-        found = near_pairs(names, code, starts)
-        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, keys, None):
+            a, b = near_edges(table["class"].to_numpy(), _sketches(table), starts, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return edges.unionByName(cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(paired, "a long, b long")).distinct()
 
 
 def reranked(groups: DataFrame, dim: int, least: float) -> DataFrame:
@@ -200,13 +246,13 @@ def reranked(groups: DataFrame, dim: int, least: float) -> DataFrame:
     keys = ["grp", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _Groups(batches, keys):
+        for group in common.sorted_groups(batches, keys):
             names, members = np.asarray(group["class"]), np.asarray(group["members"])
-            _, x = usable(group["vector"].combine_chunks(), dim)
+            x = unit_rows(group["vector"].combine_chunks(), dim)
             block, i, j = np.asarray(group["mine"]), group["i"][0].as_py(), group["j"][0].as_py()
             order = np.argsort(names, kind="stable")
             names, members, x, block = names[order], members[order], x[order], block[order]
-            linked = (x @ x.T) >= least - 1e-15
+            linked = x @ x.T >= least
             np.fill_diagonal(linked, False)
             if i != j:  # pairs inside a block are counted where it is paired with itself
                 linked &= block[:, None] != block[None, :]
@@ -217,63 +263,53 @@ def reranked(groups: DataFrame, dim: int, least: float) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "class long, n long, edge long")
 
 
+def _linked(classes: DataFrame, dim: int, n: int, least: float, recall: float) -> DataFrame:
+    """(class, n, edge) as reranked() gives them, for the n classes of vectors of one length."""
+    sample = classes.orderBy("class").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    width, tables = tables_for(n, least, recall)
+    rotation = learn(unit_rows(sample, dim), math.ceil(max(SKETCH_BITS, tables * width) / dim))
+    chance = math.acos(least) / math.pi
+    limit = math.ceil(SKETCH_BITS * chance + SLACK * math.sqrt(SKETCH_BITS * chance * (1 - chance)))
+    edges = candidate_edges(indexed(classes, rotation, dim, width, tables), limit)
+    candidates = common.connected_components(edges)
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
+    groups = candidates.join(sizes, "component").select(F.col("component").alias("grp"), "size", F.col("node").alias("class")).join(classes, "class")
+    return common.materialize(reranked(groups, dim, least), "reranked")
+
+
 def near_duplicates(vectors: DataFrame, least: float = MIN_COSINE, recall: float = RECALL) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
+    with common.scope() as keep:
+        out = _near_duplicates(vectors, least, recall)
+        keep(out)
+    return out
+
+
+def _near_duplicates(vectors: DataFrame, least: float, recall: float) -> DataFrame:
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     # Negative zeros are zeros; hashing the components names the class of equal vectors.
     rows = rows.withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))
     good = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("class", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("vector")))
-    rows = common.materialize(rows, "vectors")
     classes = rows.where("class is not null").groupBy("class").agg(F.count("*").alias("members"), F.min(F.struct("vector")).alias("v")).select("class", "members", "v.vector")
     classes = common.materialize(classes, "vector-classes")
-    sample = classes.orderBy("class").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-    widths, number = np.unique(np.asarray(pc.list_value_length(sample)), return_counts=True) if len(sample) else (np.array([1]), np.array([1]))
-    dim = int(widths[number.argmax()])
-    classes = classes.where(F.size("vector") == dim)
-    _, known = usable(sample, dim)
-    if len(known) < 2:
-        known = np.concatenate([known, np.eye(dim)])
-    # The chance that a bit differs is the angle's share of half a turn, for codes through the origin.
-    chance = math.acos(least) / math.pi
-    width = max(8, min(48, math.ceil(math.log2(max(2, classes.count()))) + SPARE_BITS))
-    slots = math.ceil(math.log(1 - recall) / math.log(1 - (1 - chance) ** width))
-    rotation = learn(known, math.ceil(slots * width / dim))
-    pad = -rotation.shape[1] % 64
-    rotation = np.concatenate([rotation, rotation[:, :1].repeat(pad, 1)], 1) if pad else rotation  # whole 64-bit words
-    bits = rotation.shape[1]
-    limit = math.ceil(bits * chance + SLACK * math.sqrt(bits * chance * (1 - chance)))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, x = usable(batch.column("vector"), dim)
-            names = np.asarray(batch.column("class"))[keep]
-            code = codes(x, rotation)
-            bit = np.unpackbits(code, axis=1)
-            weight = 1 << np.arange(width, dtype=np.int64)
-            sub = np.stack([bit[:, k * width : (k + 1) * width].astype(np.int64) @ weight for k in range(slots)], 1) if len(x) else np.zeros((0, slots), np.int64)
-            whole = pa.array([c.tobytes() for c in code], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(slots, dtype=np.int32), len(x))), pa.array(sub.reshape(-1), pa.int64()), pa.array(np.repeat(names, slots), pa.int64()), whole.take(pa.array(np.repeat(np.arange(len(x)), slots)))],
-                ["slot", "sub", "class", "code"],
-            )
-
-    indexed = common.materialize(classes.select("class", "vector").mapInArrow(index, "slot int, sub long, class long, code binary"), "vector-codes")
-    edges = common.materialize(candidate_edges(indexed, bits, limit), "candidate-edges")
-    candidates = common.connected_components(edges)
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    groups = candidates.join(sizes, "component").select(F.col("component").alias("grp"), "size", F.col("node").alias("class")).join(classes, "class")
-    linked = common.materialize(reranked(groups, dim, least), "reranked")
-    counts = linked.groupBy("class").agg(F.sum("n").alias("others"))
-    components = common.connected_components(linked.select(F.col("class").alias("a"), F.col("edge").alias("b")))
+    ids = common.materialize(rows.select("vec_id", "class"), "vector-ids")
+    lengths = classes.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dim").collect()
+    found = spark.createDataFrame([], "class long, n long, edge long")
+    for r in lengths:
+        found = found.unionByName(_linked(classes.where(F.size("vector") == r["dim"]), r["dim"], r["n"], least, recall))
+    counts = found.groupBy("class").agg(F.sum("n").alias("others"))
+    components = common.connected_components(found.select(F.col("class").alias("a"), F.col("edge").alias("b")))
     named = classes.select("class", "members").join(counts, "class", "left").join(components.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("class", "members", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "class").alias("component"))
-    out = rows.select("vec_id", "class").join(named, "class", "left")
+    out = ids.join(named, "class", "left")
     least_id = out.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
     out = out.join(least_id, "component", "left")
     lone = F.col("component").isNull()
     component = F.when(lone, F.col("vec_id")).otherwise(F.col("least"))
-    return out.select("vec_id", F.when(lone, F.lit(0)).otherwise(F.col("members") - 1 + F.col("others")).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.when(lone, F.lit(0)).otherwise(F.col("members") - 1 + F.col("others")).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return common.materialize(out, "near-vectors")
 
 
 def op10(spark, sf_dir):

@@ -231,6 +231,28 @@ def test_near_vectors(spark):
     assert E.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_each_length_has_its_own_links(spark):
+    rows = [(1, [3.0, 4.0]), (2, [3.0, 4.0]), (3, [6.0, 8.1]), (4, [1.0, 0.0, 0.0, 0.1]), (5, [1.0, 0.0, 0.0, 0.0]), (6, [1.0]), (7, [2.0]), (8, [-1.0]), (None, [1.0, 0.0, 0.0, 0.0]), (9, [0.0, 1.0, 0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("class", F.lit("clash"))).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (2, 4, True), 5: (2, 4, False), None: (2, 4, False), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True), 9: (0, 9, True)}
+
+
+def test_recall_near_the_least_cosine(spark):
+    """Pairs planted between cosine 0.95 and 0.96, each alone among 6,000 random vectors."""
+    rng = np.random.default_rng(12)
+    d, n = 64, 400
+    x = rng.standard_normal((6000, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((n, d))
+    side -= (side * x[:n]).sum(1, keepdims=True) * x[:n]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9502, 0.9598, (n, 1))
+    x = np.concatenate([x, cosine * x[:n] + np.sqrt(1 - cosine**2) * side])
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)).collect()}
+    found = sum(got[6000 + i] for i in range(n))
+    assert 0.9 * n <= found <= n and sum(got.values()) == 2 * found
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", 16)
     rng = np.random.default_rng(8)
