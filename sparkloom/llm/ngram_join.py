@@ -3,7 +3,7 @@
 A document's set of shingle hashes is XOR-ed into a parity sketch: each shingle flips one bit of a wide bit space.
 Two sets differ in at least as many shingles as their sketches differ in bits. Sizes fall into bands by powers of two;
 for each band the bit space is cut into equally many pieces (0.75 for each shingle of the band's least size), and a set
-just above a band's start is also cut as the band below cuts. A piece is named by the XOR of its shingles' hashes,
+just above a band's start is also cut as the band below cuts, where it meets that band's sets only. A piece is named by the XOR of its shingles' hashes,
 which is a hash of the bits that are odd in it. Bands below 64 have a piece for every shingle.
 
 With a similarity of at least t, a set of s shingles differs from another in d = s(1-t)/t shingles at most, hence in d
@@ -93,11 +93,11 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray
 
 
 def node_of(own: np.ndarray) -> int:
-    """A 64-bit name of a set."""
+    """A 63-bit name of a set, an even number."""
     x = textmodel.mix(own * _B + _C)
     with np.errstate(over="ignore"):
         both = np.array([np.add.reduce(x, dtype=np.uint64) + _A * np.uint64(len(own)) + np.bitwise_xor.reduce(x) * _C], np.uint64)
-    return int(textmodel.mix(both).view(np.int64)[0])
+    return int(textmodel.mix(both).view(np.int64)[0]) & ~1
 
 
 def folded(own: np.ndarray) -> np.ndarray:
@@ -126,7 +126,8 @@ def hamming(a: bytes, b: bytes) -> int:
 
 def piece_keys(own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, int]]:
     """(band, names of the pieces that a set joins by, how many of them are to spare): for its band, and for the band
-    below if a set there could link. A name's last bit is the band's, so it tells which of the two it is for."""
+    below if a set there could link. A name's last bit is the band's, so it tells which of the two it is for. In the band
+    below the set is a visitor."""
     s = len(own)
     band = s.bit_length() - 1
     out = []
@@ -146,12 +147,12 @@ def piece_keys(own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.nd
     return out
 
 
-SKETCHED = "doc_id long, text_hash long, n long, node long, sketch array<long>, wide binary, spare0 int, spare1 int, keys array<long>, more array<long>"
+SKETCHED = "doc_id long, text_hash long, n long, node long, parity int, sketch array<long>, wide binary, spare0 int, spare1 int, keys array<long>, more array<long>"
 
 
 def sketched(docs: DataFrame, percent: int) -> DataFrame:
-    """One row for each document: size and name of its set, and, where the task meets the set first, the folded and the
-    wide sketch, the spare pieces of even and odd bands, and the names of the pieces it joins by.
+    """One row for each document: size and name of its set, the last bit of its band, and, where the task meets the set
+    first, the folded and the wide sketch, the spare pieces of even and odd bands, and the names of the pieces it joins by.
 
     Names that more than LIGHT documents of a batch hold are heavy already: LIGHT + 1 of them stay in `keys` to tell
     so, the others go to `more` and needn't meet them. So a group of any size is thinned out before it is shuffled.
@@ -184,7 +185,7 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
             kept = np.concatenate([[0], np.cumsum(stays)])[bounds]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([x.bit_length() - 1 & 1 for x in n], pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()),
                     pa.array(spare[0], pa.int32()), pa.array(spare[1], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[stays].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array((bounds - kept).astype(np.int32)), pa.array(flat[~stays].view(np.int64))),
@@ -211,14 +212,17 @@ def _first_few(keys: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within groups of up to LIGHT nodes, each group's nodes ascending."""
+    """All pairs within groups of up to LIGHT nodes, each group's nodes ascending, but for pairs of visitors."""
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for size in np.unique(sizes[sizes > 1]).tolist():
         members = node[starts[sizes == size][:, None] + np.arange(size)]
+        members = members[(members & 1 == 0).any(1)]
         i, j = np.triu_indices(size, 1)
         xs.append(members[:, i].ravel())
         ys.append(members[:, j].ravel())
     x, y = np.concatenate(xs), np.concatenate(ys)
+    native = (x & y & 1) == 0
+    x, y = x[native] & ~1, y[native] & ~1
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
@@ -227,7 +231,11 @@ def _pairs_of(node: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
 
 
 def groups_of(keys: DataFrame) -> DataFrame:
-    """From rows (key, node), (key, x, y): pairs x < y of light groups, with a null key; and the nodes x of heavy ones, with a null y."""
+    """From rows (key, node), (key, x, y): pairs x < y of light groups, with a null key; and the nodes x of heavy ones, with a null y.
+
+    An odd node stands for the even one before it, as a visitor from the band above. Two visitors aren't paired, as their
+    own band does that. Nodes of heavy groups come out as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last group, which may go on in the next batch
@@ -290,17 +298,16 @@ def _alike(rows: DataFrame) -> DataFrame:
 
 
 def leftovers(heavy: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, size): rows of heavy groups without each node's spare ones, the heaviest first; size: of the rows left."""
-    sizes = common.materialize(heavy.groupBy("key").agg(F.count("*").alias("size")), "heavy-sizes")
-    rows = heavy.join(_alike(sizes), "key").join(nodes.select("node", "spare0", "spare1"), "node")
-    odd = F.col("key").bitwiseAND(F.lit(1)).cast("long")
+    """(key, node, size): rows of heavy groups without each node's spare ones, the heaviest first; size: of the heavy group.
+
+    Groups of visitors alone are left out. An odd node is a visitor.
+    """
+    sizes = heavy.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("node").bitwiseAND(F.lit(1)) == 0).alias("native")).where("native > 0").select("key", "size")
+    sizes = common.materialize(sizes, "heavy-sizes")
+    rows = heavy.join(_alike(sizes), "key").select("key", F.col("node").bitwiseAND(F.lit(-2)).alias("node"), "size").join(nodes.select("node", "spare0", "spare1"), "node")
     nth = F.row_number().over(W.partitionBy("node", "odd").orderBy(F.desc("size"), "key"))
-    rows = rows.withColumn("odd", odd).withColumn("nth", nth).where(F.col("nth") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1")))
-    rows = common.materialize(rows.select("key", "node"), "heavy-rows")
-    left = common.materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "heavy-left")
-    out = common.materialize(rows.join(_alike(left), "key"), "heavy-groups")
-    common.release(sizes, rows, left)
-    return out
+    rows = rows.withColumn("odd", F.col("key").bitwiseAND(F.lit(1))).withColumn("nth", nth).where(F.col("nth") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1")))
+    return common.materialize(rows.select("key", "node", "size"), "heavy-groups")
 
 
 def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
@@ -364,11 +371,14 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     keyed = common.materialize(sketched(docs, percent), "sketches")
     known = common.materialize(keyed.select("doc_id", "text_hash", "n", "node"), "documents")
-    groups = common.materialize(groups_of(keyed.where("node is not null").select(F.explode("keys").alias("key"), "node")), "groups")
+    # A name for the other band than the node's own marks a visitor there.
+    visitor = F.col("node") + (F.col("key").bitwiseAND(F.lit(1)) != F.col("parity")).cast("long")
+    named = lambda c: keyed.where("node is not null").select(F.explode(c).alias("key"), "node", "parity").select("key", visitor.alias("node"))
+    groups = common.materialize(groups_of(named("keys")), "groups")
     # One document stands for each node.
     some = F.min(F.struct("text_hash", "doc_id", "n", "sketch", "wide", "spare0", "spare1")).alias("s")
     nodes = common.materialize(keyed.where("sketch is not null").groupBy("node").agg(some).select("node", "s.*"), "nodes")
-    heavy = groups.where("key is not null").select("key", F.col("x").alias("node")).unionByName(keyed.select(F.explode("more").alias("key"), "node"))
+    heavy = groups.where("key is not null").select("key", F.col("x").alias("node")).unionByName(named("more"))
     heavy = common.materialize(heavy.distinct(), "heavy")
     common.release(keyed)
     common.free_shuffles(spark)

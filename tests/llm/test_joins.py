@@ -113,8 +113,9 @@ def test_jaccard_join_of_a_large_cluster(spark, monkeypatch):
 
 
 def test_heavy_groups_across_batches():
-    keys = np.array([1] * 3 + [2] * 100 + [3] * 2 + [4] * 34 + [5] * 2 + [6] * 33)
-    nodes = np.concatenate([[7, 7, 8], np.arange(100), [5, 9], [*range(33), 32], [1, 2], np.arange(33) // 2])
+    keys = np.array([1] * 3 + [2] * 100 + [3] * 2 + [4] * 34 + [5] * 2 + [6] * 33 + [7] * 3 + [8] * 2)
+    nodes = 2 * np.concatenate([[7, 7, 8], np.arange(100), [5, 9], [*range(33), 32], [1, 2], np.arange(33) // 2, [50, 51, 52], [60, 61]])
+    nodes[-5:] += [1, 0, 1, 1, 1]  # visitors
     frame = {}
 
     class Rows:
@@ -131,8 +132,8 @@ def test_heavy_groups_across_batches():
     for size in (1, 2, 7, 40, 200):
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(nodes[i : i + size])], ["key", "node"]) for i in range(0, len(keys), size)]
         out = pa.Table.from_batches(list(frame["run"](iter(batches)))).to_pylist()
-        assert {(r["x"], r["y"]) for r in out if r["key"] is None} == {(7, 8), (5, 9), (1, 2), *((i, j) for j in range(17) for i in range(j))}
-        assert {(r["key"], r["x"]) for r in out if r["key"] is not None} == {(k, i) for k, n in ((2, 100), (4, 33)) for i in range(n)}
+        assert {(r["x"], r["y"]) for r in out if r["key"] is None} == {(2 * x, 2 * y) for x, y in [(7, 8), (5, 9), (1, 2), (50, 51), (51, 52), *((i, j) for j in range(17) for i in range(j))]}
+        assert {(r["key"], r["x"]) for r in out if r["key"] is not None} == {(k, 2 * i) for k, n in ((2, 100), (4, 33)) for i in range(n)}
 
 
 def test_one_of_each_keeps_one_row_of_a_group(spark):
