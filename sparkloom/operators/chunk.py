@@ -32,6 +32,30 @@ def windows(text: Column, tokens: int = TOKENS, overlap: int = OVERLAP, drop_con
     return F.flatten(F.transform(F.filter(bound, lambda w: F.size(w) > 0), cut))
 
 
+#: Where a sentence ends: after its mark and closing quotes, before white space and what may begin another.
+_SENTENCE_END = "(?<=[.!?][\"'\u201d\u2019)]{0,2})\\s+(?=[\"'\u201c\u2018(]?[\\p{Lu}\\p{N}])"
+
+
+def sentences(text: Column) -> Column:
+    """array<string>: the sentences of a text, without white space about them; none of a null or blank text."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SENTENCE_END), T.strip), lambda x: x != "")
+
+
+def sentence_windows(text: Column, tokens: int = TOKENS) -> Column:
+    """array<struct<text, n_words>>: whole sentences, as many as int(tokens/1.3) words hold. Longer ones stand alone."""
+    size = int(tokens / TOKENS_PER_WORD)
+    kind = "struct<text:string,n_words:int>"
+
+    def add(made: Column, sentence: Column) -> Column:
+        n, last = F.size(T.words(sentence)), F.try_element_at(made, F.lit(-1))
+        fits = (F.size(made) > 0) & (last["n_words"] + n <= size)
+        joined = F.struct(F.concat(last["text"], F.lit(" "), sentence).alias("text"), (last["n_words"] + n).alias("n_words")).cast(kind)
+        alone = F.struct(sentence.alias("text"), n.alias("n_words")).cast(kind)
+        return F.when(fits, F.concat(F.slice(made, 1, F.size(made) - 1), F.array(joined))).otherwise(F.concat(made, F.array(alone)))
+
+    return F.aggregate(sentences(text), F.array().cast(f"array<{kind}>"), add)
+
+
 def token_count(n_words: Column) -> Column:
     return (n_words * F.lit(TOKENS_PER_WORD)).cast("int")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,25 @@ def overlap_by_url(pairs: DataFrame, url: str = "url", extracted: str = "extract
     return scored.groupBy(url).agg(F.count("*").alias("questions_count"), F.avg("overlap").alias("avg_overlap"))
 
 
+def overlap_summary(by_url: DataFrame, status: str = "status", ok: str = "success") -> DataFrame:
+    """One row: n_urls, n_success, success_rate in percent, n_questions, avg_overlap over all questions.
+
+    by_url: (status, questions_count, avg_overlap) of each url; without questions the average is 0.
+    """
+    good = F.col(status) == ok
+    questions = F.sum(F.coalesce("questions_count", F.lit(0)))
+    total = F.sum(F.coalesce(F.col("avg_overlap") * F.col("questions_count"), F.lit(0.0)))
+    rate = F.coalesce(F.try_divide(F.lit(100.0) * F.count_if(good), F.count("*")), F.lit(0.0))
+    return by_url.agg(F.count("*").alias("n_urls"), F.count_if(good).alias("n_success"), rate.alias("success_rate"), F.coalesce(questions, F.lit(0)).alias("n_questions"), F.coalesce(F.try_divide(total, questions), F.lit(0.0)).alias("avg_overlap"))
+
+
+def timed(run: Callable[[], int]) -> tuple[int, float]:
+    """(what run() gives, the number of items, and the mean milliseconds of an item) by the wall clock of the driver."""
+    began = time.perf_counter()
+    n = run()
+    return n, 1000 * (time.perf_counter() - began) / n if n else 0.0
+
+
 def bleu(candidate: list[str], reference: list[str], order: int = 4) -> float:
     if not candidate or not reference:
         return 0.0
@@ -79,16 +100,17 @@ def text_scores(candidate: Column, reference: Column) -> Column:
 
 
 def roll_up(runs: DataFrame, by: str = "variant") -> DataFrame:
-    """Compare variants of a system over rows (variant, first, latency_ms, tokens, bleu, rouge_l, coverage, explored)."""
+    """Compare variants of a system over rows (variant, first) and any of latency_ms, tokens, bleu, rouge_l, coverage, explored.
+
+    Measures whose column isn't there are left out.
+    """
     pct = lambda p: F.percentile("latency_ms", p)
-    return runs.groupBy(by).agg(
-        F.count("*").alias("n"),
-        F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)).alias("recall_at_5"),
-        pct(0.5).alias("p50_ms"),
-        pct(0.95).alias("p95_ms"),
-        F.avg("tokens").alias("avg_tokens"),
-        F.avg("bleu").alias("bleu"),
-        F.avg("rouge_l").alias("rouge_l"),
-        F.avg("coverage").alias("coverage"),
-        F.avg(F.col("explored").cast("double")).alias("exploration_rate"),
-    )
+    measures = {
+        "latency_ms": [pct(0.5).alias("p50_ms"), pct(0.95).alias("p95_ms")],
+        "tokens": [F.avg("tokens").alias("avg_tokens")],
+        "bleu": [F.avg("bleu").alias("bleu")],
+        "rouge_l": [F.avg("rouge_l").alias("rouge_l")],
+        "coverage": [F.avg("coverage").alias("coverage")],
+        "explored": [F.avg(F.col("explored").cast("double")).alias("exploration_rate")],
+    }
+    return runs.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)).alias("recall_at_5"), *(m for c, ms in measures.items() if c in runs.columns for m in ms))

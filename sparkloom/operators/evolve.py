@@ -6,7 +6,7 @@ Every setting that an ablation switches is a keyword argument; the present time
 from __future__ import annotations
 
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ SAME_QUERY = 0.92
 READY_HITS = 10
 SCALE_DAYS, HIT_CAP, PRUNE_BELOW = 7.0, 10, 0.05
 MERGE_ABOVE, MERGE_MOST = 0.88, 500
+#: Centroids that a task holds at once, and pairs that are matched on the driver; more are matched in rounds.
+CENTROIDS_AT_ONCE = 8192
+PAIRS_AT_ONCE = 200_000
 DEDUP_WITHIN, DEDUP_FROM = 0.15, 6
 
 
@@ -34,16 +37,49 @@ def raw_ids(ids: Column, kinds: Column | None = None, prefix: str = "doc_") -> C
 def assign(vectors: DataFrame, centroids: DataFrame, least: float = SAME_QUERY) -> DataFrame:
     """(item_id, cluster_id, similarity): each vector's nearest centroid; cluster_id null below `least`.
 
-    vectors: (item_id, vector); centroids: (cluster_id, centroid), a bounded set. Ties go to the lesser cluster_id.
+    vectors: (item_id, vector); centroids: (cluster_id, centroid). Ties go to the lesser cluster_id. Centroids are sent
+    to the tasks in blocks of CENTROIDS_AT_ONCE; with one block, which is the rule, nothing is shuffled. Centroids and
+    vectors that are null or of another length are compared with nothing; zero vectors have similarity 0.
     """
-    pairs = vectors.join(F.broadcast(centroids)).select("item_id", "cluster_id", F.round(V.cosine(F.col("vector"), F.col("centroid")), 12).alias("similarity"))
-    best = pairs.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("cluster_id")).alias("c"))).alias("b"))
-    return best.select("item_id", F.when(F.col("b.similarity") >= least, -F.col("b.c")).alias("cluster_id"), F.col("b.similarity").alias("similarity"))
+    item, cluster = vectors.schema["item_id"].dataType, centroids.schema["cluster_id"].dataType
+    kinds = [to_arrow_type(item), to_arrow_type(cluster), pa.float64()]
+    schema = f"item_id {item.simpleString()}, cluster_id {cluster.simpleString()}, similarity double"
+
+    def nearest(names: list, matrix: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(i, v) for i, v in zip(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v]
+                near = np.round(_unit([v for _, v in rows]) @ matrix.T, 12) if rows else np.zeros((0, 1))
+                best = near.argmax(1)  # the first of equals, and names ascend
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], kinds[0]), pa.array([names[k] for k in best], kinds[1]), pa.array(near[np.arange(len(rows)), best], kinds[2])], ["item_id", "cluster_id", "similarity"])
+
+        return run
+
+    known, blocks, found = [], 0, None
+    ordered = centroids.where("cluster_id is not null and centroid is not null").select("cluster_id", "centroid").orderBy("cluster_id")
+    lengths: dict[int, list] = {}
+    for r in ordered.toLocalIterator():
+        lengths.setdefault(len(r["centroid"]), []).append((r["cluster_id"], r["centroid"]))
+        if len(lengths[len(r["centroid"])]) == CENTROIDS_AT_ONCE:
+            known.append(lengths.pop(len(r["centroid"])))
+    for some in [*known, *lengths.values()]:
+        part = vectors.select("item_id", "vector").mapInArrow(nearest([c for c, _ in some], _unit([v for _, v in some])), schema)
+        found, blocks = part if found is None else found.unionAll(part), blocks + 1
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
+    if blocks > 1:
+        best = F.min(F.struct((-F.col("similarity")).alias("far"), "cluster_id")).alias("b")
+        found = found.groupBy("item_id").agg(best).select("item_id", "b.cluster_id", (-F.col("b.far")).alias("similarity"))
+    return found.select("item_id", F.when(F.col("similarity") >= least, F.col("cluster_id")).alias("cluster_id"), "similarity")
 
 
 def cluster_log(hits: DataFrame) -> DataFrame:
     """(cluster_id, hit_count, last_hit, chunk_ids) from logged queries (cluster_id, ts, chunk_ids)."""
-    return hits.groupBy("cluster_id").agg(F.count("*").alias("hit_count"), F.max("ts").alias("last_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"))
+    # Ids are told apart before they meet in a row, so a cluster holds each of them once however often it was hit.
+    ids = hits.select("cluster_id", F.explode("chunk_ids").alias("id")).distinct().groupBy("cluster_id").agg(F.array_sort(F.collect_list("id")).alias("chunk_ids"))
+    counted = hits.groupBy("cluster_id").agg(F.count("*").alias("hit_count"), F.max("ts").alias("last_hit"))
+    out = counted.join(ids.withColumnRenamed("cluster_id", "__id"), F.col("cluster_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    return out.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast(hits.schema["chunk_ids"].dataType)))
 
 
 def centroids(vectors: DataFrame, by: str = "cluster_id", vector: str = "vector") -> DataFrame:
@@ -105,23 +141,73 @@ def _unit(vectors: list) -> np.ndarray:
 
 
 def merge_plan(pairs: DataFrame) -> DataFrame:
-    """(parent_id, child_id): a matching of the pairs, most similar first; no node has two parents.
+    """(parent_id, child_id): a matching of the pairs (a, b, similarity), most similar first; no node has two parents.
 
     A pair is taken once it is the best left at both of its ends; what it touches goes, and so on until nothing is
-    left. Each round takes at least the best pair, and the pairs come from a bounded set of nodes.
+    left, so every order of equal pairs gives the same matching: ties go to the lesser (a, b). Pairs of a bounded set of
+    nodes, up to PAIRS_AT_ONCE, are matched on the driver; more in rounds of joins.
     """
     spark = pairs.sparkSession
-    left = sorted(((-round(r["similarity"], 12), r["a"], r["b"]) for r in pairs.select("a", "b", "similarity").toLocalIterator()))
+    kind = dict(pairs.dtypes)["a"]
+    pairs = pairs.select("a", "b", F.round("similarity", 12).alias("similarity"))
+    if pairs.count() > PAIRS_AT_ONCE:
+        return _merge_rounds(pairs)
+    left = sorted(((-r["similarity"], r["a"], r["b"]) for r in pairs.collect()))
     used: set = set()
     out = []
     for _, a, b in left:
         if a not in used and b not in used:
             used |= {a, b}
             out += [(f"mn_{a}_{b}", a), (f"mn_{a}_{b}", b)]
-    kind = dict(pairs.dtypes)["a"]
     return spark.createDataFrame(out, f"parent_id string, child_id {kind}")
 
 
+def _merge_rounds(pairs: DataFrame) -> DataFrame:
+    """Each round takes the pairs that are the best left at both ends; rounds are cut by checkpoints."""
+    taken = None
+    left = pairs.checkpoint()
+    while not left.isEmpty():
+        order = F.struct((-F.col("similarity")).alias("far"), "a", "b")
+        ends = left.select(F.explode(F.array("a", "b")).alias("node"), order.alias("p")).groupBy("node").agg(F.min("p").alias("p"))
+        best = ends.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b").checkpoint()
+        taken = best if taken is None else taken.unionAll(best)
+        gone = best.select(F.explode(F.array("a", "b")).alias("gone"))
+        left = left.join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti").checkpoint()
+    both = pairs.select("a", "b").limit(0) if taken is None else taken
+    name = F.concat_ws("_", F.lit("mn"), F.col("a").cast("string"), F.col("b").cast("string"))
+    return both.select(name.alias("parent_id"), F.explode(F.array("a", "b")).alias("child_id"))
+
+
+def meta_nodes(plan: DataFrame, nodes: DataFrame, now: Column, merge: Callable[[Column, Column], Column] | None = None, max_depth: int = 2) -> DataFrame:
+    """(id, type, text, embedding, children, access_count, depth, created_at, in_hierarchy): a node above each matched pair.
+
+    nodes: (node_id, text, vector, access_count) and, if there, in_hierarchy and depth (nulls count as false and 0).
+    merge makes the text of two texts, by default one below the other; the embedding is the mean of the children's, the
+    accesses their sum. Pairs with a child that is in a hierarchy already are left out, and those that would stand
+    deeper than max_depth. A new node is no child itself.
+    """
+    merge = merge or (lambda x, y: F.concat_ws("\n\n", x, y))
+    child = [F.col("node_id").alias("child_id"), "text", "vector", F.coalesce("access_count", F.lit(0)).cast("long").alias("access_count")]
+    child += [(F.coalesce("depth", F.lit(0)) if "depth" in nodes.columns else F.lit(0)).cast("int").alias("depth"), (F.coalesce("in_hierarchy", F.lit(False)) if "in_hierarchy" in nodes.columns else F.lit(False)).alias("locked")]
+    members = F.array_sort(F.collect_list(F.struct("child_id", "text", "vector", "access_count", "depth", "locked")))  # two to a parent
+    pairs = plan.join(nodes.select(*child), "child_id").groupBy("parent_id").agg(members.alias("c")).where((F.size("c") == 2) & ~F.exists("c", lambda x: x["locked"]))
+    one, two = F.col("c")[0], F.col("c")[1]
+    mean = F.zip_with(one["vector"], two["vector"], lambda x, y: (x + y) / 2)
+    out = pairs.select(
+        F.col("parent_id").alias("id"), F.lit("meta_node").alias("type"), merge(one["text"], two["text"]).alias("text"), mean.alias("embedding"), F.array(one["child_id"], two["child_id"]).alias("children"),
+        (one["access_count"] + two["access_count"]).alias("access_count"), (F.greatest(one["depth"], two["depth"]) + 1).alias("depth"), now.alias("created_at"), F.lit(False).alias("in_hierarchy"),
+    )
+    return out.where(F.col("depth") <= max_depth)
+
+
+def locked_children(nodes: DataFrame, metas: DataFrame) -> DataFrame:
+    """nodes with in_hierarchy and parent_meta_id set for the children of new meta nodes, so that later merges pass them by."""
+    parents = metas.select(F.explode("children").alias("node_id"), F.col("id").alias("__parent"))
+    before = F.col("parent_meta_id") if "parent_meta_id" in nodes.columns else F.lit(None).cast("string")
+    locked = F.coalesce("in_hierarchy", F.lit(False)) if "in_hierarchy" in nodes.columns else F.lit(False)
+    return nodes.join(parents, "node_id", "left").withColumns({"in_hierarchy": locked | F.col("__parent").isNotNull(), "parent_meta_id": F.coalesce("__parent", before)}).drop("__parent")
+
+
 def access_counts(nodes: DataFrame, hits: DataFrame) -> DataFrame:
     """nodes with the hits (node_id) of a batch added to access_count."""
     new = hits.groupBy("node_id").agg(F.count("*").alias("__new"))

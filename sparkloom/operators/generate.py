@@ -26,6 +26,20 @@ def prompt(question: Column, found: Column) -> Column:
     return F.concat(F.lit("Context Information:"), found, F.lit("\n\nUser Question: "), question, F.lit("\n\nAnswer:"))
 
 
+#: Characters that a token of a model's budget is taken for.
+CHARS_PER_TOKEN = 4
+
+
+def within_budget(text: Column, max_tokens: int) -> Column:
+    """The beginning of a text that a model's budget holds."""
+    return F.left(text, F.lit(max_tokens * CHARS_PER_TOKEN))
+
+
+def shortened(text: Column, chars: int, mark: str = "...") -> Column:
+    """A text for display: cut to so many characters, with a mark where something was cut."""
+    return F.when(F.length(text) > chars, F.concat(F.left(text, F.lit(chars)), F.lit(mark))).otherwise(text)
+
+
 def extractive_model(most_words: int = 60) -> Callable[[str, str], str]:
     """A deterministic stand-in: the first words of the first source."""
 
@@ -36,8 +50,11 @@ def extractive_model(most_words: int = 60) -> Callable[[str, str], str]:
     return answer
 
 
-def answers(queries: DataFrame, hits: DataFrame, load: Callable[[], Callable[[str, str], str]] = extractive_model, query_id: str = "query_id", query: str = "query", **columns: str) -> DataFrame:
-    """(query_id, query, prompt, answer). Without hits a fixed answer; a model's error becomes the answer's text."""
+def answers(queries: DataFrame, hits: DataFrame, load: Callable[[], Callable[[str, str], str]] = extractive_model, query_id: str = "query_id", query: str = "query", max_tokens: int | None = None, **columns: str) -> DataFrame:
+    """(query_id, query, prompt, answer). Without hits a fixed answer; a model's error becomes the answer's text.
+
+    With max_tokens the context is cut to what that budget holds.
+    """
 
     @F.pandas_udf("string")
     def ask(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -55,6 +72,8 @@ def answers(queries: DataFrame, hits: DataFrame, load: Callable[[], Callable[[st
             yield pd.Series([one(q, c) for q, c in zip(question, found)])
 
     found = queries.select(query_id, query).join(context(hits, query_id, **columns), query_id, "left").withColumn("context", F.coalesce("context", F.lit("")))
+    if max_tokens is not None:
+        found = found.withColumn("context", within_budget(F.col("context"), max_tokens))
     return found.select(query_id, query, prompt(F.col(query), F.col("context")).alias("prompt"), ask(F.col(query), F.col("context")).alias("answer"))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
 
-#: Query vectors that are held against the collection at once; more are taken in several passes.
+#: Query vectors that are sent to the tasks at most; larger sets meet the collection block by block.
 QUERY_BLOCK = 4096
+#: Rows of a block of a large query set, and of the collection it is held against.
+GRID_ROWS = 32_768
 MAX_K = 10
 
 
@@ -29,71 +31,137 @@ def nonblank(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.where(T.strip(F.col(text)) != "")
 
 
+def _unit_rows(names: list, vectors: list, dim: int | None = None) -> tuple[list, np.ndarray]:
+    """Names and unit vectors of those that are usable: of one length, without nulls, finite, not zero."""
+    kept, out = [], []
+    for name, x in zip(names, vectors):
+        if x and (dim is None or len(x) == dim) and None not in x:
+            x = np.asarray(x, np.float64)
+            n = np.sqrt(x @ x)
+            if np.isfinite(n) and n > 0:
+                dim = len(x)
+                kept.append(name)
+                out.append(x / n)
+    return kept, np.array(out) if out else np.zeros((0, dim or 0))
+
+
+def _nearest(names: list, q: np.ndarray, ids: list, v: np.ndarray, k: int, skip_self: bool) -> Iterator[tuple[int, list]]:
+    """For each query its k best (distance, id) among the given items, or more where the last are equally near."""
+    most = min(len(ids), k + 1)
+    for at in range(0, len(names), 512):
+        far = 1 - q[at : at + 512] @ v.T
+        # All items as near as the k-th are kept, so that ties are settled by id.
+        cut = np.partition(far, most - 1, axis=1)[:, most - 1]
+        for row in range(len(far)):
+            yield at + row, [(round(float(far[row, j]), 12), ids[j]) for j in np.flatnonzero(far[row] <= cut[row]) if not (skip_self and ids[j] == names[at + row])]
+
+
 def top_k(queries: DataFrame, collection: DataFrame, k: int = 5, query_id: str = "query_id", query_vector: str = "query_vector", item_id: str = "item_id", vector: str = "vector", skip_self: bool = False) -> DataFrame:
     """(query_id, item_id, distance, rank): each query's k nearest items; ties go to the lesser item_id.
 
-    The queries are a stated set: they are sent to the tasks in blocks of `QUERY_BLOCK`, and each task keeps the k
-    best of its own items before anything is shuffled. Null, zero and non-finite vectors are no neighbours.
+    The queries are a stated set. Up to `QUERY_BLOCK` of them are sent to the tasks, and each task keeps the k best of its
+    own items before anything is shuffled; larger sets meet the collection in a grid of blocks, which are shuffled, and
+    each cell keeps the k best. Null, zero and non-finite vectors have no neighbours and are none, nor do vectors of
+    different lengths.
     """
     spark = collection.sparkSession
-    asked = [(r[0], r[1]) for r in queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()]
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *collection.schema]}
     schema = f"query_id {kinds[query_id]}, item_id {kinds[item_id]}, distance double"
     types = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(collection.schema[item_id].dataType), pa.float64()]
-    rows = collection.select(F.col(item_id).alias("item_id"), F.col(vector).alias("vector"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector")).where("vector is not null")
+    rows = collection.select(F.col(item_id).alias("item_id"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null")
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in found], types[c]) for c in range(3)], ["query_id", "item_id", "distance"])
 
-    def nearest(names: list, q: np.ndarray):
+    def sent(names: list, q: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: list[list[tuple[float, object]]] = [[] for _ in names]
             for batch in batches:
-                ids, v = [], []
-                for i, x in zip(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist()):
-                    if x and len(x) == q.shape[1] and None not in x:
-                        x = np.asarray(x, np.float64)
-                        n = np.sqrt(x @ x)
-                        if np.isfinite(n) and n > 0:
-                            ids.append(i)
-                            v.append(x / n)
-                if not ids:
-                    continue
-                far = 1 - q @ np.array(v).T
-                most = min(far.shape[1], k + 1)
-                # All items as near as the k-th are kept, so that ties are settled by id.
-                cut = np.partition(far, most - 1, axis=1)[:, most - 1]
-                for row, name in enumerate(names):
-                    own = [(round(float(far[row, j]), 12), ids[j]) for j in np.flatnonzero(far[row] <= cut[row]) if not (skip_self and ids[j] == name)]
-                    best[row] = sorted(best[row] + own)[:k]
-            out = [(name, i, d) for name, own in zip(names, best) for d, i in own]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], types[c]) for c in range(3)], ["query_id", "item_id", "distance"])
+                ids, v = _unit_rows(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist(), q.shape[1])
+                if ids:
+                    for row, own in _nearest(names, q, ids, v, k, skip_self):
+                        best[row] = sorted(best[row] + own)[:k]
+            yield batch_of([(name, i, d) for name, own in zip(names, best) for d, i in own])
 
         return run
 
-    found = None
-    for at in range(0, len(asked), QUERY_BLOCK):
-        part = [(n, np.asarray(v, np.float64)) for n, v in asked[at : at + QUERY_BLOCK]]
-        part = [(n, v / np.sqrt(v @ v)) for n, v in part if np.isfinite(v).all() and v.any()]
-        if part:
-            q = np.array([v for _, v in part])
-            block = rows.mapInArrow(nearest([n for n, _ in part], q), schema)
-            found = block if found is None else found.unionAll(block)
-    if found is None:
+    first = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(first) > QUERY_BLOCK:
+        found = _grid(asked, rows, k, skip_self, batch_of, schema)
+    else:
+        lengths: dict[int, list] = {}
+        for r in first:
+            lengths.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
         found = spark.createDataFrame([], schema)
+        for some in lengths.values():
+            names, q = _unit_rows(*zip(*some))
+            if names:
+                found = found.unionAll(rows.mapInArrow(sent(names, q), schema))
     w = W.partitionBy("query_id").orderBy("distance", "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k_sql(queries: DataFrame, collection: DataFrame, k: int = 5) -> DataFrame:
-    """The same as expressions only, for query sets that are themselves large: (query_id, item_id, distance, rank)."""
-    w = W.partitionBy("query_id").orderBy("distance", "item_id")
-    pairs = queries.join(collection).select("query_id", "item_id", F.round(V.distance(F.col("query_vector"), F.col("vector")), 12).alias("distance"))
-    return pairs.where("distance is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _grid(asked: DataFrame, rows: DataFrame, k: int, skip_self: bool, batch_of, schema: str) -> DataFrame:
+    """The k best of each cell, from blocks of queries and blocks of items of one length."""
+    i, j = (max(1, -(-x.count() // GRID_ROWS)) for x in (asked, rows))
+    place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda d, name: F.lit(None).cast(d.schema[name].dataType).alias(name)
+    dim = F.size("vector").alias("dim")
+    left = asked.select("query_id", none(rows, "item_id"), "vector", dim, place("query_id", i).alias("i"), every(j).alias("j"))
+    right = rows.select(none(asked, "query_id"), "item_id", "vector", dim, every(i).alias("i"), place("item_id", j).alias("j"))
+    keys = ["dim", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked_rows, items = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            (names, q), (ids, v) = (_unit_rows(*zip(*x)) if x else ([], None) for x in (asked_rows, items))
+            if names and ids:
+                found = ((names[row], i, d) for row, own in _nearest(names, q, ids, v, k, skip_self) for d, i in sorted(own)[:k])
+                yield batch_of(list(found))
+
+        for batch in batches:
+            for d, x, y, is_q, query, item, v in zip(*(batch.column(c).to_pylist() for c in (*keys, "is_query", "query_id", "item_id", "vector"))):
+                if (d, x, y) != key:
+                    yield from out()
+                    key, asked_rows, items = (d, x, y), [], []
+                (asked_rows if is_q else items).append((query if is_q else item, v))
+        yield from out()
+
+    cells = left.withColumn("is_query", F.lit(True)).unionByName(right.withColumn("is_query", F.lit(False)))
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def max_sim(query_tokens: DataFrame, document_tokens: DataFrame) -> DataFrame:
-    """Late interaction: (query_id, item_id, score), the sum over query tokens of their best cosine in the document."""
-    pairs = query_tokens.join(document_tokens).select("query_id", "item_id", "position", V.cosine(F.col("query_vector"), F.col("vector")).alias("cosine"))
-    return pairs.groupBy("query_id", "item_id", "position").agg(F.max("cosine").alias("best")).groupBy("query_id", "item_id").agg(F.sum("best").alias("score"))
+    """Late interaction: (query_id, item_id, score), the sum over query tokens of their best cosine in the document.
+
+    query_tokens: (query_id, position, query_vector), a stated set that is sent to the tasks; document_tokens: (item_id,
+    vector). Tasks take each document's best by token before anything is shuffled. Unusable vectors don't count.
+    """
+    spark = document_tokens.sparkSession
+    kinds = {f.name: f.dataType for f in [*query_tokens.schema, *document_tokens.schema]}
+    asked = query_tokens.where("query_vector is not null").select("query_id", "position", "query_vector").collect()
+    names, q = _unit_rows([(r["query_id"], r["position"]) for r in asked], [r["query_vector"] for r in asked])
+    schema = f"query_id {kinds['query_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, position {kinds['position'].simpleString()}, best double"
+    if not names:
+        return spark.createDataFrame([], f"query_id {kinds['query_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, score double")
+    types = [to_arrow_type(kinds[c]) for c in ("query_id", "item_id", "position")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, v = _unit_rows(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist(), q.shape[1])
+            if ids:
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                ids, v = [ids[i] for i in order], v[order]
+                first = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+                best = np.maximum.reduceat(q @ v.T, first, axis=1)
+                rows = [(n, ids[i], p, float(best[k, j])) for k, (n, p) in enumerate(names) for j, i in enumerate(first)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], types[c]) for c in range(3)), pa.array([r[3] for r in rows], pa.float64())], ["query_id", "item_id", "position", "best"])
+
+    found = document_tokens.where("item_id is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
+    return found.groupBy("query_id", "item_id", "position").agg(F.max("best").alias("best")).groupBy("query_id", "item_id").agg(F.sum("best").alias("score"))
 
 
 def mask_children(hits: DataFrame, children: DataFrame) -> DataFrame:

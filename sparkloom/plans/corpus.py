@@ -312,7 +312,7 @@ def snapshot_candidates(spark, sf_dir):
 with s as (select d.source as node_id, count(*) as n_sources, count(l.doc_id) as n_alive from documents d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id group by d.source)
 select node_id, n_sources, n_alive, round(n_alive::double / n_sources, 6) as ratio, n_alive < n_sources as is_stale, n_alive = 0 as gone from s""")
 def staleness_ratio(spark, sf_dir):
-    nodes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("node_id")).agg(F.collect_list("doc_id").alias("source_chunks"))
+    nodes = table(spark, sf_dir, "documents").select(F.col("source").alias("node_id"), F.array("doc_id").alias("source_chunks"))
     out = EO.staleness(nodes, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")))
     return out.withColumn("ratio", F.round("ratio", 6))
 
@@ -340,11 +340,33 @@ def similar_pairs(spark, sf_dir):
     return EO.similar_pairs(_nodes(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_MERGED = """
+with recursive t as (select vec_id, embedding::double[] as v from embeddings order by vec_id * 37 % 101 desc, vec_id limit 500),
+p as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.v, b.v), 12) as s from t a join t b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) > 0.3),
+o as (select a, b, row_number() over (order by s desc, a, b) as n from p),
+m as (
+    select cast(0 as bigint) as n, cast([] as bigint[]) as used
+    union all
+    select x.n, list_concat(m.used, [o.a, o.b]) from m, lateral (select min(q.n) as n from o q where q.n > m.n and not list_contains(m.used, q.a) and not list_contains(m.used, q.b)) x join o on o.n = x.n
+), taken as (select o.a, o.b from m join o on o.n = m.n)
+"""
+
+
+@query(_MERGED + "select 'mn_' || a || '_' || b as parent_id, unnest([a, b]) as child_id from taken")
 def merge_plan(spark, sf_dir):
     return EO.merge_plan(EO.similar_pairs(_nodes(spark, sf_dir), 0.3))
 
 
+@query(_MERGED + """
+select 'mn_' || a || '_' || b as id, a::varchar || ' ' || b::varchar as children, cast(a * 37 % 101 + b * 37 % 101 as bigint) as access_count, a::varchar || chr(10) || chr(10) || b::varchar as text,
+    round((x.embedding[1]::double + y.embedding[1]::double) / 2, 6) as first_value, 1 as depth
+from taken join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b""")
+def meta_nodes(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir).withColumns({"text": F.col("node_id").cast("string"), "vector": F.col("vector").cast("array<double>")})
+    made = EO.meta_nodes(EO.merge_plan(EO.similar_pairs(nodes, 0.3)), nodes, F.lit(NOW).cast("timestamp"))
+    return made.select("id", F.array_join(F.col("children").cast("array<string>"), " ").alias("children"), "access_count", "text", F.round(F.col("embedding")[0], 6).alias("first_value"), "depth")
+
+
 @query("""
 with c as (select label, p.i as pos, round(avg(embedding[p.i + 1]::double), 6) as value from embeddings, (select unnest(range(0, 64)) as i) p group by all)
 select label, cast(pos as bigint) as pos, value from c""")
@@ -366,18 +388,24 @@ def cluster_assign(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_TOPK + """, h as (select query_id, item_id, d, item_id % 2 = 1 as super from r where rank <= 10),
+_RERANKED = _TOPK + """, h as (select query_id, item_id, d, item_id % 2 = 1 as super from r where rank <= 10),
 k as (select * from h where super and not exists (select 1 from h p where p.query_id = h.query_id and p.super and p.item_id = h.item_id - 2 and p.item_id % 4 = 1)),
 u as (select query_id, item_id, 'raw' as type, d as score from h where not super union all select query_id, item_id, 'super_node', case when query_id % 10 <> 0 or query_id % 100 = 0 then d * 0.85 else d end from k),
 n as (select *, row_number() over (partition by query_id order by round(score, 9), item_id, type) as rank from u)
-select query_id, item_id, type, round(score, 6) as score, cast(rank as bigint) as rank from n where rank <= 5""")
+"""
+
+
+@query(_RERANKED + "select query_id, item_id, type, round(score, 6) as score, cast(rank as bigint) as rank from n where rank <= 5")
 def masked_rerank(spark, sf_dir):
-    rows, asked = _asked(spark, sf_dir)
+    out = _reranked(*_asked(spark, sf_dir))
+    return out.select("query_id", "item_id", "type", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _reranked(rows, asked):
     hits = RT.top_k(asked, rows, 10, item_id="vec_id", vector="embedding", skip_self=True).withColumn("distance", F.round("distance", 9))
     ids = rows.select(F.col("vec_id").alias("parent_id"), (F.col("vec_id") + 2).alias("child_id")).where("parent_id % 4 = 1")
     exploit = (F.col("query_id") % 10 != 0) | (F.col("query_id") % 100 == 0)
-    out = RT.preferential(hits.where("item_id % 2 = 0"), hits.where("item_id % 2 = 1"), ids, exploit, 5)
-    return out.select("query_id", "item_id", "type", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return RT.preferential(hits.where("item_id % 2 = 0"), hits.where("item_id % 2 = 1"), ids, exploit, 5)
 
 
 @query("select c_custkey as node_id, cast(c_custkey % 5 + coalesce(n, 0) as bigint) as access_count from customer left join (select user_id, count(*) as n from events group by user_id) on user_id = c_custkey")
@@ -470,7 +498,7 @@ def grounded_answers(spark, sf_dir):
     return I.answer(asked, chunks).select("query_id", "query", "answer", F.length("prompt").alias("prompt_chars"))
 
 
-@query()
+@query("select doc_id, 64 as dim, case when len(" + _WORDS.format("text") + ") = 0 then 0.0::double else 1.0::double end as norm from documents")
 def embed_documents(spark, sf_dir):
     made = E.embed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), text="text")
     return made.select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
@@ -497,13 +525,21 @@ def online_clusters(spark, sf_dir):
     return EO.online_clusters(rows, "shard", 0.35)
 
 
-@query()
+@query(_RERANKED + f""", a as (select 'baseline' as variant, query_id, item_id, rank, false as explored from r where rank <= 5
+    union all select 'evolved', query_id, item_id, rank, not (query_id % 10 <> 0 or query_id % 100 = 0) from n where rank <= 5),
+w as (select doc_id, len({_WORDS.format("text")}) as tokens from documents),
+q as (select a.variant, a.query_id, min(a.rank) filter (where x.label = y.label) as first, coalesce(sum(w.tokens), 0) as tokens, bool_or(a.explored) as explored
+    from a join embeddings x on x.vec_id = a.query_id join embeddings y on y.vec_id = a.item_id left join w on w.doc_id = a.item_id group by all)
+select variant, count(*) as n, round(avg(case when first <= 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(tokens), 6) as avg_tokens, round(avg(case when explored then 1.0 else 0.0 end), 6) as exploration_rate from q group by variant""")
 def system_comparison(spark, sf_dir):
+    """Plain retrieval against re-ranking with super nodes, over the same questions; tokens are the words of what is retrieved."""
     rows, asked = _asked(spark, sf_dir)
-    hits = RT.top_k(asked, rows, 5, item_id="vec_id", vector="embedding", skip_self=True)
+    plain = RT.top_k(asked, rows, 5, item_id="vec_id", vector="embedding", skip_self=True).select("query_id", "item_id", "rank", F.lit("baseline").alias("variant"), F.lit(False).alias("explored"))
+    exploit = (F.col("query_id") % 10 != 0) | (F.col("query_id") % 100 == 0)
+    evolved = _reranked(rows, asked).select("query_id", "item_id", "rank", F.lit("evolved").alias("variant"), (~exploit).alias("explored"))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.size(T.words(F.col("text"))).alias("tokens"))
     label = rows.select("vec_id", "label")
-    known = hits.join(label.withColumnsRenamed({"vec_id": "query_id", "label": "asked"}), "query_id").join(label.withColumnsRenamed({"vec_id": "item_id", "label": "found"}), "item_id")
-    first = EV.first_relevant(known, F.col("asked") == F.col("found"))
-    runs = first.select(F.explode(F.array(F.lit("baseline"), F.lit("evolved"))).alias("variant"), "query_id", "first")
-    runs = runs.withColumns({"latency_ms": (F.col("query_id") % 13 + 1).cast("double"), "tokens": F.lit(500), "bleu": F.lit(0.5), "rouge_l": F.lit(0.5), "coverage": F.lit(0.9), "explored": ~RT.exploits(F.col("query_id"))})
-    return EV.roll_up(runs)
+    known = plain.unionByName(evolved).join(label.withColumnsRenamed({"vec_id": "query_id", "label": "asked"}), "query_id").join(label.withColumnsRenamed({"vec_id": "item_id", "label": "found"}), "item_id").join(words, "item_id", "left")
+    runs = known.groupBy("variant", "query_id").agg(F.min(F.when(F.col("asked") == F.col("found"), F.col("rank"))).alias("first"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.bool_or("explored").alias("explored"))
+    out = EV.roll_up(runs)
+    return out.select("variant", "n", *(F.round(c, 6).alias(c) for c in ("recall_at_5", "avg_tokens", "exploration_rate")))

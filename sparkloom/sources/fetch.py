@@ -56,6 +56,31 @@ def fetched(urls: DataFrame, load: Callable[[], Fetcher], per_second: float = 2.
     return urls.select("url", "fetch_mode", "archive_date").mapInPandas(run, "url string, html string, source string, error string")
 
 
+#: The archive date of the second try and the sites that get one.
+SECOND_DATE, SECOND_SITES = "20140101", ("cdc.gov",)
+
+
+def archive_tries(urls: DataFrame, url: str = "url") -> DataFrame:
+    """Rows (url, fetch_mode, archive_date) with their tries in order (try_no): of archived pages as asked for, then, for
+    sites that need it, at a fixed earlier date."""
+    second = F.array(*(F.lit(x) for x in SECOND_SITES))
+    host = R.authority(F.col(url))
+    again = (F.col("fetch_mode") == "wayback") & F.exists(second, lambda x: host.contains(x))
+    dates = F.when(again, F.array(F.col("archive_date"), F.lit(SECOND_DATE))).otherwise(F.array("archive_date"))
+    return urls.select(*[c for c in urls.columns if c != "archive_date"], F.posexplode(dates).alias("try_no", "archive_date"))
+
+
+def first_usable(tried: DataFrame, url: str = "url") -> DataFrame:
+    """(url, html, source) of each url's first try with a usable page; html and source are null without one.
+
+    The second try may hold a page that redirects to a first topic, as long as it hasn't moved.
+    """
+    usable = R.usable_page(F.col("html")) | (F.col("try_no") > 0) & F.col("html").isNotNull() & (F.col("html") != "") & ~F.col("html").contains("This Page Has Moved")
+    best = F.min(F.when(usable, F.struct("try_no", "html", "source"))).alias("b")
+    label = F.when((F.col("b.try_no") > 0) & F.col("b.source").isNotNull(), F.concat(F.col("b.source"), F.lit(f" ({SECOND_DATE[:4]})"))).otherwise(F.col("b.source"))
+    return tried.groupBy(url).agg(best).select(url, "b.html", label.alias("source"))
+
+
 def rescue_candidates(urls: DataFrame, url: str = "url", years: tuple[int, int] = RESCUE_YEARS) -> DataFrame:
     """Each url with every year's snapshot date, the latest first: (..., year, archive_date)."""
     first, last = years

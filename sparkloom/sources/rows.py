@@ -36,6 +36,17 @@ def with_url(rows: DataFrame, url: str = "document_url", domain: str | None = No
     return out if limit is None else out.orderBy(order or url).limit(limit)
 
 
+def answered(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Rows whose answer is there: those that a benchmark can use."""
+    return rows.where(F.col(answer).isNotNull())
+
+
+def first_documents(rows: DataFrame, n: int, document: str = "document_id", order: str = "pos") -> DataFrame:
+    """Rows of the first n documents, in the order of their first rows."""
+    first = rows.where(F.col(document).isNotNull()).groupBy(document).agg(F.min(order).alias("__first")).orderBy("__first", document).limit(n).select(document)
+    return rows.join(first, document, "left_semi")
+
+
 def secure_url(url: Column) -> Column:
     return F.regexp_replace(url, "^http:", "https:")
 

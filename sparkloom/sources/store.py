@@ -67,8 +67,8 @@ class Keyed:
 
 
 def table_size(spark: SparkSession, path: str) -> DataFrame:
-    """(kilobytes) of all files below a path, from their listing."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg((F.sum("length") / 1024).alias("kilobytes"))
+    """(kilobytes) of all files below a path, from their listing; no file is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").agg((F.sum("length") / 1024).alias("kilobytes"))
 
 
 def save_jsonl(rows: DataFrame, path: str) -> None:

@@ -71,6 +71,11 @@ def run_once(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
+def run_every(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], interval: str = "5 minutes", mode: str = "append"):
+    """Start a query that takes what has come in every `interval`; batches never overlap, and a late one isn't made up for."""
+    return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(each).start()
+
+
 def to_table(rows: DataFrame, checkpoint: str, path: str) -> DataFrame:
     """Run an append stream into a Parquet table (each batch once, by its number) and read it."""
     run_once(rows, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))

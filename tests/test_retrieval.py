@@ -14,17 +14,24 @@ from sparkloom.operators import upsert as U
 from sparkloom.plans import corpus
 
 
-def test_top_k_against_numpy(spark):
+@pytest.mark.parametrize("block, grid", [(4096, 32_768), (3, 25), (3, 1000)])
+def test_top_k_against_numpy(spark, monkeypatch, block, grid):
+    monkeypatch.setattr(RT, "QUERY_BLOCK", block)
+    monkeypatch.setattr(RT, "GRID_ROWS", grid)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((120, 8))
     rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(500, None), (501, [0.0] * 8)], "item_id int, vector array<double>").repartition(3)
     asked = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(7)], "query_id int, query_vector array<double>")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for got in (RT.top_k(asked, rows, 4), RT.top_k_sql(asked, rows, 4)):
-        for q in range(7):
-            own = [r["item_id"] for r in got.where(F.col("query_id") == q).orderBy("rank").collect()]
-            assert own == np.argsort(1 - unit @ unit[q], kind="stable")[:4].tolist()
-    assert RT.top_k(asked.limit(0), rows, 4).count() == 0
+    # Queries of other lengths meet items of theirs.
+    rows = rows.unionByName(spark.createDataFrame([(600, [1.0, 2.0]), (601, [2.0, 4.0])], rows.schema))
+    asked = asked.unionByName(spark.createDataFrame([(90, [1.0, 2.0]), (91, None), (92, [0.0, 0.0]), (93, [1.0])], asked.schema))
+    got = RT.top_k(asked, rows, 4).orderBy("query_id", "rank").collect()
+    for q in range(7):
+        own = [r["item_id"] for r in got if r["query_id"] == q]
+        assert own == np.argsort(1 - unit @ unit[q], kind="stable")[:4].tolist()
+    assert [r["item_id"] for r in got if r["query_id"] >= 90] == [600, 601]
+    assert RT.top_k(asked.limit(0), rows, 4).count() == 0 == RT.top_k(asked, rows.limit(0), 4).count()
 
 
 def test_top_k_settles_ties_by_id(spark):
@@ -113,6 +120,75 @@ def test_semantic_dedup_compares_vectors_with_distant_ids(spark, tmp_path):
     assert len(got) == 20 and all(not r["kept"] for r in got if r["item_id"] >= 7050)
 
 
+@pytest.mark.parametrize("at_once", [8192, 3])
+def test_assign(spark, monkeypatch, at_once):
+    monkeypatch.setattr(EO, "CENTROIDS_AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    x, c = rng.standard_normal((50, 6)), rng.standard_normal((9, 6))
+    c[4] = c[2]  # a tie goes to the lesser id
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(98, [0.0] * 6), (99, None), (97, [1.0])], "item_id long, vector array<double>").repartition(3)
+    centroids = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(c)] + [("none", None)], "cluster_id string, centroid array<double>")
+    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    got = {r["item_id"]: (r["cluster_id"], r["similarity"]) for r in EO.assign(vectors, centroids, 0.5).collect()}
+    assert got.pop(98) == (None, 0.0) and set(got) == set(range(50))
+    for i in range(50):
+        k = int(np.round(near[i], 12).argmax())
+        assert got[i][0] == (f"c{k}" if near[i, k] >= 0.5 else None) and got[i][1] == pytest.approx(near[i, k])
+    assert EO.assign(vectors, centroids.limit(0)).count() == 0
+
+
+def test_merge_plan_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b), round(float(s), 2)) for a, b, s in zip(rng.integers(0, 40, 150), rng.integers(40, 60, 150), rng.random(150))]
+    pairs = spark.createDataFrame(sorted({(a, b): (a, b, s) for a, b, s in pairs}.values()), "a long, b long, similarity double")
+    plan = lambda: sorted(map(tuple, EO.merge_plan(pairs).collect()))
+    expected = plan()
+    monkeypatch.setattr(EO, "PAIRS_AT_ONCE", 10)
+    assert plan() == expected and len(expected) > 20
+
+
+def test_meta_nodes_and_locks(spark):
+    nodes = spark.createDataFrame([(1, "a", [1.0, 0.0], 2, False, 0), (2, "b", [0.0, 1.0], 3, None, 1), (3, "c", [1.0, 1.0], None, False, 2), (4, "d", [1.0, 0.0], 1, False, None), (5, "e", [1.0, 0.0], 1, True, 0), (6, "f", [1.0, 0.0], 1, False, 0)], "node_id int, text string, vector array<double>, access_count int, in_hierarchy boolean, depth int")
+    plan = spark.createDataFrame([("m1", 1), ("m1", 2), ("m2", 3), ("m2", 4), ("m3", 5), ("m3", 6)], "parent_id string, child_id int")
+    made = EO.meta_nodes(plan, nodes, F.current_timestamp())
+    (r,) = made.collect()  # the second pair would stand too deep, the third is locked
+    assert (r["id"], r["text"], r["embedding"], r["children"], r["access_count"], r["depth"], r["in_hierarchy"]) == ("m1", "a\n\nb", [0.5, 0.5], [1, 2], 5, 2, False)
+    locked = {r["node_id"]: (r["in_hierarchy"], r["parent_meta_id"]) for r in EO.locked_children(nodes, made).collect()}
+    assert locked == {1: (True, "m1"), 2: (True, "m1"), 3: (False, None), 4: (False, None), 5: (True, None), 6: (False, None)}
+
+
+def test_query_log_becomes_super_nodes(spark):
+    """From logged queries over clusters and summaries to new nodes, ids of raw chunks only."""
+    hits = spark.createDataFrame([(1, dt.datetime(2024, 1, d), ["doc_1", "sn_9", f"doc_{d}"]) for d in range(1, 12)] + [(2, dt.datetime(2024, 1, 1), ["doc_5"]), (None, dt.datetime(2024, 1, 1), [])], "cluster_id int, ts timestamp, chunk_ids array<string>")
+    log = EO.cluster_log(hits.withColumn("chunk_ids", EO.raw_ids(F.col("chunk_ids"))))
+    assert {r["cluster_id"]: (r["hit_count"], len(r["chunk_ids"])) for r in log.collect()} == {1: (11, 11), 2: (1, 1), None: (1, 0)}
+    jobs = EO.ready(log.withColumns({"synthesized": F.lit(False), "synthesizing": F.lit(False), "canonical_query": F.lit("q")}))
+    source = jobs.select("cluster_id", F.concat_ws(" ", F.lit("Alpha has 12 of"), F.col("cluster_id")).alias("source"))
+    made = EO.super_nodes(G.synthesize(source, lambda: lambda text, missing: text), jobs, F.lit("2024-02-01 00:00:00").cast("timestamp")).collect()
+    assert [(r["id"], r["access_count"], len(r["source_chunks"]), r["fact_coverage"]) for r in made] == [("sn_1_20240201000000", 11, 11, 1.0)]
+
+
+def test_budgets_and_sentences(spark):
+    from sparkloom.operators import chunk as C
+
+    rows = spark.createDataFrame([("One two. Three four five! \"Six?\" Seven 8.5 e.g. nine",), (None,), (" ",)], "t string")
+    got = rows.select(C.sentences(F.col("t")).alias("s"), C.sentence_windows(F.col("t"), 7).alias("w"), G.within_budget(F.col("t"), 2).alias("b"), G.shortened(F.col("t"), 3).alias("c")).collect()
+    assert got[0]["s"] == ["One two.", "Three four five!", '"Six?"', "Seven 8.5 e.g. nine"]
+    assert [(w["text"], w["n_words"]) for w in got[0]["w"]] == [("One two. Three four five!", 5), ('"Six?" Seven 8.5 e.g. nine', 5)]
+    assert (got[0]["b"], got[0]["c"]) == ("One two.", "One...") and got[1]["s"] == [] == got[2]["w"] and got[1]["b"] is None
+    hits = spark.createDataFrame([(1, 1, "S", "u", "w" * 100)], "query_id int, rank int, section string, source_url string, text string")
+    (answer,) = G.answers(spark.createDataFrame([(1, "q")], "query_id int, query string"), hits, max_tokens=10).collect()
+    assert len(answer["prompt"]) == len("Context Information:" + "\n\nUser Question: q\n\nAnswer:") + 40
+
+
+def test_overlap_summary(spark):
+    rows = spark.createDataFrame([("success", 2, 0.5), ("success", 1, 0.2), ("failed", None, None)], "status string, questions_count int, avg_overlap double")
+    r = EV.overlap_summary(rows).first()
+    assert (r["n_urls"], r["n_success"], r["n_questions"]) == (3, 2, 3) and r["success_rate"] == pytest.approx(200 / 3) and r["avg_overlap"] == pytest.approx(0.4)
+    assert EV.overlap_summary(rows.limit(0)).first()["success_rate"] == 0.0
+    assert EV.timed(lambda: 5)[0] == 5 and EV.timed(lambda: 0) == (0, 0.0)
+
+
 def test_merge_plan_takes_each_node_once(spark):
     nodes = spark.createDataFrame([(1, [1.0, 0.0], 1, False), (2, [1.0, 0.01], 1, False), (3, [1.0, 0.02], 1, False), (4, [1.0, 0.0], 1, True)], "node_id int, vector array<double>, access_count int, in_hierarchy boolean")
     plan = EO.merge_plan(EO.similar_pairs(nodes)).collect()
