@@ -21,6 +21,8 @@ DELETED = (
     "About MedlinePlus.*",
     "National Library of Medicine.*",
 )
+#: A text with none of these, in any case, holds nothing to delete but "GO", whatever has been deleted before.
+SIGNS = ("navigation", "official", "you are here", "medlineplus", "medicine")
 
 
 def truncate_at(text: Column, stops=STOPS) -> Column:
@@ -33,11 +35,14 @@ def clean_text(text: Column, legacy: bool = True, stops=STOPS, deleted=DELETED)
 
     `legacy` deletes "GO" inside words too ("vertigo" -> "verti"); otherwise only the word.
     """
-    out = F.replace(truncate_at(text, stops), F.lit("\t"), F.lit(" "))
-    for pattern in deleted:
-        if not legacy and pattern == "GO\\b":
-            pattern = "\\bGO\\b"
-        out = F.regexp_replace(out, "(?isu)" + pattern, "")
+    text = F.replace(truncate_at(text, stops), F.lit("\t"), F.lit(" "))
+    delete = lambda patterns: reduce(lambda t, p: F.regexp_replace(t, "(?isu)" + ("\\bGO\\b" if not legacy and p == "GO\\b" else p), ""), patterns, text)
+    out = delete(deleted)
+    if deleted is DELETED:
+        # Folded as the patterns fold case; the dotted capital i folds to two characters, so it asks for a look.
+        folded = F.lower(F.upper(text))
+        signs = reduce(lambda found, sign: found | folded.contains(sign), SIGNS, text.contains("\u0130"))
+        out = F.when(signs, out).otherwise(delete([p for p in deleted if p == "GO\\b"]))
     out = F.regexp_replace(out, "(?md)[ \\t]+$", "")
     out = F.regexp_replace(out, "\\n(?U:[\\s\\x1c-\\x1f])*([,.;:!?])", "$1")
     return T.strip(F.regexp_replace(out, "\\n{3,}", "\n\n"))

@@ -476,7 +476,9 @@ def _qa(spark, sf_dir):
     """Pages as Q&A rows of their sites."""
     pages = table(spark, sf_dir, "pages").where("page_id is not null")
     rows = pages.select(F.lpad(F.col("page_id").cast("string"), 7, "0").alias("document_id"), _sited(F.col("url")).alias("document_url"), F.concat(F.lit("topic "), (F.col("page_id") % 7).cast("string")).alias("question_focus"), F.lit("T047").alias("umls_semantic_group"), F.col("page_id").cast("string").alias("question_id"), F.lit("information").alias("question_type"), F.lit("What is it?").alias("question"), F.lit(None).cast("string").alias("answer"), F.col("page_id").alias("pos"))
-    snapshots = pages.select(_sited(F.col("url")).alias("url"), "html", F.lit("Live").alias("source"), "page_id").groupBy("url").agg(F.min_by(F.struct("html", "source"), "page_id").alias("b")).select("url", "b.*")
+    # The page of each url is chosen by short rows before its html is read.
+    first = pages.groupBy(_sited(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
+    snapshots = pages.select("page_id", "html").join(first, "page_id").select("url", "html", F.lit("Live").alias("source"))
     return rows, snapshots
 
 

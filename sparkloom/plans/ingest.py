@@ -20,6 +20,8 @@ from sparkloom.sources import rows as Q
 
 GROUP = "Disorder"
 SENIOR = "nihseniorhealth"
+#: Urls that are sent to the pages at most; beyond, pages and urls meet by a shuffle.
+WANTED_URLS = 1_000_000
 
 
 def senior_documents(rows: DataFrame) -> DataFrame:
@@ -29,15 +31,22 @@ def senior_documents(rows: DataFrame) -> DataFrame:
 
 
 def page_documents(rows: DataFrame, snapshots: DataFrame, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sections as documents, status of each url): pages are deduplicated before they are read and extracted."""
+    """(sections as documents, status of each url): pages are deduplicated before they are read and extracted.
+
+    Pages are extracted where they lie; up to WANTED_URLS urls are sent there, so that no html is shuffled, and only what
+    is found goes to the urls.
+    """
     wanted = rows.where(~F.col("domain").contains(SENIOR) & F.col("document_url").isNotNull())
     if done is not None:
         wanted = U.resume(wanted, done, "document_url")
     urls = S.first_rows(wanted, "document_url", "pos").select("document_id", "document_url", "question_focus", "domain", "pos")
-    pages = urls.join(snapshots.where(R.usable_page(F.col("html"))).select(F.col("url").alias("document_url"), "html", F.col("source").alias("page_source")), "document_url", "left")
-    found = pages.withColumn("x", X.extract(F.col("html"), F.col("domain"))).drop("html")
-    status = found.select("domain", F.col("document_url").alias("url"), F.when(F.size("x.sections") > 0, F.col("page_source")).alias("source"), F.size("x.sections").alias("n_topics"), S.word_total(F.col("x.sections")).alias("n_words"), "pos")
-    documents = found.select("document_id", "document_url", "question_focus", "pos", F.explode("x.sections").alias("s")).select("document_id", "document_url", "question_focus", "pos", F.col("s.section").alias("section"), F.col("s.text").alias("text"))
+    asked = urls.select(F.col("document_url").alias("url"))
+    few = asked.limit(WANTED_URLS + 1).count() <= WANTED_URLS
+    pages = snapshots.where(R.usable_page(F.col("html"))).join(F.broadcast(asked) if few else asked, "url", "left_semi")
+    read = pages.select(F.col("url").alias("document_url"), F.col("source").alias("page_source"), X.extract(F.col("html"), R.authority(F.col("url")))["sections"].alias("sections"))
+    found = urls.join(read, "document_url", "left").withColumn("sections", F.coalesce("sections", F.array().cast(read.schema["sections"].dataType)))
+    status = found.select("domain", F.col("document_url").alias("url"), F.when(F.size("sections") > 0, F.col("page_source")).alias("source"), F.size("sections").alias("n_topics"), S.word_total(F.col("sections")).alias("n_words"), "pos")
+    documents = found.select("document_id", "document_url", "question_focus", "pos", F.explode("sections").alias("s")).select("document_id", "document_url", "question_focus", "pos", F.col("s.section").alias("section"), F.col("s.text").alias("text"))
     return documents, status
 
 
