@@ -77,9 +77,19 @@ def release_scratch(*paths: str) -> None:
             return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows of a file where a table's size is known beforehand, and files at least, so that short tables aren't in hundreds.
+FILE_ROWS = 100_000
+FILES = 8
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: how many it has at most, if known; it is then written by no more tasks than they are worth.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(FILES + rows // FILE_ROWS)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -185,15 +195,15 @@ def _merge_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _edge_table(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+def _edge_table(edges: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, tuple]:
     """(the edges as a table, their number and the sum of their hashes), in one job."""
     seen = Observation()
-    written = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), name)
+    written = materialize(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")), name, rows)
     got = seen.get
     return written, (got["n"], got["h"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", merge_first: bool = True) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", merge_first: bool = True, rows: int | None = None) -> DataFrame:
     """(node, component), a table: the smallest node reachable over undirected edges, for every node that has an edge.
 
     Each task first merges what edges it has, a bounded number at a time, into edges to least nodes (merge_first=False:
@@ -202,29 +212,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", merge_fir
     to the smallest node seen. Labels travel by joins and map-side combined minimums only, so a star of any width is
     summed before it is shuffled; adaptive execution splits the join of a star's edges. Each round's edges are a table
     in the shared folder, deleted after the next. Loops and edges with a null end are ignored; an empty input gives an
-    empty result. Nodes are integers.
+    empty result. Nodes are integers. rows: how many edges there are at most, if known.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo"))
     edges = edges.mapInArrow(_merge_edges, "hi long, lo long") if merge_first else edges
-    edges, before = _edge_table(edges.distinct(), "cc-edges")
+    edges, before = _edge_table(edges.distinct(), "cc-edges", rows)
     while before[0]:
         # Large star: every neighbour above a node goes to the least of the node and its neighbours.
         both = edges.unionAll(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")
         least = both.groupBy("node").agg(F.min("near").alias("least")).select("node", F.least("least", "node").alias("least"))
         large = both.where("near > node").join(least, "node").select(F.col("near").alias("hi"), F.col("least").alias("lo")).distinct()
-        large = materialize(large, "cc-large")
+        large = materialize(large, "cc-large", before[0])
         # Small star: a node's smaller neighbours, and the node, go to the least of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         joined = large.join(least, "hi")
         small = joined.select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi != lo").distinct()
-        small, after = _edge_table(small, "cc-small")
+        small, after = _edge_table(small, "cc-small", before[0])
         release(edges, large)
         edges = small
         if before == after:
             break
         before = after
     out = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
-    out = materialize(out, "components")
+    out = materialize(out, "components", 2 * before[0])
     release(edges)
     return out

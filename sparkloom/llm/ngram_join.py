@@ -297,20 +297,20 @@ def _alike(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def leftovers(heavy: DataFrame, nodes: DataFrame) -> DataFrame:
+def leftovers(heavy: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """(key, node, size): rows of heavy groups without each node's spare ones, the heaviest first; size: of the heavy group.
 
     Groups of visitors alone are left out. An odd node is a visitor.
     """
     sizes = heavy.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("node").bitwiseAND(F.lit(1)) == 0).alias("native")).where("native > 0").select("key", "size")
-    sizes = common.materialize(sizes, "heavy-sizes")
-    rows = heavy.join(_alike(sizes), "key").select("key", F.col("node").bitwiseAND(F.lit(-2)).alias("node"), "size").join(nodes.select("node", "spare0", "spare1"), "node")
+    sizes = common.materialize(sizes, "heavy-sizes", rows // LIGHT)
+    left = heavy.join(_alike(sizes), "key").select("key", F.col("node").bitwiseAND(F.lit(-2)).alias("node"), "size").join(nodes.select("node", "spare0", "spare1"), "node")
     nth = F.row_number().over(W.partitionBy("node", "odd").orderBy(F.desc("size"), "key"))
-    rows = rows.withColumn("odd", F.col("key").bitwiseAND(F.lit(1))).withColumn("nth", nth).where(F.col("nth") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1")))
-    return common.materialize(rows.select("key", "node", "size"), "heavy-groups")
+    left = left.withColumn("odd", F.col("key").bitwiseAND(F.lit(1))).withColumn("nth", nth).where(F.col("nth") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1")))
+    return common.materialize(left.select("key", "node", "size"), "heavy-groups", rows)
 
 
-def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+def across(rows: DataFrame, percent: int, all_pairs: bool, n_rows: int) -> DataFrame:
     """(x, y, far): pairs of a group's nodes in different components whose sketches let them link.
 
     rows: (key, node, component, open, n, sketch). The commonest component of a group is its core; each node outside,
@@ -320,7 +320,7 @@ def across(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     parts = rows.groupBy("key", "component").agg(F.count_if("open").alias("o"), F.count("*").alias("c"))
     parts = parts.groupBy("key").agg(F.sum("o").alias("open"), F.max(F.struct("c", "component", "o")).alias("core"))
     outside = F.col("open") - F.col("core.o")
-    parts = common.materialize(parts.where(outside > 0).select("key", (outside + F.col("core.c")).alias("size"), outside.alias("outside"), F.col("core.component").alias("core")), "open-groups")
+    parts = common.materialize(parts.where(outside > 0).select("key", (outside + F.col("core.c")).alias("size"), outside.alias("outside"), F.col("core.component").alias("core")), "open-groups", n_rows // LIGHT)
     full = rows.join(_alike(parts), "key").where("open or component = core")
     m, o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "outside"))
     place = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
@@ -370,27 +370,29 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
 def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     keyed = common.materialize(sketched(docs, percent), "sketches")
-    known = common.materialize(keyed.select("doc_id", "text_hash", "n", "node"), "documents")
+    n_docs = keyed.count()
+    known = common.materialize(keyed.select("doc_id", "text_hash", "n", "node"), "documents", n_docs)
     # A name for the other band than the node's own marks a visitor there.
     visitor = F.col("node") + (F.col("key").bitwiseAND(F.lit(1)) != F.col("parity")).cast("long")
     named = lambda c: keyed.where("node is not null").select(F.explode(c).alias("key"), "node", "parity").select("key", visitor.alias("node"))
     groups = common.materialize(groups_of(named("keys")), "groups")
     # One document stands for each node.
     some = F.min(F.struct("text_hash", "doc_id", "n", "sketch", "wide", "spare0", "spare1")).alias("s")
-    nodes = common.materialize(keyed.where("sketch is not null").groupBy("node").agg(some).select("node", "s.*"), "nodes")
+    nodes = common.materialize(keyed.where("sketch is not null").groupBy("node").agg(some).select("node", "s.*"), "nodes", 4 * n_docs)
     heavy = groups.where("key is not null").select("key", F.col("x").alias("node")).unionByName(named("more"))
     heavy = common.materialize(heavy.distinct(), "heavy")
+    n_heavy = heavy.count()
     common.release(keyed)
     common.free_shuffles(spark)
     one = nodes.select("node", "n", "sketch")
     pairs = groups.where("key is null").select("x", "y", F.lit(False).alias("star"))
     left = None
-    if not heavy.isEmpty():
-        left = leftovers(heavy, nodes)
+    if n_heavy:
+        left = leftovers(heavy, nodes, n_heavy)
         # A group's leader is the node with most in common with others, over all groups.
         weight = left.groupBy("node").agg(F.sum("size").alias("weight"))
         led = left.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("m")).select("key", F.col("m.node").alias("leader"))
-        star = left.join(_alike(common.materialize(led, "leaders")), "key").where("node != leader")
+        star = left.join(_alike(common.materialize(led, "leaders", n_heavy // LIGHT)), "key").where("node != leader")
         pairs = pairs.unionByName(star.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y"), F.lit(True).alias("star")))
     common.release(heavy)
     near, distance = _close(percent)
@@ -399,38 +401,41 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = common.materialize(pairs.select("p.x", "p.y", "p.star", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs")
     common.release(groups)
     common.free_shuffles(spark)
-    pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates")
+    n_pairs = pairs.count()
+    pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates", n_pairs)
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node"))
     if left is not None:
         wanted = wanted.unionByName(left.select("node"))
-    sets = _sets(docs, nodes.join(wanted.distinct(), "node", "left_semi"))
+    sets = _sets(docs, nodes.join(wanted.distinct(), "node", "left_semi"), min(n_docs, 2 * n_pairs + n_heavy))
     # First the pairs with leaders, and the closest pair of each node.
     apart = F.col("far") / (F.col("xn") + F.col("yn"))
     ends = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct(apart.alias("apart"), "x", "y", "xn", "yn").alias("p"))
     first = ends.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y", "p.xn", "p.yn").unionByName(pairs.where("star").select("x", "y", "xn", "yn"))
-    tested = common.materialize(first.distinct(), "first-pairs")
-    merged = common.connected_components(_verified(tested, sets, percent), "x", "y")
+    tested = common.materialize(first.distinct(), "first-pairs", n_pairs)
+    merged = common.connected_components(_verified(tested, sets, percent), "x", "y", rows=n_pairs)
     # Then what still lies in different components.
     rest = _labelled(_labelled(pairs.join(tested, ["x", "y"], "left_anti"), merged, "x", "xc"), merged, "y", "yc").where("xc != yc").select("x", "y", "xn", "yn")
-    rest = common.materialize(rest, "pairs-across")
+    rest = common.materialize(rest, "pairs-across", n_pairs)
     if not rest.isEmpty():
-        merged, tested = _extended(merged, _verified(rest, sets, percent)), tested.unionByName(rest)
+        merged, tested = _extended(merged, _verified(rest, sets, percent), n_pairs + n_docs), tested.unionByName(rest)
     if left is None:
         return known, merged
-    left = common.materialize(left.select("key", "node").join(one, "node"), "group-rows")
+    left = common.materialize(left.select("key", "node").join(one, "node"), "group-rows", n_heavy)
     rows = _labelled(left, merged, "node", "component").withColumn("open", F.lit(True))
-    some = common.materialize(across(rows, percent, False), "closest-across")
-    if some.isEmpty():
+    some = common.materialize(across(rows, percent, False, n_heavy), "closest-across")
+    n_some = some.count()
+    if not n_some:
         return known, merged
-    rest = common.materialize(_sized(some.join(tested, ["x", "y"], "left_anti"), nodes, percent), "closest-untested")
+    rest = common.materialize(_sized(some.join(tested, ["x", "y"], "left_anti"), nodes, percent), "closest-untested", n_some)
     if not rest.isEmpty():
-        merged, tested = _extended(merged, _verified(rest, sets, percent)), tested.unionByName(rest)
+        merged, tested = _extended(merged, _verified(rest, sets, percent), n_some + n_docs), tested.unionByName(rest)
     # A node without a close one in another component has none now either.
-    ends = common.materialize(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "open-nodes")
+    ends = common.materialize(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "open-nodes", 2 * n_some)
     rows = _labelled(left.join(_alike(ends).withColumn("open", F.lit(True)), "node", "left"), merged, "node", "component").withColumn("open", F.coalesce("open", F.lit(False)))
-    last = common.materialize(_sized(across(rows, percent, True).join(tested, ["x", "y"], "left_anti"), nodes, percent), "last-pairs")
-    if not last.isEmpty():
-        merged = _extended(merged, _verified(last, sets, percent))
+    last = common.materialize(_sized(across(rows, percent, True, n_heavy).join(tested, ["x", "y"], "left_anti"), nodes, percent), "last-pairs")
+    n_last = last.count()
+    if n_last:
+        merged = _extended(merged, _verified(last, sets, percent), n_last + n_docs)
     return known, merged
 
 
@@ -439,9 +444,9 @@ def _labelled(rows: DataFrame, merged: DataFrame, node: str, name: str) -> DataF
     return rows.join(merged.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _extended(merged: DataFrame, found: DataFrame) -> DataFrame:
+def _extended(merged: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     """Components so far, joined by the new links: a component is an edge from each node to its least one."""
-    return common.connected_components(merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found), "x", "y")
+    return common.connected_components(merged.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found), "x", "y", rows=rows)
 
 
 def _not_far(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -461,7 +466,7 @@ def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _not_far(pairs.select("x", "y", "xn", "yn", "far"), nodes, percent).select("x", "y", "xn", "yn")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """(node, shingles) of the given nodes, worked out anew from the texts that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,10 +476,10 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], ["node", "shingles"])
             workers.trim()
 
-    wanted = common.materialize(nodes.select("doc_id", "text_hash"), "sets-wanted")
+    wanted = common.materialize(nodes.select("doc_id", "text_hash"), "sets-wanted", rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     texts = texts.alias("t").join(_alike(wanted).alias("w"), (F.col("t.text_hash") == F.col("w.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-    return common.materialize(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets")
+    return common.materialize(texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"]), "shingle-sets", 20 * rows)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -503,7 +508,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     among those the least hash of the text. Of rows equal in doc_id and text one stays, whichever comes first. Documents
     without shingles link with nothing, so they all stay.
     """
-    rows = common.materialize(_with_components(docs, percent).where("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "near-duplicates")
+    rows = common.materialize(_with_components(docs, percent).where("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "near-duplicates", docs.count())
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
     first = rows.groupBy("component").agg(F.min(me).alias("first"))
     marked = rows.join(first, "component").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"), "copies")
