@@ -82,10 +82,19 @@ def islands(rows: DataFrame, order: str, value: str, within: str | None = None)
 
 
 def skip_take(rows: DataFrame, key: str, order: str, usable: Column, skip: int = 5, take: int = 2) -> DataFrame:
-    """Of each key's rows in order: leave out the first `skip`, then the first `take` usable ones."""
+    """Of each key's rows in order: leave out the first `skip`, then the first `take` usable ones.
+
+    `order` tells a key's rows apart. Both bounds are limits by rank, which tasks apply before anything is shuffled, so a
+    key of any size sends a few rows only.
+    """
     w = W.partitionBy(key).orderBy(order)
-    rest = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") > skip).where(usable)
-    return rest.withColumn("__m", F.row_number().over(w)).where(F.col("__m") <= take).drop("__n", "__m")
+    rest = rows
+    if skip:
+        first = rows.select(F.col(key).alias("__key"), F.col(order).alias("__order"))
+        nth = F.row_number().over(W.partitionBy("__key").orderBy("__order"))
+        cut = first.withColumn("__n", nth).where(F.col("__n") <= skip).groupBy("__key").agg(F.max("__order").alias("__cut"), F.count("*").alias("__c")).where(F.col("__c") == skip)
+        rest = rows.join(cut, F.col(key).eqNullSafe(F.col("__key")) & (F.col(order) > F.col("__cut"))).select(*rows.columns)
+    return rest.where(usable).withColumn("__m", F.row_number().over(w)).where(F.col("__m") <= take).drop("__m")
 
 
 def section_pivot(rows: DataFrame, key: str, section: str, text: str, order: str, complete: int = 3) -> DataFrame:
