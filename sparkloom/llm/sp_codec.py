@@ -14,7 +14,9 @@ Exactly one candidate is stable, and the same maximum finds it: the ids are thos
 Characters that aren't pieces become their bytes' pieces (byte fallback) and end the lattice on either side.
 Decoding joins pieces, turns marks into spaces, drops the one put in front, and reads byte pieces as UTF-8.
 
-Null and empty texts have no ids. Rows are encoded each on its own; other columns are carried along.
+Null and empty texts have no ids, and null ids no text; texts of any length are read whole. Rows are encoded each on its
+own, so repeated rows give repeated results and an empty table an empty one. Other columns are carried along, but for
+one that is named as the new column, which is replaced.
 """
 
 from __future__ import annotations
