@@ -380,7 +380,8 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     some = F.min(F.struct("text_hash", "doc_id", "n", "sketch", "wide", "spare0", "spare1")).alias("s")
     nodes = common.materialize(keyed.where("sketch is not null").groupBy("node").agg(some).select("node", "s.*"), "nodes", 4 * n_docs)
     heavy = groups.where("key is not null").select("key", F.col("x").alias("node")).unionByName(named("more"))
-    heavy = common.materialize(heavy.distinct(), "heavy")
+    n_groups, n_more = groups.count(), keyed.agg(F.sum(F.size("more"))).first()[0] or 0
+    heavy = common.materialize(heavy.distinct(), "heavy", n_groups + n_more)
     n_heavy = heavy.count()
     common.release(keyed)
     common.free_shuffles(spark)
@@ -398,7 +399,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     near, distance = _close(percent)
     pairs = pairs.groupBy("x", "y").agg(F.max("star").alias("star"))
     pairs = pairs.alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(near)
-    pairs = common.materialize(pairs.select("p.x", "p.y", "p.star", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs")
+    pairs = common.materialize(pairs.select("p.x", "p.y", "p.star", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs", n_groups + n_heavy)
     common.release(groups)
     common.free_shuffles(spark)
     n_pairs = pairs.count()
@@ -422,7 +423,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         return known, merged
     left = common.materialize(left.select("key", "node").join(one, "node"), "group-rows", n_heavy)
     rows = _labelled(left, merged, "node", "component").withColumn("open", F.lit(True))
-    some = common.materialize(across(rows, percent, False, n_heavy), "closest-across")
+    some = common.materialize(across(rows, percent, False, n_heavy), "closest-across", n_heavy)
     n_some = some.count()
     if not n_some:
         return known, merged
@@ -432,7 +433,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # A node without a close one in another component has none now either.
     ends = common.materialize(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "open-nodes", 2 * n_some)
     rows = _labelled(left.join(_alike(ends).withColumn("open", F.lit(True)), "node", "left"), merged, "node", "component").withColumn("open", F.coalesce("open", F.lit(False)))
-    last = common.materialize(_sized(across(rows, percent, True, n_heavy).join(tested, ["x", "y"], "left_anti"), nodes, percent), "last-pairs")
+    last = common.materialize(_sized(across(rows, percent, True, n_heavy).join(tested, ["x", "y"], "left_anti"), nodes, percent), "last-pairs", n_heavy)
     n_last = last.count()
     if n_last:
         merged = _extended(merged, _verified(last, sets, percent), n_last + n_docs)
@@ -512,7 +513,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")
     first = rows.groupBy("component").agg(F.min(me).alias("first"))
     marked = rows.join(first, "component").select("doc_id", "text_hash", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"), "copies")
-    out = common.materialize(marked.where("not stays or copies > 1").select("doc_id", "text_hash", "stays"), "near-duplicates-out")
+    out = common.materialize(marked.where("not stays or copies > 1").select("doc_id", "text_hash", "stays"), "near-duplicates-out", rows.count())
     clash = {c.lower() for c in docs.columns}
     names = [common.unused(x, clash) for x in ("dup_id", "dup_hash", "dup_stays", "text_hash")]
     few = _alike(out).toDF(*names[:3])
