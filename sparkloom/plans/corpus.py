@@ -455,7 +455,12 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(props, F.get(keys, F.lit(0))).alias("first_value"), F.size(keys).cast("long").alias("n_keys"))
 
 
-@query()
+#: Of character references, those that the given pages hold.
+@query(r"""
+with b as (select page_id, regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<main\b[^>]*>(.*)</main>', 1), ''), regexp_extract(html, '(?is)<body\b[^>]*>(.*)', 1)),
+    '(?is)<!--.*?-->|<nav\b.*?</nav>|<footer\b.*?</footer>|<script\b.*?</script>|<style\b.*?</style>|<aside\b.*?</aside>|<header\b.*?</header>', '', 'g') as t from pages),
+l as (select page_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '(?i)</?(?:a|span|i|b|strong|em|u)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as w from b)
+select page_id, list_reduce(list_prepend(array_to_string(w, chr(10)), [['&lt;', '<'], ['&gt;', '>'], ['&quot;', '"'], ['&#39;', ''''], ['&nbsp;', chr(160)], ['&copy;', chr(169)], ['&middot;', chr(183)], ['&eacute;', chr(233)], ['&amp;', '&'], ['&amp', '&']].list_transform(lambda p: p[1] || chr(1) || p[2])), lambda t, p: replace(t, split_part(p, chr(1), 1), split_part(p, chr(1), 2))) as text from l""")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
 
