@@ -1,6 +1,7 @@
 """Operators on pairs and graphs, against brute force."""
 
 import collections
+import os
 import re
 import urllib.parse
 
@@ -41,6 +42,32 @@ def test_connected_components(spark, seed):
     assert common.connected_components(edges.limit(0)).count() == 0
 
 
+def test_connected_components_without_python(spark):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 80, (70, 2))] + [(500, i) for i in range(501, 560)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = {r["node"]: r["component"] for r in common.connected_components(edges, merge_first=False, rows=200).collect()}
+    label = components(560, pairs)
+    assert got == {i: label[i] for p in pairs for i in p if p[0] != p[1]}
+
+
+def test_scope_deletes_what_is_not_kept(spark):
+    with common.scope() as keep:
+        gone, kept = (common.materialize(spark.range(3).toDF("x"), name, rows=3) for name in ("gone", "kept"))
+        with common.scope() as inner:
+            below = common.materialize(spark.range(4).toDF("x"), "below")
+            inner(below)
+        keep(kept)
+    exists = lambda t: os.path.exists(t._scratch_path.removeprefix("file://"))
+    assert exists(kept) and kept.count() == 3 and not exists(gone) and not exists(below)
+    common.release(kept)
+    assert not exists(kept)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with common.batches_of(spark, 7):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def shingles(text):
     text = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
