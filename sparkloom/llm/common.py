@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 #: Characters of the two word definitions, as Java and Python regular expressions both read them.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
-#: Documents that a worker gets at once where their texts are tokenized; some megabytes.
-DOCUMENTS_AT_ONCE = 1500
-
 _made: dict[str, SparkSession] = {}
 _scopes = threading.local()
 
@@ -115,10 +112,16 @@ def release(*tables: DataFrame) -> None:
         release_scratch(*(t._scratch_path for t in tables))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that nothing refers to any more; it does so when the driver collects its garbage."""
+def free_memory(spark: SparkSession) -> None:
+    """Drop shuffle files that nothing refers to any more, which Spark does when the driver collects its garbage, and have
+    the executors collect theirs: their heaps shrink, which leaves room to the Python workers beside them. For the
+    ends of stages that shuffle much; the tasks are as many as reach all executors as a rule, and nothing hangs on it.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local["):  # there the driver's heap is the only one
+        spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def unused(name: str, taken: set[str]) -> str:

@@ -267,7 +267,8 @@ def _linked(classes: DataFrame, dim: int, n: int, least: float, recall: float) -
     """(class, n, edge) as reranked() gives them, for the n classes of vectors of one length."""
     sample = classes.orderBy("class").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
     width, tables = tables_for(n, least, recall)
-    rotation = learn(unit_rows(sample, dim), math.ceil(max(SKETCH_BITS, tables * width) / dim))
+    bits = max(SKETCH_BITS, tables * width)
+    rotation = learn(unit_rows(sample, dim), math.ceil(bits / dim))[:, :bits]
     chance = math.acos(least) / math.pi
     limit = math.ceil(SKETCH_BITS * chance + SLACK * math.sqrt(SKETCH_BITS * chance * (1 - chance)))
     edges = candidate_edges(indexed(classes, rotation, dim, width, tables), limit)

@@ -105,23 +105,26 @@ def folded(own: np.ndarray) -> np.ndarray:
     return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
-def wide(own: np.ndarray) -> bytes | None:
+def wide(own: np.ndarray) -> np.ndarray | None:
     """A sketch of twice as many bits as the set has shingles, or more; none where the folded one has as many."""
     bits = 1 << (2 * len(own) - 1).bit_length()
     if bits <= 64 * WORDS64:
         return None
     at = (textmodel.mix(own + _C) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two wide sketches, the longer one folded to the shorter one's length."""
-    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def hamming(x: Column, y: Column) -> Column:
+    """Distance of two wide sketches (array<long>), the longer one folded to the shorter one's length."""
+    long, short = (F.when(F.size(x) >= F.size(y), p).otherwise(q) for p, q in ((x, y), (y, x)))
+    both = F.struct(long.alias("l"), short.alias("s"))
+
+    def apart(b: Column) -> Column:
+        n, times = F.size(b["s"]), (F.size(b["l"]) / F.size(b["s"])).cast("int")
+        fold = lambda i: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0).cast("long"), lambda bits, j: bits.bitwiseXOR(F.get(b["l"], i + j * n)))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda total, i: total + F.bit_count(F.get(b["s"], i).bitwiseXOR(fold(i))))
+
+    return F.transform(F.array(both), apart)[0]
 
 
 def piece_keys(own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, int]]:
@@ -147,7 +150,7 @@ def piece_keys(own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.nd
     return out
 
 
-SKETCHED = "doc_id long, text_hash long, n long, node long, parity int, sketch array<long>, wide binary, spare0 int, spare1 int, keys array<long>, more array<long>"
+SKETCHED = "doc_id long, text_hash long, n long, node long, parity int, sketch array<long>, wide array<long>, spare0 int, spare1 int, keys array<long>, more array<long>"
 
 
 def sketched(docs: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +188,7 @@ def sketched(docs: DataFrame, percent: int) -> DataFrame:
             kept = np.concatenate([[0], np.cumsum(stays)])[bounds]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([x.bit_length() - 1 & 1 for x in n], pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.binary()),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([x.bit_length() - 1 & 1 for x in n], pa.int32()), pa.array(sketch, pa.list_(pa.int64())), pa.array(broad, pa.list_(pa.int64())),
                     pa.array(spare[0], pa.int32()), pa.array(spare[1], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(flat[stays].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array((bounds - kept).astype(np.int32)), pa.array(flat[~stays].view(np.int64))),
@@ -284,14 +287,6 @@ def _close(percent: int) -> tuple[Column, Column]:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (far * (100 + percent) <= (a + b) * (100 - percent)), far
 
 
-def hamming_udf():
-    @F.arrow_udf("bigint")
-    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([hamming(a, b) if a and b else 0 for a, b in zip(x.to_pylist(), y.to_pylist())], pa.int64())
-
-    return distance
-
-
 def _alike(rows: DataFrame) -> DataFrame:
     """Rows sent to every task where they are few, else as they are, for a join by shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
@@ -364,6 +359,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     with common.scope() as keep:
         known, merged = _links(docs, percent)
         keep(known, merged)
+    common.free_memory(docs.sparkSession)
     return known, merged
 
 
@@ -384,7 +380,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     heavy = common.materialize(heavy.distinct(), "heavy", n_groups + n_more)
     n_heavy = heavy.count()
     common.release(keyed)
-    common.free_shuffles(spark)
+    common.free_memory(spark)
     one = nodes.select("node", "n", "sketch")
     pairs = groups.where("key is null").select("x", "y", F.lit(False).alias("star"))
     left = None
@@ -401,7 +397,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.alias("p").join(one.alias("a"), F.col("p.x") == F.col("a.node")).join(one.alias("b"), F.col("p.y") == F.col("b.node")).where(near)
     pairs = common.materialize(pairs.select("p.x", "p.y", "p.star", F.col("a.n").alias("xn"), F.col("b.n").alias("yn"), distance.cast("long").alias("far")), "close-pairs", n_groups + n_heavy)
     common.release(groups)
-    common.free_shuffles(spark)
+    common.free_memory(spark)
     n_pairs = pairs.count()
     pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates", n_pairs)
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node"))
@@ -452,11 +448,11 @@ def _extended(merged: DataFrame, found: DataFrame, rows: int) -> DataFrame:
 
 def _not_far(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y, xn, yn, far), those that the wide sketches let through as well."""
-    far, broad = hamming_udf(), nodes.where("wide is not null").select("node", "wide")
+    broad = nodes.where("wide is not null").select("node", "wide")
     big = F.least("xn", "yn") > 32 * WORDS64  # both have a wide sketch
     names = [c for c in pairs.columns if c != "far"]
     rows = pairs.where(big).drop("far").join(broad.select(F.col("node").alias("x"), F.col("wide").alias("xw")), "x").join(broad.select(F.col("node").alias("y"), F.col("wide").alias("yw")), "y")
-    rows = rows.select(*names, far("xw", "yw").alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
+    rows = rows.select(*names, hamming(F.col("xw"), F.col("yw")).alias("far")).where(F.col("far") * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent))
     return pairs.where(~big).unionByName(rows)
 
 

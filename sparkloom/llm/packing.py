@@ -27,6 +27,8 @@ WINDOW = 2048
 OPEN_WINDOWS = 128
 #: Windows left open that one task merges.
 MERGED_PER_TASK = 4096
+#: Documents that a worker gets at once.
+DOCUMENTS_AT_ONCE = 10_000
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 
@@ -80,7 +82,7 @@ def pack(
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (int array).
 
-    frugal: workers take a third as many documents at once and forget words with their task, which takes a fifth more
+    frugal: workers take a twentieth as many documents at once and forget words with their task, which takes a fifth more
     time; for use among other operators, whose workers share an executor's memory.
     """
     spark = docs.sparkSession
@@ -103,7 +105,7 @@ def pack(
         held = 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(doc_ids, tokens.encode_documents(batch.column("text"), tokenizer, end_id, added_tokens=added_tokens)):
+            for doc_id, ids in zip(doc_ids, tokens.encode_documents(batch.column("text"), tokenizer, end_id, added_tokens=added_tokens, frugal=frugal)):
                 n = len(ids)
                 for start in range(0, n, window):
                     piece = ids[start : start + window]
@@ -130,7 +132,7 @@ def pack(
             yield flush(left, True)
 
     schema = PIECE + (", ids array<int>" if with_ids else "")
-    with common.batches_of(spark, common.DOCUMENTS_AT_ONCE // (3 if frugal else 1)):
+    with common.batches_of(spark, DOCUMENTS_AT_ONCE // (20 if frugal else 1)):
         pieces = common.materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), name)
     moved = merge_open(pieces, window)
     rest = ["ids"] if with_ids else []

@@ -29,7 +29,7 @@ from sparkloom.llm import workers
 CACHE_WORDS = 500_000
 CACHE_CHARS = 32_000_000
 #: Characters of distinct words that are encoded in one call of the library; its results are some 100 bytes a character.
-CALL_CHARS = 100_000
+CALL_CHARS, FEW_CALL_CHARS = 400_000, 60_000
 #: White space beside a space or line break, either at an end, or any other white space.
 _ODD = "[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -58,7 +58,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if not added_tokens:
             self.tokenizer.encode_special_tokens = True
-        self.cache_words = cache_words
+        self.cache_words, self.call_chars = cache_words, CALL_CHARS
         parts = json.loads(self.tokenizer.to_str())
         steps = (parts.get("normalizer") or {}).get("normalizers") or [parts.get("normalizer") or {}]
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -88,7 +88,7 @@ class WordEncoder:
         for i, word in enumerate(words):
             batch.append(word)
             size += len(word)
-            if size >= CALL_CHARS or i + 1 == len(words):
+            if size >= self.call_chars or i + 1 == len(words):
                 self.chars += size
                 written = batch if self.folds else [w[1:] if w[:1] == _FIRST else w if w[:1] == "\n" else " " + w for w in batch]
                 for w, e in zip(batch, self.tokenizer.encode_batch_fast(written, add_special_tokens=False)):
@@ -153,11 +153,12 @@ def encoder(path: str, added_tokens: bool = False) -> WordEncoder:
 workers.on_other_work(encoder.cache_clear)
 
 
-def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 6_000_000, added_tokens: bool = False):
-    """Yields each text's ids with the end id, as int32 arrays."""
+def encode_documents(texts: pa.Array | list[str | None], path: str, end_id: int, batch_bytes: int = 6_000_000, added_tokens: bool = False, frugal: bool = False):
+    """Yields each text's ids with the end id, as int32 arrays. frugal: with less memory, in more time."""
     if not isinstance(texts, pa.Array):
         texts = pa.array(texts, pa.string())
     e = encoder(path, added_tokens)
+    e.call_chars = FEW_CALL_CHARS if frugal else CALL_CHARS
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = done = 0
     while at < len(texts):
