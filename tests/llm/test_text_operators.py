@@ -155,46 +155,53 @@ def test_rules_on_held_out_rows(spark):
     assert all(r["base_failed"] and not r["kept"] for r in got if r["doc_id"] >= 1000)
 
 
+def plain_odds(model, text):
+    """The model's log odds of one text, by the product of its sparse vector with the weights."""
+    ((index, share),) = M.vectors(pa.array([text], pa.string()))
+    return model.slope * (float(model.weights[index].astype(float) @ share.astype(float)) + model.bias) + model.offset
+
+
+def plain_good(rows, odds):
+    """The classifier's probability of each row (doc_id, text, source, lang), from plain sums over hosts and paths."""
+    p = [1 / (1 + np.exp(-odds[r["doc_id"], r["text"]])) for r in rows]
+    keys = [(r["source"] or "", r["lang"] or "") for r in rows]
+    sites, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for key, x in zip(keys, p):
+        sites[key].append(x)
+        hosts[key[0]].append(x)
+    n, mean = len(p), sum(p) / len(p)
+    limit = lambda spread: min(max(mean * (1 - mean) / max(spread, 1e-12) - 1, 4.0), 1e6)
+    within = max(0.0, sum(x * x for x in p) - n * mean * mean) / n
+    between = sum(sum(v) ** 2 / len(v) for v in hosts.values()) - n * mean * mean
+    strong = limit((between - (len(hosts) - 1) * within) / max(n - sum(len(v) ** 2 for v in hosts.values()) / n, 1e-9))
+    rates = {h: (sum(v) + strong * mean) / (len(v) + strong) for h, v in hosts.items()}
+    squares = sum(sum(v) ** 2 / len(v) for v in sites.values())
+    inner = max(0.0, sum(x * x for x in p) - squares) / n
+    spread = (squares - sum(sum(v) * sum(hosts[h]) / len(hosts[h]) for (h, _), v in sites.items()) - (len(sites) - len(hosts)) * inner) / max(n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in sites.items()), 1e-9)
+    strength = limit(spread)
+    logit = lambda x: np.log(x / (1 - x))
+    out = []
+    for key, own in zip(keys, p):
+        rate = (sum(sites[key]) - own + strength * rates[key[0]]) / (len(sites[key]) - 1 + strength)
+        out.append(1 / (1 + np.exp(-(logit(own) + logit(rate) - logit(mean)))))
+    return out
+
+
 def test_verdicts_against_sparse_vectors(spark):
-    """The rules' verdict and the classifier's evidence, by products of sparse vectors with the weights, text by text."""
     docs, labels = labelled(spark)
     model = M.train(docs, labels)
     rows = docs.collect()
-    odds = {}
-    for r in rows:
-        (index, share), = M.vectors(pa.array([r["text"]], pa.string()))
-        odds[r["doc_id"], r["text"]] = model.slope * (float(model.weights[index].astype(float) @ share.astype(float)) + model.bias) + model.offset
+    odds = {(r["doc_id"], r["text"]): plain_odds(model, r["text"]) for r in rows}
     for r in Q.judged(docs, model).collect():
         n, _, _, _, repeated = brute(r["text"])
         p = 1 / (1 + np.exp(-odds[r["doc_id"], r["text"]]))
         failed = n < 50 or 100 * repeated > 50 * n
         assert abs(r["p_good"] - p) < 1e-5 and r["base_failed"] == failed and (r["kept"] == (not failed and p >= 0.5) or abs(p - 0.5) < 1e-5)
-    # Host and path posteriors by plain sums.
-    p = {k: 1 / (1 + np.exp(-x)) for k, x in odds.items()}
-    sites = collections.defaultdict(list)
-    for r in rows:
-        sites[r["source"] or "", r["lang"] or ""].append(p[r["doc_id"], r["text"]])
-    hosts = collections.defaultdict(list)
-    for (h, _), x in sites.items():
-        hosts[h] += x
-    everything = [x for v in sites.values() for x in v]
-    n, mean = len(everything), sum(everything) / len(everything)
-    limit = lambda spread: min(max(mean * (1 - mean) / max(spread, 1e-12) - 1, 4.0), 1e6)
-    within = max(0.0, sum(x * x for x in everything) - n * mean * mean) / n
-    between = sum(sum(v) ** 2 / len(v) for v in hosts.values()) - n * mean * mean
-    strong = limit((between - (len(hosts) - 1) * within) / max(n - sum(len(v) ** 2 for v in hosts.values()) / n, 1e-9))
-    rates = {h: (sum(v) + strong * mean) / (len(v) + strong) for h, v in hosts.items()}
-    squares = sum(sum(v) ** 2 / len(v) for v in sites.values())
-    inner = max(0.0, sum(x * x for x in everything) - squares) / n
-    spread = (squares - sum(sum(v) * sum(hosts[h]) / len(hosts[h]) for (h, _), v in sites.items()) - (len(sites) - len(hosts)) * inner) / max(n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in sites.items()), 1e-9)
-    strength = limit(spread)
-    logit = lambda x: np.log(x / (1 - x))
+    good = {(r["doc_id"], r["text"]): x for r, x in zip(rows, plain_good(rows, odds))}
     for carry_text in (True, False):
         for r in QC.classified(docs.withColumn("key", F.struct("doc_id", "text")), labels, carry_text=carry_text).collect():
-            own, key = p[tuple(r["key"])], (r["source"] or "", r["lang"] or "")
-            rate = (sum(sites[key]) - own + strength * rates[key[0]]) / (len(sites[key]) - 1 + strength)
-            good = 1 / (1 + np.exp(-(logit(own) + logit(rate) - logit(mean))))
-            assert abs(r["evidence"] - odds[tuple(r["key"])]) < 1e-4 and abs(r["p_good"] - good) < 1e-4 and ("text" in r.asDict()) == carry_text
+            key = tuple(r["key"])
+            assert abs(r["evidence"] - odds[key]) < 1e-4 and abs(r["p_good"] - good[key]) < 1e-4 and ("text" in r.asDict()) == carry_text
 
 
 def test_columns_with_clashing_names(spark):
