@@ -114,3 +114,30 @@ def test_online_clustering_keeps_its_state(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
         got = J.to_table(J.online_clusters(J.source(spark, path, spark.createDataFrame([], schema).schema), "shard"), str(tmp_path / "c"), str(tmp_path / f"t{n}"))
     assert [(r["item_id"], r["cluster"]) for r in got.collect()] == [(3, 0)]
+
+
+def test_second_archive_tries(spark):
+    urls = spark.createDataFrame([("https://www.cdc.gov/a", "wayback", "20150101"), ("https://x.niddk.nih.gov/b", "wayback", None), ("https://www.cdc.gov/c", "live", None)], "url string, fetch_mode string, archive_date string")
+    tries = sorted((r["url"], r["try_no"], r["archive_date"]) for r in FE.archive_tries(urls).collect())
+    assert tries == [("https://www.cdc.gov/a", 0, "20150101"), ("https://www.cdc.gov/a", 1, "20140101"), ("https://www.cdc.gov/c", 0, None), ("https://x.niddk.nih.gov/b", 0, None)]
+    moved, old = "<p>This Page Has Moved</p>", "<p>Redirect to first topic</p>"
+    tried = spark.createDataFrame([("a", 0, moved, "Wayback"), ("a", 1, old, "Wayback"), ("b", 0, "<p>x</p>", "Wayback"), ("b", 1, "<p>y</p>", "Wayback"), ("c", 0, old, "Wayback"), ("c", 1, moved, "Wayback"), ("d", 0, None, None)], "url string, try_no int, html string, source string")
+    got = {r["url"]: (r["html"], r["source"]) for r in FE.first_usable(tried).collect()}
+    assert got == {"a": (old, "Wayback (2014)"), "b": ("<p>x</p>", "Wayback"), "c": (None, None), "d": (None, None)}
+
+
+def test_answered_rows_and_first_documents(spark):
+    rows = spark.createDataFrame([("d2", 1, "x"), ("d1", 2, None), ("d2", 3, ""), ("d3", 4, "y"), (None, 0, "z")], "document_id string, pos int, answer string")
+    assert sorted(r["pos"] for r in Q.answered(rows).collect()) == [0, 1, 3, 4]
+    assert sorted(r["pos"] for r in Q.first_documents(rows, 2).collect()) == [1, 2, 3] and Q.first_documents(rows, 0).count() == 0
+
+
+def test_run_every(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    taken = []
+    query = J.run_every(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), f"{tmp_path}/checkpoint", lambda batch, n: taken.append(batch.count()), "1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sum(taken) == 5
