@@ -519,14 +519,43 @@ def text_scores(spark, sf_dir):
     return pairs.select("conv_id", "turn", EV.text_scores(F.col("answer"), F.col("text")).alias("s")).select("conv_id", "turn", F.round("s.bleu", 6).alias("bleu"), F.round("s.rouge_l", 6).alias("rouge_l"))
 
 
-@query()
+@query("""
+with recursive e as (select label as job_id, vec_id as item_id, embedding::double[] as v, row_number() over (partition by label order by vec_id) as n from embeddings),
+d as (select a.job_id, a.n as i, b.n as j, 1 - coalesce(list_cosine_similarity(a.v, b.v), 0) as far from e a join e b on a.job_id = b.job_id and a.n < b.n),
+s as (
+    select job_id, cast(0 as bigint) as step, list(n order by n) as labels from e group by job_id
+    union all
+    select job_id, step + 1, list_transform(labels, lambda x: case when x = hi then lo else x end)
+    from (
+        select *, row_number() over (partition by job_id order by a, lo, hi) as r
+        from (
+            select s.job_id, any_value(s.step) as step, any_value(s.labels) as labels, least(s.labels[d.i], s.labels[d.j]) as lo, greatest(s.labels[d.i], s.labels[d.j]) as hi, avg(d.far) as a
+            from s join d on d.job_id = s.job_id where s.labels[d.i] <> s.labels[d.j] and len(s.labels) >= 6 group by s.job_id, lo, hi
+        )
+    ) where r = 1 and a <= 0.6
+), l as (select job_id, max_by(labels, step) as labels from s group by job_id)
+select e.job_id, e.item_id, cast(l.labels[e.n] - 1 as integer) as cluster, l.labels[e.n] = e.n as kept from e join l on l.job_id = e.job_id""")
 def semantic_dedup(spark, sf_dir):
     # A job is a cluster of vectors that belong together, whatever their ids are.
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("job_id"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
     return EO.semantic_dedup(rows, 0.6)
 
 
-@query()
+@query("""
+with recursive e as (select label as shard, vec_id as item_id, embedding::double[] as v, row_number() over (partition by label order by vec_id) as n from embeddings),
+s as (
+    select distinct shard, cast(0 as bigint) as n, cast(null as bigint) as item_id, cast(null as bigint) as cluster, cast([] as double[][]) as sums, cast([] as bigint[]) as hits from e
+    union all
+    select shard, n, item_id, coalesce(k, len(sums) + 1) - 1,
+        case when k is null then list_append(sums, v) else list_transform(sums, lambda c, i: case when i = k then list_transform(c, lambda x, j: (x * hits[k] + v[j]) / (hits[k] + 1)) else c end) end,
+        case when k is null then list_append(hits, 1) else list_transform(hits, lambda h, i: case when i = k then h + 1 else h end) end
+    from (
+        select e.shard, e.n, e.item_id, e.v, s.sums, s.hits, list_transform(s.sums, lambda c: list_cosine_similarity(c, e.v)) as near,
+            case when list_max(near) >= 0.35 then list_position(near, list_max(near)) end as k
+        from s join e on e.shard = s.shard and e.n = s.n + 1
+    )
+)
+select shard, item_id, cast(cluster as integer) as cluster from s where item_id is not null""")
 def online_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("shard"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
     return EO.online_clusters(rows, "shard", 0.35)
