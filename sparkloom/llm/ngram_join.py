@@ -54,6 +54,8 @@ WORDS64 = 16  # of the folded sketch
 #: Members of a heavy group that a task compares with as many others, a strip of them at a time.
 BLOCK = 4096
 STRIP = 128
+#: Short rows that a pair of sets to be verified is worth, where tasks are dealt out.
+PAIR_ROWS = 20
 #: Ids sent to every task at most (8 or 16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Nodes whose pieces a task remembers having given, so that copies don't give them again.
@@ -399,7 +401,7 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     common.release(groups)
     common.free_memory(spark)
     n_pairs = pairs.count()
-    pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates", n_pairs)
+    pairs = common.materialize(_not_far(pairs, nodes, percent), "candidates", 5 * n_pairs)
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("node"))
     if left is not None:
         wanted = wanted.unionByName(left.select("node"))
@@ -409,12 +411,13 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ends = pairs.select(F.explode(F.array("x", "y")).alias("node"), F.struct(apart.alias("apart"), "x", "y", "xn", "yn").alias("p"))
     first = ends.groupBy("node").agg(F.min("p").alias("p")).select("p.x", "p.y", "p.xn", "p.yn").unionByName(pairs.where("star").select("x", "y", "xn", "yn"))
     tested = common.materialize(first.distinct(), "first-pairs", n_pairs)
-    merged = common.connected_components(_verified(tested, sets, percent), "x", "y", rows=n_pairs)
+    merged = common.connected_components(_verified(tested, sets, percent), "x", "y", rows=PAIR_ROWS * n_pairs)
     # Then what still lies in different components.
     rest = _labelled(_labelled(pairs.join(tested, ["x", "y"], "left_anti"), merged, "x", "xc"), merged, "y", "yc").where("xc != yc").select("x", "y", "xn", "yn")
     rest = common.materialize(rest, "pairs-across", n_pairs)
-    if not rest.isEmpty():
-        merged, tested = _extended(merged, _verified(rest, sets, percent), n_pairs + n_docs), tested.unionByName(rest)
+    n_rest = rest.count()
+    if n_rest:
+        merged, tested = _extended(merged, _verified(rest, sets, percent), n_docs + PAIR_ROWS * n_rest), tested.unionByName(rest)
     if left is None:
         return known, merged
     left = common.materialize(left.select("key", "node").join(one, "node"), "group-rows", n_heavy)
@@ -424,15 +427,16 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     if not n_some:
         return known, merged
     rest = common.materialize(_sized(some.join(tested, ["x", "y"], "left_anti"), nodes, percent), "closest-untested", n_some)
-    if not rest.isEmpty():
-        merged, tested = _extended(merged, _verified(rest, sets, percent), n_some + n_docs), tested.unionByName(rest)
+    n_rest = rest.count()
+    if n_rest:
+        merged, tested = _extended(merged, _verified(rest, sets, percent), n_docs + PAIR_ROWS * n_rest), tested.unionByName(rest)
     # A node without a close one in another component has none now either.
     ends = common.materialize(some.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "open-nodes", 2 * n_some)
     rows = _labelled(left.join(_alike(ends).withColumn("open", F.lit(True)), "node", "left"), merged, "node", "component").withColumn("open", F.coalesce("open", F.lit(False)))
     last = common.materialize(_sized(across(rows, percent, True, n_heavy).join(tested, ["x", "y"], "left_anti"), nodes, percent), "last-pairs", n_heavy)
     n_last = last.count()
     if n_last:
-        merged = _extended(merged, _verified(last, sets, percent), n_last + n_docs)
+        merged = _extended(merged, _verified(last, sets, percent), n_docs + PAIR_ROWS * n_last)
     return known, merged
 
 
