@@ -18,6 +18,7 @@ import json
 import os
 import re
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from sparkloom.llm import workers
 
 #: Words and characters that a worker remembers at most; beyond that it starts anew, so its memory stays bounded.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 CACHE_CHARS = 32_000_000
 #: Characters of distinct words that are encoded in one call of the library; its results are some 100 bytes a character.
 CALL_CHARS, FEW_CALL_CHARS = 400_000, 60_000
@@ -79,29 +80,28 @@ class WordEncoder:
         self.used = self.chars = 0
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words that aren't in the cache yet, and number them. Those that begin a text carry a mark."""
+        """Encode words that aren't in the cache yet, and number them in their order. Those that begin a text carry a mark."""
         need = len(self.numbers) + len(words) + 1
         if need > len(self.first):
             self.first = np.concatenate([self.first, np.zeros(max(need, len(self.first)), np.int64)])
-        batch: list[str] = []
-        size = 0
-        for i, word in enumerate(words):
-            batch.append(word)
-            size += len(word)
-            if size >= self.call_chars or i + 1 == len(words):
-                self.chars += size
-                written = batch if self.folds else [w[1:] if w[:1] == _FIRST else w if w[:1] == "\n" else " " + w for w in batch]
-                for w, e in zip(batch, self.tokenizer.encode_batch_fast(written, add_special_tokens=False)):
-                    ids = e.ids
-                    end = self.used + len(ids)
-                    if end > len(self.pool):
-                        self.pool = np.concatenate([self.pool, np.zeros(max(end, len(self.pool)), np.int32)])
-                    self.pool[self.used : end] = ids
-                    k = len(self.numbers)
-                    self.numbers[w] = k
-                    self.first[k], self.first[k + 1] = self.used, end
-                    self.used = end
-                batch, size = [], 0
+        chars = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = done = 0
+        while at < len(words):
+            stop = max(at + 1, int(np.searchsorted(chars, done + self.call_chars, "right")))
+            batch = words[at:stop]
+            written = batch if self.folds else [w[1:] if w[:1] == _FIRST else w if w[:1] == "\n" else " " + w for w in batch]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(written, add_special_tokens=False)]
+            ends = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            end = int(ends[-1])
+            if end > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(end, len(self.pool)), np.int32)])
+            self.pool[self.used : end] = np.fromiter(chain.from_iterable(found), np.int32, end - self.used)
+            k = len(self.numbers)
+            self.numbers.update(zip(batch, range(k, k + len(batch))))
+            self.first[k + 1 : k + 1 + len(batch)] = ends
+            self.used = end
+            at, done = stop, int(chars[stop - 1])
+        self.chars += done
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > self.cache_words or self.chars > CACHE_CHARS:
@@ -119,10 +119,11 @@ class WordEncoder:
         counts = np.diff(words.offsets.to_numpy()).astype(np.int64)
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.numbers]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        number = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+            self._learn([distinct[i] for i in new.tolist()])
         begin, long = self.first[number], (self.first[number + 1] - self.first[number]).astype(np.int32)
         codes = coded.indices.to_numpy()
         size = long[codes]
