@@ -39,7 +39,7 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
     """(rules as an n x 2 array, symbols). Symbol base + k stands for rule k.
 
     Goes on until no pair occurs min_count times or no symbol is left (of 16 bits, if the base leaves any). Each round
-    replaces all pairs that can be replaced at once and occur an eighth as often as the commonest, or min_count times.
+    replaces all such pairs that can be replaced at once.
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -80,7 +80,7 @@ def _frequent(seq: np.ndarray, least: int) -> np.ndarray:
         nth = np.arange(len(where)) - np.repeat(first, np.diff(np.append(first, len(where))))
         at = np.delete(at, twins[nth % 2 == 1])
     codes, counts = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
-    often = counts >= max(least, int(counts.max(initial=0)) // 8)
+    often = counts >= least
     codes, counts = codes[often], counts[often]
     codes = codes[np.argsort(-counts, kind="stable")]
     side: dict[int, int] = {}
@@ -146,6 +146,21 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         seq = out
 
 
+def expand_segment(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, base: int) -> np.ndarray:
+    """The same for a whole segment: every rule is expanded once, then all symbols are looked up in one pass."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    known = expand(np.arange(base, base + len(rules)), rules, base)
+    begins = np.cumsum(spans, dtype=np.int64) - spans
+    rule = np.maximum(symbols.astype(np.int64) - base, 0)
+    deep = symbols >= base
+    sizes = np.where(deep, spans[rule], 1).astype(np.int64)
+    source = np.where(deep, begins[rule], len(known) + np.arange(len(symbols)))
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((source - ends + sizes).astype(np.int32), sizes)
+    return np.concatenate([known, symbols.astype(np.uint32)])[at]
+
+
 def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, base: int, segment: int = SEGMENT_IDS) -> bytes:
     cuts = range(0, len(ids), segment)
     parts = [b"RPG1", struct.pack("<III", len(doc_ids), base, len(cuts))]
@@ -185,8 +200,8 @@ class BlockReader:
 
     def __iter__(self) -> Iterator[np.ndarray]:
         """The ids of each segment."""
-        for _, rules, _, symbols in self.segments:
-            yield expand(symbols, rules, self.base)
+        for _, rules, spans, symbols in self.segments:
+            yield expand_segment(symbols, rules, spans, self.base)
 
     def stretch(self, start: int, stop: int) -> np.ndarray:
         """ids[start:stop]; symbols outside it aren't expanded."""
