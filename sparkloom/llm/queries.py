@@ -8,6 +8,7 @@ from sparkloom.llm import (
     license_scan,
     ngram_join,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     repair_codec,
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": ngram_join.op8,
         "op9_sentencepiece": sp_codec.op9,
         "op10_embedding_near_dedup": embed_dedup.op10,
+        "op11_conversation_trie": prefix_trie.op11,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict:
         "op7_url_filter": url_filter.ORACLE,
         "op8_ngram_jaccard_join": ngram_join.ORACLE,
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
+        "op11_conversation_trie": prefix_trie.ORACLE,
     }
