@@ -12,6 +12,7 @@ from sparkloom.llm import (
     quality_classifier,
     quality_rules,
     repair_codec,
+    source_divergence,
     sp_codec,
     url_filter,
 )
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_sentencepiece": sp_codec.op9,
         "op10_embedding_near_dedup": embed_dedup.op10,
         "op11_conversation_trie": prefix_trie.op11,
+        "op12_source_divergence": source_divergence.op12,
     }
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict:
         "op8_ngram_jaccard_join": ngram_join.ORACLE,
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
         "op11_conversation_trie": prefix_trie.ORACLE,
+        "op12_source_divergence": source_divergence.ORACLE,
     }
