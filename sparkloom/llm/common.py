@@ -157,6 +157,40 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the groups of equal keys begin, and the end."""
+    n = len(table)
+    change = np.zeros(n, bool)
+    change[:1] = True
+    for k in keys:
+        c = table[k].to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(change), n)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and where these begin, from rows sorted by the keys; a group that has grown beyond `most`
+    rows is given in parts, each of more than `most` rows but the last."""
+    held: list[pa.RecordBatch] = []  # the last group may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.RecordBatch.from_arrays(batch.columns, batch.schema.names))  # alike in what may be null
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = group_starts(table, keys)
+        cut = int(starts[-2])
+        if cut:
+            yield table.slice(0, cut), starts[:-1]
+        table = table.slice(cut)
+        if most is not None and len(table) > most:
+            yield table, np.array([0, len(table)])
+            table = table.slice(0, 0)
+        held = [pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], table.column_names)] if len(table) else []
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, group_starts(table, keys)
+
+
 #: Edges that a task merges at once before they are shuffled.
 MERGED_AT_ONCE = 1 << 20
 

@@ -90,17 +90,6 @@ def local_groups(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Where the groups of equal keys begin, and the end."""
-    n = len(table)
-    change = np.zeros(n, bool)
-    change[:1] = True
-    for k in keys:
-        c = table[k].to_numpy()
-        change[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(change), n)
-
-
 def tables_for(n: int, least: float, recall: float) -> tuple[int, int]:
     """(bits of a substring, number of tables) for n vectors."""
     # The chance that a bit differs is the angle's share of half a turn, for codes through the origin.
@@ -161,29 +150,6 @@ def near_edges(names: np.ndarray, code: np.ndarray, starts: np.ndarray, limit: i
     return both[0], both[1]
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups and where these begin, from rows sorted by the keys; a group that has grown beyond `most`
-    rows is given in parts, each of more than `most` rows but the last."""
-    held: list[pa.RecordBatch] = []  # the last group may go on in the next batch
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.RecordBatch.from_arrays(batch.columns, batch.schema.names))  # alike in what may be null
-        table = pa.Table.from_batches(held).combine_chunks()
-        starts = _starts(table, keys)
-        cut = int(starts[-2])
-        if cut:
-            yield table.slice(0, cut), starts[:-1]
-        table = table.slice(cut)
-        if most is not None and len(table) > most:
-            yield table, np.array([0, len(table)])
-            table = table.slice(0, 0)
-        held = [pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], table.column_names)] if len(table) else []
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table, _starts(table, keys)
-
-
 def _sketches(table: pa.Table) -> np.ndarray:
     return np.stack([table["low"].to_numpy(), table["high"].to_numpy()], 1).view(np.uint64)
 
@@ -193,7 +159,7 @@ def candidate_edges(rows: DataFrame, limit: int) -> DataFrame:
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large: tuple | None = None  # the bucket whose rows have begun to be given as those of a large one
-        for table, starts in _whole_groups(batches, ["bucket", "salt"], BLOCK):
+        for table, starts in common.whole_groups(batches, ["bucket", "salt"], BLOCK):
             size = np.diff(starts)
             bucket, salt = table["bucket"].to_numpy()[starts[:-1]], table["salt"].to_numpy()[starts[:-1]]
             many = (size > BLOCK) | (salt > 0)
@@ -227,7 +193,7 @@ def candidate_edges(rows: DataFrame, limit: int) -> DataFrame:
     keys = ["bucket", "i", "j"]
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches, keys, None):
+        for table, starts in common.whole_groups(batches, keys, None):
             a, b = near_edges(table["class"].to_numpy(), _sketches(table), starts, limit)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

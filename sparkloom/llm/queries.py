@@ -14,6 +14,7 @@ from sparkloom.llm import (
     repair_codec,
     source_divergence,
     sp_codec,
+    suffix_dedup,
     url_filter,
 )
 
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_embedding_near_dedup": embed_dedup.op10,
         "op11_conversation_trie": prefix_trie.op11,
         "op12_source_divergence": source_divergence.op12,
+        "op13_suffix_dedup": suffix_dedup.op13,
     }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict:
         "op10_embedding_near_dedup": embed_dedup.ORACLE,
         "op11_conversation_trie": prefix_trie.ORACLE,
         "op12_source_divergence": source_divergence.ORACLE,
+        "op13_suffix_dedup": suffix_dedup.ORACLE,
     }
