@@ -441,14 +441,18 @@ def op13(spark, sf_dir):
     return removed(common.table(spark, sf_dir, "documents"))
 
 
-#: Bytes as pairs of hexadecimal digits.
+#: Bytes as pairs of hexadecimal digits; strings are cut out of short blocks of a text.
 ORACLE = """
 with d as (
     select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), b as (
+    select doc_id, unnest(range(0, len(h) // 2 - 99, 128)) as block, h from d
+), c as (
+    select doc_id, block, substr(h, 2 * block + 1, 2 * (128 + 99)) as h from b
 ), s as (
-    select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as i from d
+    select doc_id, block, h, unnest(range(0, len(h) // 2 - 99)) as i from c
 ), k as (
-    select doc_id, i, row_number() over (partition by substr(h, 2 * i + 1, 200) order by doc_id, i) as n from s
+    select doc_id, block + i as i, row_number() over (partition by substr(h, 2 * i + 1, 200) order by doc_id, block + i) as n from s
 ), m as (
     select doc_id, i, i > lag(i) over w + 100 or lag(i) over w is null as fresh from k where n > 1 window w as (partition by doc_id order by i)
 ), r as (
