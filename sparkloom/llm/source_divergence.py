@@ -164,8 +164,12 @@ def _audit(documents: DataFrame, least: int, top: int) -> DataFrame:
 
     other = mine.select("lang", "i", F.inline(F.filter(F.transform("p", given), lambda x: x["j"] != F.col("i"))))
     sums = other.groupBy("lang", "i", "j").agg(F.sum("out").alias("out"), F.count("*").alias("n_out"), F.sum("back").alias("back"), F.count("back").alias("n_back"))
-    sides = sums.select("lang", "i", "j", F.col("out").alias("value"), F.col("n_out").alias("seen")).unionByName(sums.select("lang", F.col("j").alias("i"), F.col("i").alias("j"), F.coalesce("back", F.lit(0)).alias("value"), F.col("n_back").alias("seen")))
-    sums = sides.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    # Either side of a pair, of one pass over the vectors.
+    sides = F.array(
+        F.struct("i", "j", F.col("out").alias("value"), F.col("n_out").alias("seen")),
+        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.coalesce("back", F.lit(0)).alias("value"), F.col("n_back").alias("seen")),
+    )
+    sums = sums.select("lang", F.inline(sides)).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
 
     each = langs.select("lang", "terms", "sources", "absent", F.posexplode("sources").alias("i", "s")).select("lang", "terms", "i", F.col("s.source").alias("source"), F.get("absent", F.col("i")).alias("p"), F.posexplode(F.arrays_zip("sources", "absent")).alias("j", "o"))
     each = each.where("i != j").select("lang", "terms", "i", "j", "source", F.col("o.sources.source").alias("item"), F.coalesce(divergence(F.col("p"), F.col("o.absent")), F.lit(0)).alias("both_absent"))
