@@ -13,7 +13,7 @@ least owned depth on. One group-by over the prefixes sums up the rest. All group
 third of the conversations share is no hot key, and a conversation of any length is spread over ranges and segments.
 Texts are never shuffled: a turn travels as two hashes and its length in bytes. A prefix is named by 128 bits.
 
-Rows with a null conv_id belong to no conversation. Null roles and texts are empty ones. Null turns come first; rows of a
+Rows with a null conv_id belong to no conversation; remainders of negative ones are negative, as in SQL. Null roles and texts are empty ones. Null turns come first; rows of a
 conversation that share a turn are ordered by role, then by the MD5 digest of the text, so equal rows are one turn each.
 A conversation whose rebuilt form has no turn is a member of the root, and ends there. An empty table gives no node,
 not even a root. Texts of any length are hashed whole. Columns other than conv_id, turn, role and text don't matter.
