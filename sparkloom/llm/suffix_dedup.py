@@ -12,11 +12,14 @@ Sorting: the runs of other buckets fetch their bytes. Of a bucket, the suffixes
 sorted by multikey quicksort, eight bytes at a time, to a shallow depth; groups that are still alike go into blind tries:
 each suffix is held against its trie's leaf once, which tells the depth and the byte where it branches off. Both advance for
 all groups of a batch at once. Suffixes that are alike to the full length are a class, and all but its earliest repeat it.
-Large buckets: runs of a bucket that a task holds many of are dealt out by a salt, and each part is sorted for itself. The
-earliest of each class of a part then meet those of the other parts by a 128-bit hash of the string.
+Large buckets: where more runs share an anchor than one task should sort, they are partitioned further, as quicksort would: a
+run is cut by the distance to the anchor, and its pieces meet those with which all bytes that strings at such distances
+have in common agree. Pieces that are alone, or alike, are settled by that; what is left is cut again, down to single
+strings. Of a key that a task holds many rows of, most are dealt out by a salt.
 
-Texts are shuffled twice, once to give sorted runs their bytes and once to be cut; suffixes are never. No row is a group of
-unbounded size but a document's own repeats, which are fewer than its bytes.
+Texts are shuffled twice, once to give runs that are to be sorted their bytes and once to be cut; suffixes are not, but for
+single strings of large buckets, as hashes. No row is a group of unbounded size but a document's own repeats, which are
+fewer than its bytes.
 
 Documents are ordered by doc_id, nulls last; those that share one by a hash of the text. Of rows that share both, the
 first is judged by what comes before and the others are repeats of it: all removed, if they have LENGTH bytes. Null and
@@ -44,8 +47,9 @@ LENGTH = 100
 GRAM = 24
 #: Bytes that quicksort orders by; beyond, tries do.
 SHALLOW = 32
-#: Runs of a bucket that are sorted as one part; more are dealt out.
+#: Runs of a bucket that are sorted at once; larger buckets are partitioned by strings at up to so many distances in turn.
 PART = 256
+WIDTHS = (16, 4)
 SALTS = 64
 #: Rows that a worker gets at once, bytes of text whose places it works on at once (one text's piece at least), and runs that
 #: it collapses before they are shuffled.
@@ -150,6 +154,9 @@ def _joined(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, count: np.ndarr
 RUN = "bucket long, salt int, digest long, doc long, tie long, place long"
 
 
+BYTES = ", bytes binary"
+
+
 def _packed(start: np.ndarray, count: np.ndarray, off: np.ndarray) -> np.ndarray:
     return (start << 14) | ((count - 1) << 7) | off
 
@@ -164,8 +171,11 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def _collapsed(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Runs (bucket, digest, doc, tie, place) of a task: the earliest of those alike, salted where a bucket has many, and repeats."""
+def _collapsed(rows: list[np.ndarray], held: pa.Array | None = None) -> pa.RecordBatch:
+    """Runs (bucket, digest, doc, tie, place) of a task: the earliest of those alike, salted where a bucket has many, and repeats.
+
+    held: their bytes, if they are to be kept.
+    """
     bucket, digest, doc, tie, place = rows
     order = np.lexsort((place, tie, doc, digest, bucket))
     bucket, digest, doc, tie, place = (c[order] for c in (bucket, digest, doc, tie, place))
@@ -179,7 +189,10 @@ def _collapsed(rows: list[np.ndarray]) -> pa.RecordBatch:
     salt = np.where(nth > PART, 1 + nth % SALTS, 0)
     none = np.zeros(len(marks[0]), np.int64)
     both = zip((bucket, salt, digest, doc, tie, place), (marks[0] ^ marks[1], none - 1, marks[3], marks[0], marks[1], marks[2] << 14))
-    return _batch(RUN, *(np.concatenate(x) for x in both))
+    columns = [np.concatenate(x) for x in both]
+    if held is None:
+        return _batch(RUN, *columns)
+    return _batch(RUN + BYTES, *columns, pa.concat_arrays([held.take(pa.array(order[first])), pa.nulls(len(none), held.type)]))
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +215,13 @@ def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _collapsed([np.concatenate(c) for c in zip(*held)])
 
 
-#: Repeats (part null) and runs that are to be sorted; wide: the bucket has other parts.
-CANDIDATE = "bucket long, part long, wide boolean, doc long, tie long, start long, count long, off long"
+#: Repeats (wide null) and runs that are left; wide: there are more of the bucket than are sorted at once.
+CANDIDATE = "bucket long, wide boolean, doc long, tie long, start long, count long, off long"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs in the order of bucket, salt, digest and document."""
-    large, nth = None, 0  # a bucket of which parts have been given already, and how many
+    """From runs in the order of bucket, salt, digest and document, with or without their bytes."""
+    large = None  # a bucket of which rows have been given already
     for table, starts in common.whole_groups(batches, ["bucket", "salt"], PART):
         bucket, salt, digest, doc, tie, place = (table[c].to_numpy() for c in ("bucket", "salt", "digest", "doc", "tie", "place"))
         start, count, off = _unpacked(place)
@@ -220,24 +233,20 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(starts)
         group = np.repeat(np.arange(len(size)), size)
         left = np.bincount(group[first & ~done], minlength=len(size))
-        wide, part = (left > PART) | (salt[starts[:-1]] > 0), salt[starts[:-1]].astype(np.int64) << 32
         ends = [(int(bucket[k]), int(salt[k])) for k in (0, -1)]
-        if ends[0] == large:
-            wide[0], part[0], nth = True, part[0] + nth + 1, nth + 1
-        elif size[0] > PART:  # given in parts
-            wide[0], nth = True, 0
-        else:
-            nth = 0
-        large = ends[1] if len(size) == 1 and wide[-1] else None
+        wide = (size > PART) | (salt[starts[:-1]] > 0)
+        wide[0] |= ends[0] == large
+        large = ends[1] if len(size) == 1 and wide[0] else None
         kept = first & ~done & ((left > 1) | wide)[group]
-        g = group[kept]
-        null = pa.nulls(len(marks[0]), pa.int64())
+        n = len(marks[0])
+        null, more = pa.nulls(n, pa.int64()), np.flatnonzero(kept)
         column = lambda a, b: pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), pa.array(b, pa.int64())])
-        flags = pa.concat_arrays([pa.nulls(len(marks[0]), pa.bool_()), pa.array(wide[g], pa.bool_())])
-        yield _batch(CANDIDATE, column(null, bucket[kept]), column(null, part[g]), flags, column(marks[0], doc[kept]), column(marks[1], tie[kept]), column(marks[2], start[kept]), column(marks[3], count[kept]), column(null, off[kept]))
-
-
-FETCHED = "bucket long, part long, wide boolean, doc long, tie long, start long, count long, off long, bytes binary"
+        columns = [column(null, bucket[kept]), pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(wide[group[kept]], pa.bool_())])]
+        columns += [column(marks[0], doc[kept]), column(marks[1], tie[kept]), column(marks[2], start[kept]), column(marks[3], count[kept]), column(null, off[kept])]
+        if "bytes" in table.column_names:
+            yield _batch(CANDIDATE + BYTES, *columns, pa.concat_arrays([pa.nulls(n, pa.binary()), table["bytes"].combine_chunks().take(pa.array(more))]))
+        else:
+            yield _batch(CANDIDATE, *columns)
 
 
 def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -256,11 +265,71 @@ def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2], np.uint8)
         wanted, row = batch.column("wanted").flatten(), pc.list_parent_indices(batch.column("wanted")).to_numpy()
-        field = {f: wanted.field(f) for f in ("bucket", "part", "wide", "start", "count", "off")}
+        field = {f: wanted.field(f) for f in ("bucket", "wide", "start", "count", "off")}
         start, count = field["start"].to_numpy(), field["count"].to_numpy()
         cut = _cut(data, offsets[:-1][row] + start, count - 1 + LENGTH)
         own = [batch.column(c).to_numpy()[row] for c in ("doc", "tie")]
-        yield _batch(FETCHED, field["bucket"], field["part"], field["wide"], *own, field["start"], field["count"], field["off"], cut)
+        yield _batch(CANDIDATE + BYTES, field["bucket"], field["wide"], *own, field["start"], field["count"], field["off"], cut)
+
+
+def _held(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of binaries, with bytes to spare at the end."""
+    rows = rows.cast(pa.large_binary())
+    offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    return np.concatenate([np.frombuffer(rows.buffers()[2] or b"", np.uint8), np.zeros(LENGTH + 16, np.uint8)]), offsets
+
+
+def _hashes(eight: np.ndarray, at: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes of each slice (eight of them at least, `most` at most)."""
+    one, two = size.astype(np.uint64), ~size.astype(np.uint64)
+    for d in range(0, most, 8):
+        w = eight[at + np.minimum(d, size - 8)]
+        one, two = _mix(one, w), _mix(w ^ _B, two)
+    return one, two
+
+
+def _finer(width: int):
+    """Runs with their bytes as pieces of strings at `width` distances to the anchor each, keyed by what such strings share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, doc, tie, start, count, off = (batch.column(c).to_numpy() for c in ("bucket", "doc", "tie", "start", "count", "off"))
+            data, offsets = _held(batch.column("bytes"))
+            eight, found, cuts = _words(data), [], []
+            for k in range((LENGTH - GRAM) // width + 1):
+                high, low = np.minimum(off, k * width + width - 1), np.maximum(off - count + 1, k * width)
+                row = np.flatnonzero(low <= high)
+                high, low = high[row], low[row]
+                begin, size = offsets[row] + off[row] - high, high - low + LENGTH
+                shared = np.full(len(row), LENGTH + 1 - width)
+                key = _mix(_hashes(eight, begin + high - k * width, shared, LENGTH)[0], bucket[row].view(np.uint64) + np.uint64(k))
+                digest = _hashes(eight, begin, size, LENGTH + width)[0]
+                found.append([key.view(np.int64), digest.view(np.int64), doc[row], tie[row], _packed(start[row] + off[row] - high, high - low + 1, high)])
+                cuts.append((begin, size))
+            yield _collapsed([np.concatenate(c) for c in zip(*found)], _cut(data, *(np.concatenate(c) for c in zip(*cuts))))
+
+    return run
+
+
+#: A string of a large bucket, by its hashes; again: an earlier one of its task is alike.
+STRING = "one long, two long, doc long, tie long, start long, again boolean"
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, tie, start, count = (batch.column(c).to_numpy() for c in ("doc", "tie", "start", "count"))
+        data, offsets = _held(batch.column("bytes"))
+        run = np.repeat(np.arange(len(doc)), count)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        one, two = _hashes(_words(data), offsets[run] + nth, np.full(len(run), LENGTH), LENGTH)
+        place = start[run] + nth
+        order = np.lexsort((place, tie[run], doc[run], two, one))
+        one, two, run, place = one[order], two[order], run[order], place[order]
+        yield _batch(STRING, one.view(np.int64), two.view(np.int64), doc[run], tie[run], place, ~_changes(one, two))
 
 
 def quicksorted(word, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,19 +403,16 @@ def tried(word, byte, order: np.ndarray, starts: np.ndarray, known: int, depth:
     return leader
 
 
-#: Repeats, and of wide buckets the earliest of each class (count null) with the string's hash.
-SORTED = "doc long, tie long, start long, count long, one long, two long"
+MARK = "doc long, tie long, start long, count long"
 
 
-def sorted_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs with their bytes, in the order of bucket, part and document."""
-    for table, starts in common.whole_groups(batches, ["bucket", "part"], None):
-        doc, tie, start, count, off, wide = (table[c].to_numpy() for c in ("doc", "tie", "start", "count", "off", "wide"))
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats among runs with their bytes, in the order of bucket and document."""
+    for table, starts in common.whole_groups(batches, ["bucket"], None):
+        doc, tie, start, count, off = (table[c].to_numpy() for c in ("doc", "tie", "start", "count", "off"))
         size = np.diff(starts)
         cell = np.repeat(np.arange(len(size)), size)
-        held = table["bytes"].combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
-        data = np.concatenate([np.frombuffer(held.buffers()[2], np.uint8), np.zeros(LENGTH + 16, np.uint8)])
+        data, offsets = _held(table["bytes"].combine_chunks())
         eight = _words(data)
         # A suffix for each place of each run, by bucket and distance to the anchor, then by document.
         run = np.repeat(np.arange(len(doc)), count)
@@ -358,18 +424,9 @@ def sorted_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         word = lambda k, d: eight[at[k] + d].byteswap()
         order, segments = quicksorted(word, group, SHALLOW)
         leader = tried(lambda k, d: _limited(word(k, d), d), lambda k, d: data[at[k] + d], order, segments, SHALLOW, LENGTH)
-        again = leader != np.arange(len(leader))
         places = start[run] + nth
-        again &= (doc[run] != doc[run[leader]]) | (tie[run] != tie[run[leader]]) | (places != places[leader])
-        marks = _joined(doc[run[again]], tie[run[again]], places[again], np.ones(int(again.sum()), np.int64))
-        open_ = np.flatnonzero(wide[run] & (leader == np.arange(len(leader))))
-        one, two = (np.full(len(open_), s, np.uint64) for s in (1, 2))
-        for d in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-            w = eight[at[open_] + d]
-            one, two = _mix(one, w), _mix(w ^ _B, two)
-        null = pa.nulls(len(marks[0]), pa.int64())
-        column = lambda a, b: pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64())])
-        yield _batch(SORTED, column(marks[0], doc[run[open_]]), column(marks[1], tie[run[open_]]), column(marks[2], places[open_]), column(marks[3], pa.nulls(len(open_), pa.int64())), column(null, one.view(np.int64)), column(null, two.view(np.int64)))
+        again = (doc[run] != doc[run[leader]]) | (tie[run] != tie[run[leader]]) | (places != places[leader])
+        yield _batch(MARK, *_joined(doc[run[again]], tie[run[again]], places[again], np.ones(int(again.sum()), np.int64)))
 
 
 def _limited(word: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -419,18 +476,27 @@ def _removed(documents: DataFrame) -> DataFrame:
         found = rows.select("doc", "tie", "text").mapInArrow(_runs_of, RUN).repartition("bucket", "salt")
         found = found.sortWithinPartitions("bucket", "salt", "digest", "doc", "tie", "place")
     found = common.materialize(found.mapInArrow(_candidates, CANDIDATE), "suffix-runs")
+    mark = ["doc", "tie", "start", "count"]
+    marks = found.where("wide is null").select(*mark)
 
-    # Runs that are left get their bytes, and are sorted with others of their bucket.
-    wanted = found.where("part is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("bucket", "part", "wide", "start", "count", "off")).alias("wanted"))
+    # Runs that are left get their bytes.
+    wanted = found.where("wide is not null").groupBy("doc", "tie").agg(F.collect_list(F.struct("bucket", "wide", "start", "count", "off")).alias("wanted"))
     texts = rows.groupBy("doc", "tie").agg(F.any_value("text").alias("text"))
-    keys = ["bucket", "part"]
     with common.batches_of(spark, DOCUMENTS_AT_ONCE):
-        fetched = texts.join(wanted, ["doc", "tie"]).mapInArrow(_with_bytes, FETCHED)
-    ordered = common.materialize(fetched.repartition(*keys).sortWithinPartitions(*keys, "doc", "tie", "start").mapInArrow(sorted_classes, SORTED), "suffix-classes")
+        fetched = common.materialize(texts.join(wanted, ["doc", "tie"]).mapInArrow(_with_bytes, CANDIDATE + BYTES), "suffix-bytes")
+    small, large = fetched.where("not wide"), fetched.where("wide")
+    for width in WIDTHS:
+        parts = large.mapInArrow(_finer(width), RUN + BYTES).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "digest", "doc", "tie", "place")
+        parts = common.materialize(parts.mapInArrow(_candidates, CANDIDATE + BYTES), "suffix-pieces")
+        marks = marks.unionAll(parts.where("wide is null").select(*mark))
+        small, large = small.unionAll(parts.where("not wide")), parts.where("wide")
     nth = F.row_number().over(W.partitionBy("one", "two").orderBy("doc", "tie", "start"))
-    across = ordered.where("count is null").withColumn("nth", nth).where("nth > 1").select("doc", "tie", "start", F.lit(1).cast("long").alias("count"))
+    strings = common.materialize(large.mapInArrow(_strings, STRING), "suffix-strings")
+    across = strings.where("not again").withColumn("nth", nth).where("nth > 1").drop("nth")
+    strings = strings.where("again").unionAll(across).select("doc", "tie", "start", F.lit(1).cast("long").alias("count"))
+    ordered = small.repartition("bucket").sortWithinPartitions("bucket", "doc", "tie", "start").mapInArrow(_sorted, MARK)
 
-    marks = found.where("part is null").select("doc", "tie", "start", "count").unionAll(ordered.where("count is not null").select("doc", "tie", "start", "count")).unionAll(across)
+    marks = marks.unionAll(strings).unionAll(ordered)
     marks = marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
     texts = rows.groupBy("doc", "tie").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.count("*").alias("copies"))
     with common.batches_of(spark, DOCUMENTS_AT_ONCE):
