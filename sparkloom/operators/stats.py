@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from sparkloom import scratch
 from sparkloom.functions import rules as R
 from sparkloom.functions import text as T
 
@@ -57,28 +65,46 @@ def subpath_stats(rows: DataFrame, url: str = "url", focus: str = "focus", answe
     return out.withColumns({"null_percent": F.round(100 * F.try_divide(F.col("null_answers").cast("double"), F.col("n_rows")), 2), "rows_per_topic": F.round(F.coalesce(F.try_divide(F.col("n_rows").cast("double"), F.col("topics")), F.lit(0.0)), 2)})
 
 
+def _local_runs(value: str):
+    """Adds to batches of a range, in order: the range's number and the number of value changes so far in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, at = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(value)
+            before = pa.concat_arrays([column.slice(0, 1) if last is None else last, column.slice(0, batch.num_rows - 1)])
+            # Null-safe: a null follows a null without a change.
+            differ = pc.fill_null(pc.not_equal(column, before), False).to_numpy(zero_copy_only=False) | (column.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+            runs = at + np.cumsum(differ)
+            at, last = int(runs[-1]), column.slice(batch.num_rows - 1, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part), pa.int64()), pa.array(runs, pa.int64())], [*batch.schema.names, "__part", "__run"])
+
+    return run
+
+
 def islands(rows: DataFrame, order: str, value: str, within: str | None = None) -> DataFrame:
     """Number the runs of equal values in order, from 1. Without `within` the whole table is one sequence.
 
-    The sequence is cut into ranges of the order; each range numbers its own runs, and the ranges' totals, a short
-    row each, are summed up in order. So no task sees more than a range.
+    The sequence is cut into ranges of the order by one exchange. Each range numbers its own runs as its rows pass by and
+    is written with the numbers; the ranges' heads, tails and totals, a short row each, come from what was written and are
+    summed up in order. So no task holds more than a batch, and rows are moved once. Rows that share a place in the order
+    stand by their values; nulls come first in both.
     """
     if within is not None:
         w = W.partitionBy(within).orderBy(order)
         change = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("long")
         return rows.withColumn("__c", change).withColumn("island", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__c")
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    w = W.partitionBy("__part").orderBy(order)
-    change = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("long"), F.lit(0))
-    first = F.row_number().over(w) == 1
-    local = ranged.withColumn("__c", F.when(first, 0).otherwise(change)).withColumn("__local", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    ends = ranged.groupBy("__part").agg(F.min_by(value, order).alias("head"), F.max_by(value, order).alias("tail"))
-    runs = local.groupBy("__part").agg(F.max("__local").alias("runs")).join(ends, "__part")
+    schema = StructType([*rows.schema.fields, StructField("__part", LongType()), StructField("__run", LongType())])
+    ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order, value)
+    local = scratch.written(ranged.mapInArrow(_local_runs(value), schema), "islands")
+    ends = local.groupBy("__part").agg(F.max("__run").alias("runs"), F.min_by(value, "__run").alias("head"), F.max_by(value, "__run").alias("tail"))
     over = W.orderBy("__part")  # a row for each range
     joins = F.when(F.lag("__part").over(over).isNull(), 1).otherwise((~F.col("head").eqNullSafe(F.lag("tail").over(over))).cast("long"))
-    base = runs.withColumn("__joins", joins).withColumn("__base", F.sum(F.col("__joins")).over(over.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("runs").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    base = ends.withColumn("__joins", joins).withColumn("__base", F.sum("__joins").over(over.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("runs").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     out = local.join(F.broadcast(base.select("__part", "__base")), "__part")
-    return out.withColumn("island", F.col("__local") + F.col("__base")).drop("__part", "__c", "__local", "__base")
+    return out.withColumn("island", F.col("__run") + F.col("__base")).drop("__part", "__run", "__base")
 
 
 def skip_take(rows: DataFrame, key: str, order: str, usable: Column, skip: int = 5, take: int = 2) -> DataFrame:

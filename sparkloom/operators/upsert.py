@@ -14,11 +14,16 @@ def latest(rows: DataFrame, key: str | list[str], *order) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, on_conflict: str = "replace") -> DataFrame:
-    """old with new's rows: a key in both takes new's row ("replace") or keeps old's ("first")."""
+def upsert(old: DataFrame, new: DataFrame, key: str, on_conflict: str = "replace", order: list[str] | None = None) -> DataFrame:
+    """old with new's rows: a key in both takes new's row ("replace") or keeps old's ("first").
+
+    Of new's rows of one key the last ("replace") or the first stays, by `order` or as the frame has them.
+    """
     if on_conflict not in ("replace", "first"):
         raise ValueError("on_conflict is replace or first")
-    new = new.dropDuplicates([key]) if on_conflict == "first" else new
+    by = F.struct(*([F.col(c) for c in order] if order else [F.monotonically_increasing_id()]))
+    pick = F.max_by if on_conflict == "replace" else F.min_by
+    new = new.withColumn("__order", by).groupBy(F.col(key).alias("__key")).agg(pick(F.struct(*new.columns), "__order").alias("r")).select("r.*")
     keep, give = (new, old) if on_conflict == "replace" else (old, new)
     return keep.unionByName(give.join(keep.select(key), key, "left_anti").select(*give.columns), allowMissingColumns=True)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import scratch
 from sparkloom.functions import rules as R
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
@@ -21,6 +22,7 @@ from sparkloom.operators import stats as S
 from sparkloom.operators import upsert as U
 from sparkloom.plans import ingest as I
 from sparkloom.sources import fetch as FE
+from sparkloom.sources import store as ST
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -226,10 +228,12 @@ def url_first_seen(spark, sf_dir):
 
 
 @query("""
-with c as (select doc_id, lang, case when lang is not distinct from lag(lang) over (order by doc_id) and lag(doc_id) over (order by doc_id) is not null then 0 else 1 end as c from documents)
-select doc_id, lang, cast(sum(c) over (order by doc_id rows unbounded preceding) as bigint) as island from c""")
+with c as (select doc_id, lang, text, case when lang is not distinct from lag(lang) over (order by doc_id) and lag(doc_id) over (order by doc_id) is not null then 0 else 1 end as c from documents)
+select doc_id, lang, md5(coalesce(text, '')) as digest, cast(sum(c) over (order by doc_id rows unbounded preceding) as bigint) as island from c""")
 def run_islands(spark, sf_dir):
-    return S.islands(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "lang", F.col("island").cast("long").alias("island"))
+    """Runs of a language in the order of ids, with the texts carried along."""
+    rows = S.islands(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", "lang")
+    return rows.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "island")
 
 
 @query("""
@@ -299,6 +303,20 @@ def upsert_merge(spark, sf_dir):
     return U.upsert(old, new, "doc_id")
 
 
+@query("""
+with w as (select user_id, event_id, event_type, value, event_id % 3 as batch from events where event_id % 3 <> 2 or event_id % 2 = 0)
+select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by batch desc, ts desc, event_id desc) as n from (select w.*, e.ts from w join events e using (event_id))) where n = 1""")
+def keyed_table(spark, sf_dir):
+    """Each user's last write of three saves, with several writes in each, a replay and a compaction between them."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts").where("event_id % 3 <> 2 or event_id % 2 = 0")
+    kept = ST.Keyed(spark, scratch.path(spark, "keyed"), "user_id bigint, event_id bigint, event_type string, value double", "user_id")
+    for n in (0, 1, 1, 2):
+        kept.save(events.where(F.col("event_id") % 3 == n), n, ["ts", "event_id"])
+        if n == 1:
+            kept.compact(range(0, kept.buckets, 2))
+    return kept.read()
+
+
 @query("""
 with c as (select page_id, url, y.year, (page_id * 31 + y.year * 17) % 5 as n_chunks from pages, (select unnest(range(2013, 2027)) as year) y)
 select page_id, url, max(year) as year, cast(max(year) as varchar) || '0101' as archive_date, max_by(n_chunks, year) as n_chunks from c where n_chunks > 0 group by page_id, url""")

@@ -88,6 +88,6 @@ def complete_to_table(rows: DataFrame, checkpoint: str, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def upsert_to(table, rows: DataFrame, checkpoint: str) -> None:
-    """Save each batch into a keyed table; saving a batch again changes nothing."""
-    run_once(rows, checkpoint, lambda batch, n: table.save(batch))
+def upsert_to(table, rows: DataFrame, checkpoint: str, order: list[str] | None = None) -> None:
+    """Save each batch into a keyed table under its number; a batch that is replayed is passed over."""
+    run_once(rows, checkpoint, lambda batch, n: table.save(batch, n, order))

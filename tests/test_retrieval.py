@@ -261,6 +261,36 @@ def test_islands_over_ranges(spark):
     assert [r["island"] for r in S.islands(rows, "pos", "v").orderBy("pos").collect()] == expected
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_islands_of_many_rows_with_further_columns(spark, adaptive):
+    """Wide rows over many ranges, with nulls, as pandas numbers them."""
+    n = 400_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("pos"), F.col("id").alias("x")).select("pos", F.lit("some text ").alias("t"), F.floor(F.col("pos") / 37).alias("k")).withColumn("v", F.when(F.col("k") % 11 < 2, None).otherwise(F.col("k") % 3)).withColumn("text", F.repeat("t", 20))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        got = S.islands(rows.select("pos", "v", "text").repartition(7), "pos", "v").select("pos", "v", F.length("text").alias("n"), "island").toPandas().sort_values("pos")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    value = got["v"].fillna(-1).to_numpy()
+    assert len(got) == n and (got["pos"].to_numpy() == np.arange(n)).all() and (got["n"] == 200).all()
+    assert (got["island"].to_numpy() == 1 + np.cumsum(np.append(False, value[1:] != value[:-1]))).all()
+
+
+def test_islands_of_documents_with_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    got = S.islands(docs, "doc_id", "lang").select("doc_id", "lang", "island", F.length("text").alias("n")).toPandas().sort_values("doc_id")
+    assert len(got) == docs.count()
+    assert (got["island"].to_numpy() == 1 + np.cumsum(np.append(False, got["lang"].to_numpy()[1:] != got["lang"].to_numpy()[:-1]))).all()
+
+
+def test_upsert_keeps_one_row_of_a_repeated_key(spark):
+    old = spark.createDataFrame([("a", 1, 0)], "id string, v int, at int")
+    new = spark.createDataFrame([("a", 2, 2), ("a", 3, 1), ("b", 4, 1), ("b", 5, 2)], old.schema)
+    assert sorted(map(tuple, U.upsert(old, new, "id", order=["at"]).collect())) == [("a", 2, 2), ("b", 5, 2)]
+    assert sorted(map(tuple, U.upsert(old, new, "id", "first", order=["at"]).collect())) == [("a", 1, 0), ("b", 4, 1)]
+
+
 def test_max_sim(spark):
     q = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "query_id int, position int, query_vector array<double>")
     d = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [1.0, 0.0])], "item_id string, vector array<double>")

@@ -141,3 +141,51 @@ def test_run_every(spark, tmp_path):
     finally:
         query.stop()
     assert sum(taken) == 5
+
+
+def test_keyed_table_keeps_the_last_write(spark, tmp_path):
+    k = ST.Keyed(spark, str(tmp_path / "k"), "id string, v string", "id", buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, v string, at int")
+    got = lambda: {r["id"]: r["v"] for r in k.read().collect()}
+    assert got() == {} and k.compact() == []
+    k.save(frame([("a", "first", 1), ("a", "third", 3), ("a", "second", 2), ("b", "b", 1), (None, "n", 1), (None, "m", 2)]).repartition(3), order=["at"])
+    assert got() == {"a": "third", "b": "b", None: "m"}
+    assert k.save(frame([("a", "late", 1)])) == 2 and k.save(frame([("c", "c", 1)]), 7) == 7
+    files = lambda n: {p.name for p in (tmp_path / "k" / "changes" / f"seq={n}").glob("bucket=*")}
+    assert len(files(2)) == 1 and files(2) < files(1) | files(2)  # a save writes its own buckets only
+    k.save(frame([("a", "replayed", 9), ("c", "replayed", 9)]), 7)
+    k.save(frame([("a", "replayed", 9)]), 2)
+    assert got() == {"a": "late", "b": "b", "c": "c", None: "m"}
+    expected = got()
+    own = int(next(iter(files(2)))[7:])
+    assert own in k.compact() and got() == expected and k.compact() == []
+    k.save(frame([("a", "later", 1)]), 8)
+    assert got() == expected | {"a": "later"}
+    assert sorted(k.compact(list(range(4)))) == [0, 1, 2, 3] and got() == expected | {"a": "later"}
+    k.vacuum()
+    assert k.changes() == [8] and got() == expected | {"a": "later"}
+    k.save(frame([("a", "replayed", 9)]), 7)
+    assert k.save(frame([("d", "d", 1)])) == 9 and got() == expected | {"a": "later", "d": "d"}
+    # A change set that was never completed doesn't count.
+    (tmp_path / "k" / "changes" / "seq=9" / "_SUCCESS").unlink()
+    assert got() == expected | {"a": "later"}
+
+
+def test_stream_into_keyed_table_replays(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([("a", n, 0), ("a", n, 1), (str(n), n, 0)], "id string, v int, at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: J.source(spark, str(tmp_path / "in"), spark.createDataFrame([], "id string, v int, at int").schema)
+    k = ST.Keyed(spark, str(tmp_path / "k"), "id string, v int, at int", "id")
+    J.upsert_to(k, stream(), str(tmp_path / "c1"), ["at"])
+    before = sorted(map(tuple, k.read().collect()), key=str)
+    assert len(before) == 4 and next(r[2] for r in before if r[0] == "a") == 1
+    J.upsert_to(k, stream(), str(tmp_path / "c2"), ["at"])  # all batches again
+    assert sorted(map(tuple, k.read().collect()), key=str) == before
+
+
+def test_inserts_keep_the_first_by_order(spark, tmp_path):
+    c = ST.Collection(spark, str(tmp_path / "c"), "chunk_id string, text string, embedding array<float>")
+    rows = spark.createDataFrame([("a", "two", [1.0], 2), ("a", "one", [1.0], 1), ("b", "none", None, 0)], "chunk_id string, text string, embedding array<float>, at int")
+    c.insert(rows, order=["at"])
+    c.insert(rows.where("at = 2"))
+    assert [(r["chunk_id"], r["text"]) for r in c.read().collect()] == [("a", "one")]
