@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +34,26 @@ def decay(hits: Column, days: Column, scale: float = 7.0, cap: int = 10) -> Colu
 def whole_days(since: Column, now: Column) -> Column:
     """Whole 24-hour blocks that have passed."""
     return F.floor((F.unix_timestamp(now) - F.unix_timestamp(since)) / 86400)
+
+
+def unit_rows(column: pa.Array, dim: int | None = None, zeros: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, unit vectors) of an Arrow column of number lists: those of one length, without nulls, finite, not zero.
+
+    The length is that of the first usable row if it isn't given. zeros: zero vectors are kept, as they are.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten()  # without the items of null lists
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(sizes)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])  # nulls are NaN here
+    good = (sizes > 0) & (bad[ends] == bad[ends - sizes])
+    if not good.any():
+        return np.zeros(0, np.int64), np.zeros((0, dim or 0))
+    dim = dim or int(sizes[good][0])
+    rows = np.flatnonzero(good & (sizes == dim))
+    x = flat[(ends - sizes)[rows][:, None] + np.arange(dim)]
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    kept = np.isfinite(norm) & (zeros | (norm > 0))
+    return rows[kept], x[kept] / np.where(norm[kept] > 0, norm[kept], 1.0)[:, None]

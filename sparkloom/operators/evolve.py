@@ -6,24 +6,32 @@ Every setting that an ablation switches is a keyword argument; the present time
 from __future__ import annotations
 
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sparkloom import scratch
 from sparkloom.functions import vectors as V
+from sparkloom.functions.batches import whole_groups
 
 SAME_QUERY = 0.92
 READY_HITS = 10
 SCALE_DAYS, HIT_CAP, PRUNE_BELOW = 7.0, 10, 0.05
 MERGE_ABOVE, MERGE_MOST = 0.88, 500
-#: Centroids that a task holds at once, and pairs that are matched on the driver; more are matched in rounds.
+#: Centroids that are sent to the tasks at most; of more, so many pivots are, and cells hold so many of their rows or vectors.
 CENTROIDS_AT_ONCE = 8192
-PAIRS_AT_ONCE = 200_000
+PIVOTS = 1024
+CELL_ROWS = 8192
+#: What angles of equal similarities, rounded to twelve digits, may differ by.
+ROUNDING = 3e-6
 DEDUP_WITHIN, DEDUP_FROM = 0.15, 6
 
 
@@ -37,42 +45,124 @@ def raw_ids(ids: Column, kinds: Column | None = None, prefix: str = "doc_") -> C
 def assign(vectors: DataFrame, centroids: DataFrame, least: float = SAME_QUERY) -> DataFrame:
     """(item_id, cluster_id, similarity): each vector's nearest centroid; cluster_id null below `least`.
 
-    vectors: (item_id, vector); centroids: (cluster_id, centroid). Ties go to the lesser cluster_id. Centroids are sent
-    to the tasks in blocks of CENTROIDS_AT_ONCE; with one block, which is the rule, nothing is shuffled. Centroids and
-    vectors that are null or of another length are compared with nothing; zero vectors have similarity 0.
+    vectors: (item_id, vector); centroids: (cluster_id, centroid). Ties go to the lesser cluster_id. Up to
+    CENTROIDS_AT_ONCE centroids are sent to the tasks and nothing is shuffled; more stay where they are, in a tree of
+    two levels (see `_by_tree`). Centroids and vectors that are null or of another length, or hold nulls or what isn't
+    finite, are compared with nothing; zero vectors have similarity 0.
     """
-    item, cluster = vectors.schema["item_id"].dataType, centroids.schema["cluster_id"].dataType
-    kinds = [to_arrow_type(item), to_arrow_type(cluster), pa.float64()]
-    schema = f"item_id {item.simpleString()}, cluster_id {cluster.simpleString()}, similarity double"
-
-    def nearest(names: list, matrix: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v]
-                near = np.round(_unit([v for _, v in rows]) @ matrix.T, 12) if rows else np.zeros((0, 1))
-                best = near.argmax(1)  # the first of equals, and names ascend
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], kinds[0]), pa.array([names[k] for k in best], kinds[1]), pa.array(near[np.arange(len(rows)), best], kinds[2])], ["item_id", "cluster_id", "similarity"])
-
-        return run
-
-    known, blocks, found = [], 0, None
-    ordered = centroids.where("cluster_id is not null and centroid is not null").select("cluster_id", "centroid").orderBy("cluster_id")
-    lengths: dict[int, list] = {}
-    for r in ordered.toLocalIterator():
-        lengths.setdefault(len(r["centroid"]), []).append((r["cluster_id"], r["centroid"]))
-        if len(lengths[len(r["centroid"])]) == CENTROIDS_AT_ONCE:
-            known.append(lengths.pop(len(r["centroid"])))
-    for some in [*known, *lengths.values()]:
-        part = vectors.select("item_id", "vector").mapInArrow(nearest([c for c, _ in some], _unit([v for _, v in some])), schema)
-        found, blocks = part if found is None else found.unionAll(part), blocks + 1
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
-    if blocks > 1:
-        best = F.min(F.struct((-F.col("similarity")).alias("far"), "cluster_id")).alias("b")
-        found = found.groupBy("item_id").agg(best).select("item_id", "b.cluster_id", (-F.col("b.far")).alias("similarity"))
+    known = centroids.where("cluster_id is not null and centroid is not null").select("cluster_id", F.col("centroid").cast("array<double>").alias("centroid"))
+    rows = vectors.select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    few = known.limit(CENTROIDS_AT_ONCE + 1).toArrow()
+    found = _at_once(rows, known, few) if len(few) <= CENTROIDS_AT_ONCE else _by_tree(rows, known)
     return found.select("item_id", F.when(F.col("similarity") >= least, F.col("cluster_id")).alias("cluster_id"), "similarity")
 
 
+def _kinds(rows: DataFrame, known: DataFrame) -> tuple[list, str]:
+    item, cluster = rows.schema["item_id"].dataType, known.schema["cluster_id"].dataType
+    return [to_arrow_type(item), to_arrow_type(cluster), pa.float64()], f"item_id {item.simpleString()}, cluster_id {cluster.simpleString()}, similarity double"
+
+
+def _lengths(table: pa.Table, vector: str) -> dict[int, pa.Table]:
+    size = pc.list_value_length(table[vector])
+    return {n.as_py(): table.filter(pc.equal(size, n)) for n in pc.unique(size) if n.is_valid and n.as_py()}
+
+
+def _at_once(rows: DataFrame, known: DataFrame, few: pa.Table) -> DataFrame:
+    kinds, schema = _kinds(rows, known)
+    blocks = {}
+    for dim, some in _lengths(few.sort_by("cluster_id"), "centroid").items():
+        at, matrix = V.unit_rows(some["centroid"], dim, zeros=True)
+        blocks[dim] = some["cluster_id"].combine_chunks().take(pa.array(at)), matrix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, (names, matrix) in blocks.items():
+                at, unit = V.unit_rows(batch.column("vector"), dim, zeros=True)
+                if len(at) and len(names):
+                    near = np.round(unit @ matrix.T, 12)
+                    best = near.argmax(1)  # the first of equals, and names ascend
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at)).cast(kinds[0]), names.take(pa.array(best)).cast(kinds[1]), pa.array(near[np.arange(len(at)), best])], ["item_id", "cluster_id", "similarity"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_tree(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Nearest centroids by a tree of two levels, exactly.
+
+    The upper level are up to PIVOTS of the centroids of each length, the only ones that are sent to the tasks; every
+    centroid stands below the pivot nearest to it. By the triangle inequality on angles a vector's nearest centroid lies
+    only below pivots that are no farther from it than its nearest pivot, which is a centroid as well, plus the angle that
+    the pivot's centroids lie within. So vectors are routed to those pivots in one pass, and meet their centroids there
+    in cells of bounded numbers of both.
+    """
+    kinds, schema = _kinds(rows, known)
+    nth = F.row_number().over(W.partitionBy(F.size("centroid")).orderBy(F.xxhash64("cluster_id"), "cluster_id"))
+    pivots = {}
+    for dim, some in _lengths(known.withColumn("n", nth).where(F.col("n") <= PIVOTS).select("centroid").toArrow(), "centroid").items():
+        pivots[dim] = V.unit_rows(some["centroid"], dim, zeros=True)[1]
+    angles = lambda x, dim: np.arccos(np.clip(x @ pivots[dim].T, -1, 1))
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim in pivots:
+                at, unit = V.unit_rows(batch.column("centroid"), dim, zeros=True)
+                if len(at):
+                    far = angles(unit, dim)
+                    own = far.argmin(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim)), pa.array(own), batch.column("cluster_id").take(pa.array(at)).cast(kinds[1]), pa.array(far[np.arange(len(at)), own]), listed(unit)], ["dim", "pivot", "cluster_id", "far", "vector"])
+
+    tree = scratch.written(known.mapInArrow(below, f"dim long, pivot long, cluster_id {known.schema['cluster_id'].dataType.simpleString()}, far double, vector array<double>"), "centroid-tree")
+    reach = {dim: np.full(len(p), -np.inf) for dim, p in pivots.items()}
+    for r in tree.groupBy("dim", "pivot").agg(F.max("far").alias("far")).collect():  # a row for each pivot
+        reach[r["dim"]][r["pivot"]] = r["far"]
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim in pivots:
+                at, unit = V.unit_rows(batch.column("vector"), dim, zeros=True)
+                if len(at):
+                    far = angles(unit, dim)
+                    row, pivot = np.nonzero(far - reach[dim] <= far.min(1, keepdims=True) + ROUNDING)
+                    for k in range(0, len(row), max(1, (1 << 22) // dim)):
+                        r, p = (x[k : k + max(1, (1 << 22) // dim)] for x in (row, pivot))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), dim)), pa.array(p), batch.column("item_id").take(pa.array(at[r])).cast(kinds[0]), batch.column("n").take(pa.array(at[r])), listed(unit[r])], ["dim", "pivot", "item_id", "n", "vector"])
+
+    item = rows.schema["item_id"].dataType.simpleString()
+    # A zero vector is as far from all: its nearest is the least name, at similarity 0.
+    zero = F.forall("vector", lambda x: x == 0)
+    numbered = rows.withColumn("n", F.monotonically_increasing_id())
+    asked = scratch.written(numbered.where(~zero).mapInArrow(routed, f"dim long, pivot long, item_id {item}, n long, vector array<double>"), "routed-vectors")
+    keys = ["dim", "pivot"]
+    blocks = lambda table, name: table.groupBy(*keys).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+    cells = F.broadcast(blocks(asked, "i_n").join(blocks(tree, "j_n"), keys))  # a row for each pivot
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    cluster = known.schema["cluster_id"].dataType
+    left = asked.join(cells, keys).select(*keys, place("n", "i_n").alias("i"), every("j_n").alias("j"), "item_id", "n", F.lit(None).cast(cluster).alias("cluster_id"), "vector")
+    right = tree.join(cells, keys).select(*keys, every("i_n").alias("i"), place("cluster_id", "j_n").alias("j"), F.lit(None).cast(item).alias("item_id"), F.lit(None).cast("long").alias("n"), "cluster_id", "vector")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, [*keys, "i", "j"]):
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                cell = table.slice(lo, hi - lo)
+                is_vector = pc.is_valid(cell["n"])
+                own, centres = cell.filter(is_vector), cell.filter(pc.invert(is_vector)).sort_by("cluster_id")
+                if len(own) and len(centres):
+                    (_, x), (_, c) = (V.unit_rows(t["vector"], zeros=True) for t in (own, centres))
+                    near = np.round(x @ c.T, 12)
+                    best = near.argmax(1)
+                    yield pa.RecordBatch.from_arrays([own["n"].combine_chunks(), own["item_id"].combine_chunks().cast(kinds[0]), centres["cluster_id"].combine_chunks().take(pa.array(best)).cast(kinds[1]), pa.array(near[np.arange(len(own)), best])], ["n", "item_id", "cluster_id", "similarity"])
+
+    order = [*keys, "i", "j"]
+    found = left.unionByName(right).repartition(*order).sortWithinPartitions(*order).mapInArrow(nearest, f"n long, {schema}")
+    best = F.min(F.struct((-F.col("similarity")).alias("far"), "cluster_id")).alias("b")
+    found = found.groupBy("n").agg(F.first("item_id").alias("item_id"), best).select("item_id", "b.cluster_id", (-F.col("b.far")).alias("similarity"))
+    least_name = tree.groupBy("dim").agg(F.min("cluster_id").alias("cluster_id"))
+    zeros = rows.where(zero & (F.size("vector") > 0)).select("item_id", F.size("vector").cast("long").alias("dim")).join(F.broadcast(least_name), "dim")
+    return found.unionByName(zeros.select("item_id", "cluster_id", F.lit(0.0).alias("similarity")))
+
+
 def cluster_log(hits: DataFrame) -> DataFrame:
     """(cluster_id, hit_count, last_hit, chunk_ids) from logged queries (cluster_id, ts, chunk_ids)."""
     # Ids are told apart before they meet in a row, so a cluster holds each of them once however often it was hit.
@@ -143,38 +233,44 @@ def _unit(vectors: list) -> np.ndarray:
 def merge_plan(pairs: DataFrame) -> DataFrame:
     """(parent_id, child_id): a matching of the pairs (a, b, similarity), most similar first; no node has two parents.
 
-    A pair is taken once it is the best left at both of its ends; what it touches goes, and so on until nothing is
-    left, so every order of equal pairs gives the same matching: ties go to the lesser (a, b). Pairs of a bounded set of
-    nodes, up to PAIRS_AT_ONCE, are matched on the driver; more in rounds of joins.
+    It is the greedy one: pairs in the order of similarity, ties to the lesser (a, b), each taken if both ends are free.
+    In a round, a pair that comes first at both ends is taken. One that comes first at one end and second at the
+    other hangs on a single other pair: it is taken if that one isn't. Such chains, however long, are followed by pointer
+    doubling, each step twice as far, and taken or not by the parity of their length. Then all pairs at taken ends go. So
+    rounds follow neither chains nor sizes; each is a few joins of tables in the shared folder.
     """
-    spark = pairs.sparkSession
-    kind = dict(pairs.dtypes)["a"]
-    pairs = pairs.select("a", "b", F.round("similarity", 12).alias("similarity"))
-    if pairs.count() > PAIRS_AT_ONCE:
-        return _merge_rounds(pairs)
-    left = sorted(((-r["similarity"], r["a"], r["b"]) for r in pairs.collect()))
-    used: set = set()
-    out = []
-    for _, a, b in left:
-        if a not in used and b not in used:
-            used |= {a, b}
-            out += [(f"mn_{a}_{b}", a), (f"mn_{a}_{b}", b)]
-    return spark.createDataFrame(out, f"parent_id string, child_id {kind}")
-
-
-def _merge_rounds(pairs: DataFrame) -> DataFrame:
-    """Each round takes the pairs that are the best left at both ends; rounds are cut by checkpoints."""
-    taken = None
-    left = pairs.checkpoint()
-    while not left.isEmpty():
-        order = F.struct((-F.col("similarity")).alias("far"), "a", "b")
-        ends = left.select(F.explode(F.array("a", "b")).alias("node"), order.alias("p")).groupBy("node").agg(F.min("p").alias("p"))
-        best = ends.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("n = 2").select("a", "b").checkpoint()
-        taken = best if taken is None else taken.unionAll(best)
-        gone = best.select(F.explode(F.array("a", "b")).alias("gone"))
-        left = left.join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti").checkpoint()
-    both = pairs.select("a", "b").limit(0) if taken is None else taken
+    key = ["far", "a", "b"]
     name = F.concat_ws("_", F.lit("mn"), F.col("a").cast("string"), F.col("b").cast("string"))
+    left = scratch.written(pairs.select((-F.round("similarity", 12)).alias("far"), "a", "b").distinct(), "pairs")
+    taken = []
+    while not left.isEmpty():
+        p = F.struct(*key)
+        ends = left.select(F.explode(F.array("a", "b")).alias("node"), p.alias("p"))
+        # The two first pairs of each node: limits by rank, which tasks apply before anything is shuffled.
+        two = ends.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("p"))).where("nth <= 2")
+        nodes = two.groupBy("node").agg(F.min("p").alias("first"), F.max(F.when(F.col("nth") == 2, F.col("p"))).alias("second"))
+        of = F.array(F.struct(F.col("first").alias("p"), F.lit(None).cast(nodes.schema["first"].dataType).alias("up")), F.struct(F.col("second").alias("p"), F.col("first").alias("up")))
+        seen = nodes.select(F.inline(of)).where("p is not null").groupBy("p").agg(F.count("*").alias("n"), F.count("up").alias("seconds"), F.max("up").alias("up"))
+        best = scratch.written(seen.where("n = 2 and seconds < 2").select("p", F.coalesce("up", "p").alias("up"), F.col("up").isNull().alias("sure"), F.col("up").isNotNull().cast("int").alias("steps")), "first-pairs")
+        while True:  # each pair looks from its forebear to that one's forebear
+            above = best.select(F.col("p").alias("__p"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("sure").alias("__sure"))
+            joined = best.join(above, F.col("up") == F.col("__p"), "left")
+            reached = F.col("sure") | F.coalesce("__sure", F.lit(False))
+            on = F.col("__p").isNotNull() & ~F.col("sure")
+            moved = (on & (F.col("__up") != F.col("up"))).alias("moved")
+            nxt = scratch.written(joined.select("p", F.when(on, F.col("__up")).otherwise(F.col("up")).alias("up"), reached.alias("sure"), ((F.col("steps") + F.when(on, F.col("__steps")).otherwise(0)) % 2).alias("steps"), moved), "chains")
+            scratch.drop(best)
+            best = nxt
+            if best.where("moved").isEmpty():
+                break
+        new = scratch.written(best.where("sure and steps = 0").select("p.*"), "taken-pairs")
+        scratch.drop(best)
+        gone = new.select(F.explode(F.array("a", "b")).alias("gone"))
+        rest = scratch.written(left.join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti"), "pairs")
+        scratch.drop(left)
+        taken.append(new)
+        left = rest
+    both = functools.reduce(DataFrame.unionAll, taken) if taken else left
     return both.select(name.alias("parent_id"), F.explode(F.array("a", "b")).alias("child_id"))
 
 

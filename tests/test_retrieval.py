@@ -137,14 +137,51 @@ def test_assign(spark, monkeypatch, at_once):
     assert EO.assign(vectors, centroids.limit(0)).count() == 0
 
 
-def test_merge_plan_in_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("dim, n", [(3, 900), (24, 700)])
+def test_assign_by_a_tree_is_exact(spark, monkeypatch, dim, n):
+    """More centroids than are sent to the tasks: the same rows as by all pairs, in cells of a few rows."""
+    rng = np.random.default_rng(dim)
+    c = np.repeat(rng.standard_normal((n // 10, dim)), 10, 0) + 0.1 * rng.standard_normal((n // 10 * 10, dim))
+    x = np.concatenate([c[::7] + 0.05 * rng.standard_normal(c[::7].shape), rng.standard_normal((60, dim)), [c[3], 2 * c[5]]])
+    vectors = spark.createDataFrame([(f"i{i}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * dim), ("short", [1.0]), ("null", None), ("hole", [None] * dim), ("nan", [float("nan")] * dim), ("empty", [])], "item_id string, vector array<double>").repartition(3)
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)] + [(9000, c[3].tolist()), (9001, [0.0] * dim), (9002, [2.0, 1.0]), (None, c[0].tolist())], "cluster_id long, centroid array<double>").repartition(4)
+    rows = lambda: sorted((r["item_id"], r["cluster_id"], round(r["similarity"], 9)) for r in EO.assign(vectors, centroids, 0.6).collect())
+    expected = rows()
+    assert len(expected) == len(x) + 1 and (f"i{len(x) - 2}", 3, 1.0) in expected
+    monkeypatch.setattr(EO, "CENTROIDS_AT_ONCE", 50)
+    monkeypatch.setattr(EO, "PIVOTS", 20)
+    monkeypatch.setattr(EO, "CELL_ROWS", 16)
+    assert rows() == expected
+
+
+def greedy(pairs):
+    used, out = set(), []
+    for a, b, _ in sorted(pairs, key=lambda p: (-round(p[2], 12), p[0], p[1])):
+        if a not in used and b not in used:
+            used |= {a, b}
+            out += [(f"mn_{a}_{b}", a), (f"mn_{a}_{b}", b)]
+    return sorted(out)
+
+
+def test_merge_plan_is_greedy(spark):
     rng = np.random.default_rng(6)
-    pairs = [(int(a), int(b), round(float(s), 2)) for a, b, s in zip(rng.integers(0, 40, 150), rng.integers(40, 60, 150), rng.random(150))]
-    pairs = spark.createDataFrame(sorted({(a, b): (a, b, s) for a, b, s in pairs}.values()), "a long, b long, similarity double")
-    plan = lambda: sorted(map(tuple, EO.merge_plan(pairs).collect()))
-    expected = plan()
-    monkeypatch.setattr(EO, "PAIRS_AT_ONCE", 10)
-    assert plan() == expected and len(expected) > 20
+    pairs = {(int(a), int(b)): round(float(s), 2) for a, b, s in zip(rng.integers(0, 40, 150), rng.integers(40, 60, 150), rng.random(150))}
+    pairs = [(a, b, s) for (a, b), s in pairs.items()] + [(200, i, 0.5) for i in range(201, 230)]  # a star of ties
+    plan = EO.merge_plan(spark.createDataFrame(pairs, "a long, b long, similarity double"))
+    assert sorted(map(tuple, plan.collect())) == greedy(pairs)
+    assert EO.merge_plan(spark.createDataFrame([], "a long, b long, similarity double")).count() == 0
+
+
+def test_merge_plan_of_a_long_chain(spark):
+    """Similarities that rise along a chain decide each pair by the next one; rounds don't follow it."""
+    n = 100_000
+    pairs = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") / n).alias("similarity"))
+    written = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(EO.scratch, "written", lambda df, name, f=EO.scratch.written: written.append(name) or f(df, name))
+        plan = EO.merge_plan(pairs)
+        got = {r["child_id"] for r in plan.collect()}
+    assert got == {i for k in range(n, 0, -2) for i in (k, k - 1)} and written.count("pairs") <= 3 and written.count("chains") <= 20
 
 
 def test_meta_nodes_and_locks(spark):
