@@ -9,6 +9,7 @@ from sparkloom import scratch
 from sparkloom.functions import rules as R
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
+from sparkloom.operators import ann as AN
 from sparkloom.operators import chunk as C
 from sparkloom.operators import clean as CL
 from sparkloom.operators import embed as E
@@ -82,6 +83,29 @@ def vector_topk(spark, sf_dir):
     return hits.select("query_id", "item_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_TOPK + "select query_id, item_id, round(d, 6) as distance, cast(rank as bigint) as rank from r where rank <= 5")
+def indexed_topk(spark, sf_dir):
+    """The same by an inverted-file index, half of it inserted later; all cells are read, so that the result is exact."""
+    rows, asked = _asked(spark, sf_dir)
+    index = AN.VectorIndex(spark, scratch.path(spark, "index"), "vec_id", "embedding").build(rows.where("vec_id % 2 = 0"))
+    index.insert(rows)
+    hits = index.search(asked, 5, probes=len(index.model[0]), rerank=200, skip_self=True)
+    return hits.select("query_id", "item_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+with e as (select vec_id, vec_id // 8 as item_id, embedding::double[] as v from embeddings),
+n as (select q.item_id as query_id, q.vec_id as token, e.item_id, max(list_cosine_similarity(q.v, e.v)) as best from e q join e on true where q.item_id % 25 = 0 group by all),
+s as (select query_id, item_id, round(sum(best), 9) as score from n group by all)
+select query_id, item_id, round(score, 6) as score, cast(rank as bigint) as rank from (select *, row_number() over (partition by query_id order by score desc, item_id) as rank from s) where rank <= 5""")
+def late_interaction(spark, sf_dir):
+    """Documents of eight token vectors each, and every 25th of them as a query."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("item_id"), (F.col("vec_id") % 8).alias("position"), F.col("embedding").alias("vector"))
+    asked = rows.where("item_id % 25 = 0").select(F.col("item_id").alias("query_id"), "position", F.col("vector").alias("query_vector"))
+    hits = AN.LateInteraction(rows.select("item_id", "vector")).top_k(asked, 5)
+    return hits.select("query_id", "item_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(_TOPK + """, f as (select query_id, min(rank) filter (where asked = found) as first from r where rank <= 5 group by query_id)
 select count(*) as n_queries, round(avg(case when first <= 1 then 1.0 else 0.0 end), 6) as recall_at_1, round(avg(case when first <= 3 then 1.0 else 0.0 end), 6) as recall_at_3,
     round(avg(case when first <= 5 then 1.0 else 0.0 end), 6) as recall_at_5, round(avg(coalesce(1.0::double / first, 0.0)), 6) as mrr from f""")
