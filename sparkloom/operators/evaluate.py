@@ -71,19 +71,25 @@ def bleu(candidate: list[str], reference: list[str], order: int = 4) -> float:
     return math.exp(brevity + logs / order)
 
 
+def common_subsequence(one: list, two: list) -> int:
+    """Length of the longest common subsequence, by bits: a word of the longer list updates a row of all of the shorter one."""
+    if len(one) > len(two):
+        one, two = two, one
+    at: dict = {}
+    for i, x in enumerate(one):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(one)) - 1
+    row = full  # a bit is 0 where the length grows
+    for x in two:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(one) - row.bit_count()
+
+
 def rouge_l(candidate: list[str], reference: list[str]) -> float:
     """F1 of the longest common subsequence."""
-    if not candidate or not reference:
-        return 0.0
-    row = [0] * (len(reference) + 1)
-    for word in candidate:
-        diagonal = 0
-        for j, other in enumerate(reference, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if word == other else max(above, row[j - 1])
-            diagonal = above
-    common = row[-1]
-    return 0.0 if not common else 2 * common / (len(candidate) + len(reference))
+    common = common_subsequence(candidate, reference)
+    return 2 * common / (len(candidate) + len(reference)) if common else 0.0
 
 
 def text_scores(candidate: Column, reference: Column) -> Column:
@@ -114,3 +120,40 @@ def roll_up(runs: DataFrame, by: str = "variant") -> DataFrame:
         "explored": [F.avg(F.col("explored").cast("double")).alias("exploration_rate")],
     }
     return runs.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("first") <= 5, 1.0).otherwise(0.0)).alias("recall_at_5"), *(m for c, ms in measures.items() if c in runs.columns for m in ms))
+
+
+#: Measures of a run that are averaged, and the size parameter of latency sketches.
+MEANS = ("tokens", "bleu", "rouge_l", "coverage", "explored")
+SKETCH = 400
+
+
+def run_sketches(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Measures of runs by (variant, day, ...), small rows to store: counts, sums, and mergeable sketches of latencies and queries.
+
+    runs: `by`, first (rank of the first relevant result), and any of query_id, latency_ms and MEANS.
+    """
+    have = [c for c in MEANS if c in runs.columns]
+    out = [F.count("*").alias("n"), F.count_if(F.col("first") <= 5).alias("found")]
+    out += [x for c in have for x in (F.sum(F.col(c).cast("double")).alias(f"sum_{c}"), F.count(c).alias(f"n_{c}"))]
+    if "latency_ms" in runs.columns:
+        out.append(F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), SKETCH).alias("latencies"))
+    if "query_id" in runs.columns:
+        out.append(F.hll_sketch_agg("query_id").alias("queries"))
+    return runs.groupBy(*by).agg(*out)
+
+
+def report(sketches: DataFrame, by: str = "variant") -> DataFrame:
+    """One row for each variant from stored rows of run_sketches(), in any number and order: recall, means, p50 and p95, distinct queries.
+
+    The percentiles' ranks are within the sketch's error (about 1 % at SKETCH) of the exact ones.
+    """
+    have = [c for c in MEANS if f"sum_{c}" in sketches.columns]
+    sums = [F.sum("n").alias("n"), F.sum("found").alias("found"), *(F.sum(x).alias(x) for c in have for x in (f"sum_{c}", f"n_{c}"))]
+    out = [by, "n", (F.col("found") / F.col("n")).alias("recall_at_5"), *(F.try_divide(f"sum_{c}", f"n_{c}").alias(f"avg_{c}") for c in have)]
+    if "latencies" in sketches.columns:
+        sums.append(F.kll_merge_agg_double("latencies").alias("latencies"))
+        out += [F.kll_sketch_get_quantile_double("latencies", F.lit(p)).alias(f"p{int(100 * p)}_ms") for p in (0.5, 0.95)]
+    if "queries" in sketches.columns:
+        sums.append(F.hll_union_agg("queries").alias("queries"))
+        out.append(F.hll_sketch_estimate("queries").alias("n_queries"))
+    return sketches.groupBy(by).agg(*sums).select(*out)

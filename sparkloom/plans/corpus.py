@@ -16,6 +16,7 @@ from sparkloom.operators import embed as E
 from sparkloom.operators import evaluate as EV
 from sparkloom.operators import evolve as EO
 from sparkloom.operators import extract as X
+from sparkloom.operators import freshness as FR
 from sparkloom.operators import generate as G
 from sparkloom.operators import html as H
 from sparkloom.operators import retrieve as RT
@@ -350,6 +351,20 @@ def snapshot_candidates(spark, sf_dir):
     return out.select("page_id", "url", F.col("year").cast("long").alias("year"), "archive_date", "n_chunks")
 
 
+@query("""
+with c as (select page_id, url, y.year, (page_id * 31 + y.year * 17) % 7 - 3 as n_chunks from pages, (select unnest(range(2013, 2027)) as year) y),
+r as (select page_id, max(year) filter (where n_chunks > 0) as year from c group by page_id)
+select r.page_id, r.year, max_by(c.n_chunks, c.year) filter (where c.year = r.year) as n_chunks, count(*) filter (where c.year >= coalesce(r.year, 0)) as asked from r join c using (page_id) group by r.page_id, r.year""")
+def rescue_waves(spark, sf_dir):
+    """Each page's latest snapshot with chunks, and how many snapshots were asked for until it was found."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    made = lambda c: c.withColumn("n_chunks", (F.col("page_id") * 31 + F.col("year") * 17) % 7 - 3)
+    _, asked = FE.rescue(pages, made, "page_id")
+    good = F.when(F.col("n_chunks") > 0, F.struct(F.col("year").cast("long").alias("year"), "n_chunks"))
+    out = asked.groupBy("page_id").agg(F.max(good).alias("b"), F.count("*").alias("asked"))
+    return out.select("page_id", "b.year", "b.n_chunks", "asked")
+
+
 @query("""
 with s as (select d.source as node_id, count(*) as n_sources, count(l.doc_id) as n_alive from documents d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id group by d.source)
 select node_id, n_sources, n_alive, round(n_alive::double / n_sources, 6) as ratio, n_alive < n_sources as is_stale, n_alive = 0 as gone from s""")
@@ -359,6 +374,21 @@ def staleness_ratio(spark, sf_dir):
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
+@query("""
+with n as (select doc_id % 97 as node_id, doc_id as chunk_id from documents),
+a as (select doc_id as chunk_id from labels where quality = 1 or toxic = 1)
+select node_id, count(*) as n_sources, count(a.chunk_id) as n_alive, round(count(a.chunk_id)::double / count(*), 6) as ratio, count(a.chunk_id) < count(*) as is_stale, count(a.chunk_id) = 0 as gone from n left join a using (chunk_id) group by node_id""")
+def staleness_by_deltas(spark, sf_dir):
+    """All labelled documents come in, then those that are neither good nor toxic go: counts follow the deltas."""
+    nodes = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 97).alias("node_id")).agg(F.collect_list("doc_id").alias("source_chunks"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), ((F.col("quality") == 1) | (F.col("toxic") == 1)).alias("good"))
+    index = FR.SourceIndex(spark, scratch.path(spark, "sources"), "long", "long", 16)
+    index.apply(labels.select("chunk_id", F.lit(True).alias("alive")).distinct())
+    index.add_nodes(nodes)
+    index.apply(labels.where("not good").select("chunk_id", F.lit(False).alias("alive")).distinct())
+    return index.staleness().withColumn("ratio", F.round("ratio", 6))
+
+
 @query(f"""
 with u as (select user_id as node_id, count(*) as hits, max(ts) as last_accessed from events group by user_id)
 select node_id, hits, round(least(hits, 10) * exp(-floor((epoch(timestamp '{NOW}') - floor(epoch(last_accessed))) / 86400) / 7.0), 6) as decay_score,

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom import scratch
 from sparkloom.functions import rules as R
 
 RESCUE_YEARS = (2026, 2013)
+#: Urls of a host that a task takes at most, about.
+HOST_ROWS = 10_000
 #: (url, mode, archive date or None) -> (html, label of the source); raises where there is none.
 Fetcher = Callable[[str, str, str | None], tuple[str, str]]
 
@@ -26,34 +31,51 @@ def from_snapshots(urls: DataFrame, snapshots: DataFrame, url: str = "url") -> D
     return urls.join(best, url, "left")
 
 
+def by_host(urls: DataFrame, url: str = "url", rows: int = HOST_ROWS) -> DataFrame:
+    """urls dealt out by host, with host, parts (how many the host has) and nth (the row's place in its part).
+
+    A host's urls make a part of up to about `rows` each, and a part stays in one task, in the order of url. Tasks take
+    their hosts' urls in turns.
+    """
+    hosts = urls.withColumn("host", F.coalesce(R.authority(F.col(url)), F.lit("")))
+    sizes = hosts.groupBy("host").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    dealt = hosts.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64(url), F.col("parts")).cast("int"))
+    nth = F.row_number().over(W.partitionBy("host", "part").orderBy(url))
+    return dealt.withColumn("nth", nth).repartition("host", "part").sortWithinPartitions("nth", "host", "part")
+
+
 def fetched(urls: DataFrame, load: Callable[[], Fetcher], per_second: float = 2.0, tries: int = 3, longest: float = 10.0) -> DataFrame:
     """(url, html, source, error) of rows (url, fetch_mode, archive_date), fetched in the workers.
 
-    Each task keeps its own rate and tries again with growing pauses; the partitions bound how many run at once.
+    The rate is one of each host: all urls of a host are in one task, which waits between them as long as the rate asks
+    and meanwhile goes on with other hosts; a large host's urls are in several, which share its rate. Failed fetches
+    are tried again with growing pauses, which count for the host as well.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fetch = load()
+        fetch, free = load(), {}  # when a host may be asked again
         for frame in frames:
             out = []
-            for url, mode, date in zip(frame["url"], frame["fetch_mode"], frame["archive_date"]):
-                error = None
+            for url, mode, date, host, part, parts in zip(*(frame[c] for c in ("url", "fetch_mode", "archive_date", "host", "part", "parts"))):
+                pause, error = (parts / per_second if per_second else 0.0), None
                 for attempt in range(tries):
+                    time.sleep(max(0.0, free.get((host, part), 0.0) - time.monotonic()))
+                    free[host, part] = time.monotonic() + pause
                     try:
-                        time.sleep(1 / per_second if per_second else 0)
                         html, source = fetch(url, mode, date if isinstance(date, str) else None)
                         out.append((url, html, source, None))
                         error = None
                         break
                     except Exception as e:  # any failure of a page is that page's result
                         error = str(e)
-                        if attempt + 1 < tries:
-                            time.sleep(min(longest, 2.0**attempt) if per_second else 0)
+                        if attempt + 1 < tries and per_second:
+                            free[host, part] = max(free[host, part], time.monotonic() + min(longest, 2.0**attempt))
                 if error is not None:
                     out.append((url, None, None, error))
             yield pd.DataFrame(out, columns=["url", "html", "source", "error"])
 
-    return urls.select("url", "fetch_mode", "archive_date").mapInPandas(run, "url string, html string, source string, error string")
+    asked = by_host(urls.select("url", "fetch_mode", "archive_date"))
+    return asked.select("url", "fetch_mode", "archive_date", "host", "part", "parts").mapInPandas(run, "url string, html string, source string, error string")
 
 
 #: The archive date of the second try and the sites that get one.
@@ -91,3 +113,26 @@ def rescued(tried: DataFrame, url: str = "url", made: str = "n_chunks") -> DataF
     """Of tried candidates (url, year, n_chunks, ...) each url's latest that made something."""
     good = tried.where(F.col(made) > 0)
     return good.groupBy(url).agg(F.max_by(F.struct(*[c for c in tried.columns if c != url]), "year").alias("b")).select(url, "b.*")
+
+
+def rescue(urls: DataFrame, attempt: Callable[[DataFrame], DataFrame], url: str = "url", years: tuple[int, int] = RESCUE_YEARS, made: str = "n_chunks") -> tuple[DataFrame, DataFrame]:
+    """(rescued, asked): each url's latest snapshot that makes something, found in waves, and all that was asked for.
+
+    `attempt` takes candidates (..., year, archive_date) and gives them with what came of them, `made` among it. A wave
+    asks for one year, the latest first, of the urls that no wave before has rescued; it is written before the next
+    begins, so nothing is asked for twice. A url that succeeds in the third year is asked for three times.
+    """
+    first, last = years
+    left, waves = urls, []
+    for year in range(first, last - 1, -1):
+        wave = left.withColumns({"year": F.lit(year), "archive_date": F.lit(f"{year}0101")})
+        tried = scratch.written(attempt(wave), "wave")
+        if tried.isEmpty():
+            break
+        waves.append(tried)
+        left = scratch.written(left.join(tried.where(F.col(made) > 0).select(url), url, "left_anti").select(*urls.columns), "frontier")
+    if not waves:
+        nothing = attempt(urls.limit(0).withColumns({"year": F.lit(first), "archive_date": F.lit("")}))
+        return nothing, nothing
+    asked = functools.reduce(DataFrame.unionByName, waves)
+    return asked.where(F.col(made) > 0), asked

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import schemas, scratch
@@ -95,8 +95,7 @@ class Keyed:
         numbered = rows.withColumn("__order", F.struct(*by))
         row = F.struct(*(c if c in rows.columns else F.lit(None).alias(c) for c in self.columns))
         kept = numbered.groupBy(F.col(self.key).alias("__key")).agg(F.max_by(row, "__order").alias("r")).select("r.*")
-        bucket = F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets))
-        kept.withColumn("bucket", bucket.cast("int")).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/changes/seq={seq}")
+        kept.withColumn("bucket", self.bucket(self.key)).repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/changes/seq={seq}")
         return seq
 
     def _rows(self, buckets: list[int] | None = None) -> DataFrame:
@@ -120,6 +119,17 @@ class Keyed:
     def read(self) -> DataFrame:
         return self._last(self._rows()).select(*self.columns)
 
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, keys: DataFrame) -> list[int]:
+        return sorted(r["b"] for r in keys.select(self.bucket(keys.columns[0]).alias("b")).distinct().collect())
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows of keys (one column), from the keys' buckets only."""
+        rows = self._rows(self.buckets_of(keys)).join(keys.select(F.col(keys.columns[0]).alias(self.key)).distinct(), self.key, "left_semi")
+        return self._last(rows).select(*self.columns)
+
     def _last(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("bucket", F.col(self.key).alias("__key")).agg(F.max_by(F.struct(*self.columns), "seq").alias("r")).select("r.*", "bucket")
 
