@@ -33,6 +33,9 @@ CELL_ROWS = 8192
 #: What angles of equal similarities, rounded to twelve digits, may differ by.
 ROUNDING = 3e-6
 DEDUP_WITHIN, DEDUP_FROM = 0.15, 6
+#: Items of a job that one task clusters; clusters of a block of larger jobs.
+JOB_ROWS = 2048
+LINKAGE_ROWS = 2048
 
 
 def raw_ids(ids: Column, kinds: Column | None = None, prefix: str = "doc_") -> Column:
@@ -346,9 +349,12 @@ def average_linkage(vectors: np.ndarray, within: float) -> np.ndarray:
 def semantic_dedup(items: DataFrame, within: float = DEDUP_WITHIN, least: int = DEDUP_FROM) -> DataFrame:
     """(job_id, item_id, cluster, kept): of each job's items (job_id, item_id, pos, vector) one for each cluster, the first.
 
-    Jobs with fewer than `least` items keep all of them.
+    Clusters are those of average linkage on cosine distance, cut at `within`. Jobs with fewer than `least` items keep all
+    of them. A job of up to JOB_ROWS items is clustered by one task; larger ones over many tasks, see `_linked_in_rounds`.
+    `cluster` is the number, from 0, of the cluster's first item in the job.
     """
     kinds = dict(items.dtypes)
+    schema = f"job_id {kinds['job_id']}, item_id {kinds['item_id']}, cluster int, kept boolean"
 
     def run(job: pd.DataFrame) -> pd.DataFrame:
         job = job.sort_values(["pos", "item_id"])
@@ -358,7 +364,95 @@ def semantic_dedup(items: DataFrame, within: float = DEDUP_WITHIN, least: int =
         kept[first] = True
         return pd.DataFrame({"job_id": job["job_id"].to_numpy(), "item_id": job["item_id"].to_numpy(), "cluster": label.astype("int32"), "kept": kept})
 
-    return items.groupBy("job_id").applyInPandas(run, f"job_id {kinds['job_id']}, item_id {kinds['item_id']}, cluster int, kept boolean")
+    large = scratch.written(items.groupBy(F.col("job_id").alias("__job")).agg(F.count("*").alias("__n")).where(F.col("__n") > max(JOB_ROWS, least - 1)), "large-jobs")
+    if large.isEmpty():
+        return items.groupBy("job_id").applyInPandas(run, schema)
+    same = F.col("job_id").eqNullSafe(F.col("__job"))
+    small = items.join(large, same, "left_anti").groupBy("job_id").applyInPandas(run, schema)
+    order = W.partitionBy("job_id").orderBy("pos", "item_id")
+    numbered = items.join(large.select("__job"), same, "left_semi").select("job_id", "item_id", (F.row_number().over(order) - 1).cast("long").alias("n"), F.col("vector").cast("array<double>").alias("vector"))
+    numbered = scratch.written(numbered, "large-items")
+    roots = _linked_in_rounds(numbered.select("job_id", "n", "vector"), within)
+    found = numbered.select(F.col("job_id"), "item_id", "n").join(roots.withColumnRenamed("job_id", "__job"), same & (F.col("n") == F.col("__n")), "left")
+    root = F.coalesce("root", "n")
+    return small.unionByName(found.select("job_id", "item_id", root.cast("int").alias("cluster"), (root == F.col("n")).alias("kept")))
+
+
+def _nearest_clusters(clusters: DataFrame, within: float) -> DataFrame:
+    """(job_id, cluster, size, total, other): each cluster's nearest one of its job, for those that have one within reach.
+
+    clusters: (job_id, cluster, size, total), total being the sum of its unit vectors: the average distance of two
+    clusters' items is one minus the product of their means. A job's clusters meet in a grid of blocks.
+    """
+    job = clusters.schema["job_id"].dataType
+    blocks = clusters.groupBy("job_id").agg(F.ceil(F.count("*") / LINKAGE_ROWS).cast("int").alias("blocks")).withColumnRenamed("job_id", "__job")
+    mine = F.pmod(F.xxhash64("cluster"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(mine, b).alias("i"), F.greatest(mine, b).alias("j")))
+    rows = clusters.join(blocks, F.col("job_id").eqNullSafe(F.col("__job"))).select("job_id", F.xxhash64(F.col("job_id").cast("string")).alias("key"), "cluster", "size", "total", mine.alias("mine"), F.inline(cells))
+    keys = ["key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                cell = table.slice(lo, hi - lo).sort_by("cluster").combine_chunks()
+                names, block = cell["cluster"].to_numpy(), cell["mine"].to_numpy()
+                total = cell["total"].combine_chunks()
+                mean = total.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1) / cell["size"].to_numpy()[:, None]
+                i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+                for one, two in [(i, j)] if i == j else [(i, j), (j, i)]:
+                    own, near = np.flatnonzero(block == one), np.flatnonzero(block == two)
+                    if not len(own) or not len(near):
+                        continue
+                    far = np.round(1 - mean[own] @ mean[near].T, 12)
+                    if one == two:
+                        np.fill_diagonal(far, np.inf)
+                    best = far.argmin(1)  # the first of equals
+                    d = far[np.arange(len(own)), best]
+                    ok = np.flatnonzero(d <= within)
+                    yield pa.RecordBatch.from_arrays([cell["job_id"].combine_chunks().take(pa.array(own[ok])).cast(to_arrow_type(job)), pa.array(names[own[ok]]), pa.array(d[ok]), pa.array(names[near[best[ok]]])], ["job_id", "cluster", "far", "other"])
+
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"job_id {job.simpleString()}, cluster long, far double, other long")
+    found = found.groupBy("job_id", "cluster").agg(F.min(F.struct("far", "other")).alias("b")).select(F.col("job_id").alias("__job"), F.col("cluster").alias("__cluster"), "b.other")
+    return clusters.join(found, F.col("job_id").eqNullSafe(F.col("__job")) & (F.col("cluster") == F.col("__cluster"))).select(*clusters.columns, "other")
+
+
+def _linked_in_rounds(items: DataFrame, within: float) -> DataFrame:
+    """(job_id, __n, root) of items (job_id, n, vector): average linkage by rounds of reciprocal nearest neighbours.
+
+    Two clusters that are each other's nearest can be merged at once, whatever else is, as average linkage never brings
+    clusters nearer than their parts were; for the same reason a cluster without another within reach is done. So each
+    round merges many pairs, over many tasks, and the next one holds the rest only. Where distances are equal the lesser
+    numbers go first; vectors that are null or hold what isn't a number stay alone.
+    """
+    job = items.schema["job_id"].dataType
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, unit = V.unit_rows(batch.column("vector"), zeros=True)
+            if len(at):
+                total = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * unit.shape[1], pa.int32()), pa.array(unit.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("job_id").take(pa.array(at)).cast(to_arrow_type(job)), batch.column("n").take(pa.array(at)), pa.array(np.ones(len(at), np.int64)), total], ["job_id", "cluster", "size", "total"])
+
+    clusters = scratch.written(items.mapInArrow(units, f"job_id {job.simpleString()}, cluster long, size long, total array<double>"), "clusters")
+    roots = items.select("job_id", F.col("n").alias("__n"), F.col("n").alias("root"))
+    while True:
+        near = scratch.written(_nearest_clusters(clusters, within), "nearest")
+        scratch.drop(clusters)
+        other = near.select(F.col("job_id").alias("__job"), F.col("cluster").alias("__cluster"), F.col("other").alias("__other"), F.col("size").alias("__size"), F.col("total").alias("__total"))
+        both = F.col("job_id").eqNullSafe(F.col("__job")) & (F.col("other") == F.col("__cluster")) & (F.col("cluster") == F.col("__other"))
+        joined = near.join(other, both, "left")
+        paired = F.col("__cluster").isNotNull()
+        total = F.when(paired, F.zip_with("total", "__total", lambda x, y: x + y)).otherwise(F.col("total"))
+        # Of a pair the lesser name stays.
+        after = joined.select("job_id", F.least("cluster", F.coalesce("__cluster", "cluster")).alias("cluster"), (F.col("size") + F.coalesce("__size", F.lit(0))).alias("size"), total.alias("total"), F.col("cluster").alias("was"), paired.alias("paired"))
+        after = scratch.written(after, "merged")
+        scratch.drop(near)
+        gone = after.where("was != cluster").select(F.col("job_id").alias("__job"), "was", F.col("cluster").alias("into"))
+        if gone.isEmpty():
+            return roots
+        roots = scratch.written(roots.join(gone, F.col("job_id").eqNullSafe(F.col("__job")) & (F.col("root") == F.col("was")), "left").select("job_id", "__n", F.coalesce("into", "root").alias("root")), "roots")
+        clusters = scratch.written(after.where("was = cluster").select("job_id", "cluster", "size", "total"), "clusters")
+        scratch.drop(after)
 
 
 def super_nodes(synthesized: DataFrame, clusters: DataFrame, now: Column) -> DataFrame:

@@ -333,3 +333,24 @@ def test_max_sim(spark):
     d = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [1.0, 0.0])], "item_id string, vector array<double>")
     got = {r["item_id"]: r["score"] for r in RT.max_sim(q, d).collect()}
     assert got == {"a": 2.0, "b": 1.0}
+
+
+@pytest.mark.parametrize("n, rows", [(5000, 1024), (400, 2048)])
+def test_average_linkage_over_many_tasks(spark, monkeypatch, n, rows):
+    """A job beyond one task, in blocks, against the sequential clustering."""
+    rng = np.random.default_rng(n)
+    centre = rng.standard_normal((n // 12, 16))
+    x = centre[rng.integers(0, len(centre), n)] + rng.choice([0.1, 0.3, 0.5], (n, 1)) * rng.standard_normal((n, 16))
+    x[7] = 0
+    x[20:23] = x[20]
+    items = [("big", i, i, v.tolist()) for i, v in enumerate(x)] + [("small", i, -i, v.tolist()) for i, v in enumerate(x[:9])] + [(None, i, i, x[0].tolist()) for i in range(3)]
+    frame = spark.createDataFrame(items, "job_id string, item_id long, pos long, vector array<double>").repartition(6)
+    monkeypatch.setattr(EO, "JOB_ROWS", 100)
+    monkeypatch.setattr(EO, "LINKAGE_ROWS", rows)
+    got = EO.semantic_dedup(frame, 0.2).collect()
+    big = {r["item_id"]: r["cluster"] for r in got if r["job_id"] == "big"}
+    expected = EO.average_linkage(x, 0.2)
+    assert [big[i] for i in range(n)] == expected.tolist() and len(set(expected)) < n / 2
+    assert sum(r["kept"] for r in got if r["job_id"] == "big") == len(set(expected)) and len(got) == n + 12
+    small = sorted((r["item_id"], r["cluster"]) for r in got if r["job_id"] == "small")
+    assert [c for _, c in small[::-1]] == EO.average_linkage(x[8::-1], 0.2).tolist()
