@@ -68,7 +68,7 @@ class VectorIndex:
 
     A row holds its residual's product-quantised code and the vector itself. A search reads the cells nearest to its
     queries only, which the scan's partition filters show; of their rows it first reads the codes, keeps each query's
-    `rerank` best by table look-ups, and then compares those exactly. An insert adds files to its rows' cells. All vectors
+    `rerank` best by table look-ups (as each task does for its own rows), and then compares those exactly. An insert adds files to its rows' cells. All vectors
     have the length that the sample's first has; others, null, zero and non-finite ones are not indexed and have no neighbours.
     """
 
@@ -160,6 +160,7 @@ class VectorIndex:
         of_item = rows.schema["item_id"].dataType
 
         def by_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None  # each query's best so far: (query, cell, similarity, item)
             for batch in batches:
                 cell = batch.column("cell").to_numpy()
                 code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -172,9 +173,19 @@ class VectorIndex:
                     most = min(keep, len(rows_))
                     top = np.argpartition(-near, most - 1, axis=1)[:, :most]
                     found.append((np.repeat(some, most), rows_[top.reshape(-1)], np.take_along_axis(near, top, 1).reshape(-1)))
-                if found:
-                    n, r, near = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), batch.column("item_id").take(pa.array(r)), batch.column("cell").take(pa.array(r)), pa.array(near.astype(np.float64))], ["n", "item_id", "cell", "near"])
+                if not found:
+                    continue
+                n, r, near = (np.concatenate(x) for x in zip(*found))
+                items, cell = batch.column("item_id").take(pa.array(r)), cell[r]
+                if held:
+                    n, cell, near, items = np.concatenate([held[0], n]), np.concatenate([held[1], cell]), np.concatenate([held[2], near]), pa.concat_arrays([held[3], items])
+                order = np.lexsort((-near, n))
+                n = n[order]
+                nth = np.arange(len(n)) - np.searchsorted(n, n)
+                order, n = order[nth < keep], n[nth < keep]
+                held = n, cell[order], near[order], items.take(pa.array(order))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), held[3], pa.array(held[1], pa.int32()), pa.array(held[2].astype(np.float64))], ["n", "item_id", "cell", "near"])
 
         cells = F.col("cell").isin([int(c) for c in of_cell])
         coded = rows.where(cells).select("item_id", "cell", "code").mapInArrow(by_codes, f"n long, item_id {of_item.simpleString()}, cell int, near double")

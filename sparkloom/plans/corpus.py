@@ -90,7 +90,7 @@ def indexed_topk(spark, sf_dir):
     rows, asked = _asked(spark, sf_dir)
     index = AN.VectorIndex(spark, scratch.path(spark, "index"), "vec_id", "embedding").build(rows.where("vec_id % 2 = 0"))
     index.insert(rows)
-    hits = index.search(asked, 5, probes=len(index.model[0]), rerank=200, skip_self=True)
+    hits = index.search(asked, 5, probes=len(index.model[0]), skip_self=True)
     return hits.select("query_id", "item_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
