@@ -163,7 +163,7 @@ def judged(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, co
 
 
 def op7(spark, sf_dir):
-    return judged(common.table(spark, sf_dir, "pages"), conventions=True).select("page_id", "host", "path", "rule", "verdict")
+    return judged(common.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _cases(host: str, path: str) -> str:
@@ -206,15 +206,8 @@ with recursive urls as (
     select node as a, {_node("target")} as b from targets
 ), nodes as (
     select node as n from urls where node is not null union select b from given where b is not null
-), parts as (
-    select n, {_HOST.format("n")} as host, {_PATH.format("n")} as path, {_QUERY.format("n")} as query from nodes
-), ruled as (
-    select n, {_cases("host", "path")} as rule,
-        'http://' || regexp_replace(host, '^(?:www|m)\\.', '') || rtrim(regexp_replace(path, '/index\\.html?$', '/'), '/')
-        || case when query = '' then '' else regexp_replace('?' || array_to_string(list_filter(string_split(query[2:], '&'), lambda x: not starts_with(x, 'utm_')), '&'), '[?&]$', '') end as moved
-    from parts
 ), edges as (
-    select a, b from given where b is not null union select b, a from given where b is not null union select n, moved from ruled union select moved, n from ruled
+    select a, b from given where b is not null union select b, a from given where b is not null
 ), reach as (
     select n as x, n as y from nodes
     union
