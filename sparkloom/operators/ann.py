@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom import scratch
 from sparkloom.functions import vectors as V
+from sparkloom.functions.batches import whole_groups
 
 #: Vectors that centroids and codebooks are learned on, by hash order; rounds of k-means.
 SAMPLE = 20_000
@@ -27,6 +28,8 @@ CODEBOOK = 256
 SPREAD_COST = 2e9
 #: Queries, or query tokens, that are sent to the tasks at once; more come in blocks, one after the other.
 QUERY_BLOCK = 4096
+#: Numbers of a matrix of query tokens and documents' tokens.
+MATRIX = 1 << 22
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -215,22 +218,33 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return hits / n if n else 1.0
 
 
+def _best(rows: pa.Table, order: str, k: int) -> pa.Table:
+    """Of rows (n, item_id, ...) the k greatest by `order` for each n; ties go to the lesser item_id."""
+    rows = rows.sort_by([("n", "ascending"), (order, "descending"), ("item_id", "ascending")])
+    n = rows["n"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(n)) - np.searchsorted(n, n) < k))
+
+
 class LateInteraction:
     """Documents of token vectors, by inverted lists from token centroids to the documents that have tokens near them.
 
     A list's row (centroid, item_id, reach) says within which angle of the centroid the document's tokens there lie. By the
-    triangle inequality that bounds, from both sides, what a query's token can score in a document, so documents are
-    ruled out by bounds and only the others are compared token by token. Unusable vectors don't count.
+    triangle inequality that bounds, from both sides, what a query's token can score in a document. The k-th greatest
+    lower bound of a query rules out all documents whose upper bound is less, and only the others are compared token by
+    token. Tasks give each query's k best of their documents, so neither pairs nor bounds are shuffled. Unusable
+    vectors don't count. compared: how many pairs of a query and a document have been compared so far.
     """
 
     def __init__(self, document_tokens: DataFrame, centroids: int = 256):
         """document_tokens: (item_id, vector)."""
         self.tokens = document_tokens.where("item_id is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+        self.compared = document_tokens.sparkSession.sparkContext.accumulator(0)
         x = _sample(document_tokens.withColumn("__name", F.struct("item_id", "vector").cast("string")), "__name", "vector")
         c = k_means(x, centroids) if len(x) else np.zeros((0, 1))
         norm = np.sqrt((c * c).sum(1, keepdims=True))
         self.centroids = centres = c / np.where(norm > 0, norm, 1.0)
-        kind = document_tokens.schema["item_id"].dataType
+        self.kind = document_tokens.schema["item_id"].dataType
+        kind = to_arrow_type(self.kind)
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -238,78 +252,98 @@ class LateInteraction:
                 if len(at) and len(centres):
                     angle = np.arccos(np.clip(unit @ centres.T, -1, 1))
                     own = angle.argmin(1)
-                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at)).cast(to_arrow_type(kind)), pa.array(own), pa.array(angle[np.arange(len(at)), own])], ["item_id", "centroid", "angle"])
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at)).cast(kind), pa.array(own), pa.array(angle[np.arange(len(at)), own])], ["item_id", "centroid", "angle"])
 
-        rows = self.tokens.mapInArrow(listed, f"item_id {kind.simpleString()}, centroid long, angle double")
-        self.lists = scratch.written(rows.groupBy("centroid", "item_id").agg(F.max("angle").alias("reach")), "token-lists")
-        self.reach = np.full(len(centres), -np.inf)
-        for r in self.lists.groupBy("centroid").agg(F.max("reach").alias("reach")).collect():  # a row for each centroid
-            self.reach[r["centroid"]] = r["reach"]
+        rows = self.tokens.mapInArrow(listed, f"item_id {self.kind.simpleString()}, centroid long, angle double")
+        self.lists = scratch.written(rows.groupBy("item_id", "centroid").agg(F.max("angle").alias("reach")), "token-lists")
 
-    def top_k(self, query_tokens: DataFrame, k: int = 5, probes: int = 4) -> DataFrame:
+    def top_k(self, query_tokens: DataFrame, k: int = 5) -> DataFrame:
         """(query_id, item_id, score, rank): each query's k documents of the greatest sums of best cosines, exactly.
 
-        query_tokens: (query_id, position, query_vector), a stated set, in blocks of QUERY_BLOCK tokens or of one query.
-        Lists of each token's `probes` nearest centroids are read first; as long as a document on none of them could
-        still be among the best, twice as many are.
+        query_tokens: (query_id, position, query_vector), a stated set, in blocks of about QUERY_BLOCK tokens, or of one
+        query. Ties go to the lesser item_id.
         """
         blocks = -(-query_tokens.count() // QUERY_BLOCK) or 1
         parts = [query_tokens.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else query_tokens for n in range(blocks)]
-        return functools.reduce(DataFrame.unionAll, [self._block(p, k, probes) for p in parts])
+        return functools.reduce(DataFrame.unionAll, [self._block(p, k) for p in parts])
 
-    def _block(self, asked: DataFrame, k: int, probes: int) -> DataFrame:
-        spark, kinds = asked.sparkSession, [asked.schema["query_id"].dataType, self.tokens.schema["item_id"].dataType]
-        schema = f"query_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, rank int"
+    def _block(self, asked: DataFrame, k: int) -> DataFrame:
+        spark, kind, compared, centres = asked.sparkSession, self.kind.simpleString(), self.compared, self.centroids
         known = asked.select("query_id", "position", F.col("query_vector").cast("array<double>").alias("vector")).orderBy("query_id", "position").toArrow()
-        at, q = V.unit_rows(known["vector"], self.centroids.shape[1])
-        if not len(at) or not len(self.centroids):
-            return spark.createDataFrame([], schema)
+        at, q = V.unit_rows(known["vector"], centres.shape[1])
+        if not len(at) or not len(centres):
+            return spark.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, item_id {kind}, score double, rank int")
         names = known["query_id"].combine_chunks().take(pa.array(at)).dictionary_encode()
         query, names = names.indices.to_numpy(), names.dictionary
-        angle = np.arccos(np.clip(q @ self.centroids.T, -1, 1))
-        # What any document on a list can score there; nothing on empty ones.
-        empty = np.isinf(self.reach)
-        most = np.where(empty, -1.0, np.cos(np.maximum(angle - np.where(empty, 0.0, self.reach), 0)))
-        order = np.argsort(-most, axis=1, kind="stable")
-        while True:
-            read = order[:, :probes]
-            rest = np.full(len(q), -1.0) if probes >= order.shape[1] else np.take_along_axis(most, order[:, probes : probes + 1], 1)[:, 0]
-            token = np.repeat(np.arange(len(q)), read.shape[1])
-            lists = read.reshape(-1)
-            table = pa.table({"n": query[token].astype(np.int64), "token": token, "centroid": lists, "angle": angle[token, lists], "rest": rest[token]})
-            probed = spark.createDataFrame(table)
-            # A row for each query, document and token that meet on a list, with the bounds of what they score.
-            least = F.cos(F.least(F.col("angle") + F.col("reach"), F.lit(np.pi)))
-            bound = F.cos(F.greatest(F.col("angle") - F.col("reach"), F.lit(0.0)))
-            met = self.lists.join(F.broadcast(probed), "centroid").groupBy("n", "item_id", "token").agg(F.max(bound).alias("upper"), F.max(least).alias("lower"), F.max("rest").alias("rest"))
-            floors, sizes = np.bincount(query, rest), np.bincount(query)
-            of_query = spark.createDataFrame(pa.table({"n": np.arange(len(names)), "floor": floors, "size": sizes}))
-            bounds = met.groupBy("n", "item_id").agg(F.sum(F.greatest(F.col("upper") - F.col("rest"), F.lit(0.0))).alias("more"), F.sum(F.col("lower") + 1).alias("lower"))
-            bounds = bounds.join(F.broadcast(of_query), "n").select("n", "item_id", "floor", (F.col("floor") + F.col("more") + 1e-9).alias("upper"), (F.col("lower") - F.col("size")).alias("lower"))
-            bounds = scratch.written(bounds, "late-bounds")
-            nth = F.row_number().over(W.partitionBy("n").orderBy(F.desc("lower"), "item_id"))
-            cut = bounds.withColumn("nth", nth).where(F.col("nth") == k).select("n", F.col("lower").alias("cut"), "floor")
-            sure = cut.where("floor < cut - 1e-9").count() == len(names)
-            if sure or probes >= order.shape[1]:
-                break
-            probes *= 2
-            scratch.drop(bounds)
-        left = bounds.join(F.broadcast(cut.select("n", "cut")), "n", "left").where("cut is null or upper >= cut").select("n", "item_id")
-        begin = np.searchsorted(query, np.arange(len(names) + 1))
-
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, unit = V.unit_rows(batch.column("vector"), q.shape[1])
-                n = batch.column("n").to_numpy()[rows]
-                for one in np.unique(n).tolist():
-                    own = np.flatnonzero(n == one)
-                    tokens = np.arange(begin[one], begin[one + 1])
-                    near = unit[own] @ q[tokens].T
-                    items = batch.column("item_id").take(pa.array(np.repeat(rows[own], len(tokens))))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, one)), items, pa.array(np.tile(tokens, len(own))), pa.array(near.reshape(-1))], ["n", "item_id", "token", "near"])
-
-        pairs = self.tokens.join(left, "item_id").select("n", "item_id", "vector").mapInArrow(compared, f"n long, item_id {kinds[1].simpleString()}, token long, near double")
-        scores = pairs.groupBy("n", "item_id", "token").agg(F.max("near").alias("near")).groupBy("n", "item_id").agg(F.round(F.sum("near"), 12).alias("score"))
-        ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("n").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
+        begin = np.searchsorted(query, np.arange(len(names)))
+        end = np.append(begin[1:], len(q))
+        angle = np.arccos(np.clip(q @ centres.T, -1, 1))
+
+        def bounds(centroid: np.ndarray, reach: np.ndarray, first: np.ndarray, upper: bool) -> np.ndarray:
+            """What each query (row) scores in each document at most, or at least; first: where a document's lists begin."""
+            far = angle[:, centroid]
+            one = np.cos(np.maximum(far - reach, 0) if upper else np.minimum(far + reach, np.pi))
+            return np.add.reduceat(np.maximum.reduceat(one, first, axis=1), begin, axis=0)
+
+        def slices(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+            """Some whole documents at once, so that a matrix of them and all query tokens stays short."""
+            at = 0
+            while at < len(starts) - 1:
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + max(1, MATRIX // len(q)), "right")) - 1)
+                yield table.slice(starts[at], starts[to] - starts[at]), starts[at:to] - starts[at]
+                at = to
+
+        def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for table, starts in whole_groups(batches, ["item_id"]):
+                for part, first in slices(table, starts):
+                    least = bounds(part["centroid"].to_numpy(), part["reach"].to_numpy(), first, False)
+                    most = min(k, least.shape[1])
+                    top = -np.partition(-least, most - 1, axis=1)[:, :most]
+                    held = top if held is None else -np.sort(-np.concatenate([held, top], 1), axis=1)[:, :k]
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(held)), held.shape[1])), pa.array(held.reshape(-1))], ["n", "lower"])
+
+        lists = self.lists.repartition("item_id").sortWithinPartitions("item_id")
+        nth = F.row_number().over(W.partitionBy("n").orderBy(F.desc("lower")))
+        found = lists.mapInArrow(lower, "n long, lower double").withColumn("nth", nth).where(F.col("nth") == k).select("n", "lower").collect()
+        cut = np.full(len(names), -np.inf)  # a number for each query of the block
+        for r in found:
+            cut[r["n"]] = r["lower"] - 1e-9
+
+        def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for table, starts in whole_groups(batches, ["item_id"]):
+                for part, first in slices(table, starts):
+                    rows, unit = V.unit_rows(part["vector"], q.shape[1])
+                    if not len(rows):
+                        continue
+                    item = np.searchsorted(first, rows, "right") - 1
+                    own = np.arccos(np.clip(unit @ centres.T, -1, 1))
+                    centroid = own.argmin(1)
+                    pair, at = np.unique(item * len(centres) + centroid, return_inverse=True)
+                    reach = np.zeros(len(pair))
+                    np.maximum.at(reach, at, own[np.arange(len(rows)), centroid])
+                    items, list_first = np.unique(pair // len(centres), return_index=True)
+                    open_ = bounds(pair % len(centres), reach, list_first, True) >= cut[:, None]
+                    item_names = part["item_id"].combine_chunks().take(pa.array(first[items]))
+                    place = np.searchsorted(items, item)
+                    done = []
+                    for n in np.flatnonzero(open_.any(1)).tolist():
+                        some = np.flatnonzero(open_[n][place])  # rows of the documents that are left, in order
+                        of = place[some]
+                        start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                        score = np.maximum.reduceat(unit[some] @ q[begin[n] : end[n]].T, start, axis=0).sum(1)
+                        done.append((np.full(len(start), n), of[start], np.round(score, 12)))
+                    compared.add(int(open_.sum()))
+                    if done:
+                        n, of, score = (np.concatenate(x) for x in zip(*done))
+                        new = pa.table({"n": n, "item_id": item_names.take(pa.array(of)), "score": score})
+                        held = _best(new if held is None else pa.concat_tables([held, new]), "score", k)
+            if held is not None:
+                yield from held.combine_chunks().to_batches()
+
+        scored = self.tokens.repartition("item_id").sortWithinPartitions("item_id").mapInArrow(exactly, f"n long, item_id {kind}, score double")
+        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("n").orderBy(F.desc("score"), "item_id"))).where(F.col("rank") <= k)
         called = spark.createDataFrame(pa.table({"n": np.arange(len(names)), "query_id": names}))
         return ranked.join(F.broadcast(called), "n").select("query_id", "item_id", "score", "rank")

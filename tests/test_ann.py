@@ -60,8 +60,8 @@ def test_insert_changes_its_cells_only(spark, tmp_path):
     assert [r["item_id"] for r in index.search(asked, 2).orderBy("rank").collect()] == [7, 5000] and index.read().count() == 401
 
 
-@pytest.mark.parametrize("probes, centroids", [(1, 30), (4, 30), (1, 3)])
-def test_late_interaction_equals_all_pairs(spark, monkeypatch, probes, centroids):
+@pytest.mark.parametrize("centroids, matrix", [(30, 1 << 22), (3, 100)])
+def test_late_interaction_equals_all_pairs(spark, monkeypatch, centroids, matrix):
     rng = np.random.default_rng(4)
     x = topical(2, 30, 20, 12)
     documents = spark.createDataFrame([(f"d{rng.integers(0, 120)}", v.tolist()) for v in x] + [("none", None), ("zero", [0.0] * 12), (None, x[0].tolist())], "item_id string, vector array<double>").repartition(3)
@@ -71,9 +71,10 @@ def test_late_interaction_equals_all_pairs(spark, monkeypatch, probes, centroids
     all_pairs["score"] = all_pairs["score"].round(9)
     expected = all_pairs.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(5)
     index = A.LateInteraction(documents, centroids)
+    monkeypatch.setattr(A, "MATRIX", matrix)
     for block in (4096, 8):
         monkeypatch.setattr(A, "QUERY_BLOCK", block)
-        got = index.top_k(asked, 5, probes).orderBy("query_id", "rank").collect()
+        got = index.top_k(asked, 5).orderBy("query_id", "rank").collect()
         assert [(r["query_id"], r["item_id"], round(r["score"], 9)) for r in got] == list(expected[["query_id", "item_id", "score"]].itertuples(index=False, name=None))
     assert index.top_k(asked.limit(0)).count() == 0
 
@@ -83,6 +84,5 @@ def test_late_interaction_compares_few_documents(spark, monkeypatch):
     x = topical(5, 60, 30, 32)
     documents = spark.createDataFrame([(i // 3, v.tolist()) for i, v in enumerate(x / 3 + np.repeat(topical(5, 60, 1, 32), 30, 0))], "item_id int, vector array<double>")
     asked = spark.createDataFrame([(q, p, x[30 * q + p].tolist()) for q in (3, 40) for p in range(3)], "query_id int, position int, query_vector array<double>")
-    index, written = A.LateInteraction(documents, 60), []
-    monkeypatch.setattr(A.scratch, "written", lambda df, name, f=A.scratch.written: written.append(f(df, name)) or written[-1])
-    assert index.top_k(asked, 3, 2).count() == 6 and written[-1].count() < 2 * 600 / 5
+    index = A.LateInteraction(documents, 60)
+    assert index.top_k(asked, 3).count() == 6 and index.compared.value < 2 * 600 / 5
