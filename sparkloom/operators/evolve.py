@@ -477,39 +477,81 @@ def super_nodes(synthesized: DataFrame, clusters: DataFrame, now: Column) -> Dat
 
 
 class OnlineClusters:
-    """Online clustering: a vector joins the nearest centroid if it is near enough, and moves it; else it starts a cluster."""
+    """Online clustering: a vector joins the nearest centroid if it is near enough, and moves it; else it starts a cluster.
 
-    def __init__(self, least: float = SAME_QUERY, moving: bool = True):
-        self.least, self.moving = least, moving
-        self.sums: list[np.ndarray] = []
-        self.hits: list[int] = []
+    Centroids are rows of one matrix that grows by doubling. With `idle`, clusters that weren't hit for longer than that
+    before a vector's time are closed first; numbers aren't used again.
+    """
 
-    def add(self, vector) -> int:
+    def __init__(self, least: float = SAME_QUERY, moving: bool = True, idle: int | None = None):
+        self.least, self.moving, self.idle = least, moving, idle
+        self.numbers, self.hits, self.last, self.next = [], [], [], 0
+        self.matrix = np.zeros((0, 0))
+        self.closed: list[tuple] = []  # those that add() has closed
+
+    @property
+    def sums(self) -> np.ndarray:
+        return self.matrix[: len(self.hits)]
+
+    def restore(self, rows: list[tuple], following: int) -> None:
+        """Take up the state that state() gave."""
+        self.numbers, self.hits, self.last = ([r[k] for r in rows] for k in range(3))
+        self.matrix, self.next = np.array([r[3] for r in rows], np.float64) if rows else np.zeros((0, 0)), following
+
+    def state(self) -> list[tuple]:
+        """(number, hits, last hit, centroid) of each cluster."""
+        return [(n, h, t, c.tolist()) for n, h, t, c in zip(self.numbers, self.hits, self.last, self.sums)]
+
+    def close(self, before: int) -> list[tuple]:
+        """Drop the clusters last hit before a time; returns them as state() does."""
+        gone = [k for k, t in enumerate(self.last) if t < before]
+        if not gone:
+            return []
+        rows = self.state()
+        self.restore([r for k, r in enumerate(rows) if k not in set(gone)], self.next)
+        return [rows[k] for k in gone]
+
+    def add(self, vector, at: int = 0) -> int:
+        if self.idle is not None:
+            self.closed += self.close(at - self.idle)
         v = np.asarray(vector, np.float64)
-        if self.sums:
-            c = np.array(self.sums)
+        if self.hits:
+            c = self.sums
             norms = np.sqrt((c * c).sum(1)) * np.sqrt(v @ v)
             near = c @ v / np.where(norms > 0, norms, 1.0)
             k = int(near.argmax())
             if near[k] >= self.least:
                 if self.moving:
-                    self.sums[k] = (self.sums[k] * self.hits[k] + v) / (self.hits[k] + 1)
+                    c[k] = (c[k] * self.hits[k] + v) / (self.hits[k] + 1)
                 self.hits[k] += 1
-                return k
-        self.sums.append(v)
+                self.last[k] = max(self.last[k], at)
+                return self.numbers[k]
+        n = len(self.hits)
+        if n >= len(self.matrix):
+            grown = np.zeros((max(16, 2 * n), len(v)))
+            grown[:n] = self.matrix[:n] if n else 0
+            self.matrix = grown
+        self.matrix[n] = v
+        self.numbers.append(self.next)
         self.hits.append(1)
-        return len(self.sums) - 1
+        self.last.append(at)
+        self.next += 1
+        return self.next - 1
+
 
+def online_clusters(rows: DataFrame, shard: str, least: float = SAME_QUERY, moving: bool = True, idle: str | None = None) -> DataFrame:
+    """(shard, item_id, cluster): rows (shard, item_id, pos, vector) clustered online in the order of pos, each shard for itself.
 
-def online_clusters(rows: DataFrame, shard: str, least: float = SAME_QUERY, moving: bool = True) -> DataFrame:
-    """(shard, item_id, cluster): rows (shard, item_id, pos, vector) clustered online in the order of pos, each shard for itself."""
+    idle: clusters that weren't hit for so long ("1 hour") are closed; rows have a timestamp `ts` then, which comes before
+    pos in their order.
+    """
     kinds = dict(rows.dtypes)
+    micros = None if idle is None else pd.Timedelta(idle).value // 1000
+    timed = rows.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")) if idle else F.lit(0).cast("long"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pos", "item_id"])
-        c = OnlineClusters(least, moving)
-        return pd.DataFrame({"shard": part[shard].to_numpy(), "item_id": part["item_id"].to_numpy(), "cluster": [c.add(v) for v in part["vector"]]})
-
-    return rows.groupBy(shard).applyInPandas(run, f"shard {kinds[shard]}, item_id {kinds['item_id']}, cluster int")
-
+        part = part.sort_values(["__at", "pos", "item_id"])
+        c = OnlineClusters(least, moving, micros)
+        return pd.DataFrame({"shard": part[shard].to_numpy(), "item_id": part["item_id"].to_numpy(), "cluster": [c.add(v, t) for v, t in zip(part["vector"], part["__at"])]})
 
+    return timed.groupBy(shard).applyInPandas(run, f"shard {kinds[shard]}, item_id {kinds['item_id']}, cluster int")

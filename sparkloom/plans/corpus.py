@@ -577,10 +577,20 @@ def grounded_answers(spark, sf_dir):
     return I.answer(asked, chunks).select("query_id", "query", "answer", F.length("prompt").alias("prompt_chars"))
 
 
-@query("select doc_id, 64 as dim, case when len(" + _WORDS.format("text") + ") = 0 then 0.0::double else 1.0::double end as norm from documents")
+#: crc32 by bits, over the bytes of a word.
+_WORD_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hex(encode(word))) // 2), lambda i: cast('0x' || substr(hex(encode(word)), cast(2 * i + 1 as bigint), 2) as bigint))), lambda crc, d: list_reduce(list_prepend(xor(crc, d), [cast(0 as bigint) for z in range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+
+@query(f"""
+with w as (select doc_id, unnest({_WORDS.format("lower(text)")}) as word from documents),
+h as (select word, {_WORD_CRC} as h from (select distinct word from w)),
+v as (select doc_id, h % 64 as pos, sum(case when (h >> 16) & 1 = 1 then 1 else -1 end) as s from w join h using (word) group by all),
+n as (select *, sqrt(sum(s * s) over (partition by doc_id)) as norm from v)
+select doc_id, cast(pos as integer) as pos, round((s / norm)::float::double, 6) as value from n where s <> 0""")
 def embed_documents(spark, sf_dir):
+    """The components of each document's vector that aren't zero."""
     made = E.embed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), text="text")
-    return made.select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+    return made.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value != 0").select("doc_id", "pos", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query()

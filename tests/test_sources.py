@@ -1,8 +1,11 @@
+import collections
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom import schemas
+from sparkloom.operators import evolve as EO
 from sparkloom.plans import ingest as I
 from sparkloom.sources import fetch as FE
 from sparkloom.sources import rows as Q
@@ -189,3 +192,28 @@ def test_inserts_keep_the_first_by_order(spark, tmp_path):
     c.insert(rows, order=["at"])
     c.insert(rows.where("at = 2"))
     assert [(r["chunk_id"], r["text"]) for r in c.read().collect()] == [("a", "one")]
+
+
+def test_living_clusters_equal_the_batch_and_forget(spark, tmp_path):
+    """Over three runs from one checkpoint: the batch's clusters, closings with their hits, and a state of few clusters."""
+    rng = np.random.default_rng(0)
+    schema = "shard string, item_id long, pos long, ts timestamp, vector array<double>"
+    rows = []
+    for i in range(180):
+        topic = i // 20 if i % 4 else 50  # topics come and go; one is hit all the time
+        v = np.eye(60)[topic] + 0.05 * rng.standard_normal(60)
+        rows.append(("ab"[i % 2], i, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), v.tolist()))
+    path, found = str(tmp_path / "in"), []
+    for n in range(3):
+        for at in range(60 * n, 60 * n + 60, 20):
+            spark.createDataFrame(rows[at : at + 20], schema).coalesce(1).write.mode("append").parquet(path)
+        stream = J.living_clusters(J.source(spark, path, spark.createDataFrame([], schema).schema), "shard", "30 minutes", 0.8)
+        J.run_once(stream, str(tmp_path / "c"), lambda batch, m: found.extend(batch.collect()))
+    batch = EO.online_clusters(spark.createDataFrame(rows, schema), "shard", 0.8, idle="30 minutes").collect()
+    expected = {(r["shard"], r["item_id"]): r["cluster"] for r in batch}
+    assert {(r["shard"], r["item_id"]): r["cluster"] for r in found if r["item_id"] is not None} == expected
+    hits = collections.Counter((s, c) for (s, _), c in expected.items())
+    closed = {(r["shard"], r["cluster"]): r["hits"] for r in found if r["item_id"] is None}
+    assert len(closed) >= 12 and all(hits[k] == n for k, n in closed.items())
+    living = spark.read.format("statestore").option("stateVarName", "living").load(str(tmp_path / "c"))
+    assert len(hits) - len(closed) == living.count() <= 6 < len(hits)
