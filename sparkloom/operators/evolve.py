@@ -33,8 +33,8 @@ CELL_ROWS = 8192
 #: What angles of equal similarities, rounded to twelve digits, may differ by.
 ROUNDING = 3e-6
 DEDUP_WITHIN, DEDUP_FROM = 0.15, 6
-#: Items of a job that one task clusters; clusters of a block of larger jobs.
-JOB_ROWS = 2048
+#: Items of a job that one task clusters, by a matrix of 128 MB; clusters of a block of larger jobs.
+JOB_ROWS = 4096
 LINKAGE_ROWS = 2048
 
 
@@ -313,14 +313,17 @@ def access_counts(nodes: DataFrame, hits: DataFrame) -> DataFrame:
     return nodes.join(new, "node_id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)) + F.coalesce("__new", F.lit(0))).drop("__new")
 
 
-def average_linkage(vectors: np.ndarray, within: float) -> np.ndarray:
-    """Cluster numbers by average-linkage agglomeration on cosine distance, merged while no farther than `within`."""
+def average_linkage(vectors: np.ndarray, within: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Cluster numbers by average-linkage agglomeration on cosine distance, merged while no farther than `within`.
+
+    sizes: the vectors are means of so many unit vectors each, clusters that have been formed before.
+    """
     n = len(vectors)
     norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-    unit = vectors / np.where(norms > 0, norms, 1.0)
+    unit = vectors / np.where(norms > 0, norms, 1.0) if sizes is None else vectors
     far = 1 - unit @ unit.T
     np.fill_diagonal(far, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    size, label = np.ones(n) if sizes is None else sizes.astype(float), np.arange(n)
     # Each row's least distance and where it stands first, so that a merge looks again only at rows that it touches.
     nearest = far.argmin(1) if n else np.zeros(0, int)
     least = far[np.arange(n), nearest]
@@ -421,8 +424,9 @@ def _linked_in_rounds(items: DataFrame, within: float) -> DataFrame:
 
     Two clusters that are each other's nearest can be merged at once, whatever else is, as average linkage never brings
     clusters nearer than their parts were; for the same reason a cluster without another within reach is done. So each
-    round merges many pairs, over many tasks, and the next one holds the rest only. Where distances are equal the lesser
-    numbers go first; vectors that are null or hold what isn't a number stay alone.
+    round merges many pairs, over many tasks, and the next one holds the rest only. Once no job has more than JOB_ROWS
+    clusters left, a task each takes them on. Where distances are equal the lesser numbers go first; vectors that are null
+    or hold what isn't a number stay alone.
     """
     job = items.schema["job_id"].dataType
 
@@ -435,6 +439,18 @@ def _linked_in_rounds(items: DataFrame, within: float) -> DataFrame:
 
     clusters = scratch.written(items.mapInArrow(units, f"job_id {job.simpleString()}, cluster long, size long, total array<double>"), "clusters")
     roots = items.select("job_id", F.col("n").alias("__n"), F.col("n").alias("root"))
+
+    def rest(left: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("cluster")
+        size = left["size"].to_numpy()
+        label = average_linkage(np.array(left["total"].tolist(), np.float64) / size[:, None], within, size)
+        names = left["cluster"].to_numpy()
+        return pd.DataFrame({"__job": left["job_id"].to_numpy(), "was": names, "into": names[label]})
+
+    def moved(gone: DataFrame) -> DataFrame:
+        joined = roots.join(gone, F.col("job_id").eqNullSafe(F.col("__job")) & (F.col("root") == F.col("was")), "left")
+        return scratch.written(joined.select("job_id", "__n", F.coalesce("into", "root").alias("root")), "roots")
+
     while True:
         near = scratch.written(_nearest_clusters(clusters, within), "nearest")
         scratch.drop(clusters)
@@ -450,9 +466,11 @@ def _linked_in_rounds(items: DataFrame, within: float) -> DataFrame:
         gone = after.where("was != cluster").select(F.col("job_id").alias("__job"), "was", F.col("cluster").alias("into"))
         if gone.isEmpty():
             return roots
-        roots = scratch.written(roots.join(gone, F.col("job_id").eqNullSafe(F.col("__job")) & (F.col("root") == F.col("was")), "left").select("job_id", "__n", F.coalesce("into", "root").alias("root")), "roots")
+        roots = moved(gone)
         clusters = scratch.written(after.where("was = cluster").select("job_id", "cluster", "size", "total"), "clusters")
         scratch.drop(after)
+        if clusters.groupBy("job_id").agg(F.count("*").alias("n")).where(F.col("n") > JOB_ROWS).isEmpty():
+            return moved(clusters.groupBy("job_id").applyInPandas(rest, f"__job {job.simpleString()}, was long, into long"))
 
 
 def super_nodes(synthesized: DataFrame, clusters: DataFrame, now: Column) -> DataFrame:
