@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,11 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
+from sparkloom.functions.batches import whole_groups
 
 #: Query vectors that are sent to the tasks at most; larger sets meet the collection block by block.
 QUERY_BLOCK = 4096
 #: Rows of a block of a large query set, and of the collection it is held against.
 GRID_ROWS = 32_768
+GRID_BYTES = 512 << 20
 MAX_K = 10
 
 
@@ -31,20 +35,6 @@ def nonblank(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.where(T.strip(F.col(text)) != "")
 
 
-def _unit_rows(names: list, vectors: list, dim: int | None = None) -> tuple[list, np.ndarray]:
-    """Names and unit vectors of those that are usable: of one length, without nulls, finite, not zero."""
-    kept, out = [], []
-    for name, x in zip(names, vectors):
-        if x and (dim is None or len(x) == dim) and None not in x:
-            x = np.asarray(x, np.float64)
-            n = np.sqrt(x @ x)
-            if np.isfinite(n) and n > 0:
-                dim = len(x)
-                kept.append(name)
-                out.append(x / n)
-    return kept, np.array(out) if out else np.zeros((0, dim or 0))
-
-
 def _nearest(names: list, q: np.ndarray, ids: list, v: np.ndarray, k: int, skip_self: bool) -> Iterator[tuple[int, list]]:
     """For each query its k best (distance, id) among the given items, or more where the last are equally near."""
     most = min(len(ids), k + 1)
@@ -78,33 +68,37 @@ def top_k(queries: DataFrame, collection: DataFrame, k: int = 5, query_id: str =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: list[list[tuple[float, object]]] = [[] for _ in names]
             for batch in batches:
-                ids, v = _unit_rows(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist(), q.shape[1])
-                if ids:
+                at, v = V.unit_rows(batch.column("vector"), q.shape[1])
+                if len(at):
+                    ids = batch.column("item_id").take(pa.array(at)).to_pylist()
                     for row, own in _nearest(names, q, ids, v, k, skip_self):
                         best[row] = sorted(best[row] + own)[:k]
             yield batch_of([(name, i, d) for name, own in zip(names, best) for d, i in own])
 
         return run
 
-    first = asked.limit(QUERY_BLOCK + 1).collect()
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()
     if len(first) > QUERY_BLOCK:
         found = _grid(asked, rows, k, skip_self, batch_of, schema)
     else:
-        lengths: dict[int, list] = {}
-        for r in first:
-            lengths.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
-        found = spark.createDataFrame([], schema)
-        for some in lengths.values():
-            names, q = _unit_rows(*zip(*some))
-            if names:
-                found = found.unionAll(rows.mapInArrow(sent(names, q), schema))
+        found, size = spark.createDataFrame([], schema), pc.list_value_length(first["vector"])
+        for n in pc.unique(size).to_pylist():
+            some = first.filter(pc.equal(size, n))
+            at, q = V.unit_rows(some["vector"])
+            if len(at):
+                found = found.unionAll(rows.mapInArrow(sent(some["query_id"].combine_chunks().take(pa.array(at)).to_pylist(), q), schema))
     w = W.partitionBy("query_id").orderBy("distance", "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _grid(asked: DataFrame, rows: DataFrame, k: int, skip_self: bool, batch_of, schema: str) -> DataFrame:
-    """The k best of each cell, from blocks of queries and blocks of items of one length."""
-    i, j = (max(1, -(-x.count() // GRID_ROWS)) for x in (asked, rows))
+    """The k best of each cell, from blocks of queries and blocks of items of one length.
+
+    Blocks hold GRID_ROWS vectors at most, and fewer of long ones, so that a cell's are within GRID_BYTES.
+    """
+    (i, dim_i), (j, dim_j) = (x.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first() for x in (asked, rows))
+    most = min(GRID_ROWS, max(1, GRID_BYTES // (16 * max(dim_i, dim_j, 1))))
+    i, j = max(1, -(-i // most)), max(1, -(-j // most))
     place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda d, name: F.lit(None).cast(d.schema[name].dataType).alias(name)
@@ -114,54 +108,56 @@ def _grid(asked: DataFrame, rows: DataFrame, k: int, skip_self: bool, batch_of,
     keys = ["dim", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asked_rows, items = None, [], []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            (names, q), (ids, v) = (_unit_rows(*zip(*x)) if x else ([], None) for x in (asked_rows, items))
-            if names and ids:
-                found = ((names[row], i, d) for row, own in _nearest(names, q, ids, v, k, skip_self) for d, i in sorted(own)[:k])
-                yield batch_of(list(found))
-
-        for batch in batches:
-            for d, x, y, is_q, query, item, v in zip(*(batch.column(c).to_pylist() for c in (*keys, "is_query", "query_id", "item_id", "vector"))):
-                if (d, x, y) != key:
-                    yield from out()
-                    key, asked_rows, items = (d, x, y), [], []
-                (asked_rows if is_q else items).append((query if is_q else item, v))
-        yield from out()
+        for table, starts in whole_groups(batches, keys):
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                cell = table.slice(lo, hi - lo)
+                sides = []
+                for side, name in ((cell.filter(cell["is_query"]), "query_id"), (cell.filter(pc.invert(cell["is_query"])), "item_id")):
+                    at, unit = V.unit_rows(side["vector"])
+                    sides += [side[name].take(pa.array(at)).to_pylist(), unit]
+                names, q, ids, v = sides
+                if names and ids:
+                    yield batch_of([(names[row], item, d) for row, own in _nearest(names, q, ids, v, k, skip_self) for d, item in sorted(own)[:k]])
 
     cells = left.withColumn("is_query", F.lit(True)).unionByName(right.withColumn("is_query", F.lit(False)))
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def max_sim(query_tokens: DataFrame, document_tokens: DataFrame) -> DataFrame:
-    """Late interaction: (query_id, item_id, score), the sum over query tokens of their best cosine in the document.
+    """Late interaction of all pairs: (query_id, item_id, score), the sum over query tokens of their best cosine in the document.
 
-    query_tokens: (query_id, position, query_vector), a stated set that is sent to the tasks; document_tokens: (item_id,
-    vector). Tasks take each document's best by token before anything is shuffled. Unusable vectors don't count.
+    query_tokens: (query_id, position, query_vector), a stated set, in blocks of about QUERY_BLOCK tokens, each sent to the
+    tasks; document_tokens: (item_id, vector). Tasks take each document's best by token before anything is shuffled.
+    Unusable vectors don't count. For the best documents only, `ann.LateInteraction` compares few.
     """
-    spark = document_tokens.sparkSession
-    kinds = {f.name: f.dataType for f in [*query_tokens.schema, *document_tokens.schema]}
-    asked = query_tokens.where("query_vector is not null").select("query_id", "position", "query_vector").collect()
-    names, q = _unit_rows([(r["query_id"], r["position"]) for r in asked], [r["query_vector"] for r in asked])
+    blocks = -(-query_tokens.count() // QUERY_BLOCK) or 1
+    parts = [query_tokens.where(F.pmod(F.xxhash64("query_id", "position"), F.lit(blocks)) == n) if blocks > 1 else query_tokens for n in range(blocks)]
+    best = functools.reduce(DataFrame.unionAll, [_best_by_token(p, document_tokens) for p in parts])
+    return best.groupBy("query_id", "item_id", "position").agg(F.max("best").alias("best")).groupBy("query_id", "item_id").agg(F.sum("best").alias("score"))
+
+
+def _best_by_token(asked: DataFrame, document_tokens: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType for f in [*asked.schema, *document_tokens.schema]}
     schema = f"query_id {kinds['query_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, position {kinds['position'].simpleString()}, best double"
-    if not names:
-        return spark.createDataFrame([], f"query_id {kinds['query_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, score double")
-    types = [to_arrow_type(kinds[c]) for c in ("query_id", "item_id", "position")]
+    known = asked.select("query_id", "position", F.col("query_vector").cast("array<double>").alias("vector")).toArrow()
+    at, q = V.unit_rows(known["vector"])
+    if not len(at):
+        return asked.sparkSession.createDataFrame([], schema)
+    query, position = (known[c].combine_chunks().take(pa.array(at)) for c in ("query_id", "position"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, v = _unit_rows(batch.column("item_id").to_pylist(), batch.column("vector").to_pylist(), q.shape[1])
-            if ids:
-                order = sorted(range(len(ids)), key=ids.__getitem__)
-                ids, v = [ids[i] for i in order], v[order]
-                first = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
-                best = np.maximum.reduceat(q @ v.T, first, axis=1)
-                rows = [(n, ids[i], p, float(best[k, j])) for k, (n, p) in enumerate(names) for j, i in enumerate(first)]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], types[c]) for c in range(3)), pa.array([r[3] for r in rows], pa.float64())], ["query_id", "item_id", "position", "best"])
-
-    found = document_tokens.where("item_id is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
-    return found.groupBy("query_id", "item_id", "position").agg(F.max("best").alias("best")).groupBy("query_id", "item_id").agg(F.sum("best").alias("score"))
+            rows, v = V.unit_rows(batch.column("vector"), q.shape[1])
+            if len(rows):
+                names = batch.column("item_id").take(pa.array(rows)).dictionary_encode()
+                code = names.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+                best = np.maximum.reduceat(q @ v[order].T, first, axis=1)
+                row, item = np.divmod(np.arange(best.size), len(first))
+                yield pa.RecordBatch.from_arrays([query.take(pa.array(row)), names.dictionary.take(pa.array(code[order][first][item])), position.take(pa.array(row)), pa.array(best.reshape(-1))], ["query_id", "item_id", "position", "best"])
+
+    return document_tokens.where("item_id is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
 
 
 def mask_children(hits: DataFrame, children: DataFrame) -> DataFrame:
