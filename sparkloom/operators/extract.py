@@ -105,10 +105,6 @@ def site_rules(domain: str) -> Site:
 # --- the page's tree ---------------------------------------------------------------------------------------------
 
 
-def _has_class(*names: str) -> Callable[[Node], bool]:
-    return lambda n: n.tag == "div" and any(x in n.classes() for x in names)
-
-
 def lists_to_paragraphs(root: Node) -> None:
     """Each item of a list becomes a paragraph that begins with a dash."""
     for lst in root.all("ul", "ol"):
@@ -134,81 +130,119 @@ def undouble(title: str) -> str:
     return title[:half] if len(title) > 4 and len(title) % 2 == 0 and title[:half] == title[half:] else title
 
 
-def edit_ninds(root: Node) -> None:
-    for n in [n for n in root.walk() if any(isinstance(c, str) and "You Are Here:" in c for c in n.children)]:
-        n.remove()
-    for h in root.all("h2"):
-        title = h.text()
-        if not title or title.lower().startswith("table of contents"):
-            h.remove()
-        else:
-            _mark_heading(h, title)
-    for n in root.all("div"):
-        if "datadisplay" in n.classes():
-            n.unwrap()
-    for n in [n for n in root.walk() if any(isinstance(c, str) and ADDRESS.search(c) for c in n.children)]:
-        if n.parent is not None and n.attached():
-            # The address and all that follows it beside it.
-            del n.parent.children[n.index() :]
-
-
-def edit_niddk(root: Node) -> None:
-    for a in root.all("a"):
-        text = a.text()
-        if "Top" in text and len(text) <= 5:
-            a.remove()
+@dataclass(frozen=True)
+class Edit:
+    """What is done with the nodes that all the given conditions pick, in page order."""
+
+    action: str
+    tags: tuple[str, ...] = ()
+    classes: tuple[str, ...] = ()  # words of the class
+    looks: tuple[str, ...] = ()  # strings within class or id, whichever `within` names
+    within: str = "class"
+    id: str = ""
+    says: str = ""  # a pattern in the text right below the node
+    text: str = ""  # a pattern in all of its text
+    title: str = "{}"  # of headings and sections, as a format of the text
+    head: Edit | None = None  # of sections: where the title stands, and the body
+    body: Edit | None = None
+
+    def picks(self, n: Node) -> bool:
+        return (
+            (not self.tags or n.tag in self.tags)
+            and (not self.id or n.attrs.get("id") == self.id)
+            and (not self.classes or any(c in n.classes() for c in self.classes))
+            and (not self.looks or any(x in n.attrs.get(self.within, "").lower() for x in self.looks))
+            and (not self.says or any(isinstance(c, str) and re.search(self.says, c) for c in n.children))
+            and (not self.text or re.search(self.text, n.text()) is not None)
+        )
+
+    def named(self, n: Node) -> str:
+        title = undouble(n.text()) if self.title != "{}" else n.text()
+        return self.title.format(title.upper() if self.title != "{}" else title)
+
+
+#: A button that reads a text aloud, and the word that it leaves in front.
+ALOUD = Edit("drop", tags=("a",), classes=("rsbtn_play",))
+_ALOUD_WORD = re.compile(r"^Listen\s*")
+
+NINDS_EDITS = (
+    Edit("drop", says="You Are Here:"),
+    Edit("drop", tags=("h2",), text=r"(?i)\A(?:\Z|table of contents)"),
+    Edit("heading", tags=("h2",)),
+    Edit("unwrap", tags=("div",), classes=("datadisplay",)),
+    Edit("drop with rest", says=f"(?i){ADDRESS.pattern}"),
+)
+NIDDK_EDITS = (Edit("drop", tags=("a",), text=r"(?s)\A(?=.*Top).{0,5}\Z"),)
+PANEL = Edit("section", tags=("div",), classes=("panel",), title="[{}]", head=Edit("", tags=("h2",), classes=("panel-title",)), body=Edit("", tags=("div",), classes=("panel-collapse",)))
+#: Pages with panels: what stands about them goes, each panel is a section, and what is left is the description.
+PANEL_EDITS = (
+    Edit("drop", tags=("nav", "aside", "footer", "header")),
+    Edit("drop", tags=("div",), looks=GARD_SIDE),
+    Edit("drop", tags=("ol",), looks=("breadcrumb",)),
+    Edit("drop", tags=("div",), looks=GARD_SIDE[:4], within="id"),
+    PANEL,
+    ALOUD,
+    Edit("remainder"),
+)
+#: Symptoms come out as one section of terms and their paragraphs.
+TERM_EDITS = (
+    Edit("terms", tags=("div",), classes=("list-item",), title="SYMPTOMS", head=Edit("", tags=("h4",)), body=Edit("", tags=("div",), classes=("col-5",))),
+    Edit("drop first", tags=("div",), id="symptoms"),
+)
+PLAIN_EDITS = (Edit("heading", tags=("h2",), text=r"(?s)\A.", title="[{}]"), Edit("unwrap", tags=("div",)))
+LEAST_TERM_WORDS = 5
 
 
 def _synonyms(line: str) -> str:
     return re.sub(r"^(?:Synonyms?:\s*)+", "Synonyms: ", line, flags=re.I) if re.match(r"synonyms?:", line, re.I) else line
 
 
+def edited(root: Node, edits: tuple[Edit, ...]) -> dict[str, str]:
+    """Run edits over a tree, one after the other; returns the sections that they take out of it."""
+    taken: dict[str, str] = {}
+    silent = lambda n: _ALOUD_WORD.sub("", n.text("\n").strip())
+    for e in edits:
+        if e.action == "remainder":
+            if text := silent(root):
+                taken[DEFAULT_TITLE] = text
+            continue
+        terms = []
+        for n in [n for n in root.walk() if e.picks(n)]:
+            if e.action == "drop" or e.action == "drop first":
+                n.remove()
+            elif e.action == "unwrap":
+                n.unwrap()
+            elif e.action == "heading":
+                _mark_heading(n, e.named(n))
+            elif e.action == "drop with rest":
+                if n.parent is not None and n.attached():
+                    del n.parent.children[n.index() :]
+            else:
+                head, body = n.find(e.head.picks), n.find(e.body.picks)
+                if e.action == "section" and head and body and head.text() and n.attached():
+                    edited(body, (ALOUD,))
+                    if text := silent(body):
+                        taken[e.named(head)] = text
+                elif e.action == "terms" and head and body:
+                    lines = [x for x in (_synonyms(p.text(" ")) for p in body.all("p")) if x]
+                    if sum(len(x.split()) for x in lines) >= LEAST_TERM_WORDS:
+                        terms.append(f"{head.text().upper()}:\n" + "\n".join(lines))
+                n.remove()
+            if e.action == "drop first":
+                break
+        if terms:
+            taken[e.title] = "\n\n".join(terms)
+    return taken
+
+
 def edit_gard(root: Node) -> dict[str, str]:
     """Takes panels and symptoms out of the tree, as sections of their own."""
-    taken: dict[str, str] = {}
-    main = root.find(lambda n: n.tag == "div" and n.attrs.get("id") == "MainContent") or root.find(lambda n: n.tag == "body") or root
-    listen = lambda text: re.sub(r"^Listen\s*", "", text.strip())
-    panels = [n for n in root.walk() if _has_class("panel")(n)]
-    if panels:
-        for n in [*main.all("nav", "aside", "footer", "header"), *(n for n in main.all("div") if any(x in n.attrs.get("class", "").lower() for x in GARD_SIDE)), *(n for n in main.all("ol") if "breadcrumb" in n.attrs.get("class", "").lower()), *(n for n in main.all("div") if any(x in n.attrs.get("id", "").lower() for x in GARD_SIDE[:4]))]:
-            n.remove()
-        for panel in [n for n in main.walk() if _has_class("panel")(n)]:
-            head = panel.find(lambda n: n.tag == "h2" and "panel-title" in n.classes())
-            title = undouble(head.text()) if head else ""
-            body = panel.find(_has_class("panel-collapse"))
-            if title and body and panel.attached():
-                for a in body.all("a"):
-                    if "rsbtn_play" in a.classes():
-                        a.remove()
-                content = listen(body.text("\n"))
-                if content:
-                    taken[f"[{title.upper()}]"] = content
-            panel.remove()
-        for a in main.all("a"):
-            if "rsbtn_play" in a.classes():
-                a.remove()
-        rest = listen(main.text("\n"))
-        if rest:
-            taken[DEFAULT_TITLE] = rest
-    symptoms = []
-    for item in [n for n in main.walk() if _has_class("list-item")(n)]:
-        term, cell = item.find(lambda n: n.tag == "h4"), item.find(_has_class("col-5"))
-        if term and cell:
-            lines = [x for x in (_synonyms(p.text(" ")) for p in cell.all("p")) if x]
-            if len(" ".join(lines).split()) >= 5:
-                symptoms.append(term.text().upper() + ":\n" + "\n".join(lines))
-        item.remove()
-    if symptoms:
-        taken["SYMPTOMS"] = "\n\n".join(symptoms)
-    narrow = main.find(lambda n: n.tag == "div" and n.attrs.get("id") == "symptoms")
-    if narrow:
-        narrow.remove()
+    main = root.find(Edit("", tags=("div",), id="MainContent").picks) or root.find(Edit("", tags=("body",)).picks) or root
+    panels = root.find(PANEL.picks)
+    taken = edited(main, PANEL_EDITS) if panels else {}
+    taken |= edited(main, TERM_EDITS)
     if not panels:
-        for h in root.all("h2"):
-            if h.text():
-                _mark_heading(h, f"[{undouble(h.text()).upper()}]")
-        for d in root.all("div"):
-            d.unwrap()
+        edited(root, PLAIN_EDITS)
     return taken
 
 
@@ -386,9 +420,9 @@ def extract_sections(page: str | None, domain: str | None, recall: bool = False)
     if "cancer.gov" in domain:
         lists_to_paragraphs(root)
     elif "ninds.nih.gov" in domain:
-        edit_ninds(root)
+        edited(root, NINDS_EDITS)
     elif "niddk.nih.gov" in domain:
-        edit_niddk(root)
+        edited(root, NIDDK_EDITS)
     if domain == "rarediseases.info.nih.gov":
         taken = edit_gard(root)
     found = content_blocks(root, recall)
