@@ -7,8 +7,9 @@ its host, the more the fewer documents it has. A document's own probability is l
 final log odds are its evidence plus the path's log odds minus the global ones.
 
 Null hosts and paths count as a site without name. Null and empty texts have the evidence of a text without
-n-grams. Repeated rows count each time. Empty tables give empty results. Other columns are carried along, unless
-they are named as a new one is.
+n-grams. Texts of any length are scored whole. Repeated rows count each time; no order is involved, so there are no
+ties but that a document at the threshold itself is kept. Empty tables give empty results. Other columns are carried
+along, unless they are named as a new one is.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ null doc_ids (uint8), lengths (int64); then for each segment unsigned 32-bit cou
 the bytes of a symbol, followed by rules (two symbols each), expansion lengths (uint32) and symbols.
 
 Null and empty texts hold the end id alone. Rows without doc_id come first; rows with equal doc_id are ordered by
-a hash of their texts, then stand as they come (equal rows give equal ids). Empty tables give no rows.
+a hash of their texts, then stand as they come (equal rows give equal ids). Empty tables give no rows. Texts of any
+length are encoded whole; a long one's ids run over several segments. Columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
