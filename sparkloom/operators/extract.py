@@ -446,7 +446,7 @@ def extract(html: Column, domain: Column) -> Column:
             try:
                 found = extract_sections(page, name)
                 out.append({"status": "ok" if found else "empty", "sections": [{"pos": i, "section": k, "text": v} for i, (k, v) in enumerate(found.items())]})
-            except (ValueError, RecursionError) as e:  # a page that can't be read is a failed document, not a failed job
+            except Exception as e:  # whatever a page does is that page's result, not a failed job
                 out.append({"status": f"error: {type(e).__name__}", "sections": []})
         item = pa.struct([("pos", pa.int32()), ("section", pa.string()), ("text", pa.string())])
         return pa.array(out, pa.struct([("status", pa.string()), ("sections", pa.list_(item))]))

@@ -57,14 +57,33 @@ def first_urls(rows: DataFrame, n: int = 5, key: str = "domain", url: str = "url
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", url))), lambda x: x[url]).alias("urls"))
 
 
-def subpath_stats(rows: DataFrame, url: str = "url", focus: str = "focus", answer: str = "answer") -> DataFrame:
-    """Per domain and first path segment: rows, null answers and their share, distinct topics, rows a topic."""
-    segment = F.split_part(R.path(F.col(url)), F.lit("/"), F.lit(2))
-    found = rows.select(R.authority(F.col(url)).alias("domain"), segment.alias("sub_path"), F.col(focus).alias("focus"), F.col(answer).alias("answer"))
+#: Sites whose pages are told apart by more than one path segment.
+DEEPER = {"nlm.nih.gov": 2}
+
+
+def subpath_stats(rows: DataFrame, url: str = "url", focus: str = "focus", answer: str = "answer", deeper: dict[str, int] | None = None) -> DataFrame:
+    """Per domain and first path segment: rows, null answers and their share, distinct topics, rows a topic.
+
+    deeper: how many segments count for sites whose domain holds a name, by default those of DEEPER; fewer if there are fewer.
+    """
+    domain, segments = R.authority(F.col(url)), F.slice(F.split(R.path(F.col(url)), "/"), 2, 99)
+    depth = F.lit(1)
+    for name, n in (DEEPER if deeper is None else deeper).items():
+        depth = F.when(domain.contains(name), F.lit(n)).otherwise(depth)
+    segment = F.array_join(F.slice(segments, F.lit(1), depth), "/")
+    found = rows.select(domain.alias("domain"), segment.alias("sub_path"), F.col(focus).alias("focus"), F.col(answer).alias("answer"))
     out = found.groupBy("domain", "sub_path").agg(F.count("*").alias("n_rows"), F.count_if(F.col("answer").isNull() | (F.col("answer") == "")).alias("null_answers"), F.count_distinct("focus").alias("topics"))
     return out.withColumns({"null_percent": F.round(100 * F.try_divide(F.col("null_answers").cast("double"), F.col("n_rows")), 2), "rows_per_topic": F.round(F.coalesce(F.try_divide(F.col("n_rows").cast("double"), F.col("topics")), F.lit(0.0)), 2)})
 
 
+def report_lines(averages: DataFrame) -> DataFrame:
+    """(pos, line): the rows of averages() as lines of a report, with numbers formatted here and not before."""
+    order = W.orderBy(F.col("domain").isNull(), "domain")  # a row for each site
+    name = F.coalesce("domain", F.lit("all"))
+    line = F.format_string("%s: %d links, %d live, %d wayback, %d skipped, %.1f topics and %.1f words a sample", name, "total_dataset_links", "live", "wayback", "skipped", "avg_topics", "avg_words")
+    return averages.select(F.row_number().over(order).alias("pos"), line.alias("line"))
+
+
 def _local_runs(value: str):
     """Adds to batches of a range, in order: the range's number and the number of value changes so far in it."""
 

@@ -25,6 +25,7 @@ from sparkloom.operators import upsert as U
 from sparkloom.plans import ingest as I
 from sparkloom.sources import fetch as FE
 from sparkloom.sources import store as ST
+from sparkloom.streaming import jobs as J
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -278,6 +279,28 @@ def subpath_stats(spark, sf_dir):
     return S.subpath_stats(table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 7).alias("focus"), answer.alias("answer")))
 
 
+@query(f"""
+with r as (select {_AUTHORITY} as domain, string_split({_PATH}, '/') as p, page_id % 7 as focus, case when length(html) < 2000 then null else 'x' end as answer from pages),
+d as (select domain, array_to_string(p[2:case when contains(domain, 'example.com') then 3 when contains(domain, 'example.org') then 4 else 2 end], '/') as sub_path, focus, answer from r),
+c as (select domain, sub_path, count(*) as n_rows, count(*) - count(answer) as null_answers, count(distinct focus) as topics from d group by all)
+select *, round(100.0::double * null_answers / n_rows, 2) as null_percent, round(n_rows::double / topics, 2) as rows_per_topic from c""")
+def deeper_subpaths(spark, sf_dir):
+    answer = F.when(F.length("html") >= 2000, F.lit("x"))
+    return S.subpath_stats(table(spark, sf_dir, "pages").select("url", (F.col("page_id") % 7).alias("focus"), answer.alias("answer")), deeper={"example.com": 2, "example.org": 3})
+
+
+@query("""
+with e as (select user_id as job, max(ts) as last_run from events group by 1),
+c as (select unnest(range(0, 400, 10)) as job), n as (select max(ts) as now from events)
+select c.job::varchar as job, strftime(last_run, '%Y-%m-%d %H:%M:%S') as last_run from c left join e using (job), n where last_run is null or last_run + (1 + c.job % 7) * interval 1 hour <= n.now""")
+def due_jobs(spark, sf_dir):
+    """Users as jobs that an event runs, each with an interval of its own, due at the time of the last event."""
+    events = table(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+    found = J.due(events.select(F.col("user_id").cast("string").alias("job"), "ts"), now, {str(u): 1 + u % 7 for u in range(0, 400, 10)})
+    return found.select("job", F.date_format("last_run", "yyyy-MM-dd HH:mm:ss").alias("last_run"))
+
+
 @query("select source as focus, count(*) as n_questions from documents group by source order by n_questions desc, focus limit 10")
 def top_topics(spark, sf_dir):
     return S.top_topics(table(spark, sf_dir, "documents").withColumnRenamed("source", "focus"), "focus", 10)

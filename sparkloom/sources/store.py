@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,16 @@ class Collection:
         return self.read().orderBy("chunk_id").limit(n)
 
 
+@contextmanager
+def passing_collection(spark: SparkSession, schema: str = schemas.CHUNK) -> Iterator[Collection]:
+    """A collection in the shared folder for as long as one model is tried, then deleted."""
+    where = scratch.path(spark, "collection")
+    try:
+        yield Collection(spark, where, schema)
+    finally:
+        scratch.release(where)
+
+
 class Keyed:
     """A Parquet table by key, of which the last write of a key wins.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -156,6 +156,19 @@ def run_every(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int],
     return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(each).start()
 
 
+#: Hours between the runs of maintenance jobs.
+CADENCE = {"staleness_check": 1, "decay_scorer": 6, "hierarchy_merger": 24}
+
+
+def due(runs: DataFrame, now: Column, cadence: dict[str, int] | None = None) -> DataFrame:
+    """(job, last_run, due_at) of the maintenance jobs to run now, the longest overdue first; runs: (job, ts) of all runs so far."""
+    hours = CADENCE if cadence is None else cadence
+    jobs = runs.sparkSession.createDataFrame(list(hours.items()), "job string, hours int")
+    last = jobs.join(runs.groupBy("job").agg(F.max(F.col("ts").cast("timestamp")).alias("last_run")), "job", "left")
+    at = F.col("last_run") + F.make_interval(hours=F.col("hours"))
+    return last.select("job", "last_run", at.alias("due_at")).where(F.coalesce(F.col("due_at") <= now.cast("timestamp"), F.lit(True))).orderBy(F.asc_nulls_first("due_at"), "job")
+
+
 def to_table(rows: DataFrame, checkpoint: str, path: str) -> DataFrame:
     """Run an append stream into a Parquet table (each batch once, by its number) and read it."""
     run_once(rows, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))

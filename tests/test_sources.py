@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import schemas
 from sparkloom.operators import evolve as EO
+from sparkloom.operators import stats as S
 from sparkloom.plans import ingest as I
 from sparkloom.sources import fetch as FE
 from sparkloom.sources import rows as Q
@@ -217,3 +218,22 @@ def test_living_clusters_equal_the_batch_and_forget(spark, tmp_path):
     assert len(closed) >= 12 and all(hits[k] == n for k, n in closed.items())
     living = spark.read.format("statestore").option("stateVarName", "living").load(str(tmp_path / "c"))
     assert len(hits) - len(closed) == living.count() <= 6 < len(hits)
+
+
+def test_due_jobs(spark):
+    runs = spark.createDataFrame([("staleness_check", dt.datetime(2024, 1, 1, 9)), ("staleness_check", dt.datetime(2024, 1, 1, 11, 30)), ("decay_scorer", dt.datetime(2024, 1, 1, 5))], "job string, ts timestamp")
+    got = J.due(runs, F.lit("2024-01-01 12:00:00"))
+    assert [r["job"] for r in got.collect()] == ["hierarchy_merger", "decay_scorer"]  # one never ran, one is an hour late
+    assert J.due(runs.limit(0), F.current_timestamp()).count() == 3
+
+
+def test_passing_collections_and_report_lines(spark, tmp_path):
+    with ST.passing_collection(spark, "chunk_id string, embedding array<float>") as c:
+        c.insert(spark.createDataFrame([("a", [1.0])], "chunk_id string, embedding array<float>"))
+        assert c.read().count() == 1
+    assert c.read().count() == 0
+    rows = spark.createDataFrame([("b.org", "u", "Live", 3, 1000), ("a.org", "v", None, 0, 0)], "domain string, url string, source string, n_topics int, n_words int")
+    ST.save_report(S.report_lines(S.averages(S.domain_counters(rows))), str(tmp_path / "r"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert lines[1] == "b.org: 1 links, 1 live, 0 wayback, 0 skipped, 3.0 topics and 1000.0 words a sample"
+    assert [x.split(":")[0] for x in lines] == ["a.org", "b.org", "all"]
