@@ -51,8 +51,8 @@ SHALLOW = 32
 PART = 256
 WIDTHS = (16, 4)
 SALTS = 64
-#: Rows that a worker gets at once, bytes of text whose places it works on at once (one text's piece at least), and runs that
-#: it collapses before they are shuffled.
+#: Documents that a worker cuts at once, bytes of text whose places it works on at once (one text's piece at least), and runs
+#: that it collapses before they are shuffled.
 DOCUMENTS_AT_ONCE = 500
 BYTES_AT_ONCE = 1 << 20
 RUNS_AT_ONCE = 1 << 20
@@ -472,9 +472,9 @@ def _removed(documents: DataFrame) -> DataFrame:
     last = (1 << 63) - 1
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(last)).alias("doc"), F.xxhash64("text").alias("tie"), "text")
-    with common.batches_of(spark, DOCUMENTS_AT_ONCE):
-        found = rows.select("doc", "tie", "text").mapInArrow(_runs_of, RUN).repartition("bucket", "salt")
-        found = found.sortWithinPartitions("bucket", "salt", "digest", "doc", "tie", "place")
+    # Here Spark's own bound on a batch's bytes holds; texts are taken in pieces of it.
+    found = rows.select("doc", "tie", "text").mapInArrow(_runs_of, RUN).repartition("bucket", "salt")
+    found = found.sortWithinPartitions("bucket", "salt", "digest", "doc", "tie", "place")
     found = common.materialize(found.mapInArrow(_candidates, CANDIDATE), "suffix-runs")
     mark = ["doc", "tie", "start", "count"]
     marks = found.where("wide is null").select(*mark)
