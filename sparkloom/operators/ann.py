@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ CODEBOOK = 256
 SPREAD_COST = 2e9
 #: Queries, or query tokens, that are sent to the tasks at once; more come in blocks, one after the other.
 QUERY_BLOCK = 4096
-#: Numbers of a matrix of query tokens and documents' tokens.
+#: Numbers of a matrix of query tokens and documents' tokens, or of queries and rows.
 MATRIX = 1 << 22
+#: Decimals of a distance; neighbours that are alike in them are ranked by their ids.
+DECIMALS = 9
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
@@ -71,12 +74,16 @@ class VectorIndex:
 
     A row holds its residual's product-quantised code and the vector itself. A search reads the cells nearest to its
     queries only, which the scan's partition filters show; of their rows it first reads the codes, keeps each query's
-    `rerank` best by table look-ups (as each task does for its own rows), and then compares those exactly. An insert adds files to its rows' cells. All vectors
+    `rerank` best by table look-ups (as each task does for its own rows), and then compares those exactly. An exact search
+    goes on from there: the k-th best bounds what can be nearer, and every row of the cells that its code doesn't rule out by
+    that is compared where it lies. An insert adds files to its rows' cells. All vectors
     have the length that the sample's first has; others, null, zero and non-finite ones are not indexed and have no neighbours.
+    compared: how many rows and queries exact searches have compared beyond the `rerank` best so far.
     """
 
     def __init__(self, spark: SparkSession, path: str, item_id: str = "item_id", vector: str = "vector"):
         self.spark, self.path, self.item_id, self.vector = spark, path, item_id, vector
+        self.compared = spark.sparkContext.accumulator(0)
 
     def build(self, rows: DataFrame, cells: int | None = None, parts: int = 16) -> VectorIndex:
         """Learn cells (by default the square root of the rows' number) and codebooks, and index all rows."""
@@ -134,18 +141,19 @@ class VectorIndex:
         far = (centres * centres).sum(1) / 2 - queries @ centres.T
         return np.argsort(far, axis=1, kind="stable")[:, :probes]
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int = 8, rerank: int = 50, query_id: str = "query_id", query_vector: str = "query_vector", skip_self: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, probes: int = 8, rerank: int = 50, query_id: str = "query_id", query_vector: str = "query_vector", skip_self: bool = False, exact: bool = False) -> DataFrame:
         """(query_id, item_id, distance, rank): each query's k nearest by cosine distance, among the cells it reads.
 
-        The queries are a stated set, taken in blocks of QUERY_BLOCK. Ties go to the lesser item_id.
+        The queries are a stated set, taken in blocks of QUERY_BLOCK. Ties, to DECIMALS, go to the lesser item_id. exact: none
+        of the nearest in those cells is missed; else they are the nearest of `rerank` that the codes tell.
         """
         asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector"))
         blocks = -(-asked.count() // QUERY_BLOCK) or 1
         parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked for n in range(blocks)]
-        return functools.reduce(DataFrame.unionAll, [self._block(p, k, probes, rerank, skip_self) for p in parts])
+        return functools.reduce(DataFrame.unionAll, [self._block(p, k, probes, rerank, skip_self, exact) for p in parts])
 
-    def _block(self, asked: DataFrame, k: int, probes: int, rerank: int, skip_self: bool) -> DataFrame:
-        centres, books = self.model
+    def _block(self, asked: DataFrame, k: int, probes: int, rerank: int, skip_self: bool, exact: bool) -> DataFrame:
+        compared, (centres, books) = self.compared, self.model
         rows = self.read()
         kinds = [asked.schema["query_id"].dataType, rows.schema["item_id"].dataType]
         schema = f"query_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance double, rank int"
@@ -162,17 +170,25 @@ class VectorIndex:
         keep = rerank + 1 if skip_self else rerank
         of_item = rows.schema["item_id"].dataType
 
+        def looked_up(some: np.ndarray, c: int, code: np.ndarray) -> np.ndarray:
+            """The products of some queries and of rows of a cell, as the rows' codes tell them."""
+            near = np.repeat(base[some, c][:, None], len(code), 1)
+            for p in range(code.shape[1]):
+                near += tables[some, p][:, code[:, p]]
+            return near
+
+        def codes_of(batch: pa.RecordBatch) -> np.ndarray:
+            return np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
         def by_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None  # each query's best so far: (query, cell, similarity, item)
             for batch in batches:
                 cell = batch.column("cell").to_numpy()
-                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                code = codes_of(batch)
                 found = []
                 for c in np.unique(cell).tolist():
                     some, rows_ = of_cell[c], np.flatnonzero(cell == c)
-                    near = np.repeat(base[some, c][:, None], len(rows_), 1)
-                    for p in range(code.shape[1]):
-                        near += tables[some, p][:, code[rows_, p]]
+                    near = looked_up(some, c, code[rows_])
                     most = min(keep, len(rows_))
                     top = np.argpartition(-near, most - 1, axis=1)[:, :most]
                     found.append((np.repeat(some, most), rows_[top.reshape(-1)], np.take_along_axis(near, top, 1).reshape(-1)))
@@ -204,11 +220,53 @@ class VectorIndex:
 
         # Candidates are `keep` for each query of a block at most, so their number is bounded.
         joined = rows.where(cells).select("item_id", "cell", "vector").join(F.broadcast(best), ["cell", "item_id"]).select("n", "item_id", "vector")
-        exact = joined.mapInArrow(exactly, f"n long, query_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance double")
-        if own:
-            exact = exact.where(~F.col("query_id").eqNullSafe(F.col("item_id")))
-        w = W.partitionBy("n").orderBy("distance", "item_id")
-        return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "distance", "rank")
+        table = f"n long, query_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, distance double"
+
+        def ranked(found: DataFrame) -> DataFrame:
+            if own:
+                found = found.where(~F.col("query_id").eqNullSafe(F.col("item_id")))
+            w = W.partitionBy("n").orderBy(F.round("distance", DECIMALS), "item_id")
+            return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+        best = joined.mapInArrow(exactly, table)
+        if not exact:
+            return ranked(best).select("query_id", "item_id", "distance", "rank")
+        cut = np.full(len(q), np.inf)  # a number for each query of the block
+        for r in ranked(best.distinct()).where(F.col("rank") == k).select("n", "distance").collect():
+            cut[r["n"]] = r["distance"] + 2 * 10.0**-DECIMALS
+        reach = np.sqrt(2 * np.maximum(cut, 0))
+
+        def not_ruled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cell, code, x = batch.column("cell").to_numpy(), codes_of(batch), V.unit_rows(batch.column("vector"))[1]
+                told = centres[cell] + np.concatenate([b[code[:, p]] for p, b in enumerate(books)], axis=1)
+                error, square = np.sqrt(((x - told) ** 2).sum(1)), (told * told).sum(1)
+                for c in np.unique(cell).tolist():
+                    some, all_rows = of_cell[c], np.flatnonzero(cell == c)
+                    step = max(1, MATRIX // len(some))
+                    for rows_ in (all_rows[at : at + step] for at in range(0, len(all_rows), step)):
+                        # |q - x| >= |q - told| - |x - told|; the look-ups have single precision.
+                        least = 1 - 1e-5 + square[rows_] - 2 * looked_up(some, c, code[rows_])
+                        open_ = least <= (error[rows_] + reach[some][:, None]) ** 2
+                        i, j = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+                        open_ = open_[np.ix_(i, j)]
+                        compared.add(int(open_.sum()))
+                        i, j = some[i], rows_[j]
+                        far = np.round(1 - q[i] @ x[j].T, 12)
+                        a, b = np.nonzero(open_ & (far <= cut[i][:, None]))
+                        if len(a):
+                            new = pa.table({"n": i[a], "query_id": names.take(pa.array(i[a])), "item_id": batch.column("item_id").take(pa.array(j[b])), "distance": far[a, b], "near": -np.round(far[a, b], DECIMALS)})
+                            if own:
+                                new = new.filter(pc.invert(pc.fill_null(pc.equal(new["query_id"], new["item_id"]), False)))
+                            held = _best(new if held is None else pa.concat_tables([held, new]), "near", k)
+            if held is not None:
+                yield from held.drop_columns("near").combine_chunks().to_batches()
+
+        near = rows.where(cells).select("item_id", "cell", "code", "vector").mapInArrow(not_ruled_out, table)
+        return ranked(near).select("query_id", "item_id", "distance", "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -47,6 +47,51 @@ def test_search_of_all_cells_is_exact(spark, index, monkeypatch):
     assert index.search(asked.limit(0), 4).count() == 0
 
 
+def test_exact_search_misses_none_of_a_dense_topic(spark, tmp_path, monkeypatch):
+    """Codes can't tell the rows of a dense topic apart, so the nearest aren't among the best by codes; most other rows are ruled out."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal(32) + 1e-3 * rng.standard_normal((600, 32)), topical(7, 30, 40, 32)])
+    x[590:600] = x[5]  # ties
+    rows = frame(spark, x).repartition(3)
+    asked = rows.where("item_id % 50 = 0 or item_id = 5").selectExpr("item_id as query_id", "vector as query_vector")
+    exact = sorted(map(tuple, RT.top_k(asked, rows, 5, skip_self=True).select("query_id", "item_id", "distance", "rank").collect()))
+    index = A.VectorIndex(spark, str(tmp_path)).build(rows, cells=12, parts=4)
+    found = lambda **how: sorted(map(tuple, index.search(asked, 5, probes=12, skip_self=True, **how).select("query_id", "item_id", "distance", "rank").collect()))
+    assert found(rerank=20) != exact
+    for matrix in (1 << 22, 300):
+        monkeypatch.setattr(A, "MATRIX", matrix)
+        before = index.compared.value
+        got = found(rerank=20, exact=True)
+        assert [g[:2] + g[3:] for g in got] == [e[:2] + e[3:] for e in exact] and np.allclose([g[2] for g in got], [e[2] for e in exact], atol=2e-12, rtol=0)
+        assert index.compared.value - before < asked.count() * len(x) / 2
+    few = asked.where("query_id = 1200")
+    assert sorted(map(tuple, index.search(few, 5, probes=12, rerank=2, skip_self=True, exact=True).select("query_id", "item_id", "rank").collect())) == [(q, i, r) for q, i, _, r in exact if q == 1200]
+
+
+def equals_sql(spark, where, x):
+    import duckdb
+
+    from sparkloom.plans import corpus
+
+    spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(f"{where}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{where}/embeddings.parquet/*.parquet')")
+    assert sorted(map(tuple, corpus.indexed_topk(spark, str(where)).collect())) == sorted(con.sql(corpus.SQL["indexed_topk"]).fetchall())
+
+
+def test_indexed_query_equals_its_sql(spark, tmp_path):
+    """On a table with more near neighbours than the codes' best that are compared."""
+    rng = np.random.default_rng(8)
+    equals_sql(spark, tmp_path, np.concatenate([rng.standard_normal(16) + 1e-2 * rng.standard_normal((1500, 16)), rng.standard_normal((300, 16))]))
+
+
+@pytest.mark.parametrize("beyond", [-4e-11, 0, 4e-11])
+def test_indexed_query_rounds_as_its_sql(spark, tmp_path, beyond):
+    """Distances about halves of the last decimal, which are rounded twice."""
+    cos = 1 - (np.array([0.1234565, 0.2198765, 0.3599985, 0.5198765, 0.5599985]) + beyond)
+    equals_sql(spark, tmp_path, np.concatenate([[[1.0, 0.0]], np.stack([cos, np.sqrt(1 - cos * cos)], 1)]))
+
+
 def test_insert_changes_its_cells_only(spark, tmp_path):
     x = topical(1, 20, 20, 16)
     index = A.VectorIndex(spark, str(tmp_path)).build(frame(spark, x), cells=20)
