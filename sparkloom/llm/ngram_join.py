@@ -484,7 +484,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of pairs whose sets are similar enough."""
+    """(x, y) of pairs whose sets are similar enough. Other sets aren't shuffled, unless the wanted are too many to send to every task."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(wanted), "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys")), "y")
     counted = both.select("x", "y", (F.col("xn") + F.col("yn")).alias("sum"), F.size(F.array_intersect("xs", "ys")).alias("shared"))
     return counted.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("x", "y")

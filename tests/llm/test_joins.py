@@ -297,3 +297,29 @@ def test_vectors_in_blocks(spark, monkeypatch):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = E.near_duplicates(table).collect()
     assert all(r["n_links"] == 119 and r["component_id"] == 0 for r in got)
+
+
+def shuffled_rows(plan) -> int:
+    """Rows that an executed plan wrote to shuffles."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    below = plan.children()
+    return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_few_pairs_shuffle_few_sets(spark):
+    """Verifying a few pairs takes their sets only, not all that any step wants."""
+    sets = spark.createDataFrame([(2 * i, list(range(i // 2 * 20, i // 2 * 20 + 10))) for i in range(400)], "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(0, 2, 10, 10), (4, 8, 10, 10)], "x long, y long, xn long, yn long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = J._verified(pairs, sets, 80)
+        assert [tuple(r) for r in found.collect()] == [(0, 2)]
+        assert shuffled_rows(found._jdf.queryExecution().executedPlan()) < 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
